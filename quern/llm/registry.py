@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import mixing
+from quern.llm import mixing, near_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_mixing": mixing.op6_mixing,
+    "op10_near_dedup": near_dedup.op10_near_dedup,
 }
 
 SQL: dict[str, str] = {
