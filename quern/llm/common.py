@@ -62,6 +62,13 @@ def _clear() -> None:
         _delete(path)
 
 
+def small_batches(spark: SparkSession, mb: int = 8) -> None:
+    """Bounds the bytes of a batch that goes to a Python worker, unless the session has a bound of its own."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(name, "-1")) in (-1, 2**31 - 1) or int(spark.conf.get(name)) > mb << 20:
+        spark.conf.set(name, str(mb << 20))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -89,35 +96,43 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+_INVERSE = np.uint64(pow(int(_BASE), -1, 2**64))
+_IS_SPACE = SPACES.astype(np.uint8).tobytes()
+_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The powers of the multiplier and of its inverse, kept for the next call."""
+    if len(_POWERS[0]) < n:
+        for i, base in enumerate((_BASE, _INVERSE)):
+            _POWERS[i] = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n + n // 8, base)]), dtype=np.uint64)
+    return _POWERS[0], _POWERS[1]
+
+
 class Words:
-    """The words of a list of texts: `start`, `end` (bytes of `buf`), `doc`, `hash` and each text's `count`.
+    """The words of a list of texts: `start`, `end` (bytes of `buf`), `hash`, and each text's `count` and `first` word.
 
-    A-Z are lower-cased; words are runs of bytes other than space and 0x09-0x0D; None is an empty text.
+    A-Z are lower-cased; words are runs of bytes other than space and 0x09-0x0D; None is an empty text. A
+    hash is a polynomial of the word's bytes modulo 2**64, mixed with its length.
     """
 
     def __init__(self, texts: list[str | None]):
-        raw = b" ".join([b"" if t is None else t.encode("utf-8", "surrogatepass") for t in texts] + [b""]).lower()
-        lengths = np.fromiter((0 if t is None else (len(t) if t.isascii() else len(t.encode("utf-8", "surrogatepass"))) for t in texts), np.int64, len(texts))
-        buf = np.frombuffer(raw, np.uint8)
-        space = SPACES[buf]
-        edge = np.diff(np.concatenate([[True], space, [True]]).astype(np.int8))
-        self.buf, self.start, self.end = buf, np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-        ends = np.cumsum(lengths + 1)
-        self.doc = np.searchsorted(ends, self.start, side="right")
-        self.count = np.bincount(self.doc, minlength=len(texts)).astype(np.int64)
-        self.bytes = lengths
-        size = self.end - self.start
-        if len(size):
-            span = np.arange(len(buf), dtype=np.int32)
-            first = np.zeros(len(buf), np.int32)
-            first[self.start] = self.start
-            np.maximum.accumulate(first, out=first)
-            powers = np.cumprod(np.full(int(max(size.max(), 1)) + 1, _BASE))
-            at = np.where(space, 0, span - first)
-            self.hash = mix64(np.add.reduceat(_BYTE[buf] * powers[at], self.start) + size.astype(np.uint64))
-        else:
-            self.hash = np.zeros(0, np.uint64)
-        self.first = np.concatenate([[0], np.cumsum(self.count)])
+        raw = [b"" if t is None else t.encode("utf-8", "surrogatepass") for t in texts]
+        self.bytes = np.fromiter(map(len, raw), np.int64, len(raw))
+        whole = b" ".join([*raw, b""]).lower()
+        self.buf = buf = np.frombuffer(whole, np.uint8)
+        space = np.frombuffer(whole.translate(_IS_SPACE), np.bool_)
+        edge = np.flatnonzero(space[1:] != space[:-1]) + 1
+        if len(buf) and not space[0]:
+            edge = np.concatenate([[0], edge])
+        self.start, self.end = edge[::2], edge[1::2]
+        begins = np.concatenate([[0], np.cumsum(self.bytes + 1)])
+        self.first = np.searchsorted(self.start, begins)
+        self.count = np.diff(self.first)
+        up, down = _powers(len(buf))
+        total = np.cumsum(np.take(_BYTE, buf) * up[: len(buf)], dtype=np.uint64)
+        before = np.where(self.start > 0, total[self.start - 1], np.uint64(0))
+        self.hash = mix64((total[self.end - 1] - before) * down[self.start] + (self.end - self.start).astype(np.uint64))
 
 
 def pieces(texts, most: int = 1 << 20):

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import Words, drop, mix64, pieces, store, table
+from quern.llm.common import Words, drop, mix64, pieces, small_batches, store, table
 from quern.llm.components import components, local_labels
 
 WIDTH, PERCENT, TOKENS, LEAF, DEPTH, RECALL = 5, 75, 64, 256, 5, 0.9999
@@ -179,8 +179,9 @@ def linked(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray
     order = np.argsort(column, kind="stable")
     row, column = row[order], column[order]
     both = np.zeros((len(sets), len(sets)))
-    step = max(64, (1 << 23) // len(sets))
-    for at in range(0, int(column[-1]) + 1 if len(column) else 0, step):
+    columns = int(column[-1]) + 1 if len(column) else 0
+    step = max(1, min(columns, (1 << 21) // len(sets)))
+    for at in range(0, columns, step):
         lo, hi = np.searchsorted(column, [at, at + step])
         m = np.zeros((len(sets), step), np.float32)
         m[row[lo:hi], column[lo:hi] - at] = 1
@@ -236,6 +237,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     similarity is 1) and travel as one; rows of one id count as one document, and null ids as one id below
     all others. An empty table gives an empty table; columns other than the two named are not read.
     """
+    small_batches(docs.sparkSession)
     threshold = percent / 100
     trees = trees_for(recall, threshold, depth)
     least = max(1, math.floor(tokens * (threshold - 4 * math.sqrt(threshold * (1 - threshold) / tokens))))
@@ -273,7 +275,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = store(near.join(blocks, "node").select("id", "n_shingles", "node", "blocks"), "members")
     few = members.count() <= 1_000_000  # 32 bytes a row: the broadcast is at most 32 MB
     texts = slim.join(F.broadcast(members) if few else members, "id").mapInPandas(_sets, "node long, blocks long, id long, set binary")
-    texts = texts.dropDuplicates(["id"])
     edges = store(_by_group(_block_pairs(texts)).mapInPandas(_confirm(percent), "u long, v long"), "links")
     labels = components(edges)
     labels = store(classes.join(labels, classes.rep == labels.node, "left").select("n_shingles", "f1", "f2", F.coalesce("label", "rep").alias("component")), "labels")
