@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import mixing, near_dedup
+from quern.llm import line_dedup, mixing, near_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_line_dedup": line_dedup.op2_line_dedup,
     "op6_mixing": mixing.op6_mixing,
     "op10_near_dedup": near_dedup.op10_near_dedup,
 }
 
 SQL: dict[str, str] = {
+    "op2_line_dedup": line_dedup.OP2_SQL,
     "op6_mixing": mixing.OP6_SQL,
 }
