@@ -65,7 +65,8 @@ def _clear() -> None:
 def small_batches(spark: SparkSession, mb: int = 8) -> None:
     """Bounds the bytes of a batch that goes to a Python worker, unless the session has a bound of its own."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(spark.conf.get(name, "-1")) in (-1, 2**31 - 1) or int(spark.conf.get(name)) > mb << 20:
+    have = spark.conf.get(name).rstrip("b")
+    if not have.isdigit() or int(have) > mb << 20:
         spark.conf.set(name, str(mb << 20))
 
 
