@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import line_dedup, lm_scoring, mixing, near_dedup
+from quern.llm import line_dedup, lm_scoring, mixing, near_dedup, packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_scoring": lm_scoring.op1_lm_scoring,
     "op2_line_dedup": line_dedup.op2_line_dedup,
     "op6_mixing": mixing.op6_mixing,
+    "op8_packing": packing.op8_packing,
     "op10_near_dedup": near_dedup.op10_near_dedup,
 }
 
