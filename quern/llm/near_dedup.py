@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from quern.llm.common import Words, drop, mix64, pieces, small_batches, store, table
 from quern.llm.components import components, local_labels
 
-WIDTH, PERCENT, TOKENS, LEAF, DEPTH, RECALL = 5, 75, 64, 256, 5, 0.9999
+WIDTH, PERCENT, TOKENS, LEAF, DEPTH, RECALL = 5, 75, 64, 1024, 5, 0.9999
 #: Documents and shingles of a block when a large group is compared block by block.
 BLOCK_DOCS, BLOCK_SHINGLES = 512, 1 << 20
 _RNG = np.random.default_rng(771)
@@ -264,7 +264,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     groups = leaves[0]
     for x in leaves[1:]:
         groups = groups.unionByName(x)
-    groups = groups.withColumn("blocks", F.ceil(F.col("size") / (2 * leaf))).drop("size")
+    groups = groups.withColumn("blocks", F.ceil(F.col("size") / leaf)).drop("size")
     compared = _by_group(_block_pairs(groups).join(sigs.select("id", "sig"), "id"))
     found = store(compared.mapInPandas(_leaves(tokens, least), "u long, v long"), "found")
     drop(*made)
