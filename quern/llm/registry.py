@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import lang_id, line_dedup, lm_scoring, mixing, near_dedup, packing, quality
+from quern.llm import lang_id, line_dedup, lm_scoring, mixing, near_dedup, packing, quality, topk_search
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_scoring": lm_scoring.op1_lm_scoring,
     "op2_line_dedup": line_dedup.op2_line_dedup,
+    "op3_topk_search": topk_search.op3_topk_search,
     "op4_quality": quality.op4_quality,
     "op6_mixing": mixing.op6_mixing,
     "op7_lang_id": lang_id.op7_lang_id,
@@ -20,5 +21,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 SQL: dict[str, str] = {
     "op2_line_dedup": line_dedup.OP2_SQL,
+    "op3_topk_search": topk_search.OP3_SQL,
     "op6_mixing": mixing.OP6_SQL,
 }
