@@ -48,7 +48,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     gone = store(gone, "gone")
     drop(windows, repeated)
 
-    out = keyed.join(gone, ["__k", "__x"], "left").withColumn("__lines", F.split(F.col(text_col), "\n", -1))
+    # merged at every size: what is removed grows with the corpus, and the plan with it
+    out = keyed.join(gone.hint("merge"), ["__k", "__x"], "left").withColumn("__lines", F.split(F.col(text_col), "\n", -1))
     n = F.size("__lines")
     kept = F.transform(
         F.sequence(F.lit(0), F.size("__gone")),
