@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import lang_id, line_dedup, lm_scoring, mixing, near_dedup, packing, quality, topk_search
+from quern.llm import lang_id, line_dedup, lm_scoring, mixing, near_dedup, packing, quality, topk_search, transport_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_scoring": lm_scoring.op1_lm_scoring,
     "op2_line_dedup": line_dedup.op2_line_dedup,
     "op3_topk_search": topk_search.op3_topk_search,
     "op4_quality": quality.op4_quality,
+    "op5_media": transport_stream.op5_media,
     "op6_mixing": mixing.op6_mixing,
     "op7_lang_id": lang_id.op7_lang_id,
     "op8_packing": packing.op8_packing,
