@@ -1,7 +1,64 @@
-"""The corpus pipeline (see STAGES)."""
-STAGES = []
+"""The corpus pipeline: five operators of quern.llm, each over all that the one before it kept."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quern.llm.common import crc_mod, store
+from quern.llm.lang_id import UNKNOWN, identify
+from quern.llm.line_dedup import dedup_lines
+from quern.llm.mixing import mix, taken_texts
+from quern.llm.near_dedup import near_duplicates
+from quern.llm.packing import pack_documents
+
+#: Documents whose language is less likely than this are rejected.
+SURE = 0.5
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents of which the language is known: not those without a letter, nor those below SURE."""
+    named = identify(docs, crc_mod("doc_id", 4) == 2, carry=docs.columns)
+    return named.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= SURE)).select(*docs.columns)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Removes later occurrences of repeated three-line windows; a document of which nothing is left goes."""
+    out = dedup_lines(docs)
+    cut = F.col("n_removed") > 0
+    out = out.where(~cut | (F.length("text") > 0)).withColumn("n_chars", F.when(cut, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays, the one with the least id; rows of one id are one document."""
+    key = F.coalesce(F.col("doc_id"), F.lit(-(2**63))).alias("__key")
+    kept = near_duplicates(docs).where("kept").select(key).distinct()
+    return docs.withColumn("__key", key).join(kept.hint("merge"), "__key", "left_semi").dropDuplicates(["__key"]).select(*docs.columns)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Takes the documents as often and as far as the mix does: a row for each reading, in training order."""
+    taken = taken_texts(mix(docs))
+    return taken.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The places of all pieces in sequences of 2048 tokens."""
+    out = pack_documents(docs)
+    return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+STAGES = [("language_id", language), ("line_dedup", lines), ("near_dedup", near_copies), ("mixing", mixture), ("packing", packed)]
+
+#: A recurrent network, a randomised join and a subword tokenizer are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Applies the stages to the documents; each result is written and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = store(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -8,13 +8,14 @@ bytes. Runs recur, so each distinct run of a batch goes through the network once
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quern.llm.common import SPACES, crc_mod, pieces, small_batches, table
 
-RUN, EMBED, HIDDEN, MOST_LANGUAGES = 24, 8, 10, 1000
+RUN, EMBED, HIDDEN, MOST_LANGUAGES, UNKNOWN = 24, 8, 10, 1000, "und"
 #: The network is fitted to a bounded sample of labelled documents: at most so many of each language, and so
 #: many bytes of each; scoring reads every byte of every text.
 FIT_DOCUMENTS, FIT_BYTES, EPOCHS, BATCH = 150, 3000, 4, 2048
@@ -197,8 +198,9 @@ def fit(labelled: DataFrame, documents: int = FIT_DOCUMENTS, most_bytes: int = F
 def _predict(shared):
     def run(batches):
         names, net = shared.value
-        for x in batches:
-            texts = x["text"].tolist()
+        for batch in batches:
+            texts = batch.column("__text").to_pylist()
+            rest = batch.select([c for c in batch.schema.names if c != "__text"])
             for a, b in pieces(texts, 8 << 20):
                 letters = np.array([t is not None and (any(c in t for c in "aeinrst") or any(map(str.isalpha, t))) for t in texts[a:b]])
                 raw = [b"" if t is None else t.encode("utf-8", "surrogatepass") for t in texts[a:b]]
@@ -217,29 +219,29 @@ def _predict(shared):
                 z /= z.sum(1, keepdims=True)
                 best = z.argmax(1)
                 ok = letters & (net is not None)
-                yield pd.DataFrame({
-                    "doc_id": x["doc_id"].iloc[a:b].to_numpy(), "held_out": x["held_out"].iloc[a:b].to_numpy(),
-                    "lang_pred": [names[i] if g else "und" for i, g in zip(best, ok, strict=True)], "score": np.where(ok, z[np.arange(b - a), best], 0.0),
-                })
+                named = pa.array([names[i] if g else UNKNOWN for i, g in zip(best, ok, strict=True)], pa.string())
+                score = pa.array(np.where(ok, z[np.arange(b - a), best], 0.0), pa.float64())
+                yield pa.RecordBatch.from_arrays([*rest.slice(a, b - a).columns, named, score], [*rest.schema.names, "lang_pred", "score"])
 
     return run
 
 
-def identify(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """One row per document: id, held_out, lang_pred, score.
+def identify(docs: DataFrame, held_out: Column, text_col: str = "text", lang_col: str = "lang", carry: list[str] | None = None) -> DataFrame:
+    """Adds held_out, lang_pred and score to the columns `carry` of the documents (all, unless given).
 
     The network is fitted to rows for which held_out is false and whose language is not null; predictions come
     from the texts alone. Null texts and texts without a letter are "und" with the score 0, and so is all if
-    there is nothing to learn from. Repeated rows fare alike; an empty table gives an empty table; columns other
-    than the three named are not read.
+    there is nothing to learn from. Repeated rows fare alike; an empty table gives an empty table; columns named
+    held_out, lang_pred or score in the input are replaced.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), held_out.alias("held_out"), F.col(lang_col).alias("lang"))
-    shared = spark.sparkContext.broadcast(fit(slim.where("not held_out").select("text", "lang")))
-    out = slim.select("doc_id", "text", "held_out").mapInPandas(_predict(shared), "doc_id long, held_out boolean, lang_pred string, score double")
-    return out.withColumnRenamed("doc_id", id_col)
+    shared = spark.sparkContext.broadcast(fit(docs.where(~held_out).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))))
+    kept = [c for c in (docs.columns if carry is None else carry) if c not in ("held_out", "lang_pred", "score")]
+    slim = docs.select(*kept, held_out.alias("held_out"), F.col(text_col).alias("__text"))
+    kind = T.StructType([f for f in slim.schema.fields if f.name != "__text"]).add("lang_pred", "string").add("score", "double")
+    return slim.mapInArrow(_predict(shared), kind)
 
 
 def op7_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return identify(table(spark, sf_dir, "documents"), crc_mod("doc_id", 4) == 2)
+    return identify(table(spark, sf_dir, "documents"), crc_mod("doc_id", 4) == 2, carry=["doc_id"])

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import lang_id, line_dedup, lm_scoring, mixing, near_dedup, packing, quality, topk_search, transport_stream
+from quern.llm import html_text, lang_id, line_dedup, lm_scoring, mixing, near_dedup, packing, quality, topk_search, transport_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_scoring": lm_scoring.op1_lm_scoring,
@@ -17,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_mixing": mixing.op6_mixing,
     "op7_lang_id": lang_id.op7_lang_id,
     "op8_packing": packing.op8_packing,
+    "op9_html_text": html_text.op9_html_text,
     "op10_near_dedup": near_dedup.op10_near_dedup,
 }
 
