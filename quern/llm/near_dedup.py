@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from quern.llm.common import Words, drop, mix64, pieces, small_batches, store, table
 from quern.llm.components import components, local_labels
 
-WIDTH, PERCENT, TOKENS, LEAF, DEPTH, RECALL = 5, 75, 64, 1024, 5, 0.9999
+WIDTH, PERCENT, TOKENS, LEAF, RECALL = 5, 75, 64, 1024, 0.9999
 #: Documents and shingles of a block when a large group is compared block by block.
 BLOCK_DOCS, BLOCK_SHINGLES = 512, 1 << 20
 _RNG = np.random.default_rng(771)
@@ -93,6 +93,11 @@ def trees_for(recall: float, threshold: float, depth: int) -> int:
     return math.ceil(math.log(1 - recall) / math.log(1 - reached(depth, threshold)))
 
 
+def depth_for(n: int, leaf: int) -> int:
+    """Levels of a tree over n documents: its nodes shrink about 20-fold a level but for similar documents."""
+    return max(3, math.ceil(math.log(max(1, n / leaf), 20)))
+
+
 def _branch(node: np.ndarray, sig: np.ndarray, level: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """The children of (node, tokens) rows: row numbers and child nodes.
 
@@ -230,7 +235,7 @@ def _by_group(rows: DataFrame) -> DataFrame:
     return rows.repartition("node", "i", "j").sortWithinPartitions("node", "i", "j")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, tokens: int = TOKENS, leaf: int = LEAF, depth: int = DEPTH, recall: float = RECALL) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, tokens: int = TOKENS, leaf: int = LEAF, depth: int | None = None, recall: float = RECALL) -> DataFrame:
     """One row per document: id, n_shingles, component_id (the least id reachable by links), kept.
 
     Null and wordless texts have the empty set and link with nothing. Documents with equal sets link (their
@@ -239,11 +244,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     small_batches(docs.sparkSession)
     threshold = percent / 100
-    trees = trees_for(recall, threshold, depth)
     least = max(1, math.floor(tokens * (threshold - 4 * math.sqrt(threshold * (1 - threshold) / tokens))))
     slim = docs.select(F.coalesce(F.col(id_col), F.lit(_ID)).cast("long").alias("id"), F.col(text_col).alias("text"))
     all_docs = store(slim.mapInPandas(_describe(tokens), "id long, n_shingles long, f1 long, f2 long, sig binary"), "sets")
     full = all_docs.where("n_shingles > 0")
+    depth = depth or depth_for(all_docs.count(), leaf)
+    trees = trees_for(recall, threshold, depth)
     classes = full.groupBy("n_shingles", "f1", "f2").agg(F.min("id").alias("rep"))
     classes = store(classes, "classes")
     sigs = store(full.join(classes.select(F.col("rep").alias("id"), "n_shingles", "f1", "f2"), ["id", "n_shingles", "f1", "f2"], "left_semi").select("id", "n_shingles", "sig").dropDuplicates(["id", "n_shingles"]), "reps")
