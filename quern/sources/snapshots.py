@@ -1,0 +1,91 @@
+"""Tables as snapshots in a folder: a new one is written beside the old and becomes current by one small file."""
+
+from __future__ import annotations
+
+import json
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quern.schema import STATE
+
+
+class Snapshots:
+    """Named tables under a path that any Hadoop file system can hold. Commits replace all of a version's names at once."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+        jvm = spark.sparkContext._jvm
+        self._path = jvm.org.apache.hadoop.fs.Path
+        self._fs = self._path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _read(self, name: str) -> str | None:
+        p = self._path(f"{self.path}/{name}")
+        if not self._fs.exists(p):
+            return None
+        stream = self._fs.open(p)
+        try:
+            return bytes(stream.readAllBytes()).decode()
+        finally:
+            stream.close()
+
+    def current(self) -> dict[str, str]:
+        """Folders of the current version by table name; a missing or broken pointer is an empty version."""
+        try:
+            found = json.loads(self._read("_CURRENT") or "{}")
+        except ValueError:
+            return {}
+        return {k: v for k, v in found.get("tables", {}).items() if isinstance(v, str)} if isinstance(found, dict) else {}
+
+    def version(self) -> str:
+        """What changes with every commit."""
+        return self._read("_CURRENT") or ""
+
+    def table(self, name: str, schema: str) -> DataFrame:
+        at = self.current().get(name)
+        if at is None:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.parquet(f"{self.path}/{at}")
+
+    def write(self, name: str, df: DataFrame, partition_by: tuple[str, ...] = ()) -> str:
+        """Writes a table that is not current yet; gives its folder for commit."""
+        at = f"{name}-{uuid.uuid4().hex}"
+        writer = df.write.partitionBy(*partition_by) if partition_by else df.write
+        writer.parquet(f"{self.path}/{at}")
+        return at
+
+    def remove(self, at: str) -> None:
+        """Deletes a folder that was written but is not to become current."""
+        self._fs.delete(self._path(f"{self.path}/{at}"), True)
+
+    def commit(self, tables: dict[str, str]) -> None:
+        """Makes folders current: the pointer is written aside and renamed, then the folders it no longer names go."""
+        old = self.current()
+        new = old | tables
+        aside = self._path(f"{self.path}/_CURRENT.{uuid.uuid4().hex}")
+        out = self._fs.create(aside, True)
+        try:
+            out.write(json.dumps({"version": 1, "tables": new, "commit": uuid.uuid4().hex}, sort_keys=True).encode())
+        finally:
+            out.close()
+        jvm = self.spark.sparkContext._jvm
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(aside.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        rename = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        rename[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        context.rename(self._fs.makeQualified(aside), self._fs.makeQualified(self._path(f"{self.path}/_CURRENT")), rename)
+        for at in set(old.values()) - set(new.values()):
+            self._fs.delete(self._path(f"{self.path}/{at}"), True)
+
+
+def import_state(spark: SparkSession, text: str, repo: str = "") -> DataFrame:
+    """A state document {"version": 1, "files": {path: {sha256, size, mtime}}} as rows; malformed entries are dropped."""
+    rows = spark.createDataFrame([(text,)], "j string").select(F.from_json("j", "struct<files: map<string, struct<sha256: string, size: long, mtime: double>>>").alias("s"))
+    files = rows.select(F.explode("s.files").alias("file", "m")).where("m.sha256 is not null and m.size is not null and m.mtime is not null")
+    return files.select(F.lit(repo).alias("repo"), "file", "m.sha256", "m.size", "m.mtime").to(spark.createDataFrame([], STATE).schema)
+
+
+def export_state(state: DataFrame) -> str:
+    """The state of one repo as such a document, keys sorted."""
+    files = {r["file"]: {"sha256": r["sha256"], "size": r["size"], "mtime": r["mtime"]} for r in state.orderBy("file").collect()}
+    return json.dumps({"version": 1, "files": files}, sort_keys=True, indent=2)
