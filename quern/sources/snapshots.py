@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,7 +35,7 @@ class Snapshots:
         """Folders of the current version by table name; a missing or broken pointer is an empty version."""
         try:
             found = json.loads(self._read("_CURRENT") or "{}")
-        except ValueError:
+        except (ValueError, Py4JJavaError):
             return {}
         return {k: v for k, v in found.get("tables", {}).items() if isinstance(v, str)} if isinstance(found, dict) else {}
 
@@ -80,9 +81,10 @@ class Snapshots:
 
 def import_state(spark: SparkSession, text: str, repo: str = "") -> DataFrame:
     """A state document {"version": 1, "files": {path: {sha256, size, mtime}}} as rows; malformed entries are dropped."""
-    rows = spark.createDataFrame([(text,)], "j string").select(F.from_json("j", "struct<files: map<string, struct<sha256: string, size: long, mtime: double>>>").alias("s"))
-    files = rows.select(F.explode("s.files").alias("file", "m")).where("m.sha256 is not null and m.size is not null and m.mtime is not null")
-    return files.select(F.lit(repo).alias("repo"), "file", "m.sha256", "m.size", "m.mtime").to(spark.createDataFrame([], STATE).schema)
+    rows = spark.createDataFrame([(text,)], "j string").select(F.from_json(F.get_json_object("j", "$.files"), "map<string, string>").alias("s"))
+    part = lambda name, kind: F.get_json_object("m", f"$.{name}").try_cast(kind)
+    files = rows.select(F.explode("s").alias("file", "m")).select("file", part("sha256", "string").alias("sha256"), part("size", "long").alias("size"), part("mtime", "double").alias("mtime"))
+    return files.dropna().select(F.lit(repo).alias("repo"), "file", "sha256", "size", "mtime").to(spark.createDataFrame([], STATE).schema)
 
 
 def export_state(state: DataFrame) -> str:
