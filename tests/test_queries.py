@@ -1,7 +1,7 @@
 """Every registered query of the library against DuckDB on the smallest tables."""
 
 import pytest
-from conftest import DATA, same_rows
+from helpers import DATA, same_rows
 
 from quern.queries import QUERIES, SQL
 

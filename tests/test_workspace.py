@@ -139,7 +139,7 @@ while (m := read_message(sys.stdin.buffer)) is not None:
 
 
 def test_language_server_client(tmp_path):
-    from conftest import ROOT
+    from helpers import ROOT
 
     put(tmp_path, {"server.py": SERVER.format(root=str(ROOT)), "x.py": "y"})
     m = lsp.Manager({"python": [sys.executable, str(tmp_path / "server.py")], "go": ["no-such-server"]}, enabled=True)
