@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import udtf
 
 from quern.operators import scanner
-from quern.schema import BLOCKS, CALLS, FILE_BYTES, SNIFF_BYTES
+from quern.schema import BLOCKS, CALLS, EXTENSIONS, FILE_BYTES, SNIFF_BYTES
 
 
 def readable(files: DataFrame) -> DataFrame:
@@ -36,6 +37,32 @@ def _calls(batches):
         yield pd.DataFrame(rows, columns=[c.split()[0] for c in CALLS.split(", ")])
 
 
+@udtf(returnType="block_type string, name string, class_chain string, start_line int, end_line int, docstring string, code string, block_pos int")
+class BlocksOf:
+    """extract_blocks(language, source) in SQL: the definitions of one source text."""
+
+    def eval(self, language: str, source: str):
+        if source is not None and language in EXTENSIONS:
+            for i, b in enumerate(scanner.blocks(source, language)):
+                yield (*b, i)
+
+
+@udtf(returnType="callee string, line int, preview string, pos int")
+class CallsOf:
+    """extract_calls(language, source) in SQL: the call sites of one source text."""
+
+    def eval(self, language: str, source: str):
+        if source is not None and language in EXTENSIONS:
+            for i, c in enumerate(scanner.calls(source, language)):
+                yield (*c, i)
+
+
+def register(spark: SparkSession) -> None:
+    """Makes both table functions callable from spark.sql, laterally too."""
+    spark.udtf.register("extract_blocks", BlocksOf)
+    spark.udtf.register("extract_calls", CallsOf)
+
+
 _INPUT = ("repo", "file", "language", "content")
 
 

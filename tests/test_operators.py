@@ -106,3 +106,12 @@ def test_models(spark):
     hits = docs.where("id <> 'c'").withColumn("rank", F.when(F.col("id") == "b", 1).otherwise(2)).withColumn("score", F.lit(0.5))
     assert rows(rerank(hits, "token", limit=2), "id") == [("a",), ("b",)] and rows(rerank(hits, " ", limit=1), "id") == [("b",)]
     assert TokenOverlap()(["a b"], ["b c"]) == [0.5] and HashedTokens(8)(["x"]).shape == (1, 8)
+
+
+def test_table_functions(spark):
+    from quern.operators.extract import register
+
+    register(spark)
+    spark.createDataFrame([("python", "def f():\n    g(1)\n"), ("go", None), ("none", "x")], "language string, source string").createOrReplaceTempView("sources")
+    assert rows(spark.sql("SELECT b.name, b.start_line, b.end_line FROM sources s, LATERAL extract_blocks(s.language, s.source) b"), "name", "start_line", "end_line") == [("f", 1, 2)]
+    assert rows(spark.sql("SELECT c.callee, c.line FROM sources s, LATERAL extract_calls(s.language, s.source) c"), "callee", "line") == [("g", 2)]
