@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 from quern.llm.common import drop, store
 
 
-def _min_of(edges: DataFrame) -> DataFrame:
-    return edges.groupBy("u").agg(F.min("v").alias("m"))
+def _least(edges: DataFrame) -> DataFrame:
+    """Each u's least v, as a table of its own: joins with it then have an exchange on either side, which adaptive
+    execution can split where one u (the centre of a star) has a large share of the edges."""
+    return store(edges.groupBy("u").agg(F.min("v").alias("m")), "least")
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -24,13 +26,15 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     seen = None
     for _ in range(most_rounds):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.join(_min_of(both), "u").where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).where("u <> v").distinct()
+        least = _least(both)
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).where("u <> v").distinct()
         large = store(large, "edges")
-        least = _min_of(large)
+        drop(least)
+        least = _least(large)
         small = large.join(least, "u")
         small = small.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
         old, now = now, store(small, "edges")
-        drop(old, large)
+        drop(old, large, least)
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == seen:
             break

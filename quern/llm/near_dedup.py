@@ -257,9 +257,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     made, leaves, rows = [], [], sigs.select("id", "sig")
     for level in range(1, depth + 1):
         kids = store(rows.mapInPandas(_children(level, trees, threshold, tokens), "node long, id long"), "nodes")
-        sizes = kids.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
+        # a table of its own, so that the join of a node with a large share of all rows can be split
+        sizes = store(kids.groupBy("node").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
         kids2 = store(kids.join(sizes, "node"), "nodes")
-        drop(kids)
+        drop(kids, sizes)
         made.append(kids2)
         large = F.col("size") > leaf
         leaves.append(kids2 if level == depth else kids2.where(~large))
@@ -278,7 +279,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     near = components(found).select(F.col("node").alias("id"), F.col("label").alias("node"))
     near = store(near.join(sigs.select("id", "n_shingles"), "id"), "near")
     blocks = near.groupBy("node").agg(F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).alias("blocks"))
+    blocks = store(blocks, "blocks")
     members = store(near.join(blocks, "node").select("id", "n_shingles", "node", "blocks"), "members")
+    drop(blocks)
     few = members.count() <= 1_000_000  # 32 bytes a row: the broadcast is at most 32 MB
     texts = slim.join(F.broadcast(members) if few else members, "id").mapInPandas(_sets, "node long, blocks long, id long, set binary")
     edges = store(_by_group(_block_pairs(texts)).mapInPandas(_confirm(percent), "u long, v long"), "links")
