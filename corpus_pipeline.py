@@ -13,7 +13,7 @@ from quern.llm.near_dedup import near_duplicates
 from quern.llm.packing import pack_documents
 
 #: Documents whose language is less likely than this are rejected.
-SURE = 0.5
+SURE = 0.4
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
