@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 from quern.llm.common import drop, pieces, small_batches, store, table
 
 LENGTH, VOCABULARY = 2048, "byte_bpe_50k"
-#: Lengths above LENGTH / SMALL are large; they form GROUPS groups of about equal counts.
-SMALL, GROUPS = 8, 24
+#: Settings that are planned in turn: the number of groups of about equal counts that large lengths form, and the
+#: share of a sequence (1 / small) above which a length is large. The plan with the fewest sequences is taken.
+SETTINGS = ((24, 2), (24, 4), (48, 4), (24, 8))
 
 
 # --- tokens -------------------------------------------------------------------------------
@@ -231,7 +232,12 @@ def _cover(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return use[:n], np.maximum(price, 0)
 
 
-def plan(counts: dict[int, int], length: int = LENGTH, groups: int = GROUPS, small: int = SMALL) -> list[tuple[tuple[int, ...], int]]:
+def best_plan(counts: dict[int, int], length: int = LENGTH, settings=SETTINGS) -> list[tuple[tuple[int, ...], int]]:
+    """The plan of the settings that needs the fewest sequences; each takes about a second at most, whatever the counts."""
+    return min((plan(counts, length, *x) for x in settings), key=lambda shapes: sum(n for _, n in shapes))
+
+
+def plan(counts: dict[int, int], length: int, groups: int, small: int) -> list[tuple[tuple[int, ...], int]]:
     """Shapes of sequences and how many have each, which hold exactly these counts of lengths.
 
     Full pieces stand alone. The other large lengths are rounded up within groups of equal counts, the few
@@ -322,11 +328,11 @@ def _numbered(items: DataFrame, by: str, order: list[str]) -> DataFrame:
     return items.withColumn("__own", own).join(counts, [by, "__r"]).withColumn("item", F.col("__before") + F.col("__own") - 1).drop("__h", "__r", "__own", "__before")
 
 
-def pack(items: DataFrame, order: list[str], length: int = LENGTH, groups: int = GROUPS) -> DataFrame:
+def pack(items: DataFrame, order: list[str], length: int = LENGTH) -> DataFrame:
     """Adds sequence_id and offset to rows with a `length` from 1 to the given one, by the plan for their counts."""
     spark = items.sparkSession
     counts = {r["length"]: r["n"] for r in items.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `length` rows
-    runs = places(plan(counts, length, groups))
+    runs = places(best_plan(counts, length))
     edges = spark.createDataFrame(runs.astype("int64") if len(runs) else [], "length long, first_item long, items long, each long, first_sequence long, first_offset long")
     # Each run of places covers a range of item numbers. Ranges and items meet in blocks of numbers.
     width = max(1, sum(counts.values()) // max(1, 4 * len(runs)))

@@ -21,7 +21,7 @@ def held(shapes):
 @settings(max_examples=40, deadline=None)
 @given(st.dictionaries(st.integers(1, 64), st.integers(1, 300), max_size=25))
 def test_a_plan_holds_every_piece(counts):
-    shapes = P.plan(counts, 64, 6)
+    shapes = P.plan(counts, 64, 6, 8)
     assert held(shapes) == Counter(counts) and all(sum(s) <= 64 for s, _ in shapes)
     runs = P.places(shapes)
     assert runs.empty or (runs["items"].groupby(runs["length"]).sum().to_dict() == counts)
@@ -31,10 +31,13 @@ def test_plans_are_near_the_bound():
     rng = np.random.default_rng(1)
     lengths = np.clip(rng.lognormal(6, 1, 20_000).astype(int), 1, 2048)
     counts = dict(Counter(lengths.tolist()))
-    n = sum(k for _, k in P.plan(counts))
-    assert n <= 1.01 * np.ceil(lengths.sum() / 2048)
+    n = sum(k for _, k in P.best_plan(counts))
+    assert n <= 1.001 * np.ceil(lengths.sum() / 2048)
     halves = {1025: 10, 1023: 10, 700: 9, 674: 9}
-    assert sum(k for _, k in P.plan(halves)) <= 17
+    assert sum(k for _, k in P.best_plan(halves)) <= 17
+    thirds = dict(Counter(rng.integers(600, 760, 20_000).tolist()))  # configurations beat best fit alone by far here
+    n = sum(k for _, k in P.best_plan(thirds))
+    assert n <= 1.02 * sum(s * k for s, k in thirds.items()) / 2048 and n < 0.93 * sum(k for _, k in P.plan(thirds, 2048, 24, 2))
 
 
 def test_cuts():
