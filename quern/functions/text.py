@@ -18,9 +18,29 @@ def once(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
+#: What stands between identifiers: all but ASCII letters, digits and underscores. The predefined class is the same
+#: set in Java and, measured here, about 20 times as fast as the set spelt out.
+SEPARATOR = r"\W+"
+#: Whether any identifier of a text has parts.
+HAS_PARTS = "_|[a-z0-9][A-Z]"
+
+
+def plain_tokens(text: Column) -> Column:
+    """The identifiers of a text in lower case, with single spaces between."""
+    return F.lower(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), SEPARATOR, " ")))
+
+
 def tokenize_code(text: Column) -> Column:
-    """Identifiers in lower case, each followed by its snake_case and then its camelCase parts; null text has none."""
-    raw = F.filter(F.split(F.coalesce(text, F.lit("")), "[^a-zA-Z0-9_]+"), lambda x: x != "")
+    """Identifiers in lower case, each followed by its snake_case and then its camelCase parts; null text has none.
+
+    Texts without parts, such as prose, are only split; the others go through array functions token by token.
+    """
+    plain = once(plain_tokens(text), lambda t: F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, " ")))
+    return F.when(text.rlike(HAS_PARTS), _tokens_with_parts(text)).otherwise(plain)
+
+
+def _tokens_with_parts(text: Column) -> Column:
+    raw = F.filter(F.split(F.coalesce(text, F.lit("")), SEPARATOR), lambda x: x != "")
     none = F.array().cast("array<string>")
 
     def parts(x: Column) -> Column:

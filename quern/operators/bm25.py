@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.text import once, tokenize, tokenize_code
+from quern.plans.parallel import spread
 from quern.schema import K1, KEYWORD_LIMIT, B
 
 
@@ -23,6 +24,12 @@ def weight(tf: Column, dl: Column, avg_len: Column, k1: float = K1, b: float = B
     return tf * (k1 + 1) / F.when(below == 0, 1.0).otherwise(below)
 
 
+def _counts(text: Column, terms: list[str]) -> Column:
+    """The number of tokens of a text (dl) and of each term (tf0, tf1, ...)."""
+    left = lambda t, term: F.size(t) - F.size(F.array_remove(t, F.lit(term)))
+    return once(tokenize_code(text), lambda t: F.struct(F.size(t).alias("dl"), *[left(t, x).alias(f"tf{i}") for i, x in enumerate(terms)]))
+
+
 def keyword_scan(docs: DataFrame, query: str, id_col: str = "id", text_col: str = "document", limit: int | None = KEYWORD_LIMIT, where: Column | None = None) -> DataFrame:
     """The best documents for a query: the columns of docs (without the text), score and rank.
 
@@ -31,20 +38,18 @@ def keyword_scan(docs: DataFrame, query: str, id_col: str = "id", text_col: str
     returned; term statistics are always those of all documents. Ties go to the smaller id.
     """
     terms = Counter(tokenize(query))
-    count = lambda t, term: F.size(F.filter(t, lambda x: x == term))
-    counted = once(tokenize_code(F.col(text_col)), lambda t: F.struct(F.size(t).alias("dl"), *[count(t, term).alias(f"tf{i}") for i, term in enumerate(terms)]))
-    base = docs.withColumn("__c", counted).drop(text_col)
+    base = spread(docs).withColumn("__c", _counts(F.col(text_col), list(terms))).drop(text_col)
     if not terms:
         return base.drop("__c").where("false").withColumns({"score": F.lit(0.0), "rank": F.lit(0)})
     stats = base.agg(F.count("*").alias("__n"), F.coalesce(F.avg("__c.dl"), F.lit(0.0)).alias("__avg"), *[F.count_if(F.col(f"__c.tf{i}") > 0).alias(f"__df{i}") for i in range(len(terms))])
     found = base.where(where) if where is not None else base
-    any_term = F.lit(False)
     score = F.lit(0.0)
     for i, (_, times) in enumerate(terms.items()):
         tf = F.col(f"__c.tf{i}")
-        any_term |= tf > 0
         score += F.when(tf > 0, times * idf(F.col("__n"), F.col(f"__df{i}")) * weight(tf, F.col("__c.dl"), F.col("__avg"))).otherwise(0.0)
-    found = found.where(any_term).crossJoin(F.broadcast(stats)).withColumn("score", score)  # one row of statistics
+    # One row of statistics. Rows without a term go by their score, not by a filter on the counts, which would be
+    # pushed below the projection and tokenise once for each term.
+    found = found.crossJoin(F.broadcast(stats)).withColumn("score", score)
     found = found.where("score > 0").select(*[c for c in docs.columns if c != text_col], "score")
     return ranked(found, id_col, limit)
 
@@ -66,7 +71,7 @@ class Index:
 
 
 def build(docs: DataFrame, id_col: str = "id", text_col: str = "document") -> Index:
-    tokens = docs.select(F.col(id_col).alias("id"), tokenize_code(F.col(text_col)).alias("t"))
+    tokens = spread(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("__t"))).select("id", tokenize_code(F.col("__t")).alias("t"))
     postings = tokens.select("id", F.explode("t").alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
     lengths = tokens.select("id", F.size("t").cast("long").alias("dl"))
     return Index(postings, lengths, frequencies(postings), totals(lengths))

@@ -20,6 +20,7 @@ from quern.operators.chunking import chunk_blocks
 from quern.operators.models import rerank
 from quern.operators.navigation import count_usages_of, find_usages
 from quern.operators.vector_search import hamming_top_k, vector_top_k
+from quern.plans.parallel import spread
 from quern.sources.workspace import ignore_rules, ignored, in_ignored_dir
 from quern.streaming.watch import debounced
 
@@ -50,7 +51,7 @@ _DOC_TOKENS = _TOKENS.format("coalesce(text, '')")
 
 @query(f"SELECT doc_id, len(t)::INTEGER AS n_tokens, len(list_distinct(t))::INTEGER AS n_distinct FROM (SELECT doc_id, {_DOC_TOKENS} AS t FROM documents)")
 def tokenize_counts(spark, sf_dir):
-    d = _table(spark, sf_dir, "documents").select("doc_id", tokenize_code(F.col("text")).alias("t"))
+    d = spread(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", tokenize_code(F.col("text")).alias("t"))
     return d.select("doc_id", F.size("t").alias("n_tokens"), F.size(F.array_distinct("t")).alias("n_distinct"))
 
 
@@ -70,13 +71,13 @@ def tokenize_identifiers(spark, sf_dir):
 
 @query(f"SELECT count(*) AS n, round(avg(len({_DOC_TOKENS})), 6) AS avg_len FROM documents")
 def bm25_stats(spark, sf_dir):
-    d = _table(spark, sf_dir, "documents").select(F.size(tokenize_code(F.col("text"))).alias("dl"))
+    d = spread(_table(spark, sf_dir, "documents").select("text")).select(F.size(tokenize_code(F.col("text"))).alias("dl"))
     return bm25.totals(d).select("n", F.round("avg_len", 6).alias("avg_len"))
 
 
 @query(f"SELECT term, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest({_DOC_TOKENS}) AS term FROM documents) GROUP BY term")
 def bm25_document_frequency(spark, sf_dir):
-    d = _table(spark, sf_dir, "documents").select("doc_id", F.array_distinct(tokenize_code(F.col("text"))).alias("t"))
+    d = spread(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.array_distinct(tokenize_code(F.col("text"))).alias("t"))
     # tokens are distinct within a document, so documents are counted without a second shuffle
     return d.select(F.explode("t").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
 
@@ -218,7 +219,7 @@ def hamming_topk(spark, sf_dir):
 b AS (SELECT doc_id, (('0x' || substr(md5(term), 1, 8))::BIGINT % 32)::INTEGER AS bucket, count(*)::DOUBLE AS n FROM t GROUP BY ALL)
 SELECT doc_id, bucket, round(n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)), 6) AS x FROM b""")
 def hashed_embedding(spark, sf_dir):
-    docs = _table(spark, sf_dir, "documents").select("doc_id", F.explode(tokenize_code(F.col("text"))).alias("term"))
+    docs = spread(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.explode(tokenize_code(F.col("text"))).alias("term"))
     bucket = (F.conv(F.substring(F.md5("term"), 1, 8), 16, 10).cast("long") % 32).cast("int")
     counts = docs.groupBy("doc_id", bucket.alias("bucket")).agg(F.count("*").cast("double").alias("n"))
     length = F.sqrt(F.sum(F.col("n") * F.col("n")).over(Window.partitionBy("doc_id")))
