@@ -10,6 +10,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.plans.parallel import spread
+
 #: ASCII white space that separates words: space and 0x09-0x0D.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = np.zeros(256, bool)
@@ -70,8 +72,10 @@ def small_batches(spark: SparkSession, mb: int = 8) -> None:
         spark.conf.set(name, str(mb << 20))
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """A table, or some of its columns, dealt out over the cores if it has fewer row groups than these."""
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows.select(*columns) if columns else rows)
 
 
 def crc_mod(col: str, n: int):

@@ -396,4 +396,4 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "htm
 
 
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract_text(table(spark, sf_dir, "pages"))
+    return extract_text(table(spark, sf_dir, "pages", "page_id", "html"))

@@ -100,7 +100,7 @@ def taken_texts(mixed: DataFrame, text: str = "text") -> DataFrame:
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    slim = store(table(spark, sf_dir, "documents").select("doc_id", "source", words(F.col("text")).alias("words")), "sizes")
+    slim = store(table(spark, sf_dir, "documents", "doc_id", "source", "text").select("doc_id", "source", words(F.col("text")).alias("words")), "sizes")
     out = mix(slim, size=F.col("words"))
     return out.select("doc_id", "size", "source_size", "target", "taken", "position", "second_position")
 

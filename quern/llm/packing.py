@@ -359,5 +359,5 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = pack_documents(table(spark, sf_dir, "documents"))
+    out = pack_documents(table(spark, sf_dir, "documents", "doc_id", "text"))
     return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

@@ -180,7 +180,7 @@ def _members(batches):
 
 
 def op3_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return top_k(table(spark, sf_dir, "embeddings"), lambda i: F.pmod(i, F.lit(100)) == 0)
+    return top_k(table(spark, sf_dir, "embeddings", "vec_id", "embedding"), lambda i: F.pmod(i, F.lit(100)) == 0)
 
 
 OP3_SQL = """

@@ -228,7 +228,7 @@ def read_media(stored: DataFrame) -> DataFrame:
 
 
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = read_media(store_media(table(spark, sf_dir, "documents")))
+    got = read_media(store_media(table(spark, sf_dir, "documents", "doc_id", "text")))
     points = F.filter("units", lambda u: u["random_access"])
     feature = F.format_string(
         "program=%d;pid=%d;kind=%d;units=%d;random_access=%d;first=%d;last=%d;errors=%d",
