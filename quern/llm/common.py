@@ -78,6 +78,18 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return spread(rows.select(*columns) if columns else rows)
 
 
+#: Stands for a null id on its way through pandas, which would turn the ids of the batch into floats.
+MISSING = -(2**63)
+
+
+def held_id(name: str):
+    return F.coalesce(F.col(name).cast("long"), F.lit(MISSING))
+
+
+def real_id(name: str):
+    return F.nullif(F.col(name), F.lit(MISSING))
+
+
 def crc_mod(col: str, n: int):
     """crc32 of the id's decimal text, modulo n; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")) % n

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import pieces, small_batches, table
+from quern.llm.common import held_id, pieces, real_id, small_batches, table
 
 _TOKEN = re.compile(
     r"""<!--(?:>|->|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)|<[!?/][^>]*+(?:>|\Z)""",
@@ -391,8 +391,8 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "htm
     goes; null ids and repeated rows stay; an empty table gives an empty table; other columns are not read.
     """
     small_batches(pages.sparkSession)
-    slim = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(html_col).alias("html"))
-    return slim.mapInPandas(_extract, "page_id long, text string, n_chars long")
+    slim = pages.select(held_id(id_col).alias("page_id"), F.col(html_col).alias("html"))
+    return slim.mapInPandas(_extract, "page_id long, text string, n_chars long").withColumn("page_id", real_id("page_id"))
 
 
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import drop, pieces, small_batches, store, table
+from quern.llm.common import held_id, pieces, real_id, small_batches, store, table
 
 LENGTH, VOCABULARY = 2048, "byte_bpe_50k"
 #: Settings that are planned in turn: the number of groups of about equal counts that large lengths form, and the
@@ -85,7 +85,7 @@ def _tokenise(length: int, name: str, with_ids: bool):
                     for k, (i, j) in enumerate(zip(at, at[1:], strict=False)):
                         out.append((doc, k, i, j - i, zlib.crc32(ids[i:j].tobytes()), *([ids[i:j].astype(np.int32)] if with_ids else [])))
                 cols = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])]
-                yield pd.DataFrame(out, columns=cols).astype({"doc_id": "Int64"})
+                yield pd.DataFrame(out, columns=cols)
 
     return run
 
@@ -353,9 +353,9 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     small_batches(docs.sparkSession, 4)
     kind = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    slim = docs.select(held_id(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     items = store(slim.mapInPandas(_tokenise(length, vocabulary, with_ids), kind), "pieces")
-    return pack(items, ["doc_id", "piece", "ids_crc32"], length).withColumnRenamed("doc_id", id_col)
+    return pack(items, ["doc_id", "piece", "ids_crc32"], length).withColumn("doc_id", real_id("doc_id")).withColumnRenamed("doc_id", id_col)
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

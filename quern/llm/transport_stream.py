@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import pieces, small_batches, table
+from quern.llm.common import held_id, pieces, real_id, small_batches, table
 
 PACKET, SYNC, PAT_PID, PMT_PID, DATA_PID, PRIVATE = 188, 0x47, 0, 0x1000, 0x100, 0x06
 #: Bytes of an access unit, 90 kHz ticks from one to the next, and how often one is a random-access point.
@@ -214,8 +214,8 @@ def store_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     an empty table; other columns are not read.
     """
     small_batches(docs.sparkSession)
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return slim.mapInPandas(_write, "doc_id long, n_bytes long, media binary")
+    slim = docs.select(held_id(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return slim.mapInPandas(_write, "doc_id long, n_bytes long, media binary").withColumn("doc_id", real_id("doc_id"))
 
 
 def read_media(stored: DataFrame) -> DataFrame:
@@ -224,7 +224,8 @@ def read_media(stored: DataFrame) -> DataFrame:
     A null stream counts as empty; one without program tables has no packets and an error.
     """
     kind = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, units array<struct<stamp: long, bytes: long, random_access: boolean>>, program int, pid int, kind int, errors long"
-    return stored.select("doc_id", "n_bytes", F.coalesce("media", F.lit(b"")).alias("media")).mapInPandas(_read, kind)
+    rows = stored.select(held_id("doc_id").alias("doc_id"), "n_bytes", F.coalesce("media", F.lit(b"")).alias("media"))
+    return rows.mapInPandas(_read, kind).withColumn("doc_id", real_id("doc_id"))
 
 
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
