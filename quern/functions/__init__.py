@@ -11,7 +11,7 @@ _SQL = {
             sqrt(aggregate(a, 0D, (s, x) -> s + x * x)) * sqrt(aggregate(b, 0D, (s, x) -> s + x * x))), 0D) END""",
     "rrf_score(rank INT, weight DOUBLE, k INT) RETURNS DOUBLE": "CASE WHEN rank IS NULL THEN 0D ELSE weight / (k + rank) END",
     "normalize_symbol(symbol STRING) RETURNS STRING": "replace(replace(trim(symbol), '::', '.'), '->', '.')",
-    "tokenize_code(text STRING) RETURNS ARRAY<STRING>": """
+    "tokenize_code(text STRING) RETURNS ARRAY<STRING>": r"""
         flatten(transform(filter(split(coalesce(text, ''), r'\W+'), x -> x <> ''), x -> transform(concat(array(x),
             CASE WHEN contains(x, '_') THEN filter(split(x, '_'), y -> y <> '') ELSE CAST(array() AS ARRAY<STRING>) END,
             CASE WHEN x RLIKE '[a-z0-9][A-Z]' THEN split(regexp_replace(x, '([a-z0-9])([A-Z])', '$1 $2'), ' ') ELSE CAST(array() AS ARRAY<STRING>) END),
