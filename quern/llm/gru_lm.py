@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import math
 
 import numpy as np
 
@@ -132,22 +133,29 @@ def outputs(p, before, ids, real, learn: bool):
             e *= real.reshape(-1, 1)
         grad = {"wc": x.T @ e, "bc": e.sum(0), "ww": np.zeros(SHAPES["ww"], np.float32), "bw": np.zeros(SHAPES["bw"], np.float32)}
         dx = e @ p["wc"].T
+    # the tokens of head classes, class by class
     order = np.argsort(c.astype(np.int16), kind="stable")
     cut = np.searchsorted(c[order], np.arange(HEAD_CLASSES + 1))
+    order = order[: cut[-1]]
+    xs, ys = x[order], y[order] % CLASS
+    inner, back = np.empty(len(order), logp.dtype), np.empty_like(xs)
     for k in range(HEAD_CLASSES):
-        i = order[cut[k] : cut[k + 1]]
-        if len(i):
-            xi = x[i]
+        i = slice(cut[k], cut[k + 1])
+        xi, at = xs[i], ys[i]
+        if len(at):
             logit = xi @ p["ww"][k].T
             logit += p["bw"][k]
             e, total = _exponentials(logit, tame)
-            at, own = y[i] - k * CLASS, np.arange(len(i))
-            logp[i] += logit[own, at] - np.log(total)
+            own = rows[: len(at)]
+            inner[i] = logit[own, at] - np.log(total)
             if learn:
                 e /= total[:, None]
                 e[own, at] -= 1
                 grad["ww"][k], grad["bw"][k] = e.T @ xi, e.sum(0)
-                dx[i] += e @ p["ww"][k]
+                back[i] = e @ p["ww"][k]
+    logp[order] += inner
+    if learn:
+        dx[order] += back
     return logp, grad, dx
 
 
@@ -155,20 +163,21 @@ def backward(p, ids, fresh, before, gates, dbefore):
     """Truncated backpropagation through a span, from the gradients of the states before each step."""
     steps, n = ids.shape
     k = HIDDEN
-    dg = np.empty((steps, n, 3 * k), np.float32)
-    du, dh = np.zeros_like(p["u"]), np.zeros((n, k), np.float32)
+    dg, drec = np.empty((steps, n, 3 * k), np.float32), np.empty((steps, n, 3 * k), np.float32)
+    z, r, new, rec = (gates[:, :, i * k : (i + 1) * k] for i in range(4))
+    # what the gradient of the state is multiplied by, for all steps at once
+    by_new = (1 - z) * (1 - new * new)
+    by_z, by_r = (before - new) * z * (1 - z), rec * r * (1 - r)
+    stays, dh, ut = ~fresh[:, :, None], np.zeros((n, k), np.float32), np.ascontiguousarray(p["u"].T)
     for t in range(steps - 1, -1, -1):
-        z, r, new, rec = gates[t, :, :k], gates[t, :, k : 2 * k], gates[t, :, 2 * k : 3 * k], gates[t, :, 3 * k :]
-        h = before[t]
-        dnew = dh * (1 - z) * (1 - new * new)
-        dz = dh * (h - new) * z * (1 - z)
-        dr = dnew * rec * r * (1 - r)
-        dg[t, :, :k], dg[t, :, k : 2 * k], dg[t, :, 2 * k :] = dz, dr, dnew
-        drec = np.concatenate([dz, dr, dnew * r], 1)
-        du += h.T @ drec
-        dh = dh * z + drec @ p["u"].T + dbefore[t]
+        now, out = dg[t], drec[t]
+        dnew = dh * by_new[t]
+        now[:, :k], now[:, k : 2 * k], now[:, 2 * k :] = dh * by_z[t], dnew * by_r[t], dnew
+        out[:, : 2 * k], out[:, 2 * k :] = now[:, : 2 * k], dnew * r[t]
+        dh = dh * z[t] + out @ ut + dbefore[t]
         if fresh[t].any():
-            dh *= ~fresh[t][:, None]
+            dh *= stays[t]
+    du = before.reshape(-1, k).T @ drec.reshape(-1, 3 * k)
     flat, x = dg.reshape(-1, 3 * k), ids.ravel()
     e = p["emb"][x]
     de = flat @ p["wi"].T
@@ -215,8 +224,14 @@ def train(flat: np.ndarray, ids: np.ndarray, first: np.ndarray, memory: dict, ra
         m *= 0.9
         m += 0.1 * grad
         v *= 0.99
-        v += 0.01 * grad * grad
-        flat -= (rate * np.sqrt(1 - 0.99**i) / (1 - 0.9**i)) * m / (np.sqrt(v) + 1e-8)
+        grad *= grad
+        grad *= 0.01
+        v += grad
+        np.sqrt(v, out=grad)
+        grad += 1e-8
+        np.divide(m, grad, out=grad)
+        grad *= rate * math.sqrt(1 - 0.99**i) / (1 - 0.9**i)
+        flat -= grad
     return int(ids.size)
 
 

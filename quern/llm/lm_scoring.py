@@ -19,8 +19,8 @@ from quern.llm.common import Words, crc_mod, held_id, pieces, real_id, small_bat
 #: Counts that every worker gets (16 bytes each, so 4 MB at most); rarer words are joined by their hash.
 KNOWN = 1 << 18
 #: Each round of training reads the training documents whose hash modulo 16 is below the second and not below
-#: the first figure: a fixed share of the corpus, which grows with it.
-ROUNDS = ((0, 1), (1, 3), (3, 6))
+#: the first figure; the rounds together read each training document once.
+ROUNDS = ((0, 2), (2, 6), (6, 16))
 SMOOTH = 0.1
 _SUFFIX = np.random.default_rng(11).integers(0, G.TAIL, 1 << 16).astype(np.uint64)
 _BITS = np.uint64(5)

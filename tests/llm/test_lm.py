@@ -136,3 +136,13 @@ def test_tail_class_in_the_key():
     w = Words(["running singing x"])
     k = L.keys(w)
     assert (k & np.uint64(31))[0] == (k & np.uint64(31))[1] and (k & np.uint64(31)).max() < G.TAIL
+
+
+def test_every_training_document_is_read(spark):
+    """A document of any hash class changes the weights, and none is read twice."""
+    assert sorted(c for low, high in L.ROUNDS for c in range(low, high)) == list(range(16))
+    docs = spark.range(64).select(F.col("id").alias("doc_id"), F.lit("one two one two three").alias("text")).withColumn("c", F.pmod(F.xxhash64("doc_id", "text"), F.lit(16)))
+    late = docs.where("c >= 6").limit(1).drop("c").localCheckpoint()
+    key = np.unique(L.keys(Words(["one two three"])))
+    v = L.Vocabulary(key, np.ones(len(key)), {int(k): (1, 1, 1) for k in key & np.uint64(31)}, 1)
+    assert np.abs(L.train(late, v) - G.initial(v.count, v.by_class)).max() > 1e-4
