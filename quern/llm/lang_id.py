@@ -8,6 +8,7 @@ bytes. Runs recur, so each distinct run of a batch goes through the network once
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -16,8 +17,8 @@ from pyspark.sql import types as T
 from quern.llm.common import SPACES, crc_mod, pieces, small_batches, table
 
 RUN, EMBED, HIDDEN, MOST_LANGUAGES, UNKNOWN = 24, 8, 10, 1000, "und"
-#: The network is fitted to a bounded sample of labelled documents: at most so many of each language, and so
-#: many characters of each; scoring reads every byte of every text.
+#: The network is fitted to a bounded sample of labelled documents: at most so many different texts of each
+#: language, and runs of so many bytes of each, drawn from all of the text; scoring reads every byte of every text.
 FIT_DOCUMENTS, FIT_BYTES, EPOCHS, BATCH = 150, 3000, 8, 1024
 
 
@@ -177,18 +178,38 @@ class Network:
                     self.p[k] -= step / (1 - 0.9**n) * m[k] / (np.sqrt(v[k] / (1 - 0.99**n)) + 1e-8)
 
 
+def _draw(most_bytes: int):
+    """The runs of each text, or some of up to most_bytes bytes, drawn from all of it by a seed of the text's hash."""
+
+    def run(batches):
+        for x in batches:
+            drawn = []
+            for h, text in zip(x["h"], x["text"], strict=True):
+                raw = text.encode("utf-8", "surrogatepass")
+                _, start, end, _ = runs([raw])
+                if len(raw) > most_bytes:
+                    order = np.random.default_rng(int(h) & (2**63 - 1)).permutation(len(start))
+                    take = np.sort(order[: max(1, np.searchsorted(np.cumsum((end - start)[order]), most_bytes, side="right"))])
+                    start, end = start[take], end[take]
+                drawn.append([raw[i:j] for i, j in zip(start, end, strict=True)])
+            yield pd.DataFrame({"lang": x["lang"], "h": x["h"], "runs": drawn})
+
+    return run
+
+
 def fit(labelled: DataFrame, documents: int = FIT_DOCUMENTS, most_bytes: int = FIT_BYTES) -> tuple[list[str], Network | None]:
-    """Fits a network to a bounded sample of (text, lang) rows: the first by a hash of the text, of each language."""
-    rows = labelled.where("lang is not null and text is not null and length(text) > 0")
-    rows = rows.select("lang", F.xxhash64("text").alias("h"), F.substring("text", 1, most_bytes).alias("text"))
-    rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("nth") <= documents)
-    got = rows.orderBy("lang", "nth").limit(documents * MOST_LANGUAGES).collect()
+    """Fits a network to a bounded sample of (text, lang) rows: of each language, the first different texts by their hash."""
+    rows = labelled.where("lang is not null and text is not null and length(text) > 0").select("lang", F.xxhash64("text").alias("h"), "text")
+    first = rows.groupBy("lang", "h").agg(F.count("*").alias("n")).withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("nth") <= documents)
+    first = first.orderBy("lang", "nth").limit(documents * MOST_LANGUAGES).select("lang", "h")
+    chosen = rows.join(F.broadcast(first), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text"))
+    got = sorted(chosen.mapInPandas(_draw(most_bytes), "lang string, h long, runs array<binary>").collect(), key=lambda r: (r["lang"], r["h"]))
     names = sorted({r["lang"] for r in got})
     if not names:
         return [], None
     xs, ys = [], []
     for r in got:
-        buf, start, end, _ = runs([r["text"].encode("utf-8", "surrogatepass")])
+        buf, start, end, _ = runs([bytes(b) for b in r["runs"]])
         xs.append(matrix(buf, start, end))
         ys.append(np.full(len(start), names.index(r["lang"])))
     x, y = np.concatenate(xs), np.concatenate(ys)

@@ -73,3 +73,13 @@ def test_odd_documents(odd, nothing):
     assert {r["lang_pred"] for r in got} <= {"en", "fr", "de", "und"} and set(odd.columns) <= set(got[0].asDict())
     assert {r["lang_pred"] for r in N.identify(odd, F.lit(True)).collect()} == {"und"}
     assert N.identify(nothing, F.lit(False)).count() == 0
+
+
+def test_sample_is_of_different_texts_and_of_all_of_each(spark, monkeypatch):
+    """Copies take one place of the sample, and the end of a long text may be learned."""
+    seen = []
+    monkeypatch.setattr(N.Network, "fit", lambda self, x, y, w, **k: seen.append(x))
+    texts = ["hot " * 3] * 400 + [f"rare{i} " for i in range(60)] + ["header " * 600 + "ending " * 600]
+    N.fit(spark.createDataFrame([(t, "en") for t in texts], "text string, lang string"), documents=70)
+    words = {bytes((r[r > 0] - 1).astype(np.uint8)).decode().strip() for r in seen[0]}
+    assert words == {"hot", "header", "ending", *(f"rare{i}" for i in range(60))}
