@@ -9,7 +9,7 @@ from quern.llm.common import crc_mod, store
 from quern.llm.lang_id import UNKNOWN, identify
 from quern.llm.line_dedup import dedup_lines
 from quern.llm.mixing import mix, taken_texts
-from quern.llm.near_dedup import near_duplicates
+from quern.llm.near_dedup import near_duplicates, row_key
 from quern.llm.packing import pack_documents
 
 #: Documents whose language is less likely than this are rejected.
@@ -32,10 +32,9 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, the one with the least id; rows of one id are one document."""
-    key = F.coalesce(F.col("doc_id"), F.lit(-(2**63))).alias("__key")
-    kept = near_duplicates(docs).where("kept").select(key).distinct()
-    return docs.withColumn("__key", key).join(kept.hint("merge"), "__key", "left_semi").dropDuplicates(["__key"]).select(*docs.columns)
+    """One document of each group of near copies stays, the one with the least id; rows equal in id and text are one document."""
+    kept = near_duplicates(docs, key_col="__key").where("kept").select("__key").distinct()
+    return docs.withColumn("__key", row_key()).join(kept.hint("merge"), "__key", "left_semi").dropDuplicates(["__key"]).select(*docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm.common import Words, drop, mix64, pieces, small_batches, store, table
@@ -75,7 +75,7 @@ def _describe(tokens: int):
             for a, b in pieces(texts, 4 << 20):
                 sets = shingle_sets(texts[a:b])
                 sig, f1, f2 = _signatures(sets, tokens)
-                yield pd.DataFrame({"id": x["id"].to_numpy()[a:b], "n_shingles": [len(s) for s in sets], "f1": f1, "f2": f2, "sig": [r.tobytes() for r in sig]})
+                yield pd.DataFrame({"real": x["real"].to_numpy()[a:b], "id": x["id"].to_numpy()[a:b], "n_shingles": [len(s) for s in sets], "f1": f1, "f2": f2, "sig": [r.tobytes() for r in sig]})
 
     return run
 
@@ -235,23 +235,29 @@ def _by_group(rows: DataFrame) -> DataFrame:
     return rows.repartition("node", "i", "j").sortWithinPartitions("node", "i", "j")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, tokens: int = TOKENS, leaf: int = LEAF, depth: int | None = None, recall: float = RECALL) -> DataFrame:
+def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
+    """A row's name: a hash of its id and its text, either of which may be null."""
+    return F.xxhash64(F.coalesce(F.col(id_col).cast("long"), F.lit(_ID)), F.col(text_col))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, tokens: int = TOKENS, leaf: int = LEAF, depth: int | None = None, recall: float = RECALL, key_col: str | None = None) -> DataFrame:
     """One row per document: id, n_shingles, component_id (the least id reachable by links), kept.
 
     Null and wordless texts have the empty set and link with nothing. Documents with equal sets link (their
-    similarity is 1) and travel as one; rows of one id count as one document, and null ids as one id below
-    all others. An empty table gives an empty table; columns other than the two named are not read.
+    similarity is 1) and travel as one; rows equal in id and text count as one document, rows of one id (or of
+    none) with different texts as several. A null id is below all others. key_col: a column to add with each
+    document's `row_key`. An empty table gives an empty table; columns other than the two named are not read.
     """
     small_batches(docs.sparkSession)
     threshold = percent / 100
     least = max(1, math.floor(tokens * (threshold - 4 * math.sqrt(threshold * (1 - threshold) / tokens))))
-    slim = docs.select(F.coalesce(F.col(id_col), F.lit(_ID)).cast("long").alias("id"), F.col(text_col).alias("text"))
-    all_docs = store(slim.mapInPandas(_describe(tokens), "id long, n_shingles long, f1 long, f2 long, sig binary"), "sets")
+    slim = docs.select(F.coalesce(F.col(id_col), F.lit(_ID)).cast("long").alias("real"), row_key(id_col, text_col).alias("id"), F.col(text_col).alias("text"))
+    all_docs = store(slim.mapInPandas(_describe(tokens), "real long, id long, n_shingles long, f1 long, f2 long, sig binary"), "sets")
     full = all_docs.where("n_shingles > 0")
     depth = depth or depth_for(all_docs.count(), leaf)
     trees = trees_for(recall, threshold, depth)
-    classes = full.groupBy("n_shingles", "f1", "f2").agg(F.min("id").alias("rep"))
-    classes = store(classes, "classes")
+    classes = full.groupBy("n_shingles", "f1", "f2").agg(F.min(F.struct("real", "id")).alias("head"))
+    classes = store(classes.withColumn("rep", F.col("head.id")), "classes")
     sigs = store(full.join(classes.select(F.col("rep").alias("id"), "n_shingles", "f1", "f2"), ["id", "n_shingles", "f1", "f2"], "left_semi").select("id", "n_shingles", "sig").dropDuplicates(["id", "n_shingles"]), "reps")
 
     made, leaves, rows = [], [], sigs.select("id", "sig")
@@ -286,13 +292,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = slim.join(F.broadcast(members) if few else members, "id").mapInPandas(_sets, "node long, blocks long, id long, set binary")
     edges = store(_by_group(_block_pairs(texts)).mapInPandas(_confirm(percent), "u long, v long"), "links")
     labels = components(edges)
-    labels = store(classes.join(labels, classes.rep == labels.node, "left").select("n_shingles", "f1", "f2", F.coalesce("label", "rep").alias("component")), "labels")
+    labels = store(classes.join(labels, classes.rep == labels.node, "left").drop("node", "rep"), "labelled")
+    # keys have no order of their own: a component is named by its least id
+    heads = labels.where("label is not null").groupBy("label").agg(F.min("head").alias("least"))
+    labels = store(labels.join(heads, "label", "left").select("n_shingles", "f1", "f2", F.coalesce("least", "head").alias("component")), "labels")
     drop(found, near, members, edges, sigs, classes)
 
     out = all_docs.join(labels, ["n_shingles", "f1", "f2"], "left")
-    component = F.coalesce("component", "id")
     real = lambda c: F.nullif(c, F.lit(_ID))
-    return out.select(real(F.col("id")).alias(id_col), "n_shingles", real(component).alias("component_id"), (F.col("id") == component).alias("kept"))
+    kept = F.coalesce(F.col("id") == F.col("component.id"), F.lit(True))
+    key = [F.col("id").alias(key_col)] if key_col else []
+    return out.select(real(F.col("real")).alias(id_col), "n_shingles", real(F.coalesce("component.real", "real")).alias("component_id"), kept.alias("kept"), *key)
 
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

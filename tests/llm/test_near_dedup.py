@@ -107,3 +107,16 @@ def test_odd_documents(odd, nothing):
     assert by[5]["component_id"] == 4 and not by[5]["kept"] and by[3]["n_shingles"] == 0 and by[2]["kept"] and by[6]["kept"]
     assert by[9]["n_shingles"] == 1 and by[12]["component_id"] == 11 and by[None]["kept"] and by[None]["component_id"] is None
     assert by[10]["component_id"] == 10 and D.near_duplicates(nothing).count() == 0
+
+
+def test_rows_without_an_id_stay_apart(spark):
+    """Two rows without an id, each near another document, do not link these; nor do two texts of one id."""
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(None, a + " x"), (None, b + " y"), (5, a), (9, b), (7, "one text of seven"), (7, "quite another text of it"), (8, a + " z"), (None, "alone"), (None, "alone")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted((r["doc_id"] or 0, r["component_id"], r["kept"]) for r in D.near_duplicates(docs).collect())
+    assert got == [(0, None, True)] * 4 + [(5, None, False), (7, 7, True), (7, 7, True), (8, None, False), (9, None, False)]
+    import corpus_pipeline as P
+
+    left = sorted(r["text"] for r in P.near_copies(spark, docs, "").collect())
+    assert left == sorted([a + " x", b + " y", "one text of seven", "quite another text of it", "alone"])
