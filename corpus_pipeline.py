@@ -14,6 +14,8 @@ from quern.llm.packing import pack_documents
 
 #: Documents whose language is less likely than this are rejected.
 SURE = 0.4
+#: Words from which one or two repeated lines are a passage as three are.
+PASSAGE = 50
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -24,8 +26,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes later occurrences of repeated three-line windows; a document of which nothing is left goes."""
-    out = dedup_lines(docs)
+    """Removes later occurrences of repeated three-line windows and of one or two lines of PASSAGE words; a document of which nothing is left goes."""
+    out = dedup_lines(docs, passage=PASSAGE)
     cut = F.col("n_removed") > 0
     out = out.where(~cut | (F.length("text") > 0)).withColumn("n_chars", F.when(cut, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)

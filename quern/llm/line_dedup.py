@@ -9,9 +9,10 @@ from quern.llm.common import drop, store, table
 
 LINES = 3
 _LAST = 2**63 - 1
+KIND = "array<struct<j:int,w:bigint,size:int," + "".join(f"at{d}:int," for d in range(LINES)) + "words:int>>"
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", passage: int | None = None) -> DataFrame:
     """Removes later occurrences of repeated three-line windows; adds n_lines and n_removed.
 
     Lines end at line feeds; lines of white space only belong to no window, so that a window is three
@@ -19,18 +20,31 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     from the first to the last, blank ones between them included; lines covered by a later occurrence go,
     but not those of a first occurrence that it overlaps with in the same text. What remains is joined by
     line feeds. Texts with fewer than three such lines have no window and stay as they are; null texts stay
-    null with n_lines 0; null ids come last; rows equal in id and text count as one and fare alike; an empty
+    null with n_lines 0. passage: windows of one or two such lines count too, in texts of any number of lines, if
+    they have so many words (the contract's SQL has three lines only, so the query leaves it out). Null ids come last; rows equal in id and text count as one and fare alike; an empty
     table gives an empty table. Columns named n_lines or n_removed are replaced, all others carried along.
     """
     keyed = docs.drop("n_lines", "n_removed").withColumns({"__k": F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)), "__x": F.xxhash64(F.col(id_col), F.col(text_col))})
-    lines = keyed.select("__k", "__x", F.split(F.col(text_col), "\n", -1).alias("l")).where(F.size("l") >= LINES)
-    full = F.filter(F.transform("l", lambda x, i: F.struct(i.alias("at"), F.xxhash64(x).alias("h"), (F.length(F.trim(F.regexp_replace(x, r"[\t\r\x0B\f]", " "))) > 0).alias("full"))), lambda x: x["full"])
-    lines = lines.select("__k", "__x", full.alias("f")).where(F.size("f") >= LINES)
-    spots = F.transform(F.sequence(F.lit(1), F.size("f") - LINES + 1), lambda j: F.struct(
-        j.alias("j"), F.xxhash64(*[F.element_at("f", j + d)["h"] for d in range(LINES)]).alias("w"),
-        *[F.element_at("f", j + d)["at"].alias(f"at{d}") for d in range(LINES)],
-    ))
-    windows = store(lines.select("__k", "__x", F.explode(spots).alias("s")).select("__k", "__x", "s.*"), "windows")
+    lines = keyed.select("__k", "__x", F.split(F.col(text_col), "\n", -1).alias("l")).where(F.size("l") >= (1 if passage else LINES))
+    flat = lambda x: F.trim(F.regexp_replace(x, r"[\t\r\x0B\f]", " "))
+    words = (lambda x: F.size(F.split(flat(x), " +"))) if passage else (lambda x: F.lit(0))
+    full = F.filter(F.transform("l", lambda x, i: F.struct(i.alias("at"), F.xxhash64(x).alias("h"), (F.length(flat(x)) > 0).alias("full"), words(x).alias("words"))), lambda x: x["full"])
+    lines = lines.select("__k", "__x", full.alias("f")).where(F.size("f") >= (1 if passage else LINES))
+
+    def spots(size: int):
+        """The windows of so many lines: the first line's number, a hash and the place of each line (the last one's beyond it)."""
+        line = lambda j, d: F.element_at("f", j + d)
+        kind = [] if size == LINES else [F.lit(size)]
+        made = F.transform(F.sequence(F.lit(1), F.size("f") - size + 1), lambda j: F.struct(
+            j.alias("j"), F.xxhash64(*[line(j, d)["h"] for d in range(size)], *kind).alias("w"), F.lit(size).alias("size"),
+            *[line(j, min(d, size - 1))["at"].alias(f"at{d}") for d in range(LINES)],
+            sum((line(j, d)["words"] for d in range(size)), F.lit(0)).alias("words"),
+        ))
+        made = made if size == LINES else F.filter(made, lambda s: s["words"] >= passage)
+        return F.when(F.size("f") >= size, made).otherwise(F.array().cast(KIND))
+
+    every = F.concat(*map(spots, range(1, LINES + 1))) if passage else spots(LINES)
+    windows = store(lines.select("__k", "__x", F.explode(every).alias("s")).select("__k", "__x", "s.*").drop("words"), "windows")
     first = F.min(F.struct("__k", "__x", "j")).alias("first")
     repeated = store(windows.groupBy("w").agg(first, F.count("*").alias("n")).where("n > 1").select("w", "first"), "repeated")
     later = windows.join(repeated, "w").where(F.struct("__k", "__x", "j") != F.col("first"))
@@ -38,7 +52,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     since = F.col("j") - F.col("first.j")
     begin = F.col("at0")
     for d in range(LINES - 1, 0, -1):
-        begin = F.when(own & (since == LINES - d), F.col(f"at{d}")).otherwise(begin)
+        begin = F.when(own & (since == F.col("size") - d), F.col(f"at{d}")).otherwise(begin)
     cover = later.select("__k", "__x", begin.alias("a"), F.col(f"at{LINES - 1}").alias("b")).groupBy("__k", "__x", "a").agg(F.max("b").alias("b"))
     here = Window.partitionBy("__k", "__x").orderBy("a")
     reach = F.max("b").over(here.rowsBetween(Window.unboundedPreceding, -1))

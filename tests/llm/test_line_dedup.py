@@ -40,3 +40,17 @@ def test_odd_documents(spark, odd, nothing):
     assert by[11]["text"] == "a\nb\nc\nd" and by[12]["text"] == "" and by[12]["n_removed"] == 4
     assert by[13]["text"] == "x\nx\nx" and by[3]["text"] is None and by[3]["n_lines"] == 0 and by[2]["n_lines"] == 1
     assert dedup_lines(nothing).count() == 0
+
+
+def test_passages_of_one_and_two_lines(spark):
+    """With `passage`, a repeat of one or two long lines goes, in short texts too; short lines and the query's rule stay."""
+    from quern.llm.line_dedup import dedup_lines
+
+    long, a, b = (" ".join(f"{c}{i}" for i in range(n)) for c, n in (("w", 50), ("a", 30), ("b", 25)))
+    rows = [(1, f"x\n{long}\ny"), (2, f"p\n{long}\nq"), (3, long), (4, f"{a}\n{b}"), (5, f"k\n{a}\n \n{b}\nl"), (6, f"{a}\nother"), (7, f"{long}\n{long}\nnew"), (8, "x\ny")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["text"], r["n_removed"]) for r in dedup_lines(docs, passage=50).collect()}
+    want = dict(rows) | {2: "p\nq", 3: "", 5: "k\nl", 7: "new"}
+    assert {i: t for i, (t, _) in got.items()} == want
+    assert {i: n for i, (_, n) in got.items() if n} == {2: 1, 3: 1, 5: 3, 7: 2}
+    assert {r["doc_id"]: r["text"] for r in dedup_lines(docs).collect()} == dict(rows)
