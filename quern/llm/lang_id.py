@@ -67,6 +67,36 @@ def _row_hash(x: np.ndarray) -> np.ndarray:
 _ROW_BYTE = np.random.default_rng(22).integers(1, 2**63, 257, dtype=np.uint64)
 
 
+_LETTER = np.zeros(257, bool)
+_LETTER[[*range(98, 124), *range(129, 257)]] = True
+_BLANK = np.concatenate([[True], SPACES])
+
+
+def grams(x: np.ndarray) -> np.ndarray:
+    """Each byte of each run with the two before it (0 before a run), as a number below 257**3."""
+    a = np.pad(x.astype(np.int32), ((0, 0), (2, 0)))
+    return (a[:, :-2] * 257 + a[:, 1:-1]) * 257 + a[:, 2:]
+
+
+class Spelling:
+    """Which letters, after the two bytes before them, the learned texts of any language hold.
+
+    `usual` is the median over the learned texts of the share of their bytes that another of them explains, so
+    that a small sample, which explains little of any text, rejects little.
+    """
+
+    def __init__(self, texts: list[np.ndarray]):
+        each = [np.unique(grams(x)[_LETTER[x]]) for x in texts]
+        self.known, times = np.unique(np.concatenate(each), return_counts=True)
+        often = self.known[times > 1]
+        self.usual = float(np.median([np.isin(grams(x)[_LETTER[x]], often).sum() / max(1, int((~_BLANK[x]).sum())) for x in texts]))
+
+    def table(self) -> np.ndarray:
+        out = np.zeros(257**3, bool)
+        out[self.known] = True
+        return out
+
+
 def sigmoid(x):
     return 0.5 * np.tanh(0.5 * x) + 0.5
 
@@ -216,13 +246,15 @@ def fit(labelled: DataFrame, documents: int = FIT_DOCUMENTS, most_bytes: int = F
     # runs recur: each goes through the network once for each label, with its number as its weight
     _, where, times = np.unique(_row_hash(x) ^ (y.astype(np.uint64) << np.uint64(48)), return_index=True, return_counts=True)
     net = Network(len(names))
+    net.spelling = Spelling(xs)
     net.fit(x[where], y[where], times.astype(np.float32))
     return names, net
 
 
-def _predict(shared):
+def _predict(shared, explained: str | None):
     def run(batches):
         names, net = shared.value
+        spelt = net.spelling.table() if explained and net is not None else None
         for batch in batches:
             texts = batch.column("__text").to_pylist()
             rest = batch.select([c for c in batch.schema.names if c != "__text"])
@@ -230,13 +262,19 @@ def _predict(shared):
                 letters = np.array([t is not None and (any(c in t for c in "aeinrst") or any(map(str.isalpha, t))) for t in texts[a:b]])
                 raw = [b"" if t is None else t.encode("utf-8", "surrogatepass") for t in texts[a:b]]
                 buf, start, end, first = runs(raw)
-                pooled = np.zeros((b - a, max(1, len(names))))
+                pooled, share = np.zeros((b - a, max(1, len(names)))), np.zeros(b - a)
                 if net is not None and len(start):
                     m = matrix(buf, start, end)
                     _, where, which = np.unique(_row_hash(m), return_index=True, return_inverse=True)
                     each = net.evidence(m[where])[which]
                     whole = np.concatenate([np.zeros((1, each.shape[1])), np.cumsum(each, 0, dtype=np.float64)])
                     pooled = whole[first[1:]] - whole[first[:-1]]
+                    if spelt is not None:
+                        u = m[where]
+                        counts = np.stack([(spelt[grams(u)] & _LETTER[u]).sum(1), (~_BLANK[u]).sum(1)], 1)[which]
+                        known, full = np.diff(np.concatenate([np.zeros((1, 2), np.int64), np.cumsum(counts, 0)])[first], axis=0).T
+                        usual = net.spelling.usual
+                        share = np.minimum(1, known / np.maximum(1, full) / usual) if usual else np.ones(b - a)
                 size = np.maximum(1, np.array([len(r) for r in raw]))
                 # the bytes of a document are not independent: the pooled logarithms count as sqrt(n) votes
                 z = pooled / np.sqrt(size)[:, None]
@@ -246,12 +284,13 @@ def _predict(shared):
                 ok = letters & (net is not None)
                 named = pa.array([names[i] if g else UNKNOWN for i, g in zip(best, ok, strict=True)], pa.string())
                 score = pa.array(np.where(ok, z[np.arange(b - a), best], 0.0), pa.float64())
-                yield pa.RecordBatch.from_arrays([*rest.slice(a, b - a).columns, named, score], [*rest.schema.names, "lang_pred", "score"])
+                more = [(explained, pa.array(np.where(ok, share, 0.0), pa.float64()))] if explained else []
+                yield pa.RecordBatch.from_arrays([*rest.slice(a, b - a).columns, named, score, *(v for _, v in more)], [*rest.schema.names, "lang_pred", "score", *(k for k, _ in more)])
 
     return run
 
 
-def identify(docs: DataFrame, held_out: Column, text_col: str = "text", lang_col: str = "lang", carry: list[str] | None = None) -> DataFrame:
+def identify(docs: DataFrame, held_out: Column, text_col: str = "text", lang_col: str = "lang", carry: list[str] | None = None, explained: str | None = None) -> DataFrame:
     """Adds held_out, lang_pred and score to the columns `carry` of the documents (all, unless given).
 
     The network is fitted to rows for which held_out is false and whose language is not null; predictions come
@@ -265,7 +304,9 @@ def identify(docs: DataFrame, held_out: Column, text_col: str = "text", lang_col
     kept = [c for c in (docs.columns if carry is None else carry) if c not in ("held_out", "lang_pred", "score")]
     slim = docs.select(*kept, held_out.alias("held_out"), F.col(text_col).alias("__text"))
     kind = T.StructType([f for f in slim.schema.fields if f.name != "__text"]).add("lang_pred", "string").add("score", "double")
-    return slim.mapInArrow(_predict(shared), kind)
+    if explained:
+        kind = kind.add(explained, "double")
+    return slim.mapInArrow(_predict(shared, explained), kind)
 
 
 def op7_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -52,3 +52,16 @@ def test_run(spark):
     import __spark_entry__ as entry
 
     assert sorted(n for n in entry.queries() if n.startswith("op") and n[2:3].isdigit()) == sorted(f"op{i}_{x}" for i, x in enumerate(("lm_scoring", "line_dedup", "topk_search", "quality", "media", "mixing", "lang_id", "packing", "html_text", "near_dedup"), 1))
+
+
+def test_text_of_no_learned_language_goes(spark):
+    """Codes with a few letters and text of another language are rejected; a clean document of two languages stays."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    by = {r["lang"]: r["text"] for r in docs.where("length(text) > 1000").collect()}
+    odd = [
+        (10**9, '4734663219866878$$$ token = "40d78a45c418324758e099eb7cb89bc0f5fa9f62"### La%%% échmentré.### 126.57.31.34%%%'), (10**9 + 1, "Все люди рождаются свободными и равными в своем достоинстве."),
+        (10**9 + 2, by["en"][:500] + "\n" + by["de"][:500]),
+    ]
+    more = spark.createDataFrame([(i, t, None, "s", len(t)) for i, t in odd], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r["doc_id"] for r in P.language(spark, docs.select(*more.columns).unionByName(more), "").collect()}
+    assert kept == {r["doc_id"] for r in docs.collect()} | {10**9 + 2}
