@@ -8,19 +8,24 @@ share of the class's count. Each tail class keeps a Good-Turing share for words
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm import gru_lm as G
-from quern.llm.common import Words, crc_mod, held_id, pieces, real_id, small_batches, store, table
+from quern.llm.common import Words, crc_mod, drop, held_id, pieces, real_id, small_batches, store, table
 
 #: Counts that every worker gets (16 bytes each, so 4 MB at most); rarer words are joined by their hash.
 KNOWN = 1 << 18
 #: Each round of training reads the training documents whose hash modulo 16 is below the second and not below
 #: the first figure; the rounds together read each training document once.
 ROUNDS = ((0, 2), (2, 6), (6, 16))
+#: Tokens of a shard (one training run), tokens that training reads from one zero state on, tasks of a round at
+#: most, weights of one row, and the unit in which weights are added.
+SHARD, SECTION, TASKS, PART, GRAIN = 1 << 18, 2048, 10_000, 4096, 2.0**-48
 SMOOTH = 0.1
 _SUFFIX = np.random.default_rng(11).integers(0, G.TAIL, 1 << 16).astype(np.uint64)
 _BITS = np.uint64(5)
@@ -97,7 +102,7 @@ class Vocabulary:
         return list(map(float, np.log10(self.mass) - np.log10(np.maximum(1 - self.unseen, 1e-12)))), list(map(float, np.log10(self.unseen)))
 
 
-def _ids(find: Lookup, w: Words, key: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _ids(w: Words, key: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Model inputs of the texts with their ends, and where each text begins; place: each word's rank, or -1."""
     first = np.concatenate([[0], np.cumsum(w.count + 1)])
     out = np.full(first[-1], G.END, np.int32)
@@ -112,99 +117,148 @@ def _rank(find: Lookup, key: np.ndarray) -> np.ndarray:
     return np.where(at >= 0, find.value[at] if len(find.value) else -1, -1)
 
 
-def _train(shared):
+def _learn(shared, shards: int):
+    """Trains on each shard (rows of one shard come together, in order) and yields the sum over a task's shards.
+
+    A shard's weights count as its part of all tokens and are added as whole multiples of GRAIN, so that the sum
+    is the same in whatever order and grouping shards meet.
+    """
+
     def run(batches):
-        flat, head = shared.value
-        find, flat, memory, read = Lookup(head, np.arange(len(head))), flat.copy(), {}, 0
+        start, total = shared.value
+        mean, read = np.zeros(G.SIZE, np.int64), 0
+
+        def end(held: list[bytes]) -> None:
+            nonlocal mean, read
+            flat = start.copy()
+            ids, first = sections([np.frombuffer(x, "<i2") for x in held])
+            n = G.train(flat, ids, first, {})
+            mean += np.rint(flat.astype(np.float64) * (n / total) / GRAIN).astype(np.int64)
+            read += n
+
+        now, held = None, []
         for x in batches:
-            texts = x["text"].tolist()
-            for a, b in pieces(texts, 4 << 20):
-                parts = [Words(texts[a + i : a + j]) for i, j in pieces(texts[a:b])]
-                ids, firsts, at = [], [np.zeros(1, np.int64)], 0
-                for w in parts:
-                    key = keys(w)
-                    i, f = _ids(find, w, key, _rank(find, key))
-                    ids.append(i)
-                    firsts.append(f[1:] + at)
-                    at += len(i)
-                if at:
-                    read += G.train(flat, np.concatenate(ids), np.concatenate(firsts), memory)
+            for shard, ids in zip(x["shard"].tolist(), x["ids"], strict=True):
+                if held and shard != now:
+                    end(held)
+                    held = []
+                now = shard
+                held.append(ids)
+        if held:
+            end(held)
         if read:
-            step = 4096
-            cut = [flat[i : i + step] * float(read) for i in range(0, G.SIZE, step)]
-            yield pd.DataFrame({"part": range(len(cut)), "weights": [c.astype(np.float64) for c in cut], "read": float(read)})
+            yield _parts(mean, read, int(now) % max(1, math.isqrt(shards)))
 
     return run
 
 
+def _parts(mean: np.ndarray, read: int, salt: int) -> pd.DataFrame:
+    cut = [mean[i : i + PART] for i in range(0, G.SIZE, PART)]
+    return pd.DataFrame({"part": np.arange(len(cut)), "salt": salt, "weights": cut, "read": read})
+
+
+def sections(texts: list[np.ndarray], most: int = SECTION) -> tuple[np.ndarray, np.ndarray]:
+    """All ids, and where each section begins: texts, or runs of `most` ids of longer ones."""
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    begins = np.cumsum(sizes) - sizes
+    n = np.maximum(1, -(-sizes // most))
+    nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    first = np.append(np.repeat(begins, n) + nth * most, sizes.sum())
+    return np.concatenate(texts).astype(np.int32), first
+
+
 def _add(batches):
-    """Sums rows of one part each, in the order in which they come."""
+    """Sums rows of one part each; whole numbers, so in any order."""
     sums: dict[int, list] = {}
     for x in batches:
         for part, weights, read in zip(x["part"], x["weights"], x["read"], strict=True):
-            have = sums.setdefault(part, [0.0, 0.0])
+            have = sums.setdefault(part, [0, 0])
             have[0], have[1] = have[0] + weights, have[1] + read
     for part, (weights, read) in sums.items():
-        yield pd.DataFrame({"part": [part], "weights": [weights], "read": [read]})
+        yield pd.DataFrame({"part": [part], "salt": [0], "weights": [weights], "read": [read]})
+
 
+def train(encoded: DataFrame, vocabulary: Vocabulary, rounds=ROUNDS, shard_tokens: int | None = None) -> np.ndarray:
+    """Trains on (doc_id, ids) rows: in each round, every shard passes over its documents from the same weights, and
+    the mean, weighted by tokens, starts the next.
 
-def train(docs: DataFrame, vocabulary: Vocabulary, rounds=ROUNDS) -> np.ndarray:
-    """Trains on the executors: in each round every task passes over its share from the same weights; the mean,
-    weighted by the tokens read, starts the next. Tasks' weights are summed on the executors; the driver gets one."""
-    sc = docs.sparkSession.sparkContext
+    Shards are made by hash, as many as the training tokens ask for, and read in the order of a hash; means are
+    exact sums. So the weights depend on the rows alone, not on partitions, cores or the order of rows. Rows equal
+    in id and ids are numbered and dealt like others. The executors sum; the driver gets one set of weights.
+    """
     flat = G.initial(vocabulary.count[: G.HEAD], vocabulary.by_class)
-    share = F.pmod(F.xxhash64("doc_id", "text"), F.lit(16))
-    kind = "part int, weights array<double>, read double"
+    sc = encoded.sparkSession.sparkContext
+    copies = encoded.groupBy("doc_id", "ids").agg((F.count("*") - 1).alias("n")).withColumn("k", F.explode(F.expr("sequence(0L, n div 10000)")))
+    copies = copies.withColumn("copy", F.explode(F.expr("sequence(k * 10000, least(n, k * 10000 + 9999))")))
+    dealt = store(copies.select("ids", F.xxhash64("doc_id", "ids", "copy").alias("h")), "dealt")
+    share = F.pmod(F.col("h"), F.lit(16))
+    kind = "part int, salt int, weights array<long>, read long"
+    tokens = dict(dealt.groupBy(share.alias("c")).agg(F.sum(F.length("ids") / 2).cast("long").alias("n")).collect())
     for low, high in rounds:
-        shared = sc.broadcast((flat, vocabulary.key[: G.HEAD]))
-        made = docs.where((share >= low) & (share < high)).select("text").mapInPandas(_train(shared), kind)
-        total = made.repartition("part").mapInPandas(_add, kind).collect()
-        if total:
-            flat = np.concatenate([np.array(r["weights"]) / r["read"] for r in sorted(total, key=lambda r: r["part"])]).astype(np.float32)
+        total = sum(n for c, n in tokens.items() if low <= c < high)
+        if not total:
+            continue
+        shards = max(1, round(total / (shard_tokens or SHARD)))
+        shared = sc.broadcast((flat, total))
+        rows = dealt.where((share >= low) & (share < high)).withColumn("shard", F.pmod(F.shiftright("h", 4), F.lit(shards)))
+        tasks = min(shards, TASKS)
+        rows = rows.repartitionById(tasks, F.pmod("shard", F.lit(tasks)).cast("int")).sortWithinPartitions("shard", "h").select("shard", "ids")
+        made = rows.mapInPandas(_learn(shared, shards), kind)
+        parts = made.repartition("part", "salt").mapInPandas(_add, kind).repartition("part").mapInPandas(_add, kind).collect()
+        flat = np.concatenate([np.array(r["weights"], np.int64) * GRAIN for r in sorted(parts, key=lambda r: r["part"])]).astype(np.float32)
         shared.unpersist()
+    drop(dealt)
     return flat
 
 
-def _score(shared):
+def _encode(shared):
+    """Texts -> what training and scoring read of them: model inputs, sums over known words, the rare words and their numbers."""
+
     def run(batches):
-        v, flat = shared.value
+        v = shared.value
         find = Lookup(v.key, np.arange(len(v.key)))
         logs = np.log10(np.maximum(v.count, 1) + SMOOTH)
         inside = (v.key & np.uint64(31)).astype(np.int64)
         share = np.array(v.tail_logs()[0])
         of_tail = np.where(np.arange(len(v.key)) < G.HEAD, 0.0, logs - share[inside])
         logs, of_tail = np.append(logs, 0.0), np.append(of_tail, 0.0)
+        end = np.log10(v.docs + SMOOTH)
         for x in batches:
             texts = x["text"].tolist()
-            for a, b in pieces(texts, 4 << 20):
-                ids, firsts, at, rare_key, rare_n, rows = [], [np.zeros(1, np.int64)], 0, [], [], []
-                for i, j in pieces(texts[a:b]):
-                    w = Words(texts[a + i : a + j])
-                    key = keys(w)
-                    place = _rank(find, key)
-                    k, f = _ids(find, w, key, place)
-                    ids.append(k)
-                    firsts.append(f[1:] + at)
-                    at += len(k)
-                    doc = np.repeat(np.arange(j - i), w.count)
-                    rows.append(np.stack([w.count + 1, np.bincount(doc, place >= 0, j - i), np.bincount(doc, logs[place], j - i), np.bincount(doc, of_tail[place], j - i)]))
-                    rare = np.flatnonzero(place < 0)
-                    cut = np.searchsorted(rare, w.first)
-                    for d in range(j - i):
-                        u, n = np.unique(key[rare[cut[d] : cut[d + 1]]], return_counts=True) if cut[d + 1] > cut[d] else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-                        rare_key.append(u.view(np.int64))
-                        rare_n.append(n)
-                n, known, base, tail = np.concatenate(rows, 1)
-                end = np.log10(v.docs + SMOOTH)
-                model = G.score(flat, np.concatenate(ids), np.concatenate(firsts))
+            for i, j in pieces(texts):
+                w = Words(texts[i:j])
+                key = keys(w)
+                place = _rank(find, key)
+                ids, first = _ids(w, key, place)
+                doc = np.repeat(np.arange(j - i), w.count)
+                rare = np.flatnonzero(place < 0)
+                cut = np.searchsorted(rare, w.first)
+                unique = [np.unique(key[rare[a:b]], return_counts=True) for a, b in zip(cut, cut[1:], strict=False)]
+                ids = ids.astype("<i2").tobytes()
                 yield pd.DataFrame({
-                    "doc_id": x["doc_id"].iloc[a:b].to_numpy(), "held_out": x["held_out"].iloc[a:b].to_numpy(), "n_tokens": n.astype(np.int64), "n_known": (known + (v.docs > 0)).astype(np.int64),
-                    "base": base + end, "model": model + tail, "rare": rare_key, "times": rare_n,
+                    "doc_id": x["doc_id"].iloc[i:j].to_numpy(), "held_out": x["held_out"].iloc[i:j].to_numpy(), "n_tokens": (w.count + 1).astype(np.int64),
+                    "n_known": np.bincount(doc, place >= 0, j - i).astype(np.int64) + int(v.docs > 0), "base": np.bincount(doc, logs[place], j - i) + end, "tail": np.bincount(doc, of_tail[place], j - i),
+                    "ids": [ids[2 * a : 2 * b] for a, b in zip(first, first[1:], strict=False)], "rare": [u.view(np.int64) for u, _ in unique], "times": [n for _, n in unique],
                 })
 
     return run
 
 
+def _score(shared):
+    def run(batches):
+        flat = shared.value
+        for x in batches:
+            held = x["ids"].tolist()
+            model = [np.zeros(0)]
+            for a, b in pieces(held, 1 << 20):
+                texts = [np.frombuffer(i, "<i2") for i in held[a:b]]
+                model.append(G.score(flat, np.concatenate(texts).astype(np.int32), np.concatenate([[0], np.cumsum([len(t) for t in texts])])))
+            x["model"] = np.concatenate(model)
+            yield x.drop(columns="ids")
+
+    return run
+
+
 def most_frequent(counts: DataFrame, most: int) -> pd.DataFrame:
     """Words at or above the least count that at most `most` words reach, the most frequent first.
 
@@ -239,11 +293,13 @@ def score_documents(docs: DataFrame, held_out, id_col: str = "doc_id", text_col:
     inside = F.col("key").bitwiseAND(F.lit(31))
     totals = {r["k"]: (r["n"], r["v"], r["one"]) for r in counts.groupBy(inside.alias("k")).agg(F.sum("n").alias("n"), F.count("*").alias("v"), F.count_if(F.col("n") == 1).alias("one")).collect()}
     v = Vocabulary(top["key"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.float64), totals, seen.count())
-    flat = train(seen, v)
-    shared = spark.sparkContext.broadcast((v, flat))
-    scored = docs.mapInPandas(_score(shared), "doc_id long, held_out boolean, n_tokens long, n_known long, base double, model double, rare array<long>, times array<long>")
-    scored = store(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
-    rare = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("row", F.col("r.rare").alias("key"), F.col("r.times").alias("times"))
+    known = spark.sparkContext.broadcast(v)
+    encoded = docs.mapInPandas(_encode(known), "doc_id long, held_out boolean, n_tokens long, n_known long, base double, tail double, ids binary, rare array<long>, times array<long>")
+    encoded = store(encoded.withColumn("row", F.monotonically_increasing_id()), "encoded")
+    weights = spark.sparkContext.broadcast(train(encoded.where("not held_out").select("doc_id", "ids"), v))
+    slim = encoded.select("row", "doc_id", "held_out", "n_tokens", "n_known", "base", "tail", "ids")
+    scored = slim.mapInPandas(_score(weights), "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, tail double, model double")
+    rare = encoded.select("row", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("row", F.col("r.rare").alias("key"), F.col("r.times").alias("times"))
     share, unseen = (F.array(*map(F.lit, x)) for x in v.tail_logs())
     k = inside.cast("int")
     rare = rare.join(counts.where(F.col("n").isNotNull()), "key", "left").select(
@@ -253,11 +309,11 @@ def score_documents(docs: DataFrame, held_out, id_col: str = "doc_id", text_col:
         F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0).alias("known"),
     )
     rare = rare.groupBy("row").agg(F.sum("base").alias("rare_base"), F.sum("model").alias("rare_model"), F.sum("known").alias("rare_known"))
-    out = scored.drop("rare", "times").join(rare, "row", "left")
+    out = scored.join(rare, "row", "left")
     zero = lambda c: F.coalesce(c, F.lit(0))
     return out.select(
         real_id("doc_id").alias(id_col), "held_out", "n_tokens", (F.col("n_known") + zero("rare_known")).alias("n_known"), F.lit(v.tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + zero("rare_base") - F.col("n_tokens") * float(np.log10(v.norm))).alias("base_score"), (F.col("model") + zero("rare_model")).alias("score"),
+        (F.col("base") + zero("rare_base") - F.col("n_tokens") * float(np.log10(v.norm))).alias("base_score"), (F.col("model") + F.col("tail") + zero("rare_model")).alias("score"),
     )
 
 
