@@ -1,8 +1,8 @@
 """Language identification by a bidirectional gated recurrent network over bytes, in numpy.
 
-The network reads runs of bytes (a word with the white space after it, cut at RUN bytes), starts each run
-anew in both directions and labels every byte; a document's probabilities are pooled from those of all its
-bytes. Runs recur, so each distinct run of a batch goes through the network once.
+The network reads windows of a text: WINDOW bytes of its own and up to CONTEXT bytes of the text on either
+side, so that states cross words and every byte is labelled once, with what stands around it. A document's
+probabilities are pooled from those of all its bytes.
 """
 
 from __future__ import annotations
@@ -14,57 +14,39 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm.common import SPACES, crc_mod, pieces, small_batches, table
+from quern.llm.common import SPACES, crc_mod, drop, pieces, small_batches, store, table
 
-RUN, EMBED, HIDDEN, MOST_LANGUAGES, UNKNOWN = 24, 8, 10, 1000, "und"
+WINDOW, CONTEXT, EMBED, HIDDEN, UNKNOWN = 256, 16, 8, 10, "und"
 #: The network is fitted to a bounded sample of labelled documents: at most so many different texts of each
-#: language, and runs of so many bytes of each, drawn from all of the text; scoring reads every byte of every text.
-FIT_DOCUMENTS, FIT_BYTES, EPOCHS, BATCH = 150, 3000, 8, 1024
+#: language and so many in all (but one of each language), and of each text windows of FIT_WINDOW bytes up to
+#: FIT_BYTES, drawn from all of it; scoring reads every byte of every text.
+FIT_DOCUMENTS, FIT_ROWS, FIT_WINDOW, FIT_BYTES, EPOCHS, BATCH = 150, 6000, 96, 1536, 3, 192
+#: Floats of the largest array that scoring makes.
+ROOM = 8 << 20
 
 
-def runs(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """All bytes of the texts, the runs' beginnings and ends in them, and the first run of each text (and the end)."""
-    buf = np.frombuffer(b"".join(texts), np.uint8)
-    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-    begins = np.concatenate([[0], np.cumsum(sizes)])
-    if not len(buf):
-        none = np.zeros(0, np.int64)
-        return buf, none, none, np.zeros(len(texts) + 1, np.int64)
-    space = SPACES[buf]
-    new = np.zeros(len(buf), bool)
-    new[1:] = space[:-1] & ~space[1:]
-    new[begins[:-1][sizes > 0]] = True
-    start = np.flatnonzero(new)
-    size = np.diff(np.append(start, len(buf)))
-    extra = (size - 1) // RUN
-    if extra.any():
-        first = np.repeat(np.arange(len(start)), extra + 1)
-        nth = np.arange(len(first)) - np.repeat(np.cumsum(extra + 1) - extra - 1, extra + 1)
-        start = start[first] + nth * RUN
-    end = np.append(start[1:], len(buf))
-    return buf, start, end, np.searchsorted(start, begins)
+def letters(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of the texts plus one, A-Z lower-cased, and where each text begins (and the end)."""
+    x = np.frombuffer(b"".join(texts).lower(), np.uint8).astype(np.int16) + 1
+    return x, np.concatenate([[0], np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))]).astype(np.int64)
 
 
-def matrix(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Runs as rows of RUN byte values plus one; 0 where a run is over. A-Z are lower-cased."""
-    at = start[:, None] + np.arange(RUN)
-    x = np.take(buf, np.minimum(at, max(len(buf) - 1, 0))).astype(np.int16)
-    x += 1 + 32 * ((x >= 65) & (x <= 90)).astype(np.int16)
-    x[at >= end[:, None]] = 0
-    return x
+def windows(begins: np.ndarray, own: int = WINDOW, context: int = CONTEXT) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each window where its own bytes and those it reads begin and end, and the first window of each text (and the end)."""
+    n = -(-np.diff(begins) // own)
+    first = np.concatenate([[0], np.cumsum(n)])
+    text = np.repeat(np.arange(len(n)), n)
+    start = begins[text] + (np.arange(first[-1]) - first[text]) * own
+    end = np.minimum(start + own, begins[text + 1])
+    return start, end, np.maximum(start - context, begins[text]), np.minimum(end + context, begins[text + 1]), first
 
 
-_ROW = np.random.default_rng(21).integers(0, 2**63, RUN, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
-
-def _row_hash(x: np.ndarray) -> np.ndarray:
-    h = np.zeros(len(x), np.uint64)
-    for j in range(x.shape[1]):
-        h = (h ^ (h >> np.uint64(31))) * _ROW[0] + np.take(_ROW_BYTE, x[:, j]) * _ROW[j]
-    return h
-
-
-_ROW_BYTE = np.random.default_rng(22).integers(1, 2**63, 257, dtype=np.uint64)
+def matrix(x: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Runs of letters as columns, steps x runs; 0 where a run is over."""
+    at = start + np.arange(int((end - start).max()) if len(start) else 0)[:, None]
+    out = np.take(x, at, mode="clip") if len(x) else np.zeros(at.shape, np.int16)
+    out[at >= end] = 0
+    return out
 
 
 _LETTER = np.zeros(257, bool)
@@ -72,10 +54,17 @@ _LETTER[[*range(98, 124), *range(129, 257)]] = True
 _BLANK = np.concatenate([[True], SPACES])
 
 
-def grams(x: np.ndarray) -> np.ndarray:
-    """Each byte of each run with the two before it (0 before a run), as a number below 257**3."""
-    a = np.pad(x.astype(np.int32), ((0, 0), (2, 0)))
-    return (a[:, :-2] * 257 + a[:, 1:-1]) * 257 + a[:, 2:]
+def grams(x: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """Each letter with the two before it in its word (0 before the word), as a number below 257**3."""
+    new = np.zeros(len(x) + 1, bool)
+    new[begins] = True
+    blank = _BLANK[x]
+    new[1:-1] |= blank[:-1] & ~blank[1:]
+    new = new[:-1]
+    one, two = np.zeros(len(x), np.int32), np.zeros(len(x), np.int32)
+    one[1:] = np.where(new[1:], 0, x[:-1])
+    two[1:] = np.where(new[1:], 0, one[:-1])
+    return (two * 257 + one) * 257 + x
 
 
 class Spelling:
@@ -85,11 +74,12 @@ class Spelling:
     that a small sample, which explains little of any text, rejects little.
     """
 
-    def __init__(self, texts: list[np.ndarray]):
-        each = [np.unique(grams(x)[_LETTER[x]]) for x in texts]
+    def __init__(self, texts: list[list[bytes]]):
+        read = [letters(t) for t in texts]
+        each = [np.unique(grams(x, begins)[_LETTER[x]]) for x, begins in read]
         self.known, times = np.unique(np.concatenate(each), return_counts=True)
         often = self.known[times > 1]
-        self.usual = float(np.median([np.isin(grams(x)[_LETTER[x]], often).sum() / max(1, int((~_BLANK[x]).sum())) for x in texts]))
+        self.usual = float(np.median([np.isin(grams(x, begins)[_LETTER[x]], often).sum() / max(1, int((~_BLANK[x]).sum())) for x, begins in read]))
 
     def table(self) -> np.ndarray:
         out = np.zeros(257**3, bool)
@@ -97,8 +87,9 @@ class Spelling:
         return out
 
 
-def sigmoid(x):
-    return 0.5 * np.tanh(0.5 * x) + 0.5
+def _alive(size: np.ndarray, steps: int) -> np.ndarray:
+    """How many runs, the longest first, have a byte at each step."""
+    return np.searchsorted(-size, -np.arange(steps), side="left")
 
 
 class Network:
@@ -112,145 +103,172 @@ class Network:
             self.p |= {f"w{d}": f(EMBED, 3 * HIDDEN, by=EMBED**-0.5), f"u{d}": f(HIDDEN, 3 * HIDDEN, by=HIDDEN**-0.5), f"c{d}": np.zeros(3 * HIDDEN, np.float32)}
 
     def _read(self, d: str, x: np.ndarray, alive: np.ndarray, keep: bool):
-        """States after each byte, steps x rows; alive[t] rows have a byte at step t (rows are longest first)."""
+        """States after each byte, steps x columns; alive[t] columns have a byte at step t (the longest come first)."""
         p, k = self.p, HIDDEN
-        g = p["emb"] @ p[f"w{d}"] + p[f"c{d}"]
+        # sigmoid(v) is (tanh(v / 2) + 1) / 2: the halves go into the weights of both gates
+        half = np.concatenate([np.full(2 * k, 0.5), np.ones(k)]).astype(p["emb"].dtype)
+        g, u = (p["emb"] @ p[f"w{d}"] + p[f"c{d}"]) * half, p[f"u{d}"] * half
         steps, n = x.shape
-        h, states, gates = np.zeros((n, k), np.float32), np.zeros((steps, n, k), np.float32), []
+        h, states, gates = np.zeros((n, k), g.dtype), np.zeros((steps, n, k), g.dtype), []
         for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
             m = int(alive[t])
             old = h[:m]
-            a, r = g[x[t, :m]], old @ p[f"u{d}"]
-            zr = sigmoid(a[:, : 2 * k] + r[:, : 2 * k])
-            new = np.tanh(a[:, 2 * k :] + zr[:, k:] * r[:, 2 * k :])
-            now = new + zr[:, :k] * (old - new)
+            a, r = np.take(g, x[t, :m], 0), old @ u
+            zr = a[:, : 2 * k] + r[:, : 2 * k]
+            np.tanh(zr, out=zr)
+            zr += 1
+            zr *= 0.5
+            new = zr[:, k:] * r[:, 2 * k :]
+            new += a[:, 2 * k :]
+            np.tanh(new, out=new)
+            now = states[t, :m]
+            np.subtract(old, new, out=now)
+            now *= zr[:, :k]
+            now += new
             if keep:
-                gates.append((t, m, old.copy(), zr, new, r[:, 2 * k :]))
+                gates.append((t, m, old, zr, new, r[:, 2 * k :]))
+                h = np.zeros((n, k), g.dtype)
             h[:m] = now
-            states[t, :m] = now
         return states, gates
 
     def label(self, x: np.ndarray, alive: np.ndarray, keep: bool = False):
+        """Log probabilities of the labels at each byte, and what they come from."""
         f, gf = self._read("f", x, alive, keep)
         b, gb = self._read("b", x, alive, keep)
         both = np.concatenate([f, b], 2)
         z = both @ self.p["out"] + self.p["bout"]
         z -= z.max(2, keepdims=True)
-        np.exp(z, out=z)
-        z /= z.sum(2, keepdims=True)
+        z -= np.log(np.exp(z).sum(2, keepdims=True))
         return z, both, gf, gb
 
-    def evidence(self, x: np.ndarray) -> np.ndarray:
-        """For each run (a row), the sums over its bytes of the labels' log probabilities."""
-        size = (x > 0).sum(1)
+    def evidence(self, x: np.ndarray, start: np.ndarray, end: np.ndarray, read: np.ndarray, until: np.ndarray) -> np.ndarray:
+        """For each window, the sums over its own bytes of the labels' log probabilities."""
+        size = until - read
         order = np.argsort(-size, kind="stable")
-        out = np.zeros((len(x), len(self.p["bout"])), np.float32)
-        for at in range(0, len(order), 1 << 14):
-            rows = order[at : at + (1 << 14)]
-            steps = max(1, int(size[rows[0]]))
-            xt = np.ascontiguousarray(x[rows, :steps].T)
-            alive = np.searchsorted(-size[rows], -np.arange(steps), side="left")
-            z = self.label(xt, alive)[0]
-            np.log(np.maximum(z, 1e-6), out=z)
-            z *= (xt > 0)[:, :, None]
+        out = np.zeros((len(start), len(self.p["bout"])), np.float32)
+        at = 0
+        while at < len(order):
+            steps = int(size[order[at]])
+            rows = order[at : at + max(16, ROOM // (steps * (3 * HIDDEN + out.shape[1])))]
+            at += len(rows)
+            m = matrix(x, read[rows], until[rows])
+            z = self.label(m, _alive(size[rows], steps))[0]
+            step, skip = np.arange(steps)[:, None], read[rows]
+            np.maximum(z, np.float32(np.log(1e-6)), out=z)
+            z *= ((step >= start[rows] - skip) & (step < end[rows] - skip))[:, :, None]
             out[rows] = z.sum(0)
         return out
 
-    def gradients(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> dict[str, np.ndarray]:
-        """Backpropagation through time of the mean log loss over all bytes of the rows x (longest first) with labels y and weights."""
+    def gradients(self, x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+        """Backpropagation through time of the mean log loss over all bytes of the columns x (longest first) with labels y."""
         p, k = self.p, HIDDEN
-        size = (x > 0).sum(1)
-        xt = np.ascontiguousarray(x.T)
-        alive = np.searchsorted(-size, -np.arange(x.shape[1]), side="left")
-        z, both, gf, gb = self.label(xt, alive, True)
+        size = (x > 0).sum(0)
+        z, both, gf, gb = self.label(x, _alive(size, len(x)), True)
+        np.exp(z, out=z)
         z[:, np.arange(len(y)), y] -= 1
-        weight = np.ones(len(y), np.float32) if weight is None else weight
-        z *= ((xt > 0) * (weight / max(1.0, float((size * weight).sum()))))[:, :, None].astype(z.dtype)
+        z *= ((x > 0) / max(1, int(size.sum())))[:, :, None].astype(z.dtype)
         flat = z.reshape(-1, z.shape[2])
         g = {"out": both.reshape(-1, 2 * k).T @ flat, "bout": flat.sum(0), "emb": np.zeros_like(p["emb"])}
         back = z @ p["out"].T
+        order = np.argsort(x.ravel(), kind="stable")
+        seen, first = np.unique(x.ravel()[order], return_index=True)
         for d, gates, ds in (("f", gf, back[:, :, :k]), ("b", gb, back[:, :, k:])):
-            du, dh = np.zeros_like(p[f"u{d}"]), np.zeros((len(y), k), np.float32)
-            by_byte = np.zeros((257, 3 * k), np.float32)
+            du, dh = np.zeros_like(p[f"u{d}"]), np.zeros((len(y), k), z.dtype)
+            dg, ut = np.zeros((*x.shape, 3 * k), z.dtype), np.ascontiguousarray(p[f"u{d}"].T)
             for t, m, old, zr, new, rec in reversed(gates):
                 total = dh[:m] + ds[t, :m]
                 zz, r = zr[:, :k], zr[:, k:]
+                now, drec = dg[t, :m], np.empty((m, 3 * k), z.dtype)
                 dn = total * (1 - zz) * (1 - new * new)
-                dz = total * (old - new) * zz * (1 - zz)
-                dr = dn * rec * r * (1 - r)
-                drec = np.concatenate([dz, dr, dn * r], 1)
+                now[:, :k], now[:, k : 2 * k], now[:, 2 * k :] = total * (old - new) * zz * (1 - zz), dn * rec * r * (1 - r), dn
+                drec[:, : 2 * k], drec[:, 2 * k :] = now[:, : 2 * k], dn * r
                 du += old.T @ drec
-                dh[:m] = total * zz + drec @ p[f"u{d}"].T
-                dg = np.concatenate([dz, dr, dn], 1)
-                order = np.argsort(xt[t, :m], kind="stable")
-                seen, first = np.unique(xt[t, :m][order], return_index=True)
-                by_byte[seen] += np.add.reduceat(dg[order], first)
+                dh[:m] = total * zz + drec @ ut
+            by_byte = np.zeros((257, 3 * k), z.dtype)
+            by_byte[seen] = np.add.reduceat(dg.reshape(-1, 3 * k)[order], first)
             g[f"u{d}"], g[f"c{d}"] = du, by_byte.sum(0)
             g[f"w{d}"] = p["emb"].T @ by_byte
             g["emb"] += by_byte @ p[f"w{d}"].T
         return g
 
-    def fit(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray, epochs: int = EPOCHS, batch: int = BATCH, rate: float = 0.02) -> None:
+    def fit(self, texts: list[bytes], y: np.ndarray, epochs: int = EPOCHS, batch: int = BATCH, rate: float = 0.02) -> None:
+        """Learns labelled runs of bytes in batches of similar lengths."""
         rng = np.random.default_rng(9)
+        x, begins = letters(texts)
+        size = np.diff(begins)
         m, v = ({k: np.zeros_like(a) for k, a in self.p.items()} for _ in range(2))
-        n = 0
-        total = max(1, epochs * -(-len(x) // batch))
+        n, total = 0, max(1, epochs * -(-len(texts) // batch))
         for _ in range(epochs):
-            order = rng.permutation(len(x))
-            for at in range(0, len(x), batch):
+            order = rng.permutation(len(texts))
+            order = order[np.argsort(-(size[order] // 16), kind="stable")]
+            for at in rng.permutation(np.arange(0, len(texts), batch)):
                 i = order[at : at + batch]
-                i = i[np.argsort(-(x[i] > 0).sum(1), kind="stable")]
+                i = i[np.argsort(-size[i], kind="stable")]
                 n += 1
                 step = rate * (1 - 0.9 * n / total)
-                for k, g in self.gradients(x[i], y[i], weight[i]).items():
+                for k, g in self.gradients(matrix(x, begins[i], begins[i + 1]), y[i]).items():
                     m[k] += 0.1 * (g - m[k])
                     v[k] += 0.01 * (g * g - v[k])
                     self.p[k] -= step / (1 - 0.9**n) * m[k] / (np.sqrt(v[k] / (1 - 0.99**n)) + 1e-8)
 
 
+def cut(raw: bytes, size: int = FIT_WINDOW) -> list[bytes]:
+    """A text in windows of about `size` bytes, each from the beginning of a word; words of over `size` bytes are cut."""
+    space = SPACES[np.frombuffer(raw, np.uint8)]
+    words = np.flatnonzero(~space & np.concatenate([[True], space[:-1]]))
+    goal = np.arange(size, len(raw), size)
+    at = np.append(words, len(raw))[np.searchsorted(words, goal)]
+    edges = np.unique(np.concatenate([[0], np.where(at - goal < size, at, goal), [len(raw)]]))
+    return [raw[i:j] for i, j in zip(edges, edges[1:], strict=False)]
+
+
 def _draw(most_bytes: int):
-    """The runs of each text, or some of up to most_bytes bytes, drawn from all of it by a seed of the text's hash."""
+    """The windows of each text, or some of up to most_bytes bytes, drawn from all of it by a seed of the text's hash."""
 
     def run(batches):
         for x in batches:
             drawn = []
             for h, text in zip(x["h"], x["text"], strict=True):
-                raw = text.encode("utf-8", "surrogatepass")
-                _, start, end, _ = runs([raw])
-                if len(raw) > most_bytes:
-                    order = np.random.default_rng(int(h) & (2**63 - 1)).permutation(len(start))
-                    take = np.sort(order[: max(1, np.searchsorted(np.cumsum((end - start)[order]), most_bytes, side="right"))])
-                    start, end = start[take], end[take]
-                drawn.append([raw[i:j] for i, j in zip(start, end, strict=True)])
-            yield pd.DataFrame({"lang": x["lang"], "h": x["h"], "runs": drawn})
+                parts = cut(text.encode("utf-8", "surrogatepass"))
+                order = np.random.default_rng(int(h) & (2**63 - 1)).permutation(len(parts))
+                sizes = np.cumsum([len(parts[i]) for i in order])
+                drawn.append([parts[i] for i in np.sort(order[: max(1, np.searchsorted(sizes, most_bytes, side="right"))])])
+            yield pd.DataFrame({"lang": x["lang"], "h": x["h"], "parts": drawn})
 
     return run
 
 
-def fit(labelled: DataFrame, documents: int = FIT_DOCUMENTS, most_bytes: int = FIT_BYTES) -> tuple[list[str], Network | None]:
-    """Fits a network to a bounded sample of (text, lang) rows: of each language, the first different texts by their hash."""
+def fit(labelled: DataFrame, documents: int = FIT_DOCUMENTS, most_rows: int = FIT_ROWS, most_bytes: int = FIT_BYTES) -> tuple[list[str], Network | None]:
+    """Fits a network to a bounded sample of (text, lang) rows: of every language, the first different texts by their hash.
+
+    At most `documents` of a language, fewer where the languages are so many that all would come to more than
+    most_rows, but one at least: max(most_rows, languages) rows of about most_bytes bytes reach the driver.
+    """
     rows = labelled.where("lang is not null and text is not null and length(text) > 0").select("lang", F.xxhash64("text").alias("h"), "text")
-    first = rows.groupBy("lang", "h").agg(F.count("*").alias("n")).withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("nth") <= documents)
-    first = first.orderBy("lang", "nth").limit(documents * MOST_LANGUAGES).select("lang", "h")
-    chosen = rows.join(F.broadcast(first), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text"))
-    got = sorted(chosen.mapInPandas(_draw(most_bytes), "lang string, h long, runs array<binary>").collect(), key=lambda r: (r["lang"], r["h"]))
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    first = store(rows.select("lang", "h").distinct().withColumn("nth", nth).where(F.col("nth") <= documents), "sample")
+    languages = first.where("nth = 1").count()
+    first_of_each = first.where(F.col("nth") <= max(1, most_rows // max(1, languages))).select("lang", "h")
+    chosen = rows.join(F.broadcast(first_of_each), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text"))
+    got = sorted(chosen.mapInPandas(_draw(most_bytes), "lang string, h long, parts array<binary>").collect(), key=lambda r: (r["lang"], r["h"]))
+    drop(first)
     names = sorted({r["lang"] for r in got})
     if not names:
         return [], None
-    xs, ys = [], []
-    for r in got:
-        buf, start, end, _ = runs([bytes(b) for b in r["runs"]])
-        xs.append(matrix(buf, start, end))
-        ys.append(np.full(len(start), names.index(r["lang"])))
-    x, y = np.concatenate(xs), np.concatenate(ys)
-    # runs recur: each goes through the network once for each label, with its number as its weight
-    _, where, times = np.unique(_row_hash(x) ^ (y.astype(np.uint64) << np.uint64(48)), return_index=True, return_counts=True)
+    number = {name: i for i, name in enumerate(names)}
+    texts = [[bytes(b) for b in r["parts"]] for r in got]
     net = Network(len(names))
-    net.spelling = Spelling(xs)
-    net.fit(x[where], y[where], times.astype(np.float32))
+    net.spelling = Spelling(texts)
+    net.fit([p for t in texts for p in t], np.concatenate([np.full(len(t), number[r["lang"]]) for r, t in zip(got, texts, strict=True)]))
     return names, net
 
 
+def _sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The sums of runs of rows, runs first[i]..first[i + 1]."""
+    kind = np.float64 if values.dtype.kind == "f" else np.int64
+    return np.diff(np.concatenate([np.zeros((1, *values.shape[1:]), kind), np.cumsum(values, 0, dtype=kind)])[first], axis=0)
+
+
 def _predict(shared, explained: str | None):
     def run(batches):
         names, net = shared.value
@@ -259,20 +277,15 @@ def _predict(shared, explained: str | None):
             texts = batch.column("__text").to_pylist()
             rest = batch.select([c for c in batch.schema.names if c != "__text"])
             for a, b in pieces(texts, 8 << 20):
-                letters = np.array([t is not None and (any(c in t for c in "aeinrst") or any(map(str.isalpha, t))) for t in texts[a:b]])
+                worded = np.array([t is not None and (any(c in t for c in "aeinrst") or any(map(str.isalpha, t))) for t in texts[a:b]])
                 raw = [b"" if t is None else t.encode("utf-8", "surrogatepass") for t in texts[a:b]]
-                buf, start, end, first = runs(raw)
+                x, begins = letters(raw)
                 pooled, share = np.zeros((b - a, max(1, len(names)))), np.zeros(b - a)
-                if net is not None and len(start):
-                    m = matrix(buf, start, end)
-                    _, where, which = np.unique(_row_hash(m), return_index=True, return_inverse=True)
-                    each = net.evidence(m[where])[which]
-                    whole = np.concatenate([np.zeros((1, each.shape[1])), np.cumsum(each, 0, dtype=np.float64)])
-                    pooled = whole[first[1:]] - whole[first[:-1]]
+                if net is not None and len(x):
+                    *spans, first = windows(begins)
+                    pooled = _sums(net.evidence(x, *spans), first)
                     if spelt is not None:
-                        u = m[where]
-                        counts = np.stack([(spelt[grams(u)] & _LETTER[u]).sum(1), (~_BLANK[u]).sum(1)], 1)[which]
-                        known, full = np.diff(np.concatenate([np.zeros((1, 2), np.int64), np.cumsum(counts, 0)])[first], axis=0).T
+                        known, full = (_sums(v, begins) for v in (spelt[grams(x, begins)] & _LETTER[x], ~_BLANK[x]))
                         usual = net.spelling.usual
                         share = np.minimum(1, known / np.maximum(1, full) / usual) if usual else np.ones(b - a)
                 size = np.maximum(1, np.array([len(r) for r in raw]))
@@ -281,7 +294,7 @@ def _predict(shared, explained: str | None):
                 z = np.exp(z - z.max(1, keepdims=True))
                 z /= z.sum(1, keepdims=True)
                 best = z.argmax(1)
-                ok = letters & (net is not None)
+                ok = worded & (net is not None)
                 named = pa.array([names[i] if g else UNKNOWN for i, g in zip(best, ok, strict=True)], pa.string())
                 score = pa.array(np.where(ok, z[np.arange(b - a), best], 0.0), pa.float64())
                 more = [(explained, pa.array(np.where(ok, share, 0.0), pa.float64()))] if explained else []
