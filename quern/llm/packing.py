@@ -30,7 +30,8 @@ class Encoder:
     """Token ids of the byte-level vocabulary, as `tokenizers` gives them.
 
     Texts of Latin-1 characters alone go through `tiktoken`, which has the same merges and, for these
-    characters, the same splitting pattern, at about a quarter of the time; all others go through `tokenizers`.
+    characters, the same splitting pattern, at about a quarter of the time; all others, and those that hold an
+    added token of the vocabulary (which is one id, as `tokenizers` has it), go through `tokenizers`.
     """
 
     def __init__(self, name: str = VOCABULARY):
@@ -43,7 +44,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.slow = Tokenizer.from_file(public_tokenizers.path(f"{name}.json"))
-        self.slow.encode_special_tokens = True
+        self.added = [t.content for t in self.slow.get_added_tokens_decoder().values()]
         with open(public_tokenizers.path(f"{name}.tiktoken"), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.fast = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
@@ -53,7 +54,10 @@ class Encoder:
             return np.zeros(0, np.uint32)
         try:
             text.encode("latin-1")
+            plain = not any(a in text for a in self.added)
         except UnicodeEncodeError:
+            plain = False
+        if not plain:
             return np.array(self.slow.encode(text, add_special_tokens=False).ids, np.uint32)
         return np.array(self.fast.encode_ordinary(text), np.uint32)
 

@@ -44,21 +44,29 @@ def test_cuts():
     assert P.cuts(1) == [0, 1] and P.cuts(2048) == [0, 2048] and P.cuts(2049) == [0, 1, 2049] and P.cuts(5000) == [0, 904, 2952, 5000]
 
 
-def test_both_encoders_agree_on_latin_texts():
-    e = P.encoder()
+def plain():
+    """The vocabulary as the contract loads it."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def test_ids_are_those_of_the_vocabulary():
+    e, fresh = P.encoder(), plain()
     chars = [chr(i) for i in range(256)]
     rng = np.random.default_rng(2)
-    texts = ["".join(rng.choice(chars, 60)) for _ in range(300)] + chars + ["<|endoftext|>", " \x85 a\x1c b\xa0 c", "a" * 3000, "I'll don't 'S", "  x\n\n y \t"]
+    texts = ["".join(rng.choice(chars, 60)) for _ in range(300)] + chars + ["<|endoftext|>", "a<|endoftext|>b", "<|endoftext|", "é <|endoftext|><|endoftext|> 漢", " \x85 a\x1c b\xa0 c", "a" * 3000, "I'll don't 'S", "  x\n\n y \t"]
     for t in texts:
-        assert e.slow.encode(t, add_special_tokens=False).ids == e.fast.encode_ordinary(t), repr(t)
-    assert e("漢字 x").tolist() == e.slow.encode("漢字 x", add_special_tokens=False).ids and len(e(None)) == len(e("")) == 0
+        assert e(t).tolist() == fresh.encode(t, add_special_tokens=False).ids, repr(t)
+    assert e("a<|endoftext|>b").tolist() == [64, 50256, 65] and e("漢字 x").tolist() == fresh.encode("漢字 x", add_special_tokens=False).ids and len(e(None)) == len(e("")) == 0
 
 
 def check(rows, texts):
-    e = P.encoder()
+    fresh = plain()
     want = Counter()
     for i, t in texts:
-        ids = np.array([*(e.slow.encode(t, add_special_tokens=False).ids if t else []), 0], "<u4")
+        ids = np.array([*(fresh.encode(t, add_special_tokens=False).ids if t else []), 0], "<u4")
         at = P.cuts(len(ids))
         want.update((i, k, a, b - a, zlib.crc32(ids[a:b].tobytes())) for k, (a, b) in enumerate(zip(at, at[1:], strict=False)))
     assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in rows) == want
@@ -80,6 +88,11 @@ def test_query(spark):
     assert check(rows, docs) <= 1.06 * np.ceil(sum(r["length"] for r in rows) / P.LENGTH)
 
 
+def test_added_tokens(spark):
+    texts = [(1, "a<|endoftext|>b"), (2, "<|endoftext|>" * 3000), (3, "x<|endoftext|>漢")]
+    check(P.pack_documents(spark.createDataFrame(texts, "doc_id long, text string")).collect(), texts)
+
+
 def test_odd_documents(odd, nothing):
     rows = P.pack_documents(odd, with_ids=True).collect()
     check(rows, [(r["doc_id"], r["text"]) for r in odd.collect()])
