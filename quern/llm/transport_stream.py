@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -110,76 +111,183 @@ def _stuffed(packet: np.ndarray, body: np.ndarray, field_: bytes) -> None:
 
 @dataclass
 class Stream:
-    """What a transport stream held: one row for each elementary packet, and what was wrong."""
+    """One elementary stream: a row for each whole elementary packet, and their bodies joined."""
 
-    program: int = 0
-    pid: int = 0
-    kind: int = 0
+    program: int
+    pid: int
+    kind: int
     stamps: list[int] = field(default_factory=list)
     sizes: list[int] = field(default_factory=list)
     random_access: list[bool] = field(default_factory=list)
-    errors: int = 0
     payload: bytes = b""
 
 
-def _tables(packets: np.ndarray, pid: int) -> bytes | None:
-    """The first whole section of a table that carries a right CRC."""
-    for p in packets:
-        raw = p.tobytes()
-        at = 4 + (1 + raw[4] if raw[3] & 0x20 else 0)
-        at += 1 + raw[at]
-        size = 3 + ((raw[at + 1] & 15) << 8 | raw[at + 2])
-        if at + size <= PACKET and crc_mpeg(raw[at : at + size]) == 0:
-            return raw[at : at + size]
-    return None
+@dataclass
+class Media:
+    """What a transport stream held: its streams in the order of the program tables, and how much was wrong."""
+
+    streams: list[Stream] = field(default_factory=list)
+    errors: int = 0
 
+    @property
+    def payload(self) -> bytes:
+        return b"".join(s.payload for s in self.streams)
 
-def demux(media: bytes) -> Stream:
-    """Reads a stream: tables by their PIDs, continuity counters (each break counts as an error), elementary packets."""
-    out = Stream()
-    p = np.frombuffer(media[: len(media) // PACKET * PACKET], np.uint8).reshape(-1, PACKET)
-    out.errors += int(len(media) % PACKET > 0) + int((p[:, 0] != SYNC).sum())
-    pids = (p[:, 1].astype(np.int32) & 31) << 8 | p[:, 2]
-    starts = (p[:, 1] & 0x40) > 0
-    pat = _tables(p[(pids == PAT_PID) & starts], PAT_PID)
-    if pat is None:
-        out.errors += int(len(p) > 0)
-        return out
-    programs = [(pat[i] << 8 | pat[i + 1], (pat[i + 2] & 31) << 8 | pat[i + 3]) for i in range(8, len(pat) - 4, 4)]
-    out.program, pmt_pid = next((x for x in programs if x[0]), (0, -1))
-    pmt = _tables(p[(pids == pmt_pid) & starts], pmt_pid)
-    if pmt is None:
-        out.errors += 1
-        return out
-    at = 12 + ((pmt[10] & 15) << 8 | pmt[11])
-    out.kind, out.pid = pmt[at], (pmt[at + 1] & 31) << 8 | pmt[at + 2]
-    for pid in (PAT_PID, pmt_pid, out.pid):
-        c = p[(pids == pid) & ((p[:, 3] & 0x10) > 0), 3] & 15
-        out.errors += int(((c[1:].astype(int) - c[:-1]) % 16 != 1).sum())
-    es = p[(pids == out.pid) & ((p[:, 3] & 0x10) > 0)]
-    adapted = (es[:, 3] & 0x20) > 0
-    begin = np.where(adapted, 5 + es[:, 4].astype(np.int64), 4)
-    flat = es[np.arange(PACKET) >= begin[:, None]]
-    ends = np.cumsum(PACKET - begin)
-    unit = np.flatnonzero((es[:, 1] & 0x40) > 0)
+
+@lru_cache(4096)
+def _sound(section: bytes) -> bool:
+    return crc_mpeg(section) == 0
+
+
+class _Packets:
+    """The packets of one PID that carry a payload, without duplicates: their bodies, and where the counter breaks.
+
+    A packet repeated once, with the counter and the bytes of the one before it, is legal and dropped. A break is
+    where the counter does not go on by one, unless the packet announces a discontinuity.
+    """
+
+    def __init__(self, p: np.ndarray, begin: np.ndarray):
+        counter = (p[:, 3] & 15).astype(np.int64)
+        same = np.zeros(len(p), bool)
+        for i in np.flatnonzero(counter[1:] == counter[:-1]) + 1:
+            same[i] = not same[i - 1] and begin[i] == begin[i - 1] and bytes(p[i, begin[i] :]) == bytes(p[i - 1, begin[i] :])
+        self.p, self.begin = p[~same], begin[~same]
+        counter, adapted = counter[~same], (self.p[:, 3] & 0x20 > 0) & (self.p[:, 4] > 0)
+        self.starts = (self.p[:, 1] & 0x40) > 0
+        self.breaks = np.zeros(len(self.p), bool)
+        self.breaks[1:] = ((counter[1:] - counter[:-1]) % 16 != 1) & ~(adapted & (self.p[:, 5] & 0x80 > 0))[1:]
+        self.random = adapted & (self.p[:, 5] & 0x40 > 0)
+
+
+def _sections(packets: _Packets) -> tuple[list[bytes], int]:
+    """The whole sections with a right CRC of a table's packets, however many packets each takes, and the errors met."""
+    out, errors, held = [], int(packets.breaks.sum()), b""
+    for row, begin, starts, broken in zip(packets.p, packets.begin, packets.starts, packets.breaks, strict=True):
+        body = row[begin:].tobytes()
+        if broken:
+            held = b""
+        if starts:
+            pointer = body[0] if body else 0
+            if held:
+                held += body[1 : 1 + pointer]
+                errors += _whole(held, out)[1] + int(len(held) < 3 or len(held) < 3 + _size(held))
+            held = body[1 + pointer :]
+        elif held:
+            held += body
+        held, wrong = _whole(held, out)
+        errors += wrong
+    return out, errors + int(bool(held))
+
+
+def _size(section: bytes) -> int:
+    return (section[1] & 15) << 8 | section[2]
+
+
+def _whole(held: bytes, out: list[bytes]) -> tuple[bytes, int]:
+    """Moves the whole sections at the front of `held` to `out`; what is left, and how many had a wrong CRC."""
+    wrong = 0
+    while len(held) >= 3 and held[0] != 0xFF and len(held) >= 3 + _size(held):
+        section, held = held[: 3 + _size(held)], held[3 + _size(held) :]
+        if len(section) >= 12 and _sound(section):
+            out.append(section)
+        else:
+            wrong += 1
+    return (b"" if held[:1] == b"\xff" else held), wrong
+
+
+def _programs(sections: list[bytes]) -> list[tuple[int, int]]:
+    """(program, PID of its table) of all sections of a program association table."""
+    found: dict[int, int] = {}
+    for s in sections:
+        if s[0] == 0:
+            for i in range(8, len(s) - 7, 4):
+                if s[i] << 8 | s[i + 1]:
+                    found.setdefault(s[i] << 8 | s[i + 1], (s[i + 2] & 31) << 8 | s[i + 3])
+    return list(found.items())
+
+
+def _streams(sections: list[bytes], program: int) -> list[tuple[int, int]]:
+    """(PID, kind) of the streams that a program's table names."""
+    found: dict[int, int] = {}
+    for s in sections:
+        if s[0] == 2 and s[3] << 8 | s[4] == program and len(s) >= 16:
+            at = 12 + ((s[10] & 15) << 8 | s[11])
+            while at + 5 <= len(s) - 4:
+                found.setdefault((s[at + 1] & 31) << 8 | s[at + 2], s[at])
+                at += 5 + ((s[at + 3] & 15) << 8 | s[at + 4])
+    return list(found.items())
+
+
+def _units(packets: _Packets, out: Stream) -> int:
+    """Reads the elementary packets of one PID into `out`; returns the errors met.
+
+    A unit is what runs from one start to the next, or to the first break of the counter. Units without the start
+    code or shorter than they say are left out, and so are those of no stated size with a break; bytes beyond a
+    unit's size are dropped; all are errors.
+    """
+    taken = np.arange(PACKET) >= packets.begin[:, None]
+    raw = packets.p[taken].tobytes()
+    ends = np.cumsum(PACKET - packets.begin)
+    unit = np.flatnonzero(packets.starts)
+    errors = int(packets.breaks.sum()) + int(len(packets.p) > 0 and (not len(unit) or unit[0] > 0))
     first = np.where(unit > 0, ends[unit - 1], 0)
-    last = np.append(first[1:], len(flat))
-    flagged = adapted & (es[:, 4] > 0) & ((es[:, 5] & 0x40) > 0)
+    last = np.append(first[1:], len(raw))[: len(unit)]
+    # what a unit has before its first break is sure; a break at a start may have taken the end of the unit before it
+    owner, sure = np.cumsum(packets.starts) - 1, last.copy()
+    for k in np.flatnonzero(packets.breaks & (owner >= 0) & ~packets.starts)[::-1].tolist():
+        sure[owner[k]] = ends[k - 1]
+    cut_off = set((owner[packets.breaks & packets.starts] - 1).tolist())
     bodies = []
-    raw = flat.tobytes()
-    for u, a, b in zip(unit.tolist(), first.tolist(), last.tolist(), strict=True):
-        if raw[a : a + 3] != b"\x00\x00\x01" or b - a < 9:
-            out.errors += 1
+    for i, (u, a, b) in enumerate(zip(unit.tolist(), first.tolist(), sure.tolist(), strict=True)):
+        if b - a < 9 or raw[a : a + 3] != b"\x00\x00\x01":
+            errors += 1
             continue
         size = raw[a + 4] << 8 | raw[a + 5]
-        body = raw[a + 9 + raw[a + 8] : a + 6 + size if size else b]
-        out.errors += int(size > 0 and a + 6 + size != b)
-        has = raw[a + 7] & 0x80
+        end, begin = (a + 6 + size if size else b), a + 9 + raw[a + 8]
+        if end > b or begin > end or (not size and (b < last[i] or i in cut_off)):
+            errors += 1
+            continue
+        errors += int(end < b == last[i])
+        has = raw[a + 7] & 0x80 and begin >= a + 14
         out.stamps.append((raw[a + 9] & 14) << 29 | raw[a + 10] << 22 | (raw[a + 11] & 254) << 14 | raw[a + 12] << 7 | raw[a + 13] >> 1 if has else -1)
-        out.sizes.append(len(body))
-        out.random_access.append(bool(flagged[u]))
-        bodies.append(body)
+        out.sizes.append(end - begin)
+        out.random_access.append(bool(packets.random[u]))
+        bodies.append(raw[begin:end])
     out.payload = b"".join(bodies)
+    return errors
+
+
+def demux(media: bytes) -> Media:
+    """Reads a stream, however damaged: all programs of the tables, continuity counters, elementary packets.
+
+    Counted as errors: bytes after the last whole packet; packets without the sync byte, marked as damaged or
+    with an adaptation field beyond their end (none of these is read); breaks of a counter; sections with a wrong
+    CRC or cut off; missing tables; elementary packets left out or longer than they say, and bytes before the first.
+    """
+    out = Media()
+    p = np.frombuffer(media[: len(media) // PACKET * PACKET], np.uint8).reshape(-1, PACKET)
+    adapted = (p[:, 3] & 0x20) > 0
+    begin = np.where(adapted, 5 + p[:, 4].astype(np.int64), 4)
+    sound = (p[:, 0] == SYNC) & (p[:, 1] & 0x80 == 0) & (begin <= PACKET)
+    out.errors += int(len(media) % PACKET > 0) + int((~sound).sum())
+    read = sound & (p[:, 3] & 0x10 > 0)
+    p, begin = p[read], begin[read]
+    pids = (p[:, 1].astype(np.int32) & 31) << 8 | p[:, 2]
+    of = lambda pid: _Packets(p[pids == pid], begin[pids == pid])
+    sections, errors = _sections(of(PAT_PID))
+    programs = _programs(sections)
+    out.errors += errors + int(not programs and len(media) > 0)
+    tables: dict[int, list[bytes]] = {}
+    for program, table_pid in programs:
+        if table_pid not in tables:
+            tables[table_pid], errors = _sections(of(table_pid))
+            out.errors += errors
+        named = _streams(tables[table_pid], program)
+        out.errors += int(not named)
+        for pid, kind in named:
+            stream = Stream(program, pid, kind)
+            out.errors += _units(of(pid), stream)
+            out.streams.append(stream)
     return out
 
 
@@ -200,10 +308,12 @@ def _read(batches):
     for x in batches:
         rows = []
         for media in x["media"]:
-            s = demux(media)
-            rows.append((len(s.payload), hashlib.sha256(s.payload).hexdigest(), zlib.crc32(s.payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), [(t, n, r) for t, n, r in zip(s.stamps, s.sizes, s.random_access, strict=True)], s.program, s.pid, s.kind, s.errors))
-        got = pd.DataFrame(rows, columns=["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "units", "program", "pid", "kind", "errors"])
-        got["units"] = [[{"stamp": t, "bytes": n, "random_access": r} for t, n, r in u] for u in got["units"]]
+            m = demux(media)
+            payload = m.payload
+            units = [{"pid": s.pid, "stamp": t, "bytes": n, "random_access": r} for s in m.streams for t, n, r in zip(s.stamps, s.sizes, s.random_access, strict=True)]
+            streams = [{"program": s.program, "pid": s.pid, "kind": s.kind, "bytes": len(s.payload)} for s in m.streams]
+            rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), units, streams, m.errors))
+        got = pd.DataFrame(rows, columns=["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "units", "streams", "errors"])
         yield pd.concat([x[["doc_id", "n_bytes"]].reset_index(drop=True), got], axis=1)
 
 
@@ -219,20 +329,23 @@ def store_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def read_media(stored: DataFrame) -> DataFrame:
-    """Parses streams: the payload's size and hashes, the elementary packets (time stamp, bytes, random access) and errors.
+    """Parses media: the payload's size and hashes (of all streams, in the tables' order), the elementary packets
+    (PID, time stamp, bytes, random access), the streams (program, PID, kind, bytes) and the number of errors.
 
-    A null stream counts as empty; one without program tables has no packets and an error.
+    A null value counts as empty; one without program tables has no packets and an error; damage is counted, and
+    what it touches is left out (see `demux`).
     """
-    kind = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, units array<struct<stamp: long, bytes: long, random_access: boolean>>, program int, pid int, kind int, errors long"
+    kind = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, units array<struct<pid: int, stamp: long, bytes: long, random_access: boolean>>, streams array<struct<program: int, pid: int, kind: int, bytes: long>>, errors long"
     rows = stored.select(held_id("doc_id").alias("doc_id"), "n_bytes", F.coalesce("media", F.lit(b"")).alias("media"))
     return rows.mapInPandas(_read, kind).withColumn("doc_id", real_id("doc_id"))
 
 
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = read_media(store_media(table(spark, sf_dir, "documents", "doc_id", "text")))
+    one = lambda c: F.get("streams", F.lit(0))[c]
     points = F.filter("units", lambda u: u["random_access"])
     feature = F.format_string(
         "program=%d;pid=%d;kind=%d;units=%d;random_access=%d;first=%d;last=%d;errors=%d",
-        "program", "pid", "kind", F.size("units"), F.size(points), F.coalesce(F.get("units", F.lit(0))["stamp"], F.lit(-1)), F.coalesce(F.try_element_at("units", F.lit(-1))["stamp"], F.lit(-1)), "errors",
+        one("program"), one("pid"), one("kind"), F.size("units"), F.size(points), F.coalesce(F.get("units", F.lit(0))["stamp"], F.lit(-1)), F.coalesce(F.try_element_at("units", F.lit(-1))["stamp"], F.lit(-1)), "errors",
     )
     return got.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
