@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -22,7 +23,9 @@ _BLANKS = re.compile(r"[ \t\n\r\f]+")
 _set = lambda s: frozenset(s.split())
 VOID = _set("area base basefont bgsound br col embed frame hr img input link meta param source track wbr")
 RAW = _set("script style iframe noembed noframes noscript template title textarea xmp plaintext")
-UNSEEN = _set("head title script style template noscript iframe noembed noframes datalist audio video canvas object svg math")
+UNSEEN = _set("head title script style template noscript iframe noembed noframes datalist audio video canvas object")
+#: Parts of drawings and formulas that are not shown; the text of all others is.
+UNSEEN |= _set("desc defs metadata symbol clippath mask pattern marker filter lineargradient radialgradient annotation annotation-xml")
 HEAD = _set("base basefont bgsound link meta noframes script style template title")
 #: Blocks with an empty line around them, and blocks without.
 SPACED = _set("p blockquote ul ol dl h1 h2 h3 h4 h5 h6 pre table figure hr fieldset article section")
@@ -38,9 +41,11 @@ ENDS = {
     "tbody": (_set("tbody thead tfoot tr td th caption colgroup"), _set("table html")),
 }
 ENDS["thead"] = ENDS["tfoot"] = ENDS["colgroup"] = ENDS["caption"] = ENDS["tbody"]
-CELL_SCOPE = _set("td th table caption html")
+CELL_SCOPE, TABLE_SCOPE, ROWS, P = _set("td th table caption html"), _set("table html"), _set("tr tbody thead tfoot"), _set("p")
 #: Cell lines of at most so many characters set the width of their column; a span counts as so many columns at most.
 WIDEST, MOST_SPAN = 60, 1000
+#: Levels of lists and quotations that indent, and of tables in tables that are laid out in columns.
+MOST_INDENTS, MOST_TABLES = 32, 16
 
 
 class Node:
@@ -57,34 +62,61 @@ def _attributes(raw: str) -> dict[str, str]:
     return out
 
 
+class _Open:
+    """The open elements, outermost first, with the places of each tag and of the blocks: the nearest one is at hand."""
+
+    def __init__(self, root: Node):
+        self.stack, self.places, self.blocks = [], {}, []
+        self.push(root)
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.stack))
+        if node.tag in BLOCK:
+            self.blocks.append(len(self.stack))
+        self.stack.append(node)
+
+    def cut(self, at: int) -> None:
+        """Ends the element at a place and all inside it."""
+        while len(self.stack) > at:
+            tag = self.stack.pop().tag
+            self.places[tag].pop()
+            if tag in BLOCK:
+                self.blocks.pop()
+
+    def nearest(self, tags: frozenset) -> int:
+        """The place of the innermost open element of these tags (0: none, or the root)."""
+        return max((at[-1] for t in tags if (at := self.places.get(t))), default=0)
+
+    def outermost(self, tags: frozenset, within: int) -> int | None:
+        """The place of the outermost element of these tags inside the element at a place."""
+        found = [at[i] for t in tags if (at := self.places.get(t)) and (i := bisect_right(at, within)) < len(at)]
+        return min(found, default=None)
+
+
 def build(source: str) -> Node:
     """The tree of a page. html, head, body, tr are implied; p, li, dt, dd, option, table parts and headings end by themselves."""
     root = Node("html")
-    stack, head, body = [root], None, None
+    opened, head, body = _Open(root), None, None
+    stack = opened.stack
     at, end = 0, len(source)
 
     def push(tag: str, attrs: dict[str, str] | None = None) -> Node:
         node = Node(tag, attrs)
         stack[-1].kids.append(node)
-        stack.append(node)
+        opened.push(node)
         return node
 
     def into_body() -> None:
         nonlocal body
         if body is None:
-            del stack[1:]
+            opened.cut(1)
             body = push("body")
 
     def close(tags: frozenset, barrier: frozenset) -> None:
         """Ends the outermost of these elements that is open within the barrier, and all inside it."""
-        found = None
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in barrier:
-                break
-            if stack[i].tag in tags:
-                found = i
+        found = opened.outermost(tags, opened.nearest(barrier))
         if found is not None:
-            del stack[found:]
+            opened.cut(found)
 
     def text(raw: str) -> None:
         if not raw:
@@ -116,26 +148,17 @@ def build(source: str) -> Node:
                 pass
             elif tag == "head":
                 if stack[-1].tag == "head":
-                    stack.pop()
+                    opened.cut(len(stack) - 1)
             elif tag in BLOCK:
-                scope = _set("table html") if tag in CELL_SCOPE or tag in ("tr", "tbody", "thead", "tfoot") else CELL_SCOPE
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i].tag == tag or (tag in HEADINGS and stack[i].tag in HEADINGS):
-                        del stack[i:]
-                        break
-                    if stack[i].tag in scope:
-                        break
-                else:
-                    if tag == "p":
-                        into_body()
-                        stack[-1].kids.append(Node("p"))
-            else:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i].tag == tag:
-                        del stack[i:]
-                        break
-                    if stack[i].tag in BLOCK:
-                        break
+                own = opened.nearest(HEADINGS if tag in HEADINGS else frozenset((tag,)))
+                scope = opened.nearest(TABLE_SCOPE if tag in CELL_SCOPE or tag in ROWS else CELL_SCOPE)
+                if own and own >= scope:
+                    opened.cut(own)
+                elif tag == "p" and not scope:
+                    into_body()
+                    stack[-1].kids.append(Node("p"))
+            elif (own := opened.nearest(frozenset((tag,)))) > opened.blocks[-1]:
+                opened.cut(own)
             continue
         raw = m[3] or m[6] or ""
         attrs = _attributes(raw) if raw.strip(" /\n\t\r\f") else {}
@@ -157,9 +180,9 @@ def build(source: str) -> Node:
             else:
                 into_body()
         if tag in CLOSES_P:
-            close(_set("p"), CELL_SCOPE)
+            close(P, CELL_SCOPE)
         if tag in HEADINGS and stack[-1].tag in HEADINGS:
-            stack.pop()
+            opened.cut(len(stack) - 1)
         if tag in ENDS:
             close(*ENDS[tag])
         if tag in ("td", "th") and stack[-1].tag in ("table", "tbody", "thead", "tfoot"):
@@ -213,7 +236,7 @@ class _Flow:
             if self.gap and self.lines and self.lines[-1]:
                 self.lines.append("")
             self.gap = 0
-            indent = "".join(self.indents)
+            indent = "".join(self.indents[:MOST_INDENTS])
             if self.mark is not None and line:
                 indent = indent[: len(indent) - len(self.mark)] + self.mark
                 self.mark = None
@@ -255,7 +278,7 @@ def _grid(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
             line, at = "", 0
             for column, _, lines in row:
                 while at < column:
-                    line += " " * width.get(at, 0) + "  "
+                    line += " " * width[at] + "  " if at in width else ""
                     at += 1
                 start = len(line)
                 if i < len(lines):
@@ -294,7 +317,9 @@ def render(root: Node) -> str:
                 continue
             if tag in VOID:
                 continue
-            if tag in ("td", "th"):
+            if tag in ("td", "th") and tables and tables[-1] is None:
+                flow.block(False)
+            elif tag in ("td", "th"):
                 flows.append(_Flow())
             elif tag in ("ul", "ol", "menu", "dir"):
                 flow.block(not lists and tag in ("ul", "ol"))
@@ -315,9 +340,9 @@ def render(root: Node) -> str:
                 flow.indents.append("  ")
             elif tag == "table":
                 flow.block(True)
-                tables.append([])
+                tables.append([] if len(tables) < MOST_TABLES else None)
             elif tag == "tr":
-                if tables:
+                if tables and tables[-1] is not None:
                     tables[-1].append([])
                 else:
                     flow.block(False)
@@ -330,7 +355,9 @@ def render(root: Node) -> str:
             todo.append((node, True))
             todo.extend((k, False) for k in reversed(node.kids))
             continue
-        if tag in ("td", "th"):
+        if tag in ("td", "th") and tables and tables[-1] is None:
+            flow.block(False)
+        elif tag in ("td", "th"):
             flow.end_line()
             flows.pop()
             a = node.attrs
@@ -357,7 +384,7 @@ def render(root: Node) -> str:
             flow.block(tag == "blockquote")
         elif tag == "table":
             flow.end_line()
-            for line in _grid(tables.pop()):
+            for line in _grid(tables.pop() or []):
                 flow.run, flow.pre = [line], flow.pre + 1
                 flow.end_line(True)
                 flow.pre -= 1
@@ -387,6 +414,11 @@ def _extract(batches):
 def extract_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """page_id, text, n_chars: the visible text of each page.
 
+    Text of drawings and formulas is shown in line, but not their titles, descriptions, definitions and
+    annotations. A cell line of over 60 characters does not widen its column, so what stands right of it is not
+    aligned with the rows above and below. Lists and quotations indent up to 32 levels; tables within 16 tables or
+    more are not laid out, each of their cells is a block.
+
     A null page has null text and 0 characters, an empty one empty text; broken markup is read as far as it
     goes; null ids and repeated rows stay; an empty table gives an empty table; other columns are not read.
     """
