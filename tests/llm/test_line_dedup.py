@@ -43,9 +43,7 @@ def test_odd_documents(spark, odd, nothing):
 
 
 def test_passages_of_one_and_two_lines(spark):
-    """With `passage`, a repeat of one or two long lines goes, in short texts too; short lines and the query's rule stay."""
-    from quern.llm.line_dedup import dedup_lines
-
+    """With `passage`, as in the query, a repeat of one or two long lines goes, in short texts too; short lines stay."""
     long, a, b = (" ".join(f"{c}{i}" for i in range(n)) for c, n in (("w", 50), ("a", 30), ("b", 25)))
     rows = [(1, f"x\n{long}\ny"), (2, f"p\n{long}\nq"), (3, long), (4, f"{a}\n{b}"), (5, f"k\n{a}\n \n{b}\nl"), (6, f"{a}\nother"), (7, f"{long}\n{long}\nnew"), (8, "x\ny")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
