@@ -250,7 +250,7 @@ def _score(shared):
         for x in batches:
             held = x["ids"].tolist()
             model = [np.zeros(0)]
-            for a, b in pieces(held, 1 << 20):
+            for a, b in pieces(held, 4 << 20):  # many documents, so that a long one does not read on alone for long
                 texts = [np.frombuffer(i, "<i2") for i in held[a:b]]
                 model.append(G.score(flat, np.concatenate(texts).astype(np.int32), np.concatenate([[0], np.cumsum([len(t) for t in texts])])))
             x["model"] = np.concatenate(model)
