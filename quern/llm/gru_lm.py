@@ -76,42 +76,52 @@ def grid(ids: np.ndarray, first: np.ndarray, most: int) -> tuple[np.ndarray, np.
     return np.ascontiguousarray(out.T), np.ascontiguousarray(doc.T), alive
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    x *= 0.5
-    np.tanh(x, out=x)
-    x += 1
-    x *= 0.5
-    return x
+#: sigmoid(v) is (tanh(v / 2) + 1) / 2: what makes both gates is halved first.
+_HALF = np.concatenate([np.full(2 * HIDDEN, 0.5), np.ones(HIDDEN)]).astype(np.float32)
 
 
 def forward(p, table, ids, fresh, h, keep: bool):
     """Reads a span: ids and fresh (a document begins) are steps x lanes, h the state before it.
 
-    Returns the state before each step, the gates if kept, and the state after the span.
+    Returns the state before each step, what backpropagation needs if kept (gates, new states, recurrent inputs),
+    and the state after the span.
     """
     steps, n = ids.shape
     before = np.empty((steps, n, HIDDEN), np.float32)
-    gates = np.empty((steps, n, 4 * HIDDEN), np.float32) if keep else None
-    u, k = p["u"], HIDDEN
+    x, u, k, begins = np.take(table * _HALF, ids, 0), p["u"] * _HALF, HIDDEN, fresh.any(1)
+    gates, states, rec = (np.empty((steps if keep else 1, n, w), np.float32) for w in (2 * k, k, k))
     for t in range(steps):
-        if fresh[t].any():
+        if begins[t]:
             h = h * ~fresh[t][:, None]
         before[t] = h
-        g, r = table[ids[t]], h @ u
-        zr = _sigmoid(g[:, : 2 * k] + r[:, : 2 * k])
-        new = np.tanh(g[:, 2 * k :] + zr[:, k:] * r[:, 2 * k :])
-        if keep:
-            gates[t, :, : 2 * k], gates[t, :, 2 * k : 3 * k], gates[t, :, 3 * k :] = zr, new, r[:, 2 * k :]
-        h = new + zr[:, :k] * (h - new)
-    return before, gates, h
+        i = t if keep else 0
+        g, r, zr, new = x[t], h @ u, gates[i], states[i]
+        np.add(g[:, : 2 * k], r[:, : 2 * k], out=zr)
+        np.tanh(zr, out=zr)
+        zr += 1
+        zr *= 0.5
+        rec[i] = r[:, 2 * k :]
+        np.multiply(zr[:, k:], rec[i], out=new)
+        new += g[:, 2 * k :]
+        np.tanh(new, out=new)
+        h = before[t] - new
+        h *= zr[:, :k]
+        h += new
+    return before, (gates, states, rec), h
 
 
-def _exponentials(logit: np.ndarray, tame: bool) -> tuple[np.ndarray, np.ndarray]:
-    """exp of logits and its row sums; rows are shifted by their maxima unless the weights bound all logits."""
-    if not tame:
-        logit -= logit.max(1, keepdims=True)
-    e = np.exp(logit)
-    return e, e @ np.ones(e.shape[1], np.float32)
+_ONES = np.ones(max(CLASSES, CLASS, HIDDEN), np.float32)
+
+
+def _bound(w: np.ndarray, b: np.ndarray) -> float:
+    """The most that a product of weights (... x HIDDEN) with a state, whose parts are within -1 and 1, and b can be."""
+    return float((np.abs(w).reshape(-1, HIDDEN) @ _ONES[:HIDDEN] + np.abs(b).ravel()).max())
+
+
+def _exponentials(logit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """exp of logits, in their place, and its row sums."""
+    e = np.exp(logit, out=logit)
+    return e, e @ _ONES[: e.shape[1]]
 
 
 def outputs(p, before, ids, real, learn: bool):
@@ -120,18 +130,20 @@ def outputs(p, before, ids, real, learn: bool):
     c = classes(y)
     logit = x @ p["wc"]
     logit += p["bc"]
-    # states are within -1 and 1, so sums of absolute weights bound the logits
-    tame = bool((np.abs(p["wc"]).sum(0) + np.abs(p["bc"])).max() < 60 and (np.abs(p["ww"]).sum(2) + np.abs(p["bw"])).max() < 60)
-    e, total = _exponentials(logit, tame)
+    tame = _bound(p["wc"].T, p["bc"]) < 60 and _bound(p["ww"], p["bw"]) < 60
     rows = np.arange(len(y))
-    logp = (logit[rows, c] - np.log(total)) * real.ravel()
+    if not tame:
+        logit -= logit.max(1, keepdims=True)
+    own = logit[rows, c]
+    e, total = _exponentials(logit)
+    logp = (own - np.log(total)) * real.ravel()
     grad = dx = None
     if learn:
         e /= total[:, None]
         e[rows, c] -= 1
         if not real.all():
             e *= real.reshape(-1, 1)
-        grad = {"wc": x.T @ e, "bc": e.sum(0), "ww": np.zeros(SHAPES["ww"], np.float32), "bw": np.zeros(SHAPES["bw"], np.float32)}
+        grad = {"wc": x.T @ e, "bc": np.ones(len(e), e.dtype) @ e, "ww": np.zeros(SHAPES["ww"], np.float32), "bw": np.zeros(SHAPES["bw"], np.float32)}
         dx = e @ p["wc"].T
     # the tokens of head classes, class by class
     order = np.argsort(c.astype(np.int16), kind="stable")
@@ -145,13 +157,16 @@ def outputs(p, before, ids, real, learn: bool):
         if len(at):
             logit = xi @ p["ww"][k].T
             logit += p["bw"][k]
-            e, total = _exponentials(logit, tame)
+            if not tame:
+                logit -= logit.max(1, keepdims=True)
             own = rows[: len(at)]
-            inner[i] = logit[own, at] - np.log(total)
+            right = logit[own, at]
+            e, total = _exponentials(logit)
+            inner[i] = right - np.log(total)
             if learn:
                 e /= total[:, None]
                 e[own, at] -= 1
-                grad["ww"][k], grad["bw"][k] = e.T @ xi, e.sum(0)
+                grad["ww"][k], grad["bw"][k] = e.T @ xi, np.ones(len(at), e.dtype) @ e
                 back[i] = e @ p["ww"][k]
     logp[order] += inner
     if learn:
@@ -163,21 +178,25 @@ def backward(p, ids, fresh, before, gates, dbefore):
     """Truncated backpropagation through a span, from the gradients of the states before each step."""
     steps, n = ids.shape
     k = HIDDEN
-    dg, drec = np.empty((steps, n, 3 * k), np.float32), np.empty((steps, n, 3 * k), np.float32)
-    z, r, new, rec = (gates[:, :, i * k : (i + 1) * k] for i in range(4))
-    # what the gradient of the state is multiplied by, for all steps at once
+    zr, new, rec = gates
+    z, r = zr[:, :, :k], zr[:, :, k:]
+    # what the gradient of the state is multiplied by for each part of the recurrent input, for all steps at once
+    by = np.empty((steps, n, 3, k), before.dtype)
     by_new = (1 - z) * (1 - new * new)
-    by_z, by_r = (before - new) * z * (1 - z), rec * r * (1 - r)
-    stays, dh, ut = ~fresh[:, :, None], np.zeros((n, k), np.float32), np.ascontiguousarray(p["u"].T)
+    by[:, :, 0], by[:, :, 1], by[:, :, 2] = (before - new) * z * (1 - z), by_new * rec * r * (1 - r), by_new * r
+    drec, after = np.empty((steps, n, 3, k), before.dtype), np.empty((steps, n, 1, k), before.dtype)
+    begins, dh, ut = fresh.any(1), np.zeros((n, k), before.dtype), np.ascontiguousarray(p["u"].T)
     for t in range(steps - 1, -1, -1):
-        now, out = dg[t], drec[t]
-        dnew = dh * by_new[t]
-        now[:, :k], now[:, k : 2 * k], now[:, 2 * k :] = dh * by_z[t], dnew * by_r[t], dnew
-        out[:, : 2 * k], out[:, 2 * k :] = now[:, : 2 * k], dnew * r[t]
-        dh = dh * z[t] + out @ ut + dbefore[t]
-        if fresh[t].any():
-            dh *= stays[t]
+        after[t, :, 0] = dh
+        np.multiply(after[t], by[t], out=drec[t])
+        dh = dh * z[t]
+        dh += drec[t].reshape(n, -1) @ ut
+        dh += dbefore[t]
+        if begins[t]:
+            dh *= ~fresh[t][:, None]
     du = before.reshape(-1, k).T @ drec.reshape(-1, 3 * k)
+    dg = drec
+    dg[:, :, 2] = after[:, :, 0] * by_new
     flat, x = dg.reshape(-1, 3 * k), ids.ravel()
     e = p["emb"][x]
     de = flat @ p["wi"].T
