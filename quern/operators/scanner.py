@@ -28,7 +28,7 @@ _LEXERS = {
     "javascript": _JS, "typescript": _JS, "tsx": _JS,
     "go": _lexer([_LINE, _BLOCK], [r"`[^`]*(?:`|\Z)", _DQ, _CHAR]),
     "rust": _lexer([_LINE, r"(?P<nest>/\*)"], [r'b?r(?P<hash>#*)".*?(?:"(?P=hash)|\Z)', r'"(?:\\.|[^"\\])*(?:"|\Z)', _CHAR]),
-    "c_sharp": _lexer([_LINE, _BLOCK], [r'\$*"""(?:.*?)(?:"""|\Z)', r'(?:@\$?|\$@)"(?:""|[^"])*(?:"|\Z)', _DQ, _CHAR]),
+    "c_sharp": _lexer([_LINE, _BLOCK], [r'\$*"""(?:.*?)(?:"""|\Z)', r'(?:@\$?|\$@)"(?:""|[^"])*(?:"|\Z)', r"\$?" + _DQ, _CHAR]),
     "java": _lexer([_LINE, _BLOCK], [_TRIPLE, _DQ, _CHAR]),
     "c": _lexer([_LINE, _BLOCK], [_DQ, _CHAR]),
     "cpp": _lexer([_LINE, _BLOCK], [r'R"(?P<mark>[^\s()\\]{0,16})\(.*?(?:\)(?P=mark)"|\Z)', _DQ, _CHAR]),
@@ -79,8 +79,41 @@ def _template(source: str, at: int) -> int:
     return n
 
 
+#: What begins and ends code within a string, and the strings that may hold some.
+_CODE_IN = {
+    **dict.fromkeys(("javascript", "typescript", "tsx"), (re.compile(r"`"), "${", "}")), "kotlin": (re.compile('"'), "${", "}"), "swift": (re.compile('"'), "\\(", ")"),
+    "python": (re.compile("[rRbBuU]?[fFtT]"), "{", "}"), "c_sharp": (re.compile(r"@?\$"), "{", "}"),
+}
+_PART = re.compile(r"[(){}\[\]]")
+
+
+def _blank_string(literal: str, language: str) -> str:
+    """A string as quotes, but for the code that it holds, which stands in parentheses."""
+    blank = lambda s: re.sub(r"[^\n]", '"', s)
+    kind, opens, closes = _CODE_IN.get(language, (None, "", ""))
+    if kind is None or not kind.match(literal) or opens not in literal:
+        return blank(literal)
+    out, at = [], 0
+    while (i := literal.find(opens, at)) >= 0:
+        begin = i + len(opens)
+        doubled = opens == "{" and literal[begin : begin + 1] == "{"
+        escaped = opens != "\\(" and literal[:i].endswith("\\") and language != "c_sharp"
+        if doubled or escaped:
+            out.append(blank(literal[at : begin + doubled]))
+            at = begin + doubled
+            continue
+        inner, _, _ = mask(literal[begin:], language)
+        depth = 1
+        end = next((m.start() for m in _PART.finditer(inner) if (depth := depth + (1 if m[0] in "({[" else -1)) == 0), -1)
+        if end < 0 or literal[begin + end] != closes:
+            break
+        out += [blank(literal[at : begin - 1]), "(", inner[:end], ")"]
+        at = begin + end + 1
+    return "".join([*out, blank(literal[at:])])
+
+
 def mask(source: str, language: str) -> tuple[str, list[Comment], list[tuple[int, int]]]:
-    """The source with comments as spaces and strings as quotes (line ends stay), the comments, and the strings' spans."""
+    """The source with comments as spaces and strings as quotes (line ends, and code within strings, stay), the comments, and the strings' spans."""
     out, at, comments, strings = [], 0, [], []
     lexer = _LEXERS[language]
     blank = lambda s, fill: re.sub(r"[^\n]", fill, s)
@@ -99,7 +132,7 @@ def mask(source: str, language: str) -> tuple[str, list[Comment], list[tuple[int
             out.append(blank(source[start:end], " "))
         else:
             strings.append((start, end))
-            out.append(blank(source[start:end], '"'))
+            out.append(_blank_string(source[start:end], language))
         at = end
     out.append(source[at:])
     return "".join(out), comments, strings
@@ -286,7 +319,7 @@ class _Braces:
         del assigned
         return end, -1
 
-    def scan(self, at: int, end: int, chain: str, in_class: bool) -> None:
+    def scan(self, at: int, end: int, chain: str, in_class: bool | str) -> None:
         t, f = self.t, self.f
         while at < end:
             while at < end and (t[at].isspace() or t[at] in ";,)]"):
@@ -393,7 +426,7 @@ class _Braces:
         body = brace if brace >= 0 else max(at, stop - 1)
         self.emit("class_signature", name, chain, at, begin + past, body, bool(past))
         if brace >= 0:
-            self.scan(brace + 1, close, f"{chain}::{name}" if chain else name, True)
+            self.scan(brace + 1, close, f"{chain}::{name}" if chain else name, "class")
         return after
 
     def callable(self, head: str, begin: int, brace: int, in_class: bool, chain: str) -> str:
@@ -405,6 +438,8 @@ class _Braces:
             self.receiver = m["receiver"] if lang == "go" else None
             return m[m.lastindex]
         if lang in _METHOD and (in_class or lang == "c_sharp" and brace >= 0) and (m := _METHOD[lang].match(head)):
+            if lang in _JS_LIKE and brace < 0 and in_class == "class" and m[1] not in _NOT_CALLABLE:
+                self.names.add(begin + m.start(1))  # a signature: no block, and no call
             if m[1] in _NOT_CALLABLE or (lang in _JS_LIKE and brace < 0) or re.search(r"(?<![=!<>])=(?![=>])", head[: m.end()]):
                 return ""
             if brace < 0 and not (chain and re.search(r"\)\s*(?:throws\b[^;]*|=>.*|where\b.*)?$", head, re.S)):
@@ -490,6 +525,8 @@ _BEFORE_CALL = frozenset(
     "return else throw await new case do in yield not and or is if elif while go defer assert print raise lambda from import delete typeof of when match async try unsafe mut ref move default where until void throws rethrows let".split()
 )
 _DEFINERS = frozenset("def class function func fun fn macro struct trait impl enum interface record".split())
+#: Bodies that hold signatures of methods, but no calls.
+_TYPE_BODY = re.compile(r"\b(?:interface\s+[\w$][^{};=]*|type\s+[\w$][^{};=]*=\s*)\{")
 _NAME_BACK = re.compile(r"[\w$]")
 _BRACED_DEFINITION = frozenset(("javascript", "typescript", "tsx", "java", "c", "cpp", "c_sharp"))
 
@@ -503,6 +540,11 @@ def _callee_start(f: File, end: int) -> int:
             j -= 1
         c = t[j - 1] if j else ""
         if need:
+            if c == "}" and j < i + 1 and f.language in ("kotlin", "swift") and (j - 1) in f.pair and i < end:  # a trailing lambda
+                i = f.pair[j - 1]
+                while i > 0 and t[i - 1] in " \t":
+                    i -= 1
+                continue
             if c in ")]" and c and (j - 1) in f.pair:
                 i = f.pair[j - 1]
                 need = c == ")" and i > 0 and bool(_NAME_BACK.match(t[i - 1])) or c == "]"
@@ -517,7 +559,7 @@ def _callee_start(f: File, end: int) -> int:
                 continue
             return i
         for op in ("?.", "!!.", "!.", "::", "->", "."):
-            if t[max(0, j - len(op)) : j] == op:
+            if t[max(0, j - len(op)) : j] == op and (op != "->" or f.language in ("c", "cpp")):
                 i, need = j - len(op), True
                 break
         else:
@@ -525,6 +567,33 @@ def _callee_start(f: File, end: int) -> int:
     return i
 
 
+_ACCESSORS = frozenset("get set init deinit constructor subscript".split())
+#: Words before a brace that are no callee, and those that begin a statement whose last word is none.
+_NO_LAMBDA = frozenset("else try do init get set willSet didSet finally defer repeat catch object companion when static deinit subscript in is as where".split())
+_HEADERS = frozenset("if while for guard switch catch func fun class struct enum extension protocol actor interface object typealias case".split())
+
+
+def _lambda_calls(f: File) -> list[tuple[int, int, str]]:
+    """Calls whose only argument is a trailing lambda: a name or a path of names right before a brace."""
+    t, out = f.text, []
+    for m in re.finditer(r"[\w)\]][ \t]*\{", t):
+        brace, end = m.end() - 1, m.start() + 1
+        if t[end - 1] in ")]":
+            continue  # with parentheses it is a call already, or the head of a definition
+        start = _callee_start(f, end)
+        whole = t[start:end].strip()
+        if start >= end or t[start] in '"0123456789' or whole in _NO_LAMBDA or not re.match(r"[\w$(]", whole):
+            continue
+        head = re.split(r"[\n;{}]", t[max(0, start - 200) : start])[-1].strip()
+        first, prior = re.match(r"\w*", head)[0], re.search(r"(\w+|->|\W)?$", head)[0]
+        if prior == ":" or (prior == "->" and f.language == "swift") or (first in _HEADERS and (f.language == "swift" or prior[-1:] not in "=)")):
+            continue
+        if re.fullmatch(r"\w+", prior) and prior not in ("return", "throw", "try", "await"):
+            continue
+        out.append((start, -brace, f.source[start:end].strip()))
+    return out
+
+
 def calls(source: str, language: str) -> list[tuple[str, int, str]]:
     """(callee, line, preview) of the call sites, outer calls before inner ones."""
     f = File(source, language)
@@ -534,6 +603,7 @@ def calls(source: str, language: str) -> list[tuple[str, int, str]]:
         walk = _Braces(f)
         walk.scan(0, len(t), "", False)
         named = walk.names
+    types = [(m.end(), f.pair.get(m.end() - 1, len(t))) for m in _TYPE_BODY.finditer(t)] if language in ("typescript", "tsx") else []
     out: list[tuple[int, int, str]] = []
     for m in re.finditer(r"\(", t):
         at = end = m.start()
@@ -557,7 +627,11 @@ def calls(source: str, language: str) -> list[tuple[str, int, str]]:
         if not end or not (_NAME_BACK.match(t[end - 1]) or t[end - 1] in ")]"):
             continue
         start = _callee_start(f, end)
-        if start >= end or t[start] in '"0123456789':
+        if start >= end or t[start] in "0123456789" or t[end - 1] == '"':
+            continue
+        if t[start] == '"' and (k := bisect_right(f.strings, (start, len(t))) - 1) >= 0:
+            start = f.strings[k][0]  # a method of a string
+        if any(a < start < b for a, b in types):
             continue
         if re.fullmatch(r"\s*[(\[].*[)\]]\s*", t[start:end], re.S) and start in f.pair and f.pair[start] == end - 1:
             continue
@@ -567,7 +641,11 @@ def calls(source: str, language: str) -> list[tuple[str, int, str]]:
         first = re.match(r"[\w$]+", t[start:end])
         word = first[0] if first else ""
         whole = t[start:end].strip()
-        if whole in _NOT_CALLED or (word in ("if", "while", "for", "switch", "return") and word == whole):
+        if whole == "async" and language in _JS_LIKE and re.match(r"\s*(?::[^;{}]*?)?=>", t[f.pair.get(at, at) + 1 :][:200]):
+            continue
+        if language in ("kotlin", "swift") and whole in _ACCESSORS and re.match(r"[^{}=;\n]*[{=]", t[f.pair.get(at, at) + 1 :][:200]):
+            continue
+        if (whole in _NOT_CALLED and (whole, language) != ("with", "kotlin")) or (word in ("if", "while", "for", "switch", "return") and word == whole):
             continue
         before = re.search(r"([\w$]+|[*&>\]])\s*$", t[max(0, start - 80) : start])
         prior = before[1] if before else ""
@@ -585,6 +663,8 @@ def calls(source: str, language: str) -> list[tuple[str, int, str]]:
         if language == "java" and whole in ("this", "super"):
             continue
         out.append((start, -at, f.source[start:end].strip()))
+    if language in ("kotlin", "swift"):
+        out += _lambda_calls(f)
     if language in _JS_LIKE:
         for m in re.finditer(r"\bnew\s+([\w$.]+)(?![\w$.]|\s*[(<])", t):
             out.append((m.start(), 0, f.source[m.start(1) : m.end(1)]))

@@ -149,3 +149,28 @@ def test_new_counts_as_a_call():
 
 def test_nested_calls_come_outer_first():
     assert [c[0] for c in calls("a.b().c(d(1), e[0].f(2))\n", "python")] == ["a.b().c", "a.b", "d", "e[0].f"]
+
+
+def found(source, language):
+    return [c[0] for c in calls(source, language)]
+
+
+def test_calls_within_strings_and_on_them():
+    assert found('x = f"{a.b(c(1))} {{no()}} {d:>{e(2)}}"\ny = ", ".join(z)\nw = f\'{v}\'.strip()\ns = "no()"\n', "python") == ["a.b", "c", "e", '", ".join', "f'{v}'.strip"]
+    assert found("t = `a ${f(`b ${g(1)}`)} h() \\${no()}`;\n", "typescript") == ["f", "g"]
+    assert found('val a = "${f(1)} g(2)" + "b".trim()\n', "kotlin") == ["f", '"b".trim'] and found('let a = "\\(f(1)) g(2)"\n', "swift") == ["f"]
+    assert found('class A { void M() { var a = $"{F(1)} {{G(2)}}"; var b = "G(3)".Trim(); } }\n', "c_sharp") == ["F", '"G(3)".Trim']
+
+
+def test_signatures_are_no_calls():
+    source = "abstract class A {\n  abstract area(): number;\n  run(x: number): void;\n  run(x: any) { f(x); }\n}\ninterface S { g(): void; h(k(): x): y }\ntype T = { go(): void };\nconst l = async (q: Q): Promise<R> => q.load();\nasync(1);\nconst p = c ? q(1) : r(2);\nm.e = function () { s(1); };\n"
+    assert found(source, "typescript") == ["f", "q.load", "async", "q", "r", "s"]
+    assert found("class A {\n  val x: Int get() = y()\n  constructor(a: B) { z() }\n}\n", "kotlin") == ["y", "z"]
+    assert found("struct S {\n  init(a: B) { z() }\n  func f() { self.init(a: g()) }\n}\n", "swift") == ["z", "self.init", "g"]
+
+
+def test_trailing_lambdas_are_calls():
+    kotlin = "class A : B {\n  init { s() }\n  fun go() = run { items.map { x -> f(x) }.filter { it > 1 } }\n  fun h(): Int {\n    if (ok) retry { 1 } else { 2 }\n    try { a() } finally { b() }\n    val z = lazy { 3 }\n    when (x) { 1 -> other { } }\n    return with(x) { y }\n  }\n  companion object { }\n}\nobject N { }\n"
+    assert found(kotlin, "kotlin") == ["s", "run", "items.map { x -> f(x) }.filter", "items.map", "f", "retry", "a", "b", "lazy", "other", "with"]
+    swift = "struct S: P {\n  var x: Int { return 1 }\n  func f() -> Int {\n    if flag { a() } else { b() }\n    for i in items { c(i) }\n    guard ok else { return 1 }\n    let v = items.map { $0 + 1 }\n    queue.async { self.done() }\n    switch x { case 1: break }\n    return v.reduce(0) { $0 }\n  }\n  deinit { }\n}\nextension S { }\n"
+    assert found(swift, "swift") == ["a", "b", "c", "items.map", "queue.async", "self.done", "v.reduce"]
