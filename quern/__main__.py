@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import argparse
 import sys
-import tempfile
 
 from pyspark.sql import SparkSession
 
 from quern.api import Workspace
 from quern.operators.models import PRECISIONS
+from quern.plans.indexing import IndexStats
 from quern.plans.search import MODES
 from quern.streaming.watch import watch
 
@@ -28,16 +28,22 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
+def log_line(s: IndexStats) -> str | None:
+    """What a watch says about a run; nothing if it changed nothing."""
+    return f"indexed {s.chunks} chunks, {s.deleted} files deleted, {s.total} chunks in all" if s.chunks or s.deleted else None
+
+
 def main(arguments: list[str] | None = None) -> int:
     a = parser().parse_args(arguments)
     w = Workspace(SparkSession.builder.appName("quern").getOrCreate(), a.roots, a.index, precision=a.precision)
     if a.tool == "watch":
 
         def tell(s) -> None:
-            if s.chunks or s.deleted:
-                print(f"indexed {s.chunks} chunks, {s.deleted} files deleted, {s.total} chunks in all", file=sys.stderr, flush=True)
+            if line := log_line(s):
+                print(line, file=sys.stderr, flush=True)
 
-        watch(w.spark, w.indexer, tempfile.mkdtemp(prefix="quern-watch-"), tell).awaitTermination()
+        # beside the index, so that a restart goes on where the last run ended
+        watch(w.spark, w.indexer, f"{w.indexer.store.path}/_watch", tell, lock=w.lock).awaitTermination()
         return 0
     more = {"limit": a.limit} if a.limit else {}
     calls = {

@@ -189,16 +189,19 @@ _LOCATION = f"struct<uri: string, targetUri: string, range: {_RANGE}, targetSele
 def parse_locations(result: Column) -> Column:
     """Locations or location links, one or a list, as (file, start_line, start_character, end_line, end_character).
 
-    Lines become 1-based. What has no address or range is left out; no result gives an empty list.
+    Lines become 1-based. What has no address or start is left out, a range without its end ends where it starts;
+    no result gives an empty list.
     """
     text = F.trim(F.coalesce(result, F.lit("[]")))
     many = F.from_json(F.when(text.startswith("["), text).otherwise(F.concat(F.lit("["), text, F.lit("]"))), f"array<{_LOCATION}>")
 
     def one(x: Column) -> Column:
         span = F.coalesce(x["range"], x["targetSelectionRange"], x["targetRange"])
+        first, zero = span["start"], F.lit(0)
+        last = F.when(span["end"]["line"].isNull(), first).otherwise(span["end"])
         return F.struct(
-            uri_to_path(F.coalesce(x["uri"], x["targetUri"])).alias("file"), (span["start"]["line"] + 1).alias("start_line"), span["start"]["character"].alias("start_character"),
-            (span["end"]["line"] + 1).alias("end_line"), span["end"]["character"].alias("end_character"),
+            uri_to_path(F.coalesce(x["uri"], x["targetUri"])).alias("file"), (first["line"] + 1).alias("start_line"), F.coalesce(first["character"], zero).alias("start_character"),
+            (last["line"] + 1).alias("end_line"), F.coalesce(last["character"], zero).alias("end_character"),
         )
 
     found = F.transform(F.coalesce(many, F.array().cast(f"array<{_LOCATION}>")), one)
@@ -208,7 +211,8 @@ def parse_locations(result: Column) -> Column:
 def hover_text(contents: Column) -> Column:
     """Hover contents as text: a string, an object with a value, or a list of these by lines."""
     v = F.try_parse_json(contents)
-    single = lambda x: F.coalesce(F.try_variant_get(x, "$.value", "string"), F.try_variant_get(x, "$", "string"))
+    plain = lambda x: F.when(~F.schema_of_variant(x).startswith("OBJECT"), F.try_variant_get(x, "$", "string"))
+    single = lambda x: F.coalesce(F.try_variant_get(x, "$.value", "string"), plain(x), F.lit(""))
     many = F.transform(F.try_variant_get(v, "$", "array<variant>"), single)
     listed = F.schema_of_variant(v).startswith("ARRAY")
     return F.when(v.isNull(), F.lit("")).otherwise(F.when(listed, F.array_join(many, "\n")).otherwise(F.coalesce(single(v), F.lit(""))))

@@ -112,4 +112,4 @@ def query(index: Index, text: str, limit: int | None = KEYWORD_LIMIT, allowed: D
         hit = hit.join(allowed.select("id"), "id", "left_semi")
     hit = hit.join(index.lengths, "id").crossJoin(F.broadcast(index.totals))
     part = F.col("times") * idf(F.col("n"), F.col("df")) * weight(F.col("tf"), F.col("dl"), F.col("avg_len"))
-    return ranked(hit.groupBy("id").agg(F.sum(part).alias("score")).where("score > 0"), "id", limit)
+    return ranked(hit.groupBy("id").agg(F.round(F.sum(part), 9).alias("score")).where("score > 0"), "id", limit)

@@ -63,7 +63,7 @@ class Searcher:
                 code = lambda v: quantize_int8(v, spread)
             vector = one.select(code(F.col("v")).alias("v")).first()["v"]
         where = F.col("repo") == repo if repo else None
-        return vector_top_k(rows.select("id", "repo", "embedding"), vector, limit=limit, where=where).drop("repo")
+        return vector_top_k(rows.select("id", "repo", "embedding"), vector, limit=limit, where=where, digits=6).drop("repo")
 
     def keyword(self, query: str, limit: int, repo: str | None = None) -> DataFrame:
         """BM25 top-k; term statistics are those of all repos."""

@@ -1,7 +1,7 @@
 """The registered queries over the given tables, and the same results in DuckDB SQL.
 
 The tables hold prose and a star schema, so documents stand for files and blocks, sources for repositories,
-hosts for dotted symbols, and so on; extraction from source code is covered by tests.
+hosts for dotted symbols, and so on; `code_queries` has those over source code, indexes and messages.
 """
 
 from __future__ import annotations
@@ -311,9 +311,9 @@ def _chunks_sql(name: str, each: str) -> str:
 _ID = "base || CASE WHEN nth > 1 THEN '#' || nth ELSE '' END AS id"
 
 
-def _chunks(spark, sf_dir, name, by_id):
+def _chunks(spark, sf_dir, name, each="''"):
     d = _table(spark, sf_dir, "documents")
-    name = F.concat(F.lit(name), F.col("doc_id").cast("string")) if by_id else F.lit(name)
+    name = F.concat(F.lit(name), F.expr(each).cast("string"))
     blocks = d.select(
         F.col("source").alias("repo"), F.concat(F.lit("docs/"), "lang", F.lit(".txt")).alias("file"), F.col("lang").alias("language"), F.lit("function").alias("block_type"), name.alias("name"),
         F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.concat(F.lit("C"), (F.col("doc_id") % 5).cast("string"))).alias("class_chain"), F.lit(1).alias("start_line"), F.lit(1).alias("end_line"),
@@ -324,7 +324,7 @@ def _chunks(spark, sf_dir, name, by_id):
 
 @query(f"WITH {_chunks_sql('doc', 'doc_id')} SELECT {_ID}, start_line::INTEGER AS start_line, end_line::INTEGER AS end_line, sha256(code) AS content_hash FROM k")
 def chunk_split(spark, sf_dir):
-    return _chunks(spark, sf_dir, "doc", True).select("id", "start_line", "end_line", "content_hash")
+    return _chunks(spark, sf_dir, "doc", "doc_id").select("id", "start_line", "end_line", "content_hash")
 
 
 @query(
@@ -332,12 +332,12 @@ def chunk_split(spark, sf_dir):
     " || CASE WHEN doc <> '' THEN 'Docstring: ' || doc || chr(10) ELSE '' END || 'Code:' || chr(10) || code) AS document_hash FROM k"
 )
 def chunk_documents(spark, sf_dir):
-    return _chunks(spark, sf_dir, "doc", True).select("id", content_hash(F.col("document")).alias("document_hash"))
+    return _chunks(spark, sf_dir, "doc", "doc_id").select("id", content_hash(F.col("document")).alias("document_hash"))
 
 
 @query(f"WITH {_chunks_sql('overload', chr(39) * 2)} SELECT {_ID}, sha256(code) AS content_hash FROM k")
 def chunk_ids_repeated(spark, sf_dir):
-    return _chunks(spark, sf_dir, "overload", False).select("id", "content_hash")
+    return _chunks(spark, sf_dir, "overload").select("id", "content_hash")
 
 
 @query("SELECT doc_id, sha256(text) AS sha256 FROM documents")

@@ -1,4 +1,4 @@
-"""Source trees as tables: a Python data source for batch and streaming reads, with ignore rules."""
+"""Source trees as tables: Python data sources for their files and for changes of them, with ignore rules."""
 
 from __future__ import annotations
 
@@ -97,7 +97,7 @@ def in_ignored_dir(path: Column) -> Column:
 # --- scan ---------------------------------------------------------------------------------
 
 
-def _rules_of(root: Path) -> list[tuple[str, bool]]:
+def rules_of(root: Path) -> list[tuple[str, bool]]:
     try:
         return ignore_rules((root / ".gitignore").read_text("utf-8", "replace"))
     except OSError:
@@ -110,7 +110,7 @@ def language_by_name(name: str) -> str | None:
 
 def walk(root: Path, below: str = "", deep: bool = True) -> Iterator[tuple[str, os.stat_result]]:
     """(path below the root, stat) of the files that a scan takes; ignored directories are not entered."""
-    rules = _rules_of(root)
+    rules = rules_of(root)
     for folder, names, files in os.walk(root / below):
         here = Path(folder).relative_to(root).as_posix()
         prefix = "" if here == "." else f"{here}/"
@@ -158,7 +158,7 @@ class _Reader(DataSourceReader):
         """The files of a root itself, and each of its directories."""
         out = []
         for r in map(Path, self.roots):
-            repo, rules = _repo_name(r, len(self.roots) > 1), _rules_of(r)
+            repo, rules = _repo_name(r, len(self.roots) > 1), rules_of(r)
             out.append(_Part(repo, str(r), "", False))
             if r.is_dir():
                 out += [_Part(repo, str(r), d.name, True) for d in sorted(r.iterdir()) if d.is_dir() and d.name not in IGNORED_DIRS and not (rules and is_ignored(d.name + "/", rules))]
@@ -168,38 +168,62 @@ class _Reader(DataSourceReader):
         yield from _rows(partition.repo, Path(partition.root), partition.below, partition.deep)
 
 
-class _StreamReader(SimpleDataSourceStreamReader):
-    """A batch whenever the listing (paths, sizes, times) is another one; it holds the whole listing.
+class _ChangeReader(SimpleDataSourceStreamReader):
+    """A batch of changed paths whenever there are some since the last look; at first, all paths.
 
-    Deletions move the offset too, as it is a fingerprint of the listing.
+    The offset counts looks at a listing that differs from the one before. What was seen last is kept by the
+    reader, so that a restarted query begins with all paths again.
     """
 
     def __init__(self, roots: list[Path]):
-        self.roots = roots
-
-    def _listing(self) -> tuple[str, list]:
-        import hashlib
-
-        found = [(_repo_name(r, len(self.roots) > 1), r, path, s) for r in self.roots for path, s in walk(r)]
-        mark = hashlib.sha256("\n".join(f"{repo}|{path}|{s.st_size}|{s.st_mtime_ns}" for repo, _, path, s in found).encode()).hexdigest()
-        return mark, found
+        self.roots, self.seen, self.last = roots, {}, []
+
+    def _listing(self) -> dict[str, tuple]:
+        out = {}
+        for root in self.roots:
+            for folder, names, files in os.walk(root):
+                names[:] = sorted(n for n in names if n not in IGNORED_DIRS)
+                for name in files:
+                    try:
+                        s = os.stat(os.path.join(folder, name))
+                    except OSError:
+                        continue
+                    out[Path(folder, name).as_posix()] = (s.st_size, s.st_mtime_ns)
+        return out
 
     def initialOffset(self):
-        return {"listing": ""}
+        return {"look": 0}
 
     def read(self, start):
-        mark, found = self._listing()
-        if mark == start["listing"]:
+        now, old = self._listing(), self.seen
+        changed = [(p, "modified" if p in old else "added") for p, s in now.items() if old.get(p) != s] + [(p, "deleted") for p in old if p not in now]
+        if not changed:
             return iter(()), start
-        return iter([(repo, path, s.st_size, s.st_mtime, language_by_name(path), b"") for repo, _, path, s in found]), {"listing": mark}
+        self.seen, self.last = now, changed
+        return iter(changed), {"look": start["look"] + 1}
 
     def readBetweenOffsets(self, start, end):
-        return iter([(repo, path, s.st_size, s.st_mtime, language_by_name(path), b"") for repo, _, path, s in self._listing()[1]])
+        """A batch cut off is given again; after a restart, as all paths there are."""
+        return iter(self.last or [(p, "added") for p in self._listing()])
 
     def commit(self, end):
         pass
 
 
+class ChangeSource(DataSource):
+    """spark.readStream.format("workspace-changes").option("roots", ...): path and change of files, of any kind and rule."""
+
+    @classmethod
+    def name(cls):
+        return "workspace-changes"
+
+    def schema(self):
+        return "path string, change string"
+
+    def simpleStreamReader(self, schema):
+        return _ChangeReader(resolve_roots(self.options.get("roots") or self.options.get("path")))
+
+
 class WorkspaceSource(DataSource):
     """spark.read.format("workspace").option("roots", ...): FILES rows of source trees."""
 
@@ -216,9 +240,6 @@ class WorkspaceSource(DataSource):
     def reader(self, schema):
         return _Reader(self._roots())
 
-    def simpleStreamReader(self, schema):
-        return _StreamReader(self._roots())
-
 
 def read_workspace(spark: SparkSession, roots=None) -> DataFrame:
     """repo (the root's name if there are several, else empty), file, size, mtime, language, content."""

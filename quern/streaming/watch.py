@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextlib import nullcontext
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from quern.functions.text import language_of
 from quern.plans.indexing import Indexer, IndexStats
-from quern.sources.workspace import WorkspaceSource, ignored, in_ignored_dir
+from quern.sources.workspace import ChangeSource, ignored, in_ignored_dir, rules_of
 
 DEBOUNCE = "500 milliseconds"
 
@@ -46,19 +47,24 @@ def debounced(events: DataFrame, gap: str = DEBOUNCE, by: tuple[str, ...] = (),
     return stream.groupBy(*by, window).agg(F.count("*").alias("n")).select(*by, F.col("session_window.start").alias("first"), F.col("session_window.end").alias("last"), "n")
 
 
-def watch(spark: SparkSession, indexer: Indexer, checkpoint: str, on_indexed: Callable[[IndexStats], None] | None = None, once: bool = False, interval: str = DEBOUNCE) -> StreamingQuery:
-    """Indexes the roots now and after every change of their listing; stop() the query to end.
+def watch(spark: SparkSession, indexer: Indexer, checkpoint: str, on_indexed: Callable[[IndexStats], None] | None = None, once: bool = False, interval: str = DEBOUNCE, lock=None) -> StreamingQuery:
+    """Indexes the roots now and after every change that matters; stop() the query to end.
 
-    A batch carries the listing only: the diff inside decides what is read and parsed, as for any index run, so a
-    batch that is replayed does nothing new. Batches run one at a time, so there is one writer.
+    A batch carries changed paths. Those that matter (see `relevant`; ignore rules are read anew) start an index run,
+    whose diff decides what is read and parsed, so a batch that is replayed does nothing new. Batches run one at a
+    time, and each holds `lock` (that of the tools, if given), so there is one writer.
     """
-    spark.dataSource.register(WorkspaceSource)
-    listing = spark.readStream.format("workspace").option("roots", ",".join(map(str, indexer.roots))).load()
+    spark.dataSource.register(ChangeSource)
+    changes = spark.readStream.format("workspace-changes").option("roots", ",".join(map(str, indexer.roots))).load()
+    roots = {str(r): r for r in indexer.roots}
 
     def run(batch: DataFrame, number: int) -> None:
-        stats = indexer.index()
+        if relevant(batch, list(roots), {name: rules_of(r) for name, r in roots.items()}).isEmpty():
+            return
+        with lock or nullcontext():
+            stats = indexer.index()
         if on_indexed:
             on_indexed(stats)
 
-    writer = listing.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+    writer = changes.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=interval)).start()

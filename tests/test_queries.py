@@ -3,7 +3,7 @@
 import pytest
 from helpers import DATA, same_rows
 
-from quern.queries import QUERIES, SQL
+from quern.code_queries import QUERIES, SQL
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
