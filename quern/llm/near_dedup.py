@@ -3,8 +3,12 @@
 The search follows Christiani, Pagh and Sivertsen's chosen-path trees. Every document has TOKENS minwise
 tokens; a node of a tree picks a few token places at random, and its documents go to a child for each
 picked place and token value there, so that similar documents tend to travel together. Nodes of at most
-LEAF documents are compared exhaustively; independent trees repeat this until a link at the threshold
-is found with the probability RECALL.
+LEAF documents are compared exhaustively; trees repeat this until a link at the threshold is found with the
+probability RECALL.
+
+Groups that are larger (copies of one page, say) are connected by pivots first: all members meet a few of them,
+and only members that are still apart from the largest part of their group then meet all the others. What hangs
+together is the same as if all pairs were compared, as pairs within one part need no comparison.
 """
 
 from __future__ import annotations
@@ -20,8 +24,9 @@ from quern.llm.common import Words, drop, mix64, pieces, small_batches, store, t
 from quern.llm.components import components, local_labels
 
 WIDTH, PERCENT, TOKENS, LEAF, RECALL = 5, 75, 64, 1024, 0.9999
-#: Documents and shingles of a block when a large group is compared block by block.
-BLOCK_DOCS, BLOCK_SHINGLES = 512, 1 << 20
+#: Documents and shingles of a block when a large group is compared block by block; pivots of a group, and how
+#: often those that are still apart get new ones.
+BLOCK_DOCS, BLOCK_SHINGLES, PIVOTS, TURNS = 512, 1 << 20, 4, 3
 _RNG = np.random.default_rng(771)
 _PLACE = _RNG.integers(0, 2**63, WIDTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _XOR = _RNG.integers(0, 2**32, 512, dtype=np.uint32)
@@ -80,17 +85,33 @@ def _describe(tokens: int):
     return run
 
 
-def reached(depth: int, threshold: float) -> float:
-    """The probability that two documents at the threshold share a node at a depth of a tree."""
-    one, p = 1 - (1 / threshold - 1), 1.0
+def reached(depth: int, threshold: float, agreement: float | None = None) -> float:
+    """The probability that two documents share a node at a depth of a tree, by the share of tokens they agree in."""
+    one, p, same = 1 - (1 / threshold - 1), 1.0, threshold if agreement is None else agreement
     for _ in range(depth):
-        apart = 1 - threshold * p
+        apart = 1 - same * p
         p = 1 - (one * apart + (1 - one) * apart * apart)
     return p
 
 
-def trees_for(recall: float, threshold: float, depth: int) -> int:
-    return math.ceil(math.log(1 - recall) / math.log(1 - reached(depth, threshold)))
+def least_agreement(threshold: float, tokens: int) -> int:
+    """Tokens in which documents have to agree to be compared on full sets: four deviations below those expected."""
+    return max(1, math.floor(tokens * (threshold - 4 * math.sqrt(threshold * (1 - threshold) / tokens))))
+
+
+def recall_of(trees: int, threshold: float, depth: int, tokens: int = TOKENS) -> float:
+    """The probability that a link at the threshold is found: all trees read the same tokens, so the mean is taken
+    over the number of tokens in which the two documents agree; too few of them are not compared."""
+    chance = lambda k: math.comb(tokens, k) * threshold**k * (1 - threshold) ** (tokens - k)
+    return sum(chance(k) * (1 - (1 - reached(depth, threshold, k / tokens)) ** trees) for k in range(least_agreement(threshold, tokens), tokens + 1))
+
+
+def trees_for(recall: float, threshold: float, depth: int, tokens: int = TOKENS) -> int:
+    """The fewest trees with this recall, or those beyond which 40 more would not add a tenth of what is missing."""
+    n = 1
+    while recall_of(n, threshold, depth, tokens) < recall and 1 - recall_of(n, threshold, depth, tokens) > 1.1 * (1 - recall_of(n + 40, threshold, depth, tokens)):
+        n += 1
+    return n
 
 
 def depth_for(n: int, leaf: int) -> int:
@@ -153,7 +174,7 @@ def _leaves(tokens: int, least: int):
 
     def run(batches):
         for x in _runs(batches, ["node", "i", "j"]):
-            sig = np.frombuffer(b"".join(x["sig"]), np.uint32).reshape(-1, tokens)
+            sig = np.frombuffer(b"".join(x["data"]), np.uint32).reshape(-1, tokens)
             ids, a, b = x["id"].to_numpy(), [], []
             key = x[["node", "i", "j"]].to_numpy()
             group = np.concatenate([[0], np.cumsum((key[1:] != key[:-1]).any(1))])
@@ -199,7 +220,7 @@ def _confirm(percent: int):
     def run(batches):
         for x in _runs(batches, ["node", "i", "j"]):
             key = x[["node", "i", "j"]].to_numpy()
-            ids, raw = x["id"].to_numpy(), x["set"].tolist()
+            ids, raw = x["id"].to_numpy(), x["data"].tolist()
             cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1), len(x)]
             u, v = [], []
             for lo, hi in zip(cuts, cuts[1:], strict=False):
@@ -219,22 +240,125 @@ def _sets(batches):
     for x in batches:
         texts = x["text"].tolist()
         for a, b in pieces(texts, 4 << 20):
-            part = x.iloc[a:b]
-            yield pd.DataFrame({c: part[c].to_numpy() for c in ("node", "blocks", "id")} | {"set": [s.tobytes() for s in shingle_sets(texts[a:b])]})
+            yield pd.DataFrame({"id": x["id"].to_numpy()[a:b], "data": [s.tobytes() for s in shingle_sets(texts[a:b])]})
+
+
+def _agree(tokens: int, least: int):
+    """Which pivots' tokens agree enough with a document's."""
+
+    def test(own: bytes, pivots: list[bytes]) -> np.ndarray:
+        sig = np.frombuffer(own, np.uint32)
+        return (np.frombuffer(b"".join(pivots), np.uint32).reshape(-1, tokens) == sig).sum(1) >= least
+
+    return test
 
 
-def _block_pairs(rows: DataFrame) -> DataFrame:
-    """Rows with `blocks` > 1 go to a task for each pair of blocks that theirs is in, by columns i <= j."""
-    b = F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("id", F.lit(17)), F.col("blocks"))).otherwise(F.lit(0))
-    rows = rows.withColumn("__b", b.cast("long"))
-    rows = rows.withColumn("__o", F.explode(F.when(F.col("blocks") > 1, F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)).otherwise(F.array(F.lit(0).cast("long")))))
-    return rows.withColumns({"i": F.least("__b", "__o"), "j": F.greatest("__b", "__o")}).drop("__b", "__o", "blocks")
+def _near(percent: int):
+    """Which pivots' sets are near a document's."""
+
+    def test(own: bytes, pivots: list[bytes]) -> np.ndarray:
+        a, out = np.frombuffer(own, np.uint64), []
+        for p in pivots:
+            b = np.frombuffer(p, np.uint64)
+            at = np.minimum(np.searchsorted(b, a), max(len(b) - 1, 0))
+            both = int((b[at] == a).sum()) if len(b) else 0
+            out.append(100 * both >= percent * (len(a) + len(b) - both))
+        return np.array(out)
+
+    return test
+
+
+def _meet(test):
+    """Links of documents with those of their group's pivots that the test takes."""
+
+    def run(batches):
+        for x in batches:
+            u, v = [], []
+            for i, own, pivots in zip(x["id"], x["data"], x["pivots"], strict=True):
+                hit = test(own, [p["data"] for p in pivots])
+                for p in np.flatnonzero(hit):
+                    if pivots[p]["id"] != i:
+                        u.append(i)
+                        v.append(pivots[p]["id"])
+            yield pd.DataFrame({"u": np.array(u, np.int64), "v": np.array(v, np.int64)})
+
+    return run
 
 
 def _by_group(rows: DataFrame) -> DataFrame:
     return rows.repartition("node", "i", "j").sortWithinPartitions("node", "i", "j")
 
 
+def _block(blocks: str) -> Column:
+    return F.pmod(F.xxhash64("id", F.lit(17)), F.col(blocks))
+
+
+def _every(blocks: str) -> Column:
+    return F.explode(F.sequence(F.lit(0).cast("long"), F.col(blocks) - 1))
+
+
+def connect(groups: DataFrame, payload: DataFrame, compare, test) -> DataFrame:
+    """Links (u, v) by which the members of each group hang together as they would by all their links.
+
+    groups: node, id, blocks (1: the group is compared in one task); payload: id, data. compare takes runs of (node,
+    i, j, id, data) and gives links by which all of a run hangs together; test(data, pivots' data) says which pivots
+    a document is linked with. Rows of groups of several blocks are moved a fixed number of times while pivots
+    connect them, and once for each block of those that stay apart.
+    """
+    kind, zero = "u long, v long", F.lit(0).cast("long")
+    one = groups.where("blocks = 1").select("node", zero.alias("i"), zero.alias("j"), "id")
+    few = one.count() <= 1_000_000  # 32 bytes a row: the broadcast is at most 32 MB
+    links = [store(_by_group(payload.join(F.broadcast(one) if few else one, "id")).mapInPandas(compare, kind), "links")]
+    large = store(groups.where("blocks > 1").select("node", "id", "blocks"), "large")
+    if large.isEmpty():
+        drop(large)
+        return links[0]
+    data = store(payload.join(large.select("id").distinct(), "id", "left_semi"), "payload")
+    sizes = store(large.groupBy("node").agg(F.count("*").alias("size")), "sizes")
+    rest = large
+    for turn in range(TURNS):
+        many = rest.groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK_DOCS)
+        if many.isEmpty():
+            break
+        # of those apart, a few by hash for each group
+        h = F.xxhash64("node", "id", F.lit(turn))
+        chosen = rest.join(many.select("node"), "node").groupBy("node", F.pmod(h, F.lit(PIVOTS)).alias("k")).agg(F.min(F.struct(h.alias("h"), "id")).alias("p"))
+        pivots = chosen.select("node", F.col("p.id").alias("id")).join(data, "id")
+        pivots = store(pivots.groupBy("node").agg(F.collect_list(F.struct("id", "data")).alias("pivots")), "pivots")  # PIVOTS at most
+        weight = pivots.select(F.coalesce(F.sum(F.aggregate("pivots", F.lit(0).cast("long"), lambda t, x: t + F.length(x["data"]))), F.lit(0))).first()[0]
+        each = large.join(data, "id").join(F.broadcast(pivots) if weight <= 64 << 20 else pivots, "node")
+        links.append(store(each.select("id", "data", "pivots").mapInPandas(_meet(test), kind), "links"))
+        drop(pivots, *([rest] if rest is not large else []))
+        rest = _apart(large, links[1:])
+    # those still apart meet all of their group, block by block
+    left = rest.groupBy("node").agg(F.count("*").alias("n"), F.max("blocks").alias("blocks")).join(sizes, "node")
+    left = store(left.select("node", F.ceil(F.col("n") * F.col("blocks") / F.col("size")).cast("long").alias("parts")), "left")
+    some = rest.select("node", "id", "blocks").join(left, "node").withColumn("i", _block("parts")).withColumn("j", _every("blocks"))
+    all_ = large.join(left, "node").withColumn("j", _block("blocks")).withColumn("i", _every("parts"))
+    met = some.select("node", "i", "j", "id").unionByName(all_.select("node", "i", "j", "id")).distinct()
+    links.append(store(_by_group(met.join(data, "id")).mapInPandas(compare, kind), "links"))
+    out = store(_union(links), "links")
+    drop(data, sizes, left, large, *([rest] if rest is not large else []), *links)
+    return out
+
+
+def _union(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
+    return out
+
+
+def _apart(large: DataFrame, links: list[DataFrame]) -> DataFrame:
+    """The members of each group that do not hang together with its largest part."""
+    labels = store(components(_union(links)).withColumnRenamed("node", "id"), "parts")
+    state = store(large.join(labels, "id", "left").select("node", "id", "blocks", F.coalesce("label", "id").alias("label")), "state")
+    main = store(state.groupBy("node", "label").agg(F.count("*").alias("n")).groupBy("node").agg(F.max(F.struct("n", "label")).alias("m")), "main")
+    rest = store(state.join(main, "node").where(F.col("label") != F.col("m.label")).select("node", "id", "blocks"), "rest")
+    drop(labels, state, main)
+    return rest
+
+
 def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
     """A row's name: a hash of its id and its text, either of which may be null."""
     return F.xxhash64(F.coalesce(F.col(id_col).cast("long"), F.lit(_ID)), F.col(text_col))
@@ -250,12 +374,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     small_batches(docs.sparkSession)
     threshold = percent / 100
-    least = max(1, math.floor(tokens * (threshold - 4 * math.sqrt(threshold * (1 - threshold) / tokens))))
+    least = least_agreement(threshold, tokens)
     slim = docs.select(F.coalesce(F.col(id_col), F.lit(_ID)).cast("long").alias("real"), row_key(id_col, text_col).alias("id"), F.col(text_col).alias("text"))
     all_docs = store(slim.mapInPandas(_describe(tokens), "real long, id long, n_shingles long, f1 long, f2 long, sig binary"), "sets")
     full = all_docs.where("n_shingles > 0")
     depth = depth or depth_for(all_docs.count(), leaf)
-    trees = trees_for(recall, threshold, depth)
+    trees = trees_for(recall, threshold, depth, tokens)
     classes = full.groupBy("n_shingles", "f1", "f2").agg(F.min(F.struct("real", "id")).alias("head"))
     classes = store(classes.withColumn("rep", F.col("head.id")), "classes")
     sigs = store(full.join(classes.select(F.col("rep").alias("id"), "n_shingles", "f1", "f2"), ["id", "n_shingles", "f1", "f2"], "left_semi").select("id", "n_shingles", "sig").dropDuplicates(["id", "n_shingles"]), "reps")
@@ -274,29 +398,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if level == depth or grow.isEmpty():
             break
         rows = grow.select("node", "id").join(sigs.select("id", "sig"), "id")
-    groups = leaves[0]
-    for x in leaves[1:]:
-        groups = groups.unionByName(x)
-    groups = groups.withColumn("blocks", F.ceil(F.col("size") / leaf)).drop("size")
-    compared = _by_group(_block_pairs(groups).join(sigs.select("id", "sig"), "id"))
-    found = store(compared.mapInPandas(_leaves(tokens, least), "u long, v long"), "found")
+    groups = _union(leaves).withColumn("blocks", F.ceil(F.col("size") / leaf).cast("long"))
+    found = connect(groups, sigs.select("id", F.col("sig").alias("data")), _leaves(tokens, least), _agree(tokens, least))
     drop(*made)
 
     near = components(found).select(F.col("node").alias("id"), F.col("label").alias("node"))
     near = store(near.join(sigs.select("id", "n_shingles"), "id"), "near")
     blocks = near.groupBy("node").agg(F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).alias("blocks"))
     blocks = store(blocks, "blocks")
-    members = store(near.join(blocks, "node").select("id", "n_shingles", "node", "blocks"), "members")
+    members = store(near.join(blocks, "node").select("id", "node", F.col("blocks").cast("long").alias("blocks")), "members")
     drop(blocks)
-    few = members.count() <= 1_000_000  # 32 bytes a row: the broadcast is at most 32 MB
-    texts = slim.join(F.broadcast(members) if few else members, "id").mapInPandas(_sets, "node long, blocks long, id long, set binary")
-    edges = store(_by_group(_block_pairs(texts)).mapInPandas(_confirm(percent), "u long, v long"), "links")
+    few = members.count() <= 1_000_000  # 8 bytes a row: the broadcast is at most 8 MB
+    ids = members.select("id")
+    texts = slim.join(F.broadcast(ids) if few else ids, "id", "left_semi").select("id", "text")
+    # rows equal in id and text come once
+    again = store(all_docs.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id"), "again")
+    if not again.isEmpty():
+        texts = texts.join(again, "id", "left_anti").unionByName(texts.join(again, "id", "left_semi").dropDuplicates(["id"]))
+    edges = connect(members, texts.mapInPandas(_sets, "id long, data binary"), _confirm(percent), _near(percent))
     labels = components(edges)
     labels = store(classes.join(labels, classes.rep == labels.node, "left").drop("node", "rep"), "labelled")
     # keys have no order of their own: a component is named by its least id
     heads = labels.where("label is not null").groupBy("label").agg(F.min("head").alias("least"))
     labels = store(labels.join(heads, "label", "left").select("n_shingles", "f1", "f2", F.coalesce("least", "head").alias("component")), "labels")
-    drop(found, near, members, edges, sigs, classes)
+    drop(found, near, members, again, edges, sigs, classes)
 
     out = all_docs.join(labels, ["n_shingles", "f1", "f2"], "left")
     real = lambda c: F.nullif(c, F.lit(_ID))
@@ -307,3 +432,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+OP10_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(ws) >= 5 THEN list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')))
+                          WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE []::VARCHAR[] END AS sh FROM w),
+e AS (SELECT doc_id, unnest(sh) AS x FROM s),
+f AS (SELECT x, list(doc_id) AS ds FROM e GROUP BY x HAVING count(*) > 1),
+p AS (SELECT a, b, count(*) AS n FROM (SELECT a, unnest(ds) AS b FROM (SELECT ds, unnest(ds) AS a FROM f)) WHERE a < b GROUP BY a, b),
+l AS (SELECT a, b FROM p JOIN s AS sa ON sa.doc_id = a JOIN s AS sb ON sb.doc_id = b WHERE 100 * n >= 75 * (len(sa.sh) + len(sb.sh) - n)),
+t AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id AS a, doc_id AS b FROM s UNION SELECT r.a, t.b FROM r JOIN t ON r.b = t.a),
+c AS (SELECT a, min(b) AS component_id FROM r GROUP BY a)
+SELECT doc_id, len(sh)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM s JOIN c ON a = doc_id
+"""

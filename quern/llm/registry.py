@@ -25,4 +25,5 @@ SQL: dict[str, str] = {
     "op2_line_dedup": line_dedup.OP2_SQL,
     "op3_topk_search": topk_search.OP3_SQL,
     "op6_mixing": mixing.OP6_SQL,
+    "op10_near_dedup": near_dedup.OP10_SQL,
 }

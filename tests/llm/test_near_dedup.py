@@ -1,7 +1,7 @@
 import random
 
 import numpy as np
-from helpers import DATA
+from helpers import DATA, same_rows
 
 from quern.llm import near_dedup as D
 from quern.llm.components import components, local_labels
@@ -39,6 +39,10 @@ def test_query(spark):
     assert result(D.op10_near_dedup(spark, str(DATA))) == brute(rows)
 
 
+def test_sql(spark):
+    same_rows(D.op10_near_dedup(spark, str(DATA)), D.OP10_SQL)
+
+
 def test_large_groups(spark, monkeypatch):
     """Groups beyond a leaf and beyond a block, chains of copies, a passage that all share, and exact copies."""
     rng = random.Random(6)
@@ -89,7 +93,43 @@ def test_recall_of_the_trees():
         found = {p[0] for p in pairs}
         met = len(found) / n
         assert abs(met - D.reached(level, 0.75)) < 0.04
-    assert 1 - (1 - D.reached(3, 0.75)) ** D.trees_for(0.9999, 0.75, 3) >= 0.9999
+    assert D.recall_of(D.trees_for(0.9999, 0.75, 3), 0.75, 3) >= 0.9999 > D.recall_of(D.trees_for(0.9999, 0.75, 3) - 1, 0.75, 3)
+
+
+def test_recall_end_to_end(spark):
+    """20,000 documents that share a passage, so that trees branch to their depth, and 300 pairs just above the threshold: at the shipped settings all but a few are found."""
+    rng = np.random.default_rng(12)
+    common = " ".join(f"c{i}" for i in range(40))
+    rows, pairs = [], []
+    for i in range(20_000):
+        rows.append((i, common + " " + " ".join(map(str, rng.integers(0, 10**9, 60)))))
+    for k in range(300):
+        own = [f"q{k}_{j}" for j in range(104)]  # 100 shingles; 86 of them are shared by a copy without its last 14 words
+        pairs.append((20_000 + 2 * k, 20_001 + 2 * k))
+        rows += [(20_000 + 2 * k, " ".join(own)), (20_001 + 2 * k, " ".join([*own[:90], *(f"r{k}_{j}" for j in range(14))]))]
+    got = result(D.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)))
+    assert 100 * 86 >= 75 * 114 > 100 * 85  # 86 of 114 shingles: just above the threshold
+    assert sum(got[a][1] == got[b][1] for a, b in pairs) >= 0.99 * len(pairs)
+    assert sum(got[i][1] != i for i in range(20_000)) == 0
+
+
+def test_one_large_cluster_moves_rows_once(spark, monkeypatch):
+    """Near copies of one page are connected by pivots: what meets block by block is a small share of them, at any size."""
+    monkeypatch.setattr(D, "BLOCK_DOCS", 64)
+    seen = []
+    plain = D._by_group
+    monkeypatch.setattr(D, "_by_group", lambda rows: seen.append(rows.count()) or plain(rows))
+    base = [f"b{i}" for i in range(300)]
+    for n in (600, 1200):
+        seen.clear()
+        rows = []
+        for i in range(n):
+            w = list(base)
+            w[i % 300] = f"x{i}"
+            rows.append((i, " ".join(w)))
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+        assert {c for _, c, _ in result(D.near_duplicates(docs, leaf=64, depth=1)).values()} == {0}
+        assert sum(seen) < 4 * n
 
 
 def test_components(spark):
