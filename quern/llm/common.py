@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
-import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.plans.parallel import spread
+from quern.plans.scratch import fresh, remove
 
 #: ASCII white space that separates words: space and 0x09-0x0D.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -18,24 +17,13 @@ SPACES = np.zeros(256, bool)
 SPACES[[0x20, *range(0x09, 0x0E)]] = True
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
-    sc = spark.sparkContext
-    at = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if not at:
-        at = tempfile.mkdtemp(prefix="quern-")
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(at)
-    return at
-
-
 _STORED: dict[str, SparkSession] = {}
 
 
 def store(df: DataFrame, name: str = "t") -> DataFrame:
     """Cuts the lineage: a Parquet table in the shared folder, deleted by `drop` or else as Python exits."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quern/{name}-{uuid.uuid4().hex}"
+    path = fresh(spark, name)
     df.write.parquet(path)
     _STORED[path] = spark
     out = spark.read.schema(df.schema).parquet(path)
@@ -44,16 +32,26 @@ def store(df: DataFrame, name: str = "t") -> DataFrame:
 
 
 def drop(*stored: DataFrame) -> None:
-    """Deletes tables made by `store` that no later plan reads."""
+    """Deletes tables made by `store` that no later plan reads; others are left alone."""
     for df in stored:
-        _delete(df._quern_path)
+        if path := getattr(df, "_quern_path", None):
+            _delete(path)
+
+
+def settled(make, name: str = "t") -> DataFrame:
+    """Stores what make() returns and drops the tables stored on its way (by this process: not for calls in parallel)."""
+    before = set(_STORED)
+    out = store(make(), name)
+    for path in set(_STORED) - before - {out._quern_path}:
+        _delete(path)
+    return out
 
 
 def _delete(path: str) -> None:
     try:
-        sc = _STORED.pop(path).sparkContext
-        p = sc._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+        spark = _STORED.pop(path, None)
+        if spark is not None:
+            remove(spark, path)
     except Exception:  # the session has ended; the owner of the shared folder clears it
         pass
 

@@ -53,7 +53,7 @@ def targets(sizes: DataFrame, source: str, size: str, weights=WEIGHTS, slopes=SL
 def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", size: Column | None = None, weights=WEIGHTS, slopes=SLOPES, share=SHARE, most=MOST) -> DataFrame:
     """Adds to each row what the mix takes of it, and when, and sorts the rows by the time of the first taking.
 
-    Each source's rows stand in an order of hashes of `key` (ties: key, then size) and are read up to `most`
+    Each source's rows stand in an order of hashes of `key` and size (ties: key, then size) and are read up to `most`
     times over until its target is met; the row on the border is taken in part, by its first words. Row order
     needs no group in one task: rows fall into about sqrt(n) hash ranges for each source, only sums of which
     are put in a line. Adds `size`, `source_size`, `target`, `taken` (`first_take` + `second_take`), `position`
@@ -65,7 +65,7 @@ def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", size: Colu
     rows = docs.withColumn("__size", size if size is not None else words(F.col("text")))
     n = rows.count()
     ranges = max(1, math.isqrt(n))
-    hashed = F.conv(F.substring(F.md5(F.coalesce(F.col(key).cast("string"), F.lit(""))), 1, 8), 16, 10).cast("long")
+    hashed = F.conv(F.substring(F.md5(F.concat_ws("/", F.coalesce(F.col(key).cast("string"), F.lit("")), F.col("__size").cast("string"))), 1, 8), 16, 10).cast("long")
     rows = rows.drop(*COLUMNS).withColumn("__h", hashed).withColumn("__part", F.shiftright(F.col("__h") * ranges, 32))
     by_part = rows.groupBy(source, "__part").agg(F.sum("__size").alias("__size"))
     by_part = store(by_part, "mix")
@@ -106,8 +106,8 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP6_SQL = r"""
-WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-                  ('0x' || substr(md5(doc_id::VARCHAR), 1, 8))::BIGINT AS h FROM documents),
+WITH b AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+d AS (SELECT doc_id, source, size, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || '/' || size), 1, 8))::BIGINT AS h FROM b),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS r FROM d GROUP BY source),
 w AS (SELECT *, CASE (r - 1) % 3 WHEN 0 THEN 3.0 WHEN 1 THEN 1.0 ELSE 2.0 END::DOUBLE AS w,
              CASE (r - 1) % 3 WHEN 0 THEN -0.5 WHEN 1 THEN 0.0 ELSE 0.5 END::DOUBLE AS slope FROM s),

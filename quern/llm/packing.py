@@ -21,6 +21,8 @@ LENGTH, VOCABULARY = 2048, "byte_bpe_50k"
 #: Settings that are planned in turn: the number of groups of about equal counts that large lengths form, and the
 #: share of a sequence (1 / small) above which a length is large. The plan with the fewest sequences is taken.
 SETTINGS = ((24, 2), (24, 4), (48, 4), (24, 8))
+#: Documents that are packed together where their order matters.
+STRETCH = 1 << 16
 
 
 # --- tokens -------------------------------------------------------------------------------
@@ -83,12 +85,12 @@ def _tokenise(length: int, name: str, with_ids: bool):
             texts = x["text"].tolist()
             for a, b in pieces(texts, 2 << 20):
                 out: list[tuple] = []
-                for doc, text in zip(x["doc_id"].iloc[a:b].tolist(), texts[a:b], strict=True):
+                for doc, turn, text in zip(x["doc_id"].iloc[a:b].tolist(), x["turn"].iloc[a:b].tolist(), texts[a:b], strict=True):
                     ids = np.append(encode(text), np.uint32(0)).astype("<u4")
                     at = cuts(len(ids), length)
                     for k, (i, j) in enumerate(zip(at, at[1:], strict=False)):
-                        out.append((doc, k, i, j - i, zlib.crc32(ids[i:j].tobytes()), *([ids[i:j].astype(np.int32)] if with_ids else [])))
-                cols = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])]
+                        out.append((doc, turn, k, i, j - i, zlib.crc32(ids[i:j].tobytes()), *([ids[i:j].astype(np.int32)] if with_ids else [])))
+                cols = ["doc_id", "turn", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])]
                 yield pd.DataFrame(out, columns=cols)
 
     return run
@@ -318,48 +320,85 @@ def places(shapes: list[tuple[tuple[int, ...], int]]) -> pd.DataFrame:
 # --- on tables ----------------------------------------------------------------------------
 
 
-def _numbered(items: DataFrame, by: str, order: list[str]) -> DataFrame:
-    """Numbers the rows of each value of `by` from 0, in the order of a hash, in about sqrt(n) hash ranges.
+def _numbered(items: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """Numbers the rows of each value of the columns `by` from 0, in the order of a hash, in about sqrt(n) hash ranges.
 
     Only the ranges' counts are put in a line, so a hot value is spread over as many tasks as there are ranges.
     """
     ranges = max(1, math.isqrt(items.count()))
     items = items.withColumn("__h", F.xxhash64(*order)).withColumn("__r", F.pmod("__h", F.lit(ranges)))
-    counts = items.groupBy(by, "__r").agg(F.count("*").alias("__c"))
-    line = Window.partitionBy(by).orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)
+    counts = items.groupBy(*by, "__r").agg(F.count("*").alias("__c"))
+    line = Window.partitionBy(*by).orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("__before", F.coalesce(F.sum("__c").over(line), F.lit(0))).drop("__c")
-    own = F.row_number().over(Window.partitionBy(by, "__r").orderBy("__h", *order))
-    return items.withColumn("__own", own).join(counts, [by, "__r"]).withColumn("item", F.col("__before") + F.col("__own") - 1).drop("__h", "__r", "__own", "__before")
+    own = F.row_number().over(Window.partitionBy(*by, "__r").orderBy("__h", *order))
+    return items.withColumn("__own", own).join(counts, [*by, "__r"]).withColumn("item", F.col("__before") + F.col("__own") - 1).drop("__h", "__r", "__own", "__before")
 
 
-def pack(items: DataFrame, order: list[str], length: int = LENGTH) -> DataFrame:
-    """Adds sequence_id and offset to rows with a `length` from 1 to the given one, by the plan for their counts."""
+_RUNS = "length long, first_item long, items long, each long, first_sequence long, first_offset long"
+
+
+def _planned(length: int):
+    """The runs of places of one stretch, from its counts (at most `length` rows)."""
+
+    def run(key, rows):
+        runs = places(best_plan(dict(zip(rows["length"].tolist(), rows["n"].tolist(), strict=True)), length)).astype("int64")
+        return runs.assign(stretch=key[0])[["stretch", *(c.split()[0] for c in _RUNS.split(", "))]]
+
+    return run
+
+
+def _stretches(counts: DataFrame, length: int) -> DataFrame:
+    """Runs of places of all stretches, planned on the executors; sequences are numbered from stretch to stretch."""
+    runs = store(counts.groupBy("stretch").applyInPandas(_planned(length), f"stretch long, {_RUNS}"), "runs")
+    made = runs.groupBy("stretch").agg(F.max(F.col("first_sequence") + F.ceil(F.col("items") / F.col("each"))).alias("n"))
+    line = Window.orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)  # one row a stretch
+    base = made.select("stretch", F.coalesce(F.sum("n").over(line), F.lit(0)).alias("base"))
+    return runs.join(base, "stretch").withColumn("first_sequence", F.col("first_sequence") + F.col("base")).drop("base")
+
+
+def pack(items: DataFrame, order: list[str], length: int = LENGTH, stretch: str | None = None) -> DataFrame:
+    """Adds sequence_id and offset to rows with a `length` from 1 to the given one, by the plan for their counts.
+
+    stretch: a long column whose values are packed apart and get sequences in their order.
+    """
     spark = items.sparkSession
-    counts = {r["length"]: r["n"] for r in items.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `length` rows
-    runs = places(best_plan(counts, length))
-    edges = spark.createDataFrame(runs.astype("int64") if len(runs) else [], "length long, first_item long, items long, each long, first_sequence long, first_offset long")
+    by = [stretch, "length"] if stretch else ["length"]
+    counts = items.groupBy(*by).agg(F.count("*").alias("n"))
+    if stretch:
+        edges = store(_stretches(counts.withColumnRenamed(stretch, "stretch"), length).withColumnRenamed("stretch", stretch), "edges")
+        n, runs = items.count(), edges.count()
+    else:
+        held = {r["length"]: r["n"] for r in counts.collect()}  # at most `length` rows
+        made = places(best_plan(held, length))
+        edges = spark.createDataFrame(made.astype("int64") if len(made) else [], _RUNS)
+        n, runs = sum(held.values()), len(made)
     # Each run of places covers a range of item numbers. Ranges and items meet in blocks of numbers.
-    width = max(1, sum(counts.values()) // max(1, 4 * len(runs)))
+    width = max(1, n // max(1, 4 * runs))
     spread = F.sequence(F.floor(F.col("first_item") / width), F.floor((F.col("first_item") + F.col("items") - 1) / width))
     edges = edges.withColumn("__block", F.explode(spread))
-    numbered = _numbered(items, "length", order).withColumn("__block", F.floor(F.col("item") / width))
-    met = numbered.join(edges, ["length", "__block"]).where((F.col("item") >= F.col("first_item")) & (F.col("item") < F.col("first_item") + F.col("items")))
+    numbered = _numbered(items, by, order).withColumn("__block", F.floor(F.col("item") / width))
+    met = numbered.join(edges, [*by, "__block"]).where((F.col("item") >= F.col("first_item")) & (F.col("item") < F.col("first_item") + F.col("items")))
     nth = F.col("item") - F.col("first_item")
     out = met.withColumns({"sequence_id": F.col("first_sequence") + F.floor(nth / F.col("each")), "offset": F.col("first_offset") + F.pmod(nth, F.col("each")) * F.col("length")})
     return out.drop("__block", "item", "first_item", "items", "each", "first_sequence", "first_offset")
 
 
-def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, vocabulary: str = VOCABULARY, with_ids: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, vocabulary: str = VOCABULARY, with_ids: bool = False, turn: str | None = None, stretch: int = STRETCH) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset (and its ids, if asked for).
 
+    turn: a long column, each row's own, by which documents are to be read. It is added to the result; documents are
+    then packed in stretches of `stretch` turns, and sequences are numbered from stretch to stretch.
+
     A document is its token ids and then 0; null and empty texts are the 0 alone. Repeated rows are packed as
     often as they come; null ids are packed too; an empty table gives an empty table; other columns are not read.
     """
     small_batches(docs.sparkSession, 4)
-    kind = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
-    slim = docs.select(held_id(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    kind = "doc_id long, turn long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
+    slim = docs.select(held_id(id_col).alias("doc_id"), (F.col(turn) if turn else F.lit(0)).cast("long").alias("turn"), F.col(text_col).alias("text"))
     items = store(slim.mapInPandas(_tokenise(length, vocabulary, with_ids), kind), "pieces")
-    return pack(items, ["doc_id", "piece", "ids_crc32"], length).withColumn("doc_id", real_id("doc_id")).withColumnRenamed("doc_id", id_col)
+    items = items.withColumn("__stretch", F.floor(F.col("turn") / stretch)) if turn else items.drop("turn")
+    out = pack(items, ["doc_id", "piece", "ids_crc32", *(["turn"] if turn else [])], length, "__stretch" if turn else None)
+    return out.drop("__stretch").withColumn("doc_id", real_id("doc_id")).withColumnsRenamed({"doc_id": id_col} | ({"turn": turn} if turn else {}))
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,12 +1,14 @@
 import corpus_pipeline as P
 from helpers import DATA
 
+from quern.llm.common import _STORED, store
+from quern.llm.mixing import mix
 from test_near_dedup import brute
 
 
 def stages(spark, docs, sf_dir):
     for name, stage in P.STAGES:
-        out = P.store(stage(spark, docs, sf_dir), name)
+        out = store(stage(spark, docs, sf_dir), name)
         yield name, docs, out
         docs = out
 
@@ -48,7 +50,12 @@ def test_odd_documents(spark, odd, nothing):
 
 
 def test_run(spark):
-    assert P.run(spark, str(DATA)).columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    before = set(_STORED)
+    out = P.run(spark, str(DATA))
+    assert out.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "turn"]
+    names = {p.rsplit("/", 1)[1].split("-")[0] for p in set(_STORED) - before}
+    assert "mixing" in names and not names & {"language_id", "line_dedup", "near_dedup", "links", "counts"}  # earlier stages' tables are gone
+    assert out.count() > 0
     import __spark_entry__ as entry
 
     assert sorted(n for n in entry.queries() if n.startswith("op") and n[2:3].isdigit()) == sorted(f"op{i}_{x}" for i, x in enumerate(("lm_scoring", "line_dedup", "topk_search", "quality", "media", "mixing", "lang_id", "packing", "html_text", "near_dedup"), 1))
@@ -65,3 +72,27 @@ def test_text_of_no_learned_language_goes(spark):
     more = spark.createDataFrame([(i, t, None, "s", len(t)) for i, t in odd], "doc_id long, text string, lang string, source string, n_chars long")
     kept = {r["doc_id"] for r in P.language(spark, docs.select(*more.columns).unionByName(more), "").collect()}
     assert kept == {r["doc_id"] for r in docs.collect()} | {10**9 + 2}
+
+
+def test_packing_follows_the_order_of_mixing(spark):
+    """Rows of sorted files keep their order: sequences of earlier stretches hold earlier readings, and no two rows share a turn."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    mixed = store(mix(docs).select(*docs.columns, "position").where("position is not null").repartitionByRange(6, "position").sortWithinPartitions("position"), "mixed")
+    numbered = P.turns(mixed).select("position", "__turn").orderBy("__turn").collect()
+    assert [r["position"] for r in numbered] == sorted(r["position"] for r in numbered) and len({r["__turn"] for r in numbered}) == len(numbered)
+    got = P.packed(spark, mixed.drop("position"), "").collect()
+    first = {}
+    for r in got:
+        first.setdefault(r["sequence_id"], set()).add(r["turn"] >> 36)
+    assert all(len(parts) == 1 for parts in first.values())  # a file is a stretch here
+    order = [min(first[i]) for i in sorted(first)]
+    assert order == sorted(order) and sorted(first) == list(range(len(first)))
+    taken = {}
+    for r in got:
+        taken.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for places in taken.values():
+        at = 0
+        for offset, n in sorted(places):
+            assert offset == at
+            at += n
+        assert at <= 2048
