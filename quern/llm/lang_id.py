@@ -245,8 +245,11 @@ def fit(labelled: DataFrame, documents: int = FIT_DOCUMENTS, most_rows: int = FI
     most_rows, but one at least: max(most_rows, languages) rows of about most_bytes bytes reach the driver.
     """
     rows = labelled.where("lang is not null and text is not null and length(text) > 0").select("lang", F.xxhash64("text").alias("h"), "text")
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    first = store(rows.select("lang", "h").distinct().withColumn("nth", nth).where(F.col("nth") <= documents), "sample")
+    # ranked in shares of a language first, so that a common one is not ranked in one task
+    nth = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("h"))
+    shares = rows.select("lang", "h").distinct().withColumn("s", F.pmod("h", F.lit(64)))
+    shares = shares.withColumn("nth", nth("lang", "s")).where(F.col("nth") <= documents)
+    first = store(shares.withColumn("nth", nth("lang")).where(F.col("nth") <= documents).select("lang", "h", "nth"), "sample")
     languages = first.where("nth = 1").count()
     first_of_each = first.where(F.col("nth") <= max(1, most_rows // max(1, languages))).select("lang", "h")
     chosen = rows.join(F.broadcast(first_of_each), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text"))
