@@ -307,7 +307,7 @@ def connect(groups: DataFrame, payload: DataFrame, compare, test) -> DataFrame:
     """
     kind, zero = "u long, v long", F.lit(0).cast("long")
     one = groups.where("blocks = 1").select("node", zero.alias("i"), zero.alias("j"), "id")
-    few = one.count() <= 1_000_000  # 32 bytes a row: the broadcast is at most 32 MB
+    few = one.count() <= 250_000  # 32 bytes a row: the broadcast is at most 8 MB
     links = [store(_by_group(payload.join(F.broadcast(one) if few else one, "id")).mapInPandas(compare, kind), "links")]
     large = store(groups.where("blocks > 1").select("node", "id", "blocks"), "large")
     if large.isEmpty():

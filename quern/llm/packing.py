@@ -341,7 +341,7 @@ def _planned(length: int):
     """The runs of places of one stretch, from its counts (at most `length` rows)."""
 
     def run(key, rows):
-        runs = places(best_plan(dict(zip(rows["length"].tolist(), rows["n"].tolist(), strict=True)), length)).astype("int64")
+        runs = places(best_plan(dict(zip(rows["length"].tolist(), rows["n"].tolist(), strict=True)), length, SETTINGS[:2])).astype("int64")
         return runs.assign(stretch=key[0])[["stretch", *(c.split()[0] for c in _RUNS.split(", "))]]
 
     return run
@@ -349,7 +349,10 @@ def _planned(length: int):
 
 def _stretches(counts: DataFrame, length: int) -> DataFrame:
     """Runs of places of all stretches, planned on the executors; sequences are numbered from stretch to stretch."""
-    runs = store(counts.groupBy("stretch").applyInPandas(_planned(length), f"stretch long, {_RUNS}"), "runs")
+    counts = store(counts, "counts")
+    n = counts.select("stretch").distinct().count()
+    # an explicit number of partitions, as a plan takes seconds whatever its bytes
+    runs = store(counts.repartition(max(1, min(n, 10_000)), "stretch").groupBy("stretch").applyInPandas(_planned(length), f"stretch long, {_RUNS}"), "runs")
     made = runs.groupBy("stretch").agg(F.max(F.col("first_sequence") + F.ceil(F.col("items") / F.col("each"))).alias("n"))
     line = Window.orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)  # one row a stretch
     base = made.select("stretch", F.coalesce(F.sum("n").over(line), F.lit(0)).alias("base"))
