@@ -349,7 +349,7 @@ def _planned(length: int):
 
 def _stretches(counts: DataFrame, length: int) -> DataFrame:
     """Runs of places of all stretches, planned on the executors; sequences are numbered from stretch to stretch."""
-    counts = store(counts, "counts")
+    counts = store(counts, "planned")
     n = counts.select("stretch").distinct().count()
     # an explicit number of partitions, as a plan takes seconds whatever its bytes
     runs = store(counts.repartition(max(1, min(n, 10_000)), "stretch").groupBy("stretch").applyInPandas(_planned(length), f"stretch long, {_RUNS}"), "runs")

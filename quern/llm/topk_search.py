@@ -19,9 +19,23 @@ from pyspark.sql import functions as F
 from quern.llm.common import drop, small_batches, store, table
 
 BUCKET, BLOCK, K, SCALE = 8192, 1024, 10, 1024
+#: Blocks of queries that meet one copy of a bucket.
+TOGETHER = 64
 #: Cosine thresholds from which coordinates prune, and the number of coordinates.
 COORDINATES_FROM, COORDINATES = 0.6, 16
-_KIND = "dims int, block int, ids binary, data binary, longest double"
+_KIND = "dims int, block long, ids binary, data binary, width int, longest double"
+
+
+def _pack(rows: list[list[int]], dims: int) -> tuple[np.ndarray, bytes, int]:
+    """Whole numbers as an array, and as bytes of the least width that holds them."""
+    data = np.array(rows, np.int64).reshape(len(rows), dims)
+    most = max(int(data.max()), -int(data.min())) if data.size else 0
+    width = next(w for w in (2, 4, 8) if w == 8 or most < 1 << (8 * w - 1))
+    return data, data.astype(f"<i{width}").tobytes(), width
+
+
+def _unpack(raw: bytes, width: int, dims: int, n: int) -> np.ndarray:
+    return np.frombuffer(raw, f"<i{width}").reshape(n, dims).astype(np.int64)
 
 
 def _blocks(batches, size: int):
@@ -32,10 +46,11 @@ def _blocks(batches, size: int):
     def out(dims: int):
         nonlocal made
         rows = held.pop(dims)
-        ids, data = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64).reshape(len(rows), dims)
+        ids = np.array([r[0] for r in rows], np.int64)
+        data, raw, width = _pack([r[1] for r in rows], dims)
         longest = math.sqrt(max(float((data.astype(float) ** 2).sum(1).max()), 0.0)) if dims else 0.0
         made += 1
-        return pd.DataFrame({"dims": [dims], "block": [made], "ids": [ids.tobytes()], "data": [data.tobytes()], "longest": [longest]})
+        return pd.DataFrame({"dims": [dims], "block": [made], "ids": [ids.tobytes()], "data": [raw], "width": [width], "longest": [longest]})
 
     for x in batches:
         for i, v in zip(x["id"], x["v"], strict=True):
@@ -52,12 +67,17 @@ def _norms(data: np.ndarray) -> np.ndarray:
 
 
 def _products(a: np.ndarray, b: np.ndarray, la: float, lb: float) -> np.ndarray:
-    """Exact integer products a @ b.T: no partial sum exceeds the product of the lengths."""
+    """Exact integer products a @ b.T: no partial sum exceeds the product of the lengths. One that is no long is an error."""
     if la * lb < 2.0**24:
         return (a.astype(np.float32) @ b.astype(np.float32).T).astype(np.int64)
     if la * lb < 2.0**52:
         return (a.astype(float) @ b.astype(float).T).astype(np.int64)
-    return a @ b.T
+    if la * lb < 2.0**62:
+        return a @ b.T
+    exact = a.astype(object) @ b.astype(object).T
+    if exact.size and (exact.max() >= 2**63 or exact.min() < -(2**63)):
+        raise OverflowError("an inner product of these vectors is beyond a long")
+    return exact.astype(np.int64)
 
 
 def _best(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
@@ -111,24 +131,55 @@ def _take(query: int, score: np.ndarray, ids: np.ndarray, floor: float, k: int):
 
 
 def _search(k: int):
+    """Runs of rows of one (block, part): the bucket first, then blocks of queries that it meets."""
+
     def run(batches):
+        now = v = vid = None
         for x in batches:
             for r in x.itertuples():
-                shape = lambda raw: np.frombuffer(raw, np.int64).reshape(-1, r.dims)  # noqa: B023, E731
-                q, qid, v, vid = shape(r.q_data), np.frombuffer(r.q_ids, np.int64), shape(r.data), np.frombuffer(r.ids, np.int64)
-                floor = np.frombuffer(r.floors, np.float64) if r.floors is not None else np.full(len(qid), np.nan)
-                yield search_bucket(q, qid, floor, v, vid, k)
+                n = len(r.ids) // 8
+                ids, data = np.frombuffer(r.ids, np.int64), _unpack(r.data, r.width, r.dims, n)
+                if r.role == 0:
+                    now, v, vid = (r.block, r.part), data, ids
+                elif (r.block, r.part) == now:
+                    floor = np.frombuffer(r.floors, np.float64) if r.floors is not None else np.full(n, np.nan)
+                    yield search_bucket(data, ids, floor, v, vid, k)
 
     return run
 
 
-def _with_floors(batches):
+def _floors(batches):
+    """Blocks of queries -> floors of their queries, and the least length of a vector that any of them can still take."""
     for x in batches:
-        floors = []
+        floors, least = [], []
         for r in x.itertuples():
-            known = {} if r.known is None else {i["query_id"]: i["floor"] for i in r.known}
-            floors.append(np.array([known.get(i, np.nan) for i in np.frombuffer(r.ids, np.int64).tolist()], float).tobytes())
-        yield x.drop(columns="known").assign(floors=floors)
+            ids = np.frombuffer(r.ids, np.int64)
+            known = {} if r.known is None else {i["query_id"]: float(i["floor"]) for i in r.known}
+            f = np.array([known.get(i, np.nan) for i in ids.tolist()], float)
+            f = np.where(np.abs(f) >= 2.0**53, np.nextafter(f, -np.inf), f)  # a long rounded up would be too high
+            own = _norms(_unpack(r.data, r.width, r.dims, len(ids)))
+            with np.errstate(divide="ignore", invalid="ignore"):
+                need = np.where(np.isnan(f) | (f <= 0) | (own == 0), 0.0, f / own)
+            floors.append(f.tobytes())
+            least.append(float(need.min()) * (1 - 1e-9))
+        yield x.drop(columns="known").assign(floors=floors, least=least)
+
+
+def _met(pairs: DataFrame, buckets: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """The k best of each query in each bucket that its block meets; pairs: block, q_block.
+
+    Vectors move for these pairs only: a block of queries once for each of its buckets, a bucket once for every
+    TOGETHER blocks that it meets.
+    """
+    pairs = pairs.join(pairs.groupBy("block").agg(F.ceil(F.count("*") / TOGETHER).alias("parts")), "block")
+    pairs = store(pairs.select("block", "q_block", F.pmod(F.xxhash64("q_block"), F.col("parts")).alias("part")), "pairs")
+    shape = ["block", "part", "role", "dims", "ids", "data", "width", "floors"]
+    own = pairs.select("block", "part").distinct()
+    n = own.count()
+    asked = pairs.join(queries.withColumnRenamed("block", "q_block"), "q_block").withColumn("role", F.lit(1)).select(*shape)
+    rows = buckets.join(own, "block").withColumns({"role": F.lit(0), "floors": F.lit(None).cast("binary")}).select(*shape).unionByName(asked)
+    rows = rows.repartition(max(1, min(n, 10_000)), "block", "part").sortWithinPartitions("block", "part", "role")
+    return rows.mapInPandas(_search(k), "query_id long, vec_id long, score long")
 
 
 def top_k(vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, scale: int = SCALE) -> DataFrame:
@@ -137,13 +188,15 @@ def top_k(vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col: str
     Components x become floor(scale * x). Vectors that are null or hold a null or non-finite component take no
     part, nor do null ids; products are between vectors of one dimension; ids given more than once are vectors of
     their own, of which none is a candidate of its own id. Ties go to the smaller vec_id, then to any. Fewer than
-    k candidates are all returned; an empty table gives an empty table; other columns are not read.
+    k candidates are all returned; an empty table gives an empty table; other columns are not read. A component of
+    2**62 or more after scaling, or a product beyond a long, is an error.
     """
     spark = vectors.sparkSession
     small_batches(spark)
     v = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("e")).where("id is not null and e is not null")
-    fine = F.forall("e", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < 2.0**62 / scale))
-    v = store(v.where(fine).select("id", F.transform("e", lambda x: F.floor(x * float(scale))).alias("v")), "vectors")
+    fine = F.forall("e", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    whole = lambda x: F.when(F.abs(x * float(scale)) < 2.0**62, F.floor(x * float(scale))).otherwise(F.raise_error(F.lit("a component of a vector is beyond a long")).cast("long"))
+    v = store(v.where(fine).select("id", F.transform("e", whole).alias("v")), "vectors")
     n, longest = v.count(), F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
     parts = max(1, math.ceil(n / (2 * BUCKET)))
     # ties of length go by the id, so that very common vectors still fill many buckets
@@ -153,19 +206,20 @@ def top_k(vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col: str
     n_asked = asked.count()
     asked = asked.repartitionByRange(max(1, math.ceil(n_asked / BLOCK)), "id").mapInPandas(lambda b: _blocks(b, BLOCK), _KIND)
     asked = store(asked.withColumn("block", F.monotonically_increasing_id()), "queries")
-    q = asked.select("dims", F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("data").alias("q_data"), F.col("longest").alias("q_longest"))
-
-    found = "query_id long, vec_id long, score long"
+    # each block of queries meets the longest bucket of its dimension whole: that gives its queries their floors
     first = buckets.groupBy("dims").agg(F.max_by("block", F.struct("longest", F.length("ids"), "block")).alias("block"))
-    seed = q.join(buckets.join(first, ["dims", "block"], "left_semi"), "dims").withColumn("floors", F.lit(None).cast("binary"))
-    seeds = store(seed.mapInPandas(_search(k), found), "seeds")
-    floors = seeds.groupBy("query_id").agg(F.min("score").cast("double").alias("floor"), F.count("*").alias("c")).where(F.col("c") >= k)
-    shape = "dims int, block long, ids binary, data binary, longest double"
+    no_floors = asked.withColumn("floors", F.lit(None).cast("binary"))
+    seeds = store(_met(asked.select("dims", F.col("block").alias("q_block")).join(F.broadcast(first), "dims").select("block", "q_block"), buckets, no_floors, k), "seeds")
+    floors = seeds.groupBy("query_id").agg(F.min("score").alias("floor"), F.count("*").alias("c")).where(F.col("c") >= k)
     listed = asked.mapInPandas(_members, "block long, query_id long").join(floors, "query_id").groupBy("block").agg(F.collect_list(F.struct("query_id", "floor")).alias("known"))
-    ready = asked.join(listed, "block", "left").select("dims", "block", "ids", "data", "longest", "known").mapInPandas(_with_floors, f"{shape}, floors binary")
-    ready = store(ready, "queries").select("dims", F.col("ids").alias("q_ids"), F.col("data").alias("q_data"), "floors")
-    rest = buckets.join(first, ["dims", "block"], "left_anti").join(ready, "dims").repartition(max(8, parts))
-    rows = seeds.unionByName(rest.mapInPandas(_search(k), found))
+    ready = asked.join(listed, "block", "left").select("dims", "block", "ids", "data", "width", "known")
+    ready = store(ready.mapInPandas(_floors, "dims int, block long, ids binary, data binary, width int, floors binary, least double"), "ready")
+    # lengths alone decide which buckets a block still meets; these rows are light, and salted against a common dimension
+    salts = max(1, math.isqrt(parts))
+    light = buckets.join(first, ["dims", "block"], "left_anti").select("dims", "block", "longest", F.pmod("block", F.lit(salts)).alias("salt"))
+    asking = ready.select("dims", F.col("block").alias("q_block"), "least", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"))
+    pairs = light.join(asking, ["dims", "salt"]).where(F.col("longest") >= F.col("least")).select("block", "q_block")
+    rows = seeds.unionByName(_met(pairs, buckets, ready, k))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     out = rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     drop(v)

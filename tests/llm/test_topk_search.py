@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pytest
 from helpers import DATA, same_rows
 from pyspark.sql import functions as F
 
@@ -58,3 +59,31 @@ def test_pruning_keeps_all():
     again = S.search_bucket(q, qid, floor, v, vid, 10)
     key = ["query_id", "score", "vec_id"]
     assert full.sort_values(key).reset_index(drop=True).equals(again.sort_values(key).reset_index(drop=True))
+
+
+def test_buckets_out_of_reach_move_no_vectors(spark, monkeypatch):
+    """With lengths far apart, all but a few of more than a hundred buckets are skipped before their vectors are fetched."""
+    monkeypatch.setattr(S, "BUCKET", 16)
+    monkeypatch.setattr(S, "BLOCK", 16)
+    seen = []
+    plain = S._met
+    monkeypatch.setattr(S, "_met", lambda pairs, *more: seen.append(pairs.count()) or plain(pairs, *more))
+    rng = np.random.default_rng(5)
+    rows = [(int(i), (rng.normal(size=8) * 1.02**-i).tolist()) for i in range(1800)]
+    got, want = run(spark, rows, 3, lambda i: i % 5 == 0)
+    blocks = seen[0]  # of queries: each meets one bucket at first
+    assert got == want and blocks >= 20 and seen[1] < 0.25 * 100 * blocks
+
+
+def test_long_products(spark):
+    """Products beyond 2**52 are exact; what is no long is an error, never wrapped or left out."""
+    rows = [(0, [2.0**20, 1.0]), (5, [2.0**20, -3.0]), (1, [2.0**20 + 1, 7.0]), (2, [-(2.0**21), 0.0]), (3, [2.0**-10, 0.0])]
+    got, want = run(spark, rows)
+    assert got == want and max(r[3] for r in got) > 2**60
+    for bad in ([2.0**40, 0.0], [2.0**60, 0.0], [1e300, 0.0]):
+        with pytest.raises(Exception, match="beyond a long"):
+            run_only(spark, [(0, bad), (5, bad)])
+
+
+def run_only(spark, rows):
+    return S.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), lambda c: F.pmod(c, F.lit(5)) == 0).collect()
