@@ -175,19 +175,19 @@ def _leaves(tokens: int, least: int):
     def run(batches):
         for x in _runs(batches, ["node", "i", "j"]):
             sig = np.frombuffer(b"".join(x["data"]), np.uint32).reshape(-1, tokens)
-            ids, a, b = x["id"].to_numpy(), [], []
+            ids, label = x["id"].to_numpy(), np.arange(len(x))
             key = x[["node", "i", "j"]].to_numpy()
             group = np.concatenate([[0], np.cumsum((key[1:] != key[:-1]).any(1))])
             for d in range(1, len(x)):
                 i = np.flatnonzero(group[d:] == group[:-d])
                 if not len(i):
                     break
-                for at in range(0, len(i), 1 << 15):
-                    k = i[at : at + (1 << 15)]
+                i = i[label[i] != label[i + d]]  # what hangs together already needs no comparison
+                for at in range(0, len(i), 1 << 14):
+                    k = i[at : at + (1 << 14)]
                     k = k[(sig[k] == sig[k + d]).sum(1) >= least]
-                    a.append(k)
-                    b.append(k + d)
-            label = local_labels(len(x), np.concatenate(a or [np.zeros(0, int)]), np.concatenate(b or [np.zeros(0, int)]))
+                    if len(k):
+                        label = local_labels(len(x), label[k], label[k + d])[label]
             far = label != np.arange(len(x))
             yield pd.DataFrame({"u": ids[far], "v": ids[label[far]]})
 
@@ -269,18 +269,19 @@ def _near(percent: int):
 
 
 def _meet(test):
-    """Links of documents with those of their group's pivots that the test takes."""
+    """A link of each document with the first of its group's pivots that the test takes; pivots that a document links
+    are linked with each other once a batch, which says as much."""
 
     def run(batches):
         for x in batches:
-            u, v = [], []
-            for i, own, pivots in zip(x["id"], x["data"], x["pivots"], strict=True):
-                hit = test(own, [p["data"] for p in pivots])
-                for p in np.flatnonzero(hit):
-                    if pivots[p]["id"] != i:
-                        u.append(i)
-                        v.append(pivots[p]["id"])
-            yield pd.DataFrame({"u": np.array(u, np.int64), "v": np.array(v, np.int64)})
+            out: dict[tuple, None] = {}
+            for node, i, own, pivots in zip(x["node"], x["id"], x["data"], x["pivots"], strict=True):
+                hit = [int(pivots[p]["id"]) for p in np.flatnonzero(test(own, [p["data"] for p in pivots]))]
+                if hit:
+                    out[node, i, hit[0]] = None
+                    out |= {(node, v, hit[0]): None for v in hit[1:]}
+            rows = [r for r in out if r[1] != r[2]]
+            yield pd.DataFrame(np.array(rows, np.int64).reshape(-1, 3), columns=["node", "u", "v"])
 
     return run
 
@@ -313,23 +314,30 @@ def connect(groups: DataFrame, payload: DataFrame, compare, test) -> DataFrame:
     if large.isEmpty():
         drop(large)
         return links[0]
+    made: list[DataFrame] = []
     data = store(payload.join(large.select("id").distinct(), "id", "left_semi"), "payload")
     sizes = store(large.groupBy("node").agg(F.count("*").alias("size")), "sizes")
-    rest = large
+    rest, n = large, large.count()
     for turn in range(TURNS):
         many = rest.groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK_DOCS)
-        if many.isEmpty():
-            break
         # of those apart, a few by hash for each group
         h = F.xxhash64("node", "id", F.lit(turn))
         chosen = rest.join(many.select("node"), "node").groupBy("node", F.pmod(h, F.lit(PIVOTS)).alias("k")).agg(F.min(F.struct(h.alias("h"), "id")).alias("p"))
         pivots = chosen.select("node", F.col("p.id").alias("id")).join(data, "id")
         pivots = store(pivots.groupBy("node").agg(F.collect_list(F.struct("id", "data")).alias("pivots")), "pivots")  # PIVOTS at most
-        weight = pivots.select(F.coalesce(F.sum(F.aggregate("pivots", F.lit(0).cast("long"), lambda t, x: t + F.length(x["data"]))), F.lit(0))).first()[0]
+        weight = pivots.select(F.sum(F.aggregate("pivots", F.lit(0).cast("long"), lambda t, x: t + F.length(x["data"])))).first()[0]
+        if weight is None:
+            break
         each = large.join(data, "id").join(F.broadcast(pivots) if weight <= 64 << 20 else pivots, "node")
-        links.append(store(each.select("id", "data", "pivots").mapInPandas(_meet(test), kind), "links"))
-        drop(pivots, *([rest] if rest is not large else []))
-        rest = _apart(large, links[1:])
+        star = store(each.select("node", "id", "data", "pivots").mapInPandas(_meet(test), "node long, u long, v long"), "star")
+        links.append(star.select("u", "v"))
+        made.append(star)
+        old, before = rest, n
+        rest = store(_apart(rest, star, pivots.select("node", F.explode("pivots.id").alias("v")), turn), "rest")
+        n = rest.count()
+        drop(pivots, *([old] if old is not large else []))
+        if n > before / 2:  # no part is large here: more pivots would not help
+            break
     # those still apart meet all of their group, block by block
     left = rest.groupBy("node").agg(F.count("*").alias("n"), F.max("blocks").alias("blocks")).join(sizes, "node")
     left = store(left.select("node", F.ceil(F.col("n") * F.col("blocks") / F.col("size")).cast("long").alias("parts")), "left")
@@ -338,7 +346,7 @@ def connect(groups: DataFrame, payload: DataFrame, compare, test) -> DataFrame:
     met = some.select("node", "i", "j", "id").unionByName(all_.select("node", "i", "j", "id")).distinct()
     links.append(store(_by_group(met.join(data, "id")).mapInPandas(compare, kind), "links"))
     out = store(_union(links), "links")
-    drop(data, sizes, left, large, *([rest] if rest is not large else []), *links)
+    drop(data, sizes, left, large, *([rest] if rest is not large else []), *made, *links)
     return out
 
 
@@ -349,14 +357,20 @@ def _union(tables: list[DataFrame]) -> DataFrame:
     return out
 
 
-def _apart(large: DataFrame, links: list[DataFrame]) -> DataFrame:
-    """The members of each group that do not hang together with its largest part."""
-    labels = store(components(_union(links)).withColumnRenamed("node", "id"), "parts")
-    state = store(large.join(labels, "id", "left").select("node", "id", "blocks", F.coalesce("label", "id").alias("label")), "state")
-    main = store(state.groupBy("node", "label").agg(F.count("*").alias("n")).groupBy("node").agg(F.max(F.struct("n", "label")).alias("m")), "main")
-    rest = store(state.join(main, "node").where(F.col("label") != F.col("m.label")).select("node", "id", "blocks"), "rest")
-    drop(labels, state, main)
-    return rest
+def _apart(rest: DataFrame, star: DataFrame, pivots: DataFrame, turn: int) -> DataFrame:
+    """What of `rest` (node, id, blocks) stays apart from the largest part of its group after a turn.
+
+    That part begins as the pivot with the most links and the pivots linked with it; later pivots join it if they
+    are linked with a member that is no longer apart. All members linked with its pivots belong to it.
+    """
+    if turn == 0:
+        best = star.groupBy("node", "v").agg(F.count("*").alias("n")).groupBy("node").agg(F.max(F.struct("n", "v"))["v"].alias("v"))
+        among = star.join(best, ["node", "v"]).select("node", F.col("u").alias("v")).unionByName(best)
+    else:
+        among = star.join(rest.select("node", F.col("id").alias("u")), ["node", "u"], "left_anti").select("node", "v")
+    core = pivots.join(among.distinct(), ["node", "v"], "left_semi")
+    settled = star.join(core, ["node", "v"]).select("node", F.col("u").alias("id")).unionByName(core.withColumnRenamed("v", "id")).distinct()
+    return rest.join(settled, ["node", "id"], "left_anti")
 
 
 def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
