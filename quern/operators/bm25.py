@@ -86,8 +86,8 @@ def totals(lengths: DataFrame) -> DataFrame:
 
 
 def save(index: Index, path: str) -> None:
-    """Postings sorted by term, so that a query reads the row groups of its terms only."""
-    index.postings.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
+    """Postings sorted by term and id, so that a query reads the row groups of its terms only, and a common term is no task of its own."""
+    index.postings.repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(f"{path}/postings")
     index.lengths.write.mode("overwrite").parquet(f"{path}/lengths")
     spark = index.postings.sparkSession
     postings, lengths = spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/lengths")

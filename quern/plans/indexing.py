@@ -86,7 +86,7 @@ class Indexer:
         """The keyword index goes with its version of the chunks, so it can never be out of date."""
         chunks = self.spark.read.parquet(f"{self.store.path}/{chunks_at}")
         made = bm25.build(chunks)
-        names = {"postings": self.store.write("postings", made.postings.repartitionByRange("term").sortWithinPartitions("term")), "lengths": self.store.write("lengths", made.lengths)}
+        names = {"postings": self.store.write("postings", made.postings.repartitionByRange("term", "id").sortWithinPartitions("term", "id")), "lengths": self.store.write("lengths", made.lengths)}
         read = lambda n: self.spark.read.parquet(f"{self.store.path}/{names[n]}")
         names["frequencies"] = self.store.write("frequencies", bm25.frequencies(read("postings")))
         names["totals"] = self.store.write("totals", bm25.totals(read("lengths")))
