@@ -10,15 +10,14 @@ def diff(candidates: DataFrame, old: DataFrame, by: tuple[str, ...] = ("repo", "
     """The key columns, status (added, modified, deleted, unchanged), and the new sha256, size and mtime.
 
     Candidates have size, mtime and either sha256 or content. A file whose size is the same and whose mtime is
-    within 0.0001 s is unchanged without its hash being computed; the hash decides about all others.
+    within 0.0001 s is unchanged and keeps its hash; the new hash decides about all others. Contents are hashed
+    where they are read, so only keys, sizes, times and hashes are shuffled.
     """
     fresh = F.sha2(F.col("content"), 256) if "content" in candidates.columns else F.col("sha256")
-    new = candidates.select(*by, F.col("size").alias("__size"), F.col("mtime").alias("__mtime"), *(["content"] if "content" in candidates.columns else [F.col("sha256").alias("__sha")]), F.lit(True).alias("__new"))
-    if "content" not in candidates.columns:
-        fresh = F.col("__sha")
+    new = candidates.select(*by, F.col("size").alias("__size"), F.col("mtime").alias("__mtime"), fresh.alias("__sha"), F.lit(True).alias("__new"))
     both = new.join(old.select(*by, "sha256", "size", "mtime", F.lit(True).alias("__old")), list(by), "full_outer")
     same = (F.col("__size") == F.col("size")) & (F.abs(F.col("__mtime") - F.col("mtime")) < 1e-4)
-    sha = F.when(F.col("__new") & F.col("__old") & same, F.col("sha256")).when(F.col("__new"), fresh)
+    sha = F.when(F.col("__new") & F.col("__old") & same, F.col("sha256")).when(F.col("__new"), F.col("__sha"))
     status = F.when(F.col("__old").isNull(), "added").when(F.col("__new").isNull(), "deleted").when(same | (F.col("__now") == F.col("sha256")), "unchanged").otherwise("modified")
     return both.withColumn("__now", sha).withColumn("status", status).select(*by, "status", F.col("__now").alias("sha256"), F.col("__size").alias("size"), F.col("__mtime").alias("mtime"))
 
