@@ -327,7 +327,7 @@ def index_repos(spark, sf_dir):
 
 @query(_values("precision VARCHAR, width INTEGER, low INTEGER, high INTEGER, first VARCHAR", ("float32", 384, 0, 0, "b.py::b"), ("int8", 384, -128, 127, "b.py::b"), ("ubinary", 48, 0, 255, "b.py::b"), ("binary", 48, -128, 127, "b.py::b")))
 def index_precisions(spark, sf_dir):
-    """The codes of an index's vectors at each precision, made at query time: width, bounds (of the kind), and the best hit for a definition's words."""
+    """The codes of an index's vectors at each precision, as stored with the index: width, bounds (of the kind), and the best hit for a definition's words."""
     rows = []
     for precision, low, high in (("float32", 0, 0), ("int8", -128, 127), ("ubinary", 0, 255), ("binary", -128, 127)):
         path = fresh(spark, precision)

@@ -80,14 +80,17 @@ def encode_query(text: str, encoder: Encoder | None = None) -> list[float]:
     return np.asarray((encoder or HashedTokens())([text]), float)[0].tolist()
 
 
-def quantize(rows: DataFrame, precision: str = "float32", column: str = "embedding") -> tuple[DataFrame, list | None]:
-    """Replaces vectors by their codes; for int8 also gives the ranges of the dimensions, which its queries need."""
+def quantize(rows: DataFrame, precision: str = "float32", column: str = "embedding", known: DataFrame | None = None) -> tuple[DataFrame, list | None]:
+    """Replaces vectors by their codes; for int8 also gives the ranges of the dimensions, which its queries need.
+
+    known: those ranges, where they are stored already.
+    """
     if precision not in PRECISIONS:
         raise ValueError(f"precision is one of {PRECISIONS}")
     if precision == "float32":
         return rows, None
     if precision == "int8":
-        got = range_arrays(rows, column)
+        got = range_arrays(rows, column) if known is None else known
         return rows.crossJoin(F.broadcast(got)).withColumn(column, quantize_int8(F.col(column), F.col("ranges"))).drop("ranges"), got.first()["ranges"]
     pack = quantize_ubinary if precision == "ubinary" else quantize_binary
     return rows.withColumn(column, pack(F.col(column))), None

@@ -7,15 +7,18 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.functions.vectors import range_arrays
 from quern.operators import bm25, incremental
 from quern.operators.chunking import chunk_blocks
 from quern.operators.extract import extract_blocks, extract_calls
-from quern.operators.models import Encoder, encode, quantize
+from quern.operators.models import PRECISIONS, Encoder, encode, quantize
 from quern.schema import CALLS, CHUNKS, STATE
 from quern.sources.snapshots import Snapshots
 from quern.sources.workspace import read_workspace, resolve_roots
 
 CHUNK_TABLE = CHUNKS + ", embedding array<float>"
+CODE_TABLE = "id string, repo string, embedding array<int>"
+RANGE_TABLE = "ranges array<struct<lo: double, hi: double>>"
 FILE_KEYS = ("repo", "file")
 
 
@@ -74,7 +77,7 @@ class Indexer:
                 "chunks": self.store.write("chunks", chunks.repartitionByRange("name", "id").sortWithinPartitions("name", "id")),
                 "calls": self.store.write("calls", calls), "state": self.store.write("state", incremental.new_state(seen)),
             }
-            tables |= self._postings(tables["chunks"])
+            tables |= self._postings(tables["chunks"]) | self._codes(tables["chunks"])
             self.store.commit(tables)
             self.store.remove(new)
             out.total = self.chunks().count()
@@ -92,17 +95,35 @@ class Indexer:
         names["totals"] = self.store.write("totals", bm25.totals(read("lengths")))
         return names
 
+    def _codes(self, chunks_at: str) -> dict[str, str | None]:
+        """The codes of a version of the chunks at the index's precision; those of other precisions would be out of date and go."""
+        names: dict[str, str | None] = dict.fromkeys(["ranges", *(f"codes_{p}" for p in PRECISIONS)])
+        if self.precision == "float32":
+            return names
+        rows, known = self.spark.read.parquet(f"{self.store.path}/{chunks_at}").select("id", "repo", "embedding"), None
+        if self.precision == "int8":
+            names["ranges"] = self.store.write("ranges", range_arrays(rows, "embedding"))
+            known = self.spark.read.parquet(f"{self.store.path}/{names['ranges']}")
+        names[f"codes_{self.precision}"] = self.store.write("codes", quantize(rows, self.precision, known=known)[0])
+        return names
+
     def keyword_index(self) -> bm25.Index:
         kinds = {"postings": "id string, term string, tf long", "lengths": "id string, dl long", "frequencies": "term string, df long", "totals": "n long, avg_len double"}
         return bm25.Index(**{n: self.store.table(n, k) for n, k in kinds.items()})
 
     def quantized(self) -> tuple[DataFrame, list | None]:
-        """The chunks with their vectors at the index's precision, and the ranges that int8 queries need."""
-        return quantize(self.chunks(), self.precision)
+        """Ids, repos and vectors at the index's precision, and the ranges that int8 queries need.
+
+        Codes are those stored by the last run; an index opened at a precision it wasn't written at makes them anew.
+        """
+        if f"codes_{self.precision}" not in self.store.current():
+            return quantize(self.chunks().select("id", "repo", "embedding"), self.precision)
+        codes = self.store.table(f"codes_{self.precision}", CODE_TABLE)
+        return codes, self.store.table("ranges", RANGE_TABLE).first()["ranges"] if self.precision == "int8" else None
 
     def delete_repo(self, repo: str) -> None:
         tables = {n: self.store.write(n, incremental.delete_repo(df, repo)) for n, df in (("chunks", self.chunks()), ("calls", self.calls()), ("state", self.state()))}
-        self.store.commit(tables | self._postings(tables["chunks"]))
+        self.store.commit(tables | self._postings(tables["chunks"]) | self._codes(tables["chunks"]))
 
 
 def status_counts(diff: DataFrame) -> DataFrame:

@@ -60,10 +60,10 @@ class Snapshots:
         """Deletes a folder that was written but is not to become current."""
         self._fs.delete(self._path(f"{self.path}/{at}"), True)
 
-    def commit(self, tables: dict[str, str]) -> None:
-        """Makes folders current: the pointer is written aside and renamed, then the folders it no longer names go."""
+    def commit(self, tables: dict[str, str | None]) -> None:
+        """Makes folders current, and drops tables whose folder is None: the pointer is written aside and renamed, then the folders it no longer names go."""
         old = self.current()
-        new = old | tables
+        new = {k: v for k, v in (old | tables).items() if v is not None}
         aside = self._path(f"{self.path}/_CURRENT.{uuid.uuid4().hex}")
         out = self._fs.create(aside, True)
         try:

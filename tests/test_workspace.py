@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from quern import lsp
 from quern.api import Workspace
+from quern.operators.models import quantize
+from quern.plans.indexing import Indexer
 from quern.sources.snapshots import Snapshots, export_state, import_state
 from quern.sources.workspace import ignore_rules, ignored, is_ignored, read_workspace, resolve_roots
 from quern.streaming.watch import debounced, relevant, watch
@@ -78,6 +80,30 @@ def test_index_search_and_navigate(spark, tmp_path):
     assert json.loads(w.call("nothing"))["status"] == "error" and Workspace(spark, str(tmp_path / "none")).index_workspace()["status"] == "error"
 
 
+def test_stored_codes(spark, tmp_path):
+    """Codes go with their version of the chunks, whichever precision wrote it, and equal those made from the vectors."""
+    put(tmp_path / "w", FILES)
+
+    def check(i):
+        got, ranges = i.quantized()
+        want, wanted = quantize(i.chunks(), i.precision)
+        assert {r["id"]: r["embedding"] for r in got.collect()} == {r["id"]: r["embedding"] for r in want.collect()} and ranges == wanted
+        return sorted(n for n in i.store.current() if n.startswith(("codes", "ranges")))
+
+    at = str(tmp_path / "index")
+    first = Indexer(spark, at, tmp_path / "w", precision="int8")
+    first.index()
+    assert check(first) == ["codes_int8", "ranges"]
+    assert check(Indexer(spark, at, tmp_path / "w", precision="ubinary")) == ["codes_int8", "ranges"]
+    put(tmp_path / "w", {"more.py": "def more(a):\n    return a\n"})
+    for precision, names in (("binary", ["codes_binary"]), ("float32", [])):
+        other = Indexer(spark, at, tmp_path / "w", precision=precision)
+        if precision == "float32":
+            (tmp_path / "w/app.py").unlink()
+        other.index()
+        assert check(other) == names and check(first) == names
+
+
 def test_several_roots(spark, tmp_path):
     put(tmp_path, {"back/a.py": "def auth_token(x):\n    return x\n", "front/a.py": "def auth_token(y):\n    auth_token(1)\n"})
     w = Workspace(spark, [tmp_path / "back", tmp_path / "front"])
