@@ -59,7 +59,7 @@ class Searcher:
             one = self.indexer.spark.range(1).select(literal(vector).alias("v"))
             code = {"ubinary": quantize_ubinary, "binary": quantize_binary}.get(self.indexer.precision)
             if code is None:
-                spread = F.array(*[F.struct(F.lit(r["lo"]).alias("lo"), F.lit(r["hi"]).alias("hi")) for r in ranges])
+                spread = F.array(*[F.struct(F.lit(r["lo"]).alias("lo"), F.lit(r["hi"]).alias("hi")) for r in ranges]).cast("array<struct<lo: double, hi: double>>")  # none in an empty index
                 code = lambda v: quantize_int8(v, spread)
             vector = one.select(code(F.col("v")).alias("v")).first()["v"]
         where = F.col("repo") == repo if repo else None
