@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import html_text, lang_id, line_dedup, lm_scoring, mixing, near_dedup, packing, quality, topk_search, transport_stream
+from quern.llm import html_text, lang_id, line_dedup, lm_scoring, mixing, near_dedup, packing, quality, topk_search, transport_stream, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_scoring": lm_scoring.op1_lm_scoring,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": packing.op8_packing,
     "op9_html_text": html_text.op9_html_text,
     "op10_near_dedup": near_dedup.op10_near_dedup,
+    "op11_whitening": whitening.op11_whitening,
 }
 
 SQL: dict[str, str] = {
