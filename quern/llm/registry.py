@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import html_text, lang_id, line_dedup, lm_scoring, mixing, near_dedup, packing, quality, topk_search, transport_stream, whitening
+from quern.llm import alignment, html_text, lang_id, line_dedup, lm_scoring, mixing, near_dedup, packing, quality, topk_search, transport_stream, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_scoring": lm_scoring.op1_lm_scoring,
@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_html_text": html_text.op9_html_text,
     "op10_near_dedup": near_dedup.op10_near_dedup,
     "op11_whitening": whitening.op11_whitening,
+    "op12_alignment": alignment.op12_alignment,
 }
 
 SQL: dict[str, str] = {
