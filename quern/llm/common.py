@@ -127,14 +127,15 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 class Words:
     """The words of a list of texts: `start`, `end` (bytes of `buf`), `hash`, and each text's `count` and `first` word.
 
-    A-Z are lower-cased; words are runs of bytes other than space and 0x09-0x0D; None is an empty text. A
+    A-Z are lower-cased unless told otherwise; words are runs of bytes other than space and 0x09-0x0D; None is an empty text. A
     hash is a polynomial of the word's bytes modulo 2**64, mixed with its length.
     """
 
-    def __init__(self, texts: list[str | None]):
+    def __init__(self, texts: list[str | None], lower: bool = True):
         raw = [b"" if t is None else t.encode("utf-8", "surrogatepass") for t in texts]
         self.bytes = np.fromiter(map(len, raw), np.int64, len(raw))
-        whole = b" ".join([*raw, b""]).lower()
+        whole = b" ".join([*raw, b""])
+        whole = whole.lower() if lower else whole
         self.buf = buf = np.frombuffer(whole, np.uint8)
         space = np.frombuffer(whole.translate(_IS_SPACE), np.bool_)
         edge = np.flatnonzero(space[1:] != space[:-1]) + 1

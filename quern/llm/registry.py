@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import alignment, html_text, lang_id, line_dedup, lm_scoring, mixing, near_dedup, packing, quality, topk_search, transport_stream, whitening
+from quern.llm import alignment, html_text, lang_id, line_dedup, lm_scoring, mixing, near_dedup, packing, quality, substring_dedup, topk_search, transport_stream, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_scoring": lm_scoring.op1_lm_scoring,
@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_near_dedup": near_dedup.op10_near_dedup,
     "op11_whitening": whitening.op11_whitening,
     "op12_alignment": alignment.op12_alignment,
+    "op13_substring_dedup": substring_dedup.op13_substring_dedup,
 }
 
 SQL: dict[str, str] = {
@@ -28,4 +29,5 @@ SQL: dict[str, str] = {
     "op3_topk_search": topk_search.OP3_SQL,
     "op6_mixing": mixing.OP6_SQL,
     "op10_near_dedup": near_dedup.OP10_SQL,
+    "op13_substring_dedup": substring_dedup.OP13_SQL,
 }
