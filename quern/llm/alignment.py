@@ -4,15 +4,12 @@ Each token owns a run of bytes: np.repeat of the token numbers over their length
 either tokenizer. Consecutive distinct pairs of owners are the overlaps; bytes after which both owners change are
 cuts, which divide the tokens into groups. How many documents link an A id with a B id is counted over the corpus.
 
-Both tokenizers begin anew at a space after a character that is no white space, so such units of a text are
-aligned once and looked up from then on; texts with a unit of over UNIT characters are aligned as a whole.
+Texts are aligned many at a time: the end of a text is a cut.
 """
 
 from __future__ import annotations
 
 import hashlib
-import json
-import re
 
 import numpy as np
 import pyarrow as pa
@@ -22,11 +19,10 @@ from pyspark.sql import functions as F
 from quern.llm.common import drop, held_id, pieces, real_id, small_batches, store, table
 
 A, B = "byte_bpe_50k", "piece_bpe_32k"
-#: Characters of a unit that is kept, units that are kept, pairs that are held at once.
-UNIT, KEPT, PAIRS = 128, 1 << 18, 1 << 21
+#: Characters that are aligned at once, and pairs of occurrences that a text has at most in company.
+TOGETHER, PAIRS = 1 << 19, 1 << 20
 #: Pairs with at least this share of all (pair, document) rows are broadcast: there are at most HOT of them.
 HOT = 1 << 17
-_UNITS = re.compile(r"(?<=\S) ")
 
 
 class Tokenizers:
@@ -57,29 +53,26 @@ class Tokenizers:
         own = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(n[3:5], 16)]) if self.b.is_byte(i) else n.replace("▁", " ").encode() for i, n in enumerate(own)]
         self.a_size, self.b_size = (np.array([len(x) for x in t]) for t in (self.a_bytes, self.b_bytes))
-        self.space = self.b.piece_to_id("▁")
-        # texts fall into units only if no token goes on from another character to a space
-        kind = json.loads(self.slow.to_str())["pre_tokenizer"] or {}
-        by_words = kind.get("type") == "ByteLevel" and kind.get("use_regex", True)
-        self.units = by_words and not any(re.search("[^▁]▁", n) for n in own) and self.b.encode("a  b ", out_type=str)[-1] == "▁"
+        # each id as text, before another of its side and at the end of it
+        self.a_names = np.array([f"{i}," for i in range(len(names))] + [f"{i}|" for i in range(len(names))], object)
+        self.b_names = np.array([f"{i}," for i in range(len(own))] + [f"{i};" for i in range(len(own))], object)
 
     def encode_a(self, text: str) -> list[int]:
         """For Latin-1, `tiktoken` gives the same ids in a fraction of the time."""
-        if self.fast is not None and (text.isascii() or all(c < "Ā" for c in text)):
-            return self.fast.encode_ordinary(text)
-        return self.slow.encode(text, add_special_tokens=False).ids
-
-    def encode_b(self, text: str) -> list[int]:
-        """The ids of a text, to which the model adds a space; of the space alone for an empty one."""
-        return self.b.encode(text) if text else [self.space]
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return self.slow.encode(text, add_special_tokens=False).ids
+        return self.fast.encode_ordinary(text) if self.fast is not None else self.slow.encode(text, add_special_tokens=False).ids
 
-    def tokens(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
-        """Ids of space + text by A and of text by B; None if their bytes are not those of space + text."""
-        raw = b" " + text.encode("utf-8", "surrogatepass")
-        a, b = self.encode_a(" " + text), self.encode_b(text)
-        if b"".join([self.a_bytes[i] for i in a]) != raw or b"".join([self.b_bytes[i] for i in b]) != raw:
-            return None
-        return np.array(a, np.int64), np.array(b, np.int64)
+    def tokens(self, texts: list[str]) -> list[tuple[list[int], list[int]] | None]:
+        """Ids of space + text by A and of text by B; None if their bytes are not those of space + text, or if there is no text."""
+        out: list[tuple[list[int], list[int]] | None] = []
+        for text, b in zip(texts, self.b.encode(texts, num_threads=1), strict=True):
+            raw, a = b" " + text.encode("utf-8", "surrogatepass"), self.encode_a(" " + text) if text else []
+            same = text and b"".join([self.a_bytes[i] for i in a]) == raw and b"".join([self.b_bytes[i] for i in b]) == raw
+            out.append((a, b) if same else None)
+        return out
 
 
 def byte_of_char() -> dict[str, int]:
@@ -103,14 +96,15 @@ class Groups:
         self.n = int(group[-1]) + 1
         self.in_a, self.in_b = np.bincount(self.a, minlength=self.n), np.bincount(self.b, minlength=self.n)
 
-    def text(self, a: np.ndarray, b: np.ndarray) -> str:
-        """The groups written out: ids of a side by commas, sides by a bar, groups by semicolons."""
-        sides = []
-        for ids, group in ((a, self.a), (b, self.b)):
-            names = list(map(str, ids.tolist()))
-            ends = np.searchsorted(group, np.arange(self.n), side="right").tolist()
-            sides.append([",".join(names[i:j]) for i, j in zip([0, *ends], ends, strict=False)])
-        return ";".join(map("|".join, zip(*sides, strict=True)))
+    def texts(self, a: np.ndarray, b: np.ndarray, names: tuple[np.ndarray, np.ndarray], ends: np.ndarray) -> list[str]:
+        """The groups written out, for each text that ends after so many A and B tokens: ids by commas, sides by a bar, groups by semicolons."""
+        before_b = np.cumsum(self.in_b) - self.in_b
+        out = np.empty(len(a) + len(b), object)
+        last_a, last_b = np.append(self.a[1:] != self.a[:-1], True), np.append(self.b[1:] != self.b[:-1], True)
+        out[np.arange(len(a)) + before_b[self.a]] = names[0][a + last_a * (len(names[0]) // 2)]
+        out[np.arange(len(b)) + np.cumsum(self.in_a)[self.b]] = names[1][b + last_b * (len(names[1]) // 2)]
+        flat = out.tolist()
+        return ["".join(flat[i:j])[:-1] for i, j in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
 
     def pairs(self, a: np.ndarray, b: np.ndarray, most: int = PAIRS):
         """The distinct linked id pairs and how often each is linked, in runs of A ids of about `most` pairs before equal ones are merged."""
@@ -134,65 +128,7 @@ class Groups:
             at = to
 
 
-class Aligner:
-    """Aligned units by text; a text's figures are those of its units."""
-
-    def __init__(self, tokenizers: Tokenizers):
-        self.own = tokenizers
-        self.clear()
-
-    def clear(self) -> None:
-        self.known: dict[str, int] = {}
-        self.text: list[str] = []
-        self.sizes: list[tuple[int, int, int, int, int, int]] = []  # n_a, n_b, n_groups, n_links, n_overlaps, pairs
-        self.keys: list[np.ndarray] = []
-        self.links: list[np.ndarray] = []
-        self.table = None
-
-    def add(self, unit: str) -> int:
-        """The number of a unit (without the space before it); -1 if it has to be aligned with its whole text."""
-        found = self.own.tokens(unit) if len(unit) <= UNIT else None
-        at = -1
-        if found is not None:
-            a, b = found
-            g = Groups(self.own.a_size[a], self.own.b_size[b])
-            (key, links), *_ = g.pairs(a, b, 1 << 62)
-            at = len(self.text)
-            self.text.append(g.text(a, b))
-            self.sizes.append((len(a), len(b), g.n, int((g.in_a * g.in_b).sum()), len(g.overlaps), len(key)))
-            self.keys.append(key)
-            self.links.append(links)
-            self.table = None
-        if len(unit) <= UNIT:
-            self.known[unit] = at
-        return at
-
-    def units(self, text: str) -> list[int] | None:
-        """The units of a text; None if it has to be aligned as a whole."""
-        if not self.own.units:
-            return None
-        words = _UNITS.split(text)
-        found = list(map(self.known.get, words))
-        if None in found:
-            for i, u in enumerate(found):
-                if u is None:
-                    known = self.known.get(words[i])  # a unit may come twice
-                    found[i] = self.add(words[i]) if known is None else known
-                    if found[i] < 0:
-                        return None
-        return None if -1 in found else found
-
-    def tables(self):
-        if self.table is None:
-            sizes = np.array(self.sizes, np.int64).reshape(-1, 6)
-            flat = np.concatenate(self.keys) if self.keys else np.zeros(0, np.int64)
-            links = np.concatenate(self.links) if self.links else np.zeros(0, np.int64)
-            own, of = np.unique(flat, return_inverse=True)
-            self.table = sizes, np.concatenate([[0], np.cumsum(sizes[:, 5])]), own, of, links
-        return self.table
-
-
-_ALIGNERS: dict[tuple[str, str], Aligner] = {}
+_TOKENIZERS: dict[tuple[str, str], Tokenizers] = {}
 _KIND = "row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, n_overlaps long, groups_sha256 string, pairs array<struct<a:int,b:int,n:long>>"
 
 
@@ -210,62 +146,62 @@ def _batch(out: list[tuple], keys: list[np.ndarray], links: list[np.ndarray]) ->
     return pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(ends), pair)], [*names, "pairs"])
 
 
-def _whole(own: Tokenizers, row: int, doc: int, text: str):
-    """A text aligned as a whole; its pairs may take several rows."""
-    found = own.tokens(text) if text else None
-    if found is None:
-        yield _batch([(row, doc, 0, 0, 0, 0, 0, "")], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)])
+def _aligned(own: Tokenizers, heads: list[tuple[int, int]], texts: list[str | None]):
+    """Batches of _KIND for some texts; the pairs of a text with very many of them take several rows."""
+    none = np.zeros(0, np.int64)
+    found = own.tokens([t or "" for t in texts])
+    empty = [(*h, 0, 0, 0, 0, 0, "") for h, f in zip(heads, found, strict=True) if f is None]
+    if empty:
+        yield _batch(empty, [none] * len(empty), [none] * len(empty))
+    heads, found = [h for h, f in zip(heads, found, strict=True) if f is not None], [f for f in found if f is not None]
+    if not found:
         return
-    a, b = found
+    n_a, n_b = np.array([len(a) for a, _ in found]), np.array([len(b) for _, b in found])
+    a, b = (np.concatenate([np.array(f[side], np.int64) for f in found]) for side in (0, 1))
     g = Groups(own.a_size[a], own.b_size[b])
-    head = (row, doc, len(a), len(b), g.n, int((g.in_a * g.in_b).sum()), len(g.overlaps), _sha(g.text(a, b)))
-    for key, links in g.pairs(a, b):
-        yield _batch([head], [key], [links])
-        head = (row, doc, *[None] * 6)
+    end_a, end_b = np.cumsum(n_a), np.cumsum(n_b)
+    first = np.append(g.a[end_a - n_a], g.n)  # the first group of each text
+    product = g.in_a * g.in_b
+    links = np.add.reduceat(product, first[:-1])
+    overlaps = np.diff(np.append(np.searchsorted(g.overlaps[:, 0], end_a - n_a), len(g.overlaps)))
+    named = g.texts(a, b, (own.a_names, own.b_names), end_a + end_b)
+    figures = zip(heads, n_a.tolist(), n_b.tolist(), np.diff(first).tolist(), links.tolist(), overlaps.tolist(), map(_sha, named), strict=True)
+    rows = [(*h, *rest) for h, *rest in figures]
+    many = links > PAIRS
+    for i in np.flatnonzero(many):
+        head, (own_a, own_b) = rows[i], (a[end_a[i] - n_a[i] : end_a[i]], b[end_b[i] - n_b[i] : end_b[i]])
+        for key, n in Groups(own.a_size[own_a], own.b_size[own_b]).pairs(own_a, own_b):
+            yield _batch([head], [key], [n])
+            head = (*head[:2], *[None] * 6)
+    few = np.flatnonzero(~many)
+    if len(few):
+        text = np.repeat(np.arange(len(found)), np.diff(first))
+        met = np.where(many[text], 0, product)  # pairs of occurrences in each group
+        group = np.repeat(np.arange(g.n), met)
+        inner = np.arange(len(group)) - np.repeat(np.cumsum(met) - met, met)
+        of_a = np.repeat(np.cumsum(g.in_a) - g.in_a, met) + inner // g.in_b[group]
+        of_b = np.repeat(np.cumsum(g.in_b) - g.in_b, met) + inner % g.in_b[group]
+        wide = len(own.b_bytes)
+        every = len(own.a_bytes) * wide
+        key, n = np.unique(text[group] * every + a[of_a] * wide + b[of_b], return_counts=True)
+        ends = np.searchsorted(key, few[1:] * every)
+        pair = key % every
+        yield _batch([rows[i] for i in few], np.split((pair // wide) << 32 | pair % wide, ends), np.split(n, ends))
 
 
 def _align(a: str, b: str):
     def run(batches):
-        if (a, b) not in _ALIGNERS:
-            _ALIGNERS[a, b] = Aligner(Tokenizers(a, b))
-        known = _ALIGNERS[a, b]
+        if (a, b) not in _TOKENIZERS:
+            _TOKENIZERS[a, b] = Tokenizers(a, b)
+        own = _TOKENIZERS[a, b]
         for batch in batches:
             rows, docs, texts = (batch.column(c).to_pylist() for c in ("row", "doc_id", "text"))
-            for i, j in pieces(texts):
-                if len(known.known) > KEPT:
-                    known.clear()
-                some, found = [], []
-                for k in range(i, j):
-                    units = known.units(texts[k]) if texts[k] else None
-                    if units is None:
-                        yield from _whole(known.own, rows[k], docs[k], texts[k])
-                    else:
-                        some.append(k)
-                        found.append(units)
-                if some:
-                    yield _of_units(known, [(rows[k], docs[k]) for k in some], found)
+            for i, j in pieces(texts, TOGETHER):
+                yield from _aligned(own, list(zip(rows[i:j], docs[i:j], strict=True)), texts[i:j])
 
     return run
 
 
-def _of_units(known: Aligner, heads: list[tuple[int, int]], found: list[list[int]]) -> pa.RecordBatch:
-    sizes, begin, own, of, links = known.tables()
-    count = np.array([len(u) for u in found])
-    flat = np.fromiter((x for u in found for x in u), np.int64, int(count.sum()))
-    sums = np.add.reduceat(sizes[flat, :5], np.cumsum(count) - count)
-    text = known.text
-    out = [(*h, *s, _sha(";".join([text[x] for x in u]))) for h, s, u in zip(heads, sums.tolist(), found, strict=True)]
-    # each text's distinct units and their numbers, then its distinct pairs and their links
-    used, times = np.unique(np.repeat(np.arange(len(found)), count) * len(sizes) + flat, return_counts=True)
-    doc, unit = used // len(sizes), used % len(sizes)
-    n = sizes[unit, 5]
-    at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin[unit], n)
-    held, inverse = np.unique(np.repeat(doc, n) * len(own) + of[at], return_inverse=True)
-    weight = np.bincount(inverse, weights=links[at] * np.repeat(times, n), minlength=len(held)).astype(np.int64)
-    ends = np.searchsorted(held // len(own), np.arange(1, len(found)))
-    return _batch(out, np.split(own[held % len(own)], ends), np.split(weight, ends))
-
-
 def align(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", a: str = A, b: str = B) -> DataFrame:
     """One row per document: its id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256, n_overlaps.
 

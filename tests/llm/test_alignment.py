@@ -3,11 +3,10 @@ from bisect import bisect_right
 from collections import Counter, defaultdict
 
 import numpy as np
-import pytest
 from helpers import DATA
 
 from quern.llm import alignment
-from quern.llm.alignment import Groups, Tokenizers, _whole, align, byte_of_char, op12_alignment
+from quern.llm.alignment import Groups, Tokenizers, align, byte_of_char, op12_alignment
 
 HARD = [
     None, "", " ", "x", "x ", "  x  y   ", "tab\there\n \nnew  line \r\n", "ünï cödé ßß 漢字かな 😀😀 x́", "<s> </s> <unk> <0x41> <|endoftext|> it's we'll 123 4567 !?", "a ▁ b", "  nb   em line",
@@ -74,18 +73,8 @@ def test_hard_texts(spark, monkeypatch):
         assert figures(align(df)) == want
 
 
-def test_units_are_the_whole_text(odd):
-    """Texts by units and as a whole have equal figures; long products come in several runs of A ids."""
-    own = Tokenizers()
-    assert own.units
-    known = alignment.Aligner(own)
-    texts = [t for t in HARD if t] + ["lorem  ipsum dolor\tsit 1 2 3"]
-    for t in texts:
-        units = known.units(t)
-        (whole,) = _whole(own, 0, 0, t)
-        if units is not None:
-            got = alignment._of_units(known, [(0, 0)], [units]).to_pylist()
-            assert got == whole.to_pylist()
+def test_long_products():
+    """Pairs come in several runs of A ids, each pair in one of them."""
     rng = np.random.default_rng(1)
     a, b = rng.integers(0, 30, 300), rng.integers(0, 30, 300)
     g = Groups(np.full(300, 2), np.concatenate([[1], np.full(298, 2), [3]]))
@@ -101,14 +90,16 @@ def test_odd_documents(spark, odd):
     assert figures(align(odd)) == brute(rows)
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_random_texts(seed):
-    rng = np.random.default_rng(seed)
-    own = Tokenizers()
-    known = alignment.Aligner(own)
-    parts = [" ", "  ", "\n", "a", "the", " of", "é", "漢", "'s", "9", "\t ", "  ", "\x1c ", "\u0085", "_", "▁"]
-    for _ in range(300):
-        t = "".join(rng.choice(parts, rng.integers(1, 12)))
-        units = known.units(t)
-        if units is not None:
-            assert alignment._of_units(known, [(0, 0)], [units]).to_pylist() == next(_whole(own, 0, 0, t)).to_pylist()
+def test_random_texts(spark, monkeypatch):
+    """Also where every text has too many pairs for company, and few characters go together."""
+    rng = np.random.default_rng(7)
+    parts = [" ", "  ", "\n", "a", "the", " of", "é", "漢", "'s", "9", "\t ", "\u00a0 ", "\x1c ", "\u0085", "_", "▁"]
+    rows = [(i, "".join(rng.choice(parts, rng.integers(1, 12)))) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    want = brute(rows)
+    assert figures(align(df)) == want
+    own, heads = Tokenizers(), [(i, i) for i, _ in rows]
+    held = lambda: sorted((r["row"], p["a"], p["b"], p["n"]) for batch in alignment._aligned(own, heads, [t for _, t in rows]) for r in batch.to_pylist() for p in r["pairs"])
+    all_at_once = held()
+    monkeypatch.setattr(alignment, "PAIRS", 2)
+    assert held() == all_at_once and len(all_at_once) > 300
