@@ -1,11 +1,12 @@
 """Removal of word sequences that other documents hold, by compressed indexes over shards.
 
 A window is WIDTH consecutive words. Its anchor is the least hash of its shingles of GRAM words, so that equal
-windows have equal anchors; consecutive windows with one anchor are a segment, and segments go to the shard that
-their anchor names. Texts are taken in blocks; equal segments of a block travel once, with the least id of their
-documents, so that a passage of very many documents comes once from each block. Windows with a very frequent
-anchor are segments of their own, under the hash of all their words, so that what surrounds a frequent passage
-spreads over all shards.
+windows have equal anchors; consecutive windows with one anchor are a segment. Anchors are counted over the corpus.
+A filter of fixed size holds those that come more than once; segments that it holds (all that can be repeated, and
+few others) go to the shard that their anchor names. Texts are taken in blocks; equal segments of a block travel
+once, with the least id of their documents, so that a passage of very many documents comes once from each block.
+Windows with a very frequent anchor are segments of their own, under the hash of all their words, so that what
+surrounds a frequent passage spreads over all shards.
 
 A shard indexes the segments whose anchors come more than once (a full-text index over a wavelet matrix), streams
 them through it by backward search, and reports, as intervals of each block's segments, the windows whose match
@@ -14,6 +15,9 @@ reaches WIDTH in a document with a smaller id. Blocks then meet their reports.
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -23,10 +27,13 @@ from quern.llm.common import Words, _powers, drop, mix64, pieces, small_batches,
 from quern.llm.fm_index import DEPTH, Index
 
 WIDTH, GRAM = 13, 5
-#: Characters of a block, words of a shard, symbols that are indexed at once, windows of a segment.
-BLOCK, SHARD, INDEXED, LONGEST = 4 << 20, 1 << 21, 1 << 21, 64
-#: Words that have a code of two bytes (any choice gives the same result), and the most anchors that count as frequent.
-CODED, FREQUENT = (1 << 16) - 1, 1 << 14
+#: Characters of a block and of a chunk of it, segments of a shard, symbols that are indexed at once, windows of a segment.
+BLOCK, CHUNK, SHARD, INDEXED, LONGEST = 4 << 20, 1 << 18, 1 << 17, 1 << 21, 64
+#: The most anchors that count as frequent, and the bits of the filter: 16 for each anchor, but no more than these (16 MB).
+#: A filter that is too small for its anchors lets more segments through, which changes no result.
+FREQUENT, BITS = 1 << 14, 27
+#: Words are told apart by so many bytes of their hashes.
+BYTES = 6
 #: A null id comes after all others.
 LAST = 2**63 - 1
 _RNG = np.random.default_rng(1313)
@@ -42,7 +49,26 @@ def _rolled(h: np.ndarray, width: int) -> np.ndarray:
     return mix64(out)
 
 
-def anchors(h: np.ndarray, width: int, frequent: np.ndarray | None = None) -> np.ndarray:
+@dataclass(frozen=True)
+class Shared:
+    """What is known of the anchors of the corpus: a filter of those that come more than once, and the frequent ones, sorted."""
+
+    bits: np.ndarray
+    frequent: np.ndarray
+
+    def has(self, anchor: np.ndarray) -> np.ndarray:
+        found = np.ones(len(anchor), bool)
+        for at in places(anchor, int(len(self.bits) * 8).bit_length() - 1):
+            found &= (self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+        return found
+
+
+def places(anchor: np.ndarray, width: int) -> list[np.ndarray]:
+    """The two bits of an anchor in a filter of 2 ** width bits."""
+    return [(x >> np.uint64(64 - width)).astype(np.int64) for x in (anchor * np.uint64(0x9E3779B97F4A7C15), mix64(anchor))]
+
+
+def anchors(h: np.ndarray, width: int) -> np.ndarray:
     """The anchor of the window at each word (for as many as there are windows, those over a text's end too)."""
     n, have = max(len(h) - width + 1, 0), 1
     if not n:
@@ -52,28 +78,32 @@ def anchors(h: np.ndarray, width: int, frequent: np.ndarray | None = None) -> np
         step = min(have, width - GRAM + 1 - have)
         whole = np.minimum(whole[: len(whole) - step], whole[step:])
         have += step
-    if frequent is not None and len(frequent):
-        at = np.minimum(np.searchsorted(frequent, whole), len(frequent) - 1)
-        hot = frequent[at] == whole
-        if hot.any():
-            whole = np.where(hot, mix64(whole ^ _rolled(h, width)), whole)
     return whole
 
 
 class Segments:
-    """The segments of a list of texts: `doc` (its place), `start` (word in the text), `windows`, `anchor`, and `at` (word in all)."""
+    """The segments of a list of texts, of those known as shared if told: `doc` (its place), `start` (word in the text), `windows`, `anchor`, and `at` (word in all)."""
 
-    def __init__(self, texts: list[str | None], width: int, frequent: np.ndarray | None = None):
+    def __init__(self, texts: list[str | None], width: int, shared: Shared | None = None):
         w = Words(texts, lower=False)
         self.hash, self.count = w.hash, w.count
-        a = anchors(w.hash, width, frequent)
+        a = anchors(w.hash, width)
+        keep = None
+        if shared is not None and len(a):
+            keep = shared.has(a)
+            if len(shared.frequent):
+                often = shared.frequent[np.minimum(np.searchsorted(shared.frequent, a), len(shared.frequent) - 1)] == a
+                a = np.where(often, mix64(a ^ _rolled(w.hash, width)), a) if often.any() else a
         windows = np.maximum(w.count - width + 1, 0)
         doc = np.repeat(np.arange(len(texts)), windows)
         inner = np.arange(len(doc)) - np.repeat(np.cumsum(windows) - windows, windows)
         at = np.repeat(w.first[:-1], windows) + inner
+        if keep is not None:
+            some = keep[at]
+            doc, inner, at = doc[some], inner[some], at[some]
         a = a[at]
         new = np.ones(len(at), bool)
-        new[1:] = (a[1:] != a[:-1]) | (doc[1:] != doc[:-1])
+        new[1:] = (a[1:] != a[:-1]) | (doc[1:] != doc[:-1]) | (inner[1:] != inner[:-1] + 1)
         begin = np.flatnonzero(new)
         run = np.arange(len(at)) - np.repeat(begin, np.diff(np.append(begin, len(at))))
         begin = np.flatnonzero(run % LONGEST == 0)
@@ -82,10 +112,14 @@ class Segments:
 
     def content(self, width: int) -> np.ndarray:
         """A hash of each segment's words."""
-        up, down = _powers(len(self.hash) + 1)
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.hash * up[: len(self.hash)], dtype=np.uint64)])
-        words = self.windows + width - 1
-        return mix64((total[self.at + words] - total[self.at]) * down[self.at] + words.astype(np.uint64))
+        return contents(self.hash, self.at, self.windows + width - 1)
+
+
+def contents(h: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Hashes of runs of n values."""
+    up, down = _powers(len(h) + 1)
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * up[: len(h)], dtype=np.uint64)])
+    return mix64((total[at + n] - total[at]) * down[at] + n.astype(np.uint64))
 
 
 def _ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -93,108 +127,163 @@ def _ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start, n)
 
 
-def _signed(x: np.ndarray) -> np.ndarray:
-    return x.view(np.int64)
-
-
-def _frequencies(width: int):
-    """Candidates of each run of texts: its most frequent words and anchors, and its numbers of both (under kind 2 and 3)."""
-
-    def top(values: np.ndarray, least: int, most: int):
-        kind, n = np.unique(values, return_counts=True)
-        few = np.flatnonzero(n >= least)
-        few = few[np.argsort(-n[few], kind="stable")[:most]]
-        return _signed(kind[few]), n[few]
+def _counted(width: int, block_size: int):
+    """Texts -> their anchors, each with the number of its segments in a run of texts."""
 
     def run(batches):
         for b in batches:
             texts = b.column("text").to_pylist()
-            for i, j in pieces(texts, BLOCK):
-                s = Segments(texts[i:j], width)
-                parts = [top(s.hash, 2, 8192), top(s.anchor, 8, 4096), ([0], [len(s.hash)]), ([0], [len(s.anchor)])]
-                yield pa.RecordBatch.from_pydict({
-                    "kind": pa.array(np.repeat(np.arange(4, dtype=np.int32), [len(v) for v, _ in parts])), "value": pa.array(np.concatenate([v for v, _ in parts]).astype(np.int64)),
-                    "n": pa.array(np.concatenate([n for _, n in parts]).astype(np.int64)),
-                })
+            for i, j in pieces(texts, block_size):
+                anchor, n = np.unique(Segments(texts[i:j], width).anchor, return_counts=True)
+                yield pa.RecordBatch.from_pydict({"anchor": pa.array(anchor.view(np.int64)), "n": pa.array(n)})
 
     return run
 
 
-_PARTS = "block long, place int, doc_id long, text string, segments binary, starts binary, shard int, which binary, windows binary, ids binary, tags binary, codes binary, others binary"
+def shared_anchors(texts: DataFrame, width: int) -> tuple[Shared, int]:
+    """What is known of the anchors of a table of texts, and how many segments have an anchor that comes more than once."""
+    seen = texts.mapInArrow(_counted(width, BLOCK), "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1")
+    seen = store(seen, "anchors")
+    many, total = seen.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    bits = min(BITS, max(10, math.ceil(math.log2(max(1, many) * 16))))
+    frequent = seen.where(F.col("n") * FREQUENT >= total).select("anchor").collect()  # at most FREQUENT
+    part = 20  # bits of a place within its part of the filter
 
+    def lit(batches):
+        for b in batches:
+            anchor = np.asarray(b.column("anchor")).view(np.uint64)
+            yield pa.RecordBatch.from_pydict({"at": pa.array(np.unique(np.concatenate(places(anchor, bits))))})
+
+    def packed(batches):
+        held: dict[int, np.ndarray] = {}
+        for b in batches:
+            at = np.asarray(b.column("at"))
+            for p in np.unique(at >> part).tolist():
+                held.setdefault(p, np.zeros(1 << part, bool))[at[at >> part == p] & ((1 << part) - 1)] = True
+        yield pa.RecordBatch.from_pydict({"part": pa.array(list(held), pa.int64()), "bits": pa.array([np.packbits(x, bitorder="little").tobytes() for x in held.values()], pa.binary())})
+
+    rows = seen.select("anchor").mapInArrow(lit, "at long").repartition(max(1, 1 << max(0, bits - part)), F.shiftright("at", part)).mapInArrow(packed, "part long, bits binary")
+    whole = np.zeros(max(1 << bits, 1 << part) // 8, np.uint8)
+    for r in rows.collect():  # 2 ** BITS bits at most
+        whole[(r["part"] << part) // 8 :][: (1 << part) // 8] |= np.frombuffer(r["bits"], np.uint8)
+    drop(seen)
+    return Shared(whole[: (1 << bits) // 8], np.sort(np.array([r["anchor"] for r in frequent], np.int64).view(np.uint64))), total
 
-def _rows(**columns) -> pa.RecordBatch:
-    """A batch of _PARTS; columns that are not given are null."""
-    kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary()}
-    n = len(next(iter(columns.values())))
-    schema = [c.split() for c in _PARTS.split(", ")]
-    return pa.RecordBatch.from_arrays([pa.array(columns[c], kinds[k]) if c in columns else pa.nulls(n, kinds[k]) for c, k in schema], [c for c, _ in schema])
 
+_CHUNKS = "block long, chunk int, ids binary, sizes binary, texts binary, segments binary, start binary, windows binary, content binary, anchor binary"
+_SEGMENTS = "shard int, block long, content binary, windows binary, ids binary, tags binary, words binary"
+_REPORTS = "block long, content binary, a binary, b binary, other binary"
 
-def _blocks(width: int, shards: int, coded: np.ndarray, frequent: np.ndarray):
-    """Texts -> rows of texts with their segments' numbers, and rows of a block's distinct segments for each shard."""
 
-    def split(block: int, ids: list[int], texts: list[str | None]):
-        s = Segments(texts, width, frequent)
-        _, first, number = np.unique(s.content(width), return_index=True, return_inverse=True)
-        least = np.full(len(first), LAST)
-        np.minimum.at(least, number, np.array(ids, np.int64)[s.doc])
-        ends = np.searchsorted(s.doc, np.arange(len(texts) + 1))
-        number, start = number.astype("<i4"), s.start.astype("<i4")
-        cut = lambda x: [x[i:j].tobytes() for i, j in zip(ends[:-1], ends[1:], strict=True)]
-        yield _rows(block=[block] * len(texts), place=list(range(len(texts))), doc_id=ids, text=texts, segments=cut(number), starts=cut(start))
-        shard = (s.anchor[first] % np.uint64(shards)).astype(np.int64)
-        which = np.argsort(shard, kind="stable")
-        shard, at = shard[which], first[which]
-        windows = s.windows[at]
-        spot = np.minimum(np.searchsorted(coded, s.hash), max(len(coded) - 1, 0))
-        known = (coded[spot] == s.hash) if len(coded) else np.zeros(len(s.hash), bool)
-        code = np.where(known, spot, CODED).astype("<u2")
-        n = windows + width - 1
-        words = _ranges(s.at[at], n)
-        each, end = np.searchsorted(shard, np.arange(shards + 1)), np.concatenate([[0], np.cumsum(n)])
-        for k in np.flatnonzero(np.diff(each)):
-            i, j = each[k], each[k + 1]
-            own = words[end[i] : end[j]]
-            yield _rows(
-                block=[block], shard=[int(k)], which=[which[i:j].astype("<i4").tobytes()], windows=[windows[i:j].astype("<u1").tobytes()], ids=[least[which[i:j]].astype("<i8").tobytes()],
-                tags=[(s.anchor[at[i:j]] >> np.uint64(32)).astype("<u4").tobytes()], codes=[code[own].tobytes()], others=[s.hash[own[~known[own]]].astype("<u8").tobytes()],
-            )
+def _batch(kind: str, rows: list[tuple]) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    schema = [c.split() for c in kind.split(", ")]
+    columns = list(zip(*rows, strict=True)) if rows else [[] for _ in schema]
+    return pa.RecordBatch.from_arrays([pa.array(x, kinds[k]) for x, (_, k) in zip(columns, schema, strict=True)], [c for c, _ in schema])
+
+
+def _zip(data: bytes) -> bytes:
+    return pa.compress(data, codec="zstd", asbytes=True)
+
+
+def _texts(sizes: np.ndarray, data: bytes) -> list[str | None]:
+    """The texts of a chunk, from their sizes in bytes (-1: null)."""
+    n = np.maximum(sizes, 0)
+    raw = pa.decompress(data, int(n.sum()), codec="zstd", asbytes=True)
+    ends = np.cumsum(n).tolist()
+    return [None if s < 0 else raw[e - s : e].decode("utf-8", "surrogatepass") for s, e in zip(sizes.tolist(), ends, strict=True)]
+
+
+def _chunks(width: int, shared: Shared, block_size: int, chunk_size: int):
+    """Texts -> chunks of blocks, with the segments that can be shared."""
+
+    def chunk(block: int, number: int, ids: list[int], texts: list[str | None]):
+        s = Segments(texts, width, shared)
+        raw = [None if t is None else t.encode("utf-8", "surrogatepass") for t in texts]
+        sizes = np.array([-1 if r is None else len(r) for r in raw], "<i4")
+        return _batch(_CHUNKS, [(
+            block, number, np.array(ids, "<i8").tobytes(), sizes.tobytes(), _zip(b"".join(r or b"" for r in raw)), np.bincount(s.doc, minlength=len(ids)).astype("<i4").tobytes(), s.start.astype("<i4").tobytes(),
+            s.windows.astype("<u1").tobytes(), s.content(width).astype("<u8").tobytes(), s.anchor.astype("<u8").tobytes(),
+        )])
 
     def run(batches):
         from pyspark import TaskContext
 
-        block = TaskContext.get().partitionId() << 32
+        block, number, whole, size = TaskContext.get().partitionId() << 32, 0, 0, 0
         ids: list[int] = []
         texts: list[str | None] = []
-        size = 0
         for b in batches:
             for i, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
                 n = len(t) if t is not None else 0
-                if texts and size + n > BLOCK:
-                    yield from split(block, ids, texts)
-                    block, ids, texts, size = block + 1, [], [], 0
+                if texts and size + n > chunk_size:
+                    yield chunk(block, number, ids, texts)
+                    number, whole = number + 1, whole + size
+                    ids, texts, size = [], [], 0
+                    if whole + n > block_size:
+                        block, number, whole = block + 1, 0, 0
                 ids.append(i)
                 texts.append(t)
                 size += n
         if texts:
-            yield from split(block, ids, texts)
+            yield chunk(block, number, ids, texts)
+
+    return run
+
+
+def _get(rows: list[dict], column: str, kind: str) -> np.ndarray:
+    return np.frombuffer(b"".join(r[column] for r in rows), kind)
+
+
+def _dealt(width: int, shards: int):
+    """Chunks -> the distinct segments of each block (of what a task has of it) for each shard."""
+
+    def deal(rows: list[dict]):
+        ids, sizes, content, anchor = (_get(rows, c, k) for c, k in (("ids", "<i8"), ("sizes", "<i4"), ("content", "<u8"), ("anchor", "<u8")))
+        start, windows = _get(rows, "start", "<i4").astype(np.int64), _get(rows, "windows", "<u1").astype(np.int64)
+        if not len(content):
+            return
+        doc = np.repeat(np.arange(len(ids)), _get(rows, "segments", "<i4"))
+        w = Words([t for r in rows for t in _texts(np.frombuffer(r["sizes"], "<i4"), r["texts"])], lower=False)
+        assert len(w.count) == len(sizes)
+        _, first, number = np.unique(content, return_index=True, return_inverse=True)
+        least = np.full(len(first), LAST)
+        np.minimum.at(least, number, ids[doc])
+        shard = (anchor[first] % np.uint64(shards)).astype(np.int64)
+        order = np.lexsort((first, shard))
+        shard, at, least = shard[order], first[order], least[order]
+        n = windows[at] + width - 1
+        words = w.hash[_ranges(w.first[doc[at]] + start[at], n)].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :BYTES]
+        each, ends = np.searchsorted(shard, np.arange(shards + 1)), np.concatenate([[0], np.cumsum(n)])
+        out = []
+        for k in np.flatnonzero(np.diff(each)).tolist():
+            i, j = each[k], each[k + 1]
+            own = at[i:j]
+            out.append((k, rows[0]["block"], content[own].tobytes(), windows[own].astype("<u1").tobytes(), least[i:j].astype("<i8").tobytes(), (anchor[own] >> np.uint64(32)).astype("<u4").tobytes(), words[ends[i] : ends[j]].tobytes()))
+        yield _batch(_SEGMENTS, out)
+
+    def run(batches):
+        rows: list[dict] = []
+        for b in batches:
+            for r in b.to_pylist():
+                if rows and rows[0]["block"] != r["block"]:
+                    yield from deal(rows)
+                    rows = []
+                rows.append(r)
+        if rows:
+            yield from deal(rows)
 
     return run
 
 
-def reports(block: np.ndarray, which: np.ndarray, doc: np.ndarray, windows: np.ndarray, symbols: np.ndarray, width: int):
-    """Segments of one or more blocks -> (block, which, from, to, id): runs of windows that start in `id` too, which is less than the segment's own.
+def reports(block: np.ndarray, content: np.ndarray, doc: np.ndarray, windows: np.ndarray, symbols: np.ndarray, width: int):
+    """Segments of one or more blocks -> (block, content, from, to, id): runs of windows that start in `id` too, which is less than the segment's own.
 
     Equal segments are indexed once, under their least id.
     """
     n = windows + width - 1
     begin = np.cumsum(n) - n
     dense = np.unique(symbols, return_inverse=True)[1].astype(np.int64) + 1
-    up, down = _powers(len(symbols) + 1)
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(symbols * up[: len(symbols)], dtype=np.uint64)])
-    key = mix64((total[begin + n] - total[begin]) * down[begin] + n.astype(np.uint64))
-    _, first, kind = np.unique(key, return_index=True, return_inverse=True)
+    _, first, kind = np.unique(contents(symbols, begin, n), return_index=True, return_inverse=True)
     least = np.full(len(first), LAST)
     np.minimum.at(least, kind, doc)
     m = n[first]
@@ -221,18 +310,17 @@ def reports(block: np.ndarray, which: np.ndarray, doc: np.ndarray, windows: np.n
     new[1:] = (segment[1:] != segment[:-1]) | (inner[1:] != inner[:-1] + 1) | (other[1:] != other[:-1])
     a = np.flatnonzero(new)
     b = np.append(a[1:], len(hit)) - 1
-    return block[segment[a]], which[segment[a]], inner[a], inner[b], other[a]
+    return block[segment[a]], content[segment[a]], inner[a], inner[b], other[a]
 
 
-def _shard(rows: list[dict], width: int, coded: np.ndarray):
+def _shard(rows: list[dict], width: int, indexed: int):
     """All rows of a shard -> its reports, a row for each block of each part that is indexed at once."""
-    get = lambda c, kind: np.concatenate([np.frombuffer(r[c], kind) for r in rows])
-    which, windows, doc, tag = get("which", "<i4"), get("windows", "<u1").astype(np.int64), get("ids", "<i8"), get("tags", "<u4")
-    code, others = get("codes", "<u2"), get("others", "<u8")
-    block = np.repeat(np.array([r["block"] for r in rows], np.int64), [len(r["which"]) // 4 for r in rows])
+    content, doc, tag = _get(rows, "content", "<u8"), _get(rows, "ids", "<i8"), _get(rows, "tags", "<u4")
+    windows = _get(rows, "windows", "<u1").astype(np.int64)
+    words = _get(rows, "words", "<u1").reshape(-1, BYTES)
+    block = np.repeat(np.array([r["block"] for r in rows], np.int64), [len(r["windows"]) for r in rows])
     n = windows + width - 1
     begin = np.cumsum(n) - n
-    escape = np.cumsum(code == CODED)
     order = np.argsort(tag, kind="stable")
     sorted_tag = tag[order]
     edge = np.flatnonzero(np.append(True, sorted_tag[1:] != sorted_tag[:-1]))
@@ -241,44 +329,33 @@ def _shard(rows: list[dict], width: int, coded: np.ndarray):
     edge, many, size = edge[many > 1], many[many > 1], size[many > 1]
     at = 0
     while at < len(edge):
-        to = max(at + 1, int(np.searchsorted(np.cumsum(size[at:]), INDEXED, side="right")) + at)
+        to = max(at + 1, int(np.searchsorted(np.cumsum(size[at:]), indexed, side="right")) + at)
         use = order[_ranges(edge[at:to], many[at:to])]
-        words = _ranges(begin[use], n[use])
-        held = code[words]
-        symbols = coded[np.minimum(held, max(len(coded) - 1, 0))] if len(coded) else np.zeros(len(held), np.uint64)
-        new = np.flatnonzero(held == CODED)
-        symbols[new] = others[escape[words[new]] - 1]
-        out = reports(block[use], which[use], doc[use], windows[use], symbols, width)
+        held = words[_ranges(begin[use], n[use])]
+        symbols = np.zeros((len(held), 8), np.uint8)
+        symbols[:, :BYTES] = held
+        out = reports(block[use], content[use], doc[use], windows[use], symbols.view("<u8").ravel(), width)
         by = np.argsort(out[0], kind="stable")
         out = [x[by] for x in out]
         ends = np.append(np.flatnonzero(np.append(True, out[0][1:] != out[0][:-1])) if len(by) else [], len(by)).astype(np.int64)
         for i, j in zip(ends[:-1], ends[1:], strict=True):
-            yield {"block": int(out[0][i]), "which": out[1][i:j].astype("<i4").tobytes(), "a": out[2][i:j].astype("<u1").tobytes(), "b": out[3][i:j].astype("<u1").tobytes(), "other": out[4][i:j].astype("<i8").tobytes()}
+            yield int(out[0][i]), out[1][i:j].astype("<u8").tobytes(), out[2][i:j].astype("<u1").tobytes(), out[3][i:j].astype("<u1").tobytes(), out[4][i:j].astype("<i8").tobytes()
         at = to
 
 
-_REPORTS = "block long, which binary, a binary, b binary, other binary"
-
-
-def _search(width: int, coded: np.ndarray):
+def _search(width: int, indexed: int):
     """Rows sorted by shard -> reports of one shard after the other."""
 
-    def out(rows):
-        schema = pa.schema([("block", pa.int64()), *((c, pa.binary()) for c in ("which", "a", "b", "other"))])
-        made = list(_shard(rows, width, coded))
-        if made:
-            yield from pa.Table.from_pylist(made, schema).to_batches()
-
     def run(batches):
         rows: list[dict] = []
         for b in batches:
             for r in b.to_pylist():
                 if rows and rows[0]["shard"] != r["shard"]:
-                    yield from out(rows)
+                    yield _batch(_REPORTS, list(_shard(rows, width, indexed)))
                     rows = []
                 rows.append(r)
         if rows:
-            yield from out(rows)
+            yield _batch(_REPORTS, list(_shard(rows, width, indexed)))
 
     return run
 
@@ -290,24 +367,22 @@ def _keep(width: int):
     """A block's texts and reports -> what is kept of each text."""
 
     def run(docs: pa.Table, found: pa.Table) -> pa.Table:
-        docs = docs.sort_by("place")
-        ids, texts = docs.column("doc_id").to_pylist(), docs.column("text").to_pylist()
-        get = lambda t, c, kind: np.frombuffer(b"".join(t.column(c).to_pylist()), kind)
-        number, start = get(docs, "segments", "<i4"), get(docs, "starts", "<i4").astype(np.int64)
-        doc = np.repeat(np.arange(len(ids)), [len(x) // 4 for x in docs.column("segments").to_pylist()])
-        words = [t.encode("utf-8", "surrogatepass").split() if t else [] for t in texts]
+        rows, found = docs.sort_by("chunk").to_pylist(), found.to_pylist()
+        own, sizes, content = _get(rows, "ids", "<i8"), _get(rows, "sizes", "<i4"), _get(rows, "content", "<u8")
+        start, windows = _get(rows, "start", "<i4").astype(np.int64), _get(rows, "windows", "<u1").astype(np.int64)
+        doc = np.repeat(np.arange(len(own)), _get(rows, "segments", "<i4"))
+        words = [(t or "").encode("utf-8", "surrogatepass").split() for r in rows for t in _texts(np.frombuffer(r["sizes"], "<i4"), r["texts"])]
+        assert len(words) == len(sizes)
         count = np.array(list(map(len, words)))
-        after = np.append(start[1:], 0)
-        windows = np.where(np.append(doc[1:] == doc[:-1], False), after, count[doc] - width + 1) - start
-        own = np.array(ids, np.int64)
-        least = np.full(int(number.max()) + 1 if len(number) else 0, LAST)
-        np.minimum.at(least, number, own[doc])
         # copies within the block, and what the shards report
-        which, a, b, other = (get(found, c, k).astype(np.int64) for c, k in (("which", "<i4"), ("a", "<u1"), ("b", "<u1"), ("other", "<i8")))
-        order = np.argsort(which, kind="stable")
-        which, a, b, other = which[order], a[order], b[order], other[order]
-        from_, to = np.searchsorted(which, number), np.searchsorted(which, number, side="right")
-        occurrence = np.repeat(np.arange(len(number)), to - from_)
+        _, number = np.unique(content, return_inverse=True)
+        least = np.full(len(content), LAST)
+        np.minimum.at(least, number, own[doc])
+        told, a, b, other = _get(found, "content", "<u8"), _get(found, "a", "<u1").astype(np.int64), _get(found, "b", "<u1").astype(np.int64), _get(found, "other", "<i8")
+        order = np.argsort(told, kind="stable")
+        told, a, b, other = told[order], a[order], b[order], other[order]
+        from_, to = np.searchsorted(told, content), np.searchsorted(told, content, side="right")
+        occurrence = np.repeat(np.arange(len(content)), to - from_)
         of = _ranges(from_, to - from_)
         ok = other[of] < own[doc[occurrence]]
         occurrence, of = occurrence[ok], of[ok]
@@ -326,7 +401,7 @@ def _keep(width: int):
             spans.append([{"start": x, "end": y} for x, y in edge.reshape(-1, 2).tolist()])
             kept.append(b" ".join(w if not len(edge) else [x for x, y in zip(w, g.tolist(), strict=True) if not y]))
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-        return pa.table({"doc_id": pa.array(ids, pa.int64()), "n_words": pa.array(count.astype(np.int64)), "n_removed": pa.array(removed, pa.int64()), "spans": pa.array(spans, kind), "kept": pa.array(kept, pa.binary()).cast(pa.string())})
+        return pa.table({"doc_id": pa.array(own), "n_words": pa.array(count.astype(np.int64)), "n_removed": pa.array(removed, pa.int64()), "spans": pa.array(spans, kind), "kept": pa.array(kept, pa.binary()).cast(pa.string())})
 
     return run
 
@@ -337,28 +412,20 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     A word goes if a window that covers it also starts in a document with a smaller id; windows are judged on the
     input. Rows of one id are not smaller than one another; null ids come after all others (as 2**63 - 1 would).
     Null and empty texts, and those of fewer words than a window has, lose nothing. An empty table gives an empty
-    table; other columns are not read. Windows of GRAM to 16 words are possible. Words and segments are told apart by
-    64-bit hashes.
+    table; other columns are not read. Windows of GRAM to 16 words are possible. Words are told apart by 48 bits of
+    their hashes, segments of one block or shard by 64.
     """
     if not GRAM <= width <= DEPTH:
         raise ValueError(f"width is from {GRAM} to {DEPTH}")
     spark = docs.sparkSession
     small_batches(spark)
     slim = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc_id"), F.col(text_col).alias("text"))
-    seen = slim.select("text").mapInArrow(_frequencies(width), "kind int, value long, n long")
-    seen = store(seen.groupBy("kind", "value").agg(F.sum("n").alias("n")), "frequencies")
-    total = {r["kind"]: r["n"] for r in seen.where("kind >= 2").collect()}
-    held = lambda rows: np.sort(np.array([r["value"] for r in rows.collect()], np.int64).view(np.uint64))
-    coded = held(seen.where("kind = 0").orderBy(F.desc("n"), "value").limit(CODED))
-    frequent = held(seen.where((F.col("kind") == 1) & (F.col("n") * FREQUENT >= total.get(3, 0))))  # at most FREQUENT
-    shards = max(1, -(-total.get(2, 0) // SHARD))
-    parts = store(slim.mapInArrow(_blocks(width, shards, coded, frequent), _PARTS), "blocks")
-    drop(seen)
-    segments = parts.where("shard is not null").select("shard", "block", "which", "windows", "ids", "tags", "codes", "others")
-    segments = segments.repartition(min(shards, 10_000), "shard").sortWithinPartitions("shard", "block")
-    found = segments.mapInArrow(_search(width, coded), _REPORTS)
-    texts = parts.where("place is not null").select("block", "place", "doc_id", "text", "segments", "starts")
-    out = texts.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(_keep(width), _KEPT)
+    shared, total = shared_anchors(slim.select("text"), width)
+    shards = max(1, math.ceil(total / SHARD))
+    chunks = store(slim.mapInArrow(_chunks(width, shared, BLOCK, CHUNK), _CHUNKS), "chunks")
+    segments = chunks.mapInArrow(_dealt(width, shards), _SEGMENTS)
+    found = segments.repartition(min(shards, 10_000), "shard").sortWithinPartitions("shard", "block").mapInArrow(_search(width, INDEXED), _REPORTS)
+    out = chunks.drop("anchor").groupBy("block").cogroup(found.groupBy("block")).applyInArrow(_keep(width), _KEPT)
     return out.select(F.nullif("doc_id", F.lit(LAST)).alias(id_col), "n_words", "n_removed", "spans", "kept")
 
 

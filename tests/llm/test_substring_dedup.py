@@ -58,10 +58,10 @@ def corpus(rng, n, vocabulary=400):
     return rows + [(n + i, rows[rng.randrange(n)][1]) for i in range(20)]
 
 
-@pytest.mark.parametrize(("shard", "block", "indexed", "frequent"), [(S.SHARD, S.BLOCK, S.INDEXED, S.FREQUENT), (300, 2000, 500, 200), (1000, 700, 5000, 1 << 40)])
-def test_brute_force(spark, monkeypatch, shard, block, indexed, frequent):
-    """Whatever the number of shards and blocks, and the frequent anchors."""
-    for name, value in (("SHARD", shard), ("BLOCK", block), ("INDEXED", indexed), ("FREQUENT", frequent)):
+@pytest.mark.parametrize(("shard", "block", "chunk", "indexed", "frequent", "bits"), [(S.SHARD, S.BLOCK, S.CHUNK, S.INDEXED, S.FREQUENT, S.BITS), (30, 2000, 500, 500, 200, 10), (100, 700, 700, 5000, 1 << 40, 27)])
+def test_brute_force(spark, monkeypatch, shard, block, chunk, indexed, frequent, bits):
+    """Whatever the number of shards and blocks, the frequent anchors, and a filter that is too small."""
+    for name, value in (("SHARD", shard), ("BLOCK", block), ("CHUNK", chunk), ("INDEXED", indexed), ("FREQUENT", frequent), ("BITS", bits)):
         monkeypatch.setattr(S, name, value)
     rows = corpus(random.Random(shard), 150)
     df = spark.createDataFrame([(*r, "c", 1) for r in rows], "doc_id long, text string, kept string, block int").repartition(3)
