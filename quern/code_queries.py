@@ -29,7 +29,7 @@ from quern.plans.scratch import fresh, remove
 from quern.plans.search import Searcher, snippets
 from quern.queries import _DOC_TOKENS, _SPLIT, _TOKENS, QUERIES, SQL, _chunks, _chunks_sql, _table, query
 from quern.schema import FILES, STATE
-from quern.sources.snapshots import export_state, import_state
+from quern.sources.state_documents import export_state, import_state
 from quern.sources.workspace import ignore_rules, read_workspace, resolve_roots
 from quern.streaming.watch import relevant, watch
 

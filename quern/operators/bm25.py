@@ -70,10 +70,11 @@ class Index:
     totals: DataFrame
 
 
-def build(docs: DataFrame, id_col: str = "id", text_col: str = "document") -> Index:
-    tokens = spread(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("__t"))).select("id", tokenize_code(F.col("__t")).alias("t"))
-    postings = tokens.select("id", F.explode("t").alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
-    lengths = tokens.select("id", F.size("t").cast("long").alias("dl"))
+def build(docs: DataFrame, id_col: str = "id", text_col: str = "document", carry: tuple[str, ...] = ()) -> Index:
+    """carry: columns of docs that postings and lengths have too."""
+    tokens = spread(docs.select(F.col(id_col).alias("id"), *carry, F.col(text_col).alias("__t"))).select("id", *carry, tokenize_code(F.col("__t")).alias("t"))
+    postings = tokens.select("id", *carry, F.explode("t").alias("term")).groupBy("id", "term", *carry).agg(F.count("*").alias("tf"))
+    lengths = tokens.select("id", *carry, F.size("t").cast("long").alias("dl"))
     return Index(postings, lengths, frequencies(postings), totals(lengths))
 
 

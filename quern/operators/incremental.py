@@ -45,6 +45,12 @@ def delete_files(table: DataFrame, files: DataFrame, by: tuple[str, ...] = ("rep
     return table.join(keys, on, "left_anti")
 
 
+def rows_of_files(table: DataFrame, files: DataFrame, by: tuple[str, ...] = ("repo", "file")) -> DataFrame:
+    """The rows that delete_files leaves out."""
+    keys = files.select(*[F.col(c).alias(f"__d_{c}") for c in by]).distinct()
+    return table.join(keys, [F.col(c).eqNullSafe(F.col(f"__d_{c}")) for c in by], "left_semi")
+
+
 def delete_repo(table: DataFrame, repo: str) -> DataFrame:
     return table.where(~F.col("repo").eqNullSafe(F.lit(repo)))
 

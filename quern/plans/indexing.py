@@ -1,7 +1,8 @@
-"""Indexing source trees into snapshot tables: scan, diff, extract, chunk, encode, replace, commit."""
+"""Indexing source trees into versioned tables: scan, diff, extract, chunk, encode, add segments, commit."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,13 +14,18 @@ from quern.operators.chunking import chunk_blocks
 from quern.operators.extract import extract_blocks, extract_calls
 from quern.operators.models import PRECISIONS, Encoder, encode, quantize
 from quern.schema import CALLS, CHUNKS, STATE
-from quern.sources.snapshots import Snapshots
+from quern.sources.versions import GONE, Conflict, Version, Versions, file_key
 from quern.sources.workspace import read_workspace, resolve_roots
 
 CHUNK_TABLE = CHUNKS + ", embedding array<float>"
-CODE_TABLE = "id string, repo string, embedding array<int>"
+CODE_TABLE = "id string, repo string, embedding array<int>, file_key long"
 RANGE_TABLE = "ranges array<struct<lo: double, hi: double>>"
+POSTING_TABLE = "id string, term string, tf long, file_key long"
+LENGTH_TABLE = "id string, dl long, file_key long"
+FREQUENCY_TABLE = "term string, df long"
 FILE_KEYS = ("repo", "file")
+#: How often a run starts over after another writer's commit, and the segments of a table from which a run compacts it.
+TRIES, SEGMENTS = 5, 16
 
 
 @dataclass
@@ -35,95 +41,177 @@ class IndexStats:
 
 
 class Indexer:
-    """Keeps the chunk, call and state tables of an index folder up to date with its roots.
+    """Keeps the chunk, call, state and keyword tables of an index folder up to date with its roots.
 
-    Only added and modified files are parsed and encoded. All tables of a run become current at once, so a run
-    that is cut off leaves the old version, and repeating it is harmless. State belongs to the index, not to a root.
+    Only added and modified files are parsed and encoded, and only their rows are written: a run adds a segment to each
+    table, marks of the files whose older rows are gone, and the changes of document frequencies. All of it becomes
+    current at once, so a run that is cut off leaves the old version, and repeating it is harmless. Several writers
+    can share an index: one that meets another's commit starts over from it. A reader holds the version that it
+    began with. State belongs to the index, not to a root.
     """
 
-    def __init__(self, spark: SparkSession, path: str, roots=None, encoder: Encoder | None = None, precision: str = "float32"):
+    def __init__(self, spark: SparkSession, path: str, roots=None, encoder: Encoder | None = None, precision: str = "float32", blocks: Callable[[DataFrame], DataFrame] = extract_blocks, calls: Callable[[DataFrame], DataFrame] = extract_calls):
         self.spark, self.roots, self.encoder, self.precision = spark, resolve_roots(roots), encoder, precision
-        self.store = Snapshots(spark, path)
+        self.extract_blocks, self.extract_calls = blocks, calls
+        self.store = Versions(spark, path)
 
-    def chunks(self) -> DataFrame:
-        return self.store.table("chunks", CHUNK_TABLE)
+    def chunks(self, at: Version | None = None) -> DataFrame:
+        return self.store.table(at or self.store.version(), "chunks", CHUNK_TABLE, file_key())
 
-    def calls(self) -> DataFrame:
-        return self.store.table("calls", CALLS)
+    def calls(self, at: Version | None = None) -> DataFrame:
+        return self.store.table(at or self.store.version(), "calls", CALLS, file_key())
 
-    def state(self) -> DataFrame:
-        return self.store.table("state", STATE)
+    def state(self, at: Version | None = None) -> DataFrame:
+        return self.store.table(at or self.store.version(), "state", STATE, file_key())
 
     def index(self, files: DataFrame | None = None) -> IndexStats:
         """files: FILES rows to index in place of the roots' trees."""
         files = read_workspace(self.spark, self.roots) if files is None else files
-        seen = incremental.diff(files, self.state()).persist()
+        for n in range(TRIES):
+            try:
+                return self._index(files, self.store.version())
+            except Conflict:
+                if n == TRIES - 1:
+                    raise
+        raise AssertionError
+
+    def _index(self, files: DataFrame, base: Version) -> IndexStats:
+        seen = incremental.diff(files, self.state(base)).persist()
         try:
             found = incremental.stats(seen).first().asDict()
-            out = IndexStats(**found, workspaces=[str(r) for r in self.roots])
+            out = IndexStats(**found, workspaces=[str(r) for r in self.roots], total=base.numbers.get("chunks", 0))
             if not (out.added or out.modified or out.deleted):
-                out.total = self.chunks().count()
                 return out
             fresh = files.join(incremental.to_index(seen), list(FILE_KEYS), "left_semi")
-            made = encode(chunk_blocks(extract_blocks(fresh)), self.encoder)
-            stale = incremental.stale(seen)
-            new = self.store.write("new", made)
-            made = self.spark.read.parquet(f"{self.store.path}/{new}")
-            out.chunks = made.count()
-            chunks = incremental.upsert(incremental.delete_files(self.chunks(), stale), made)
-            calls = incremental.delete_files(self.calls(), stale).unionByName(extract_calls(fresh))
             # sorted by name: a definition lookup reads the row groups of its name
-            tables = {
-                "chunks": self.store.write("chunks", chunks.repartitionByRange("name", "id").sortWithinPartitions("name", "id")),
-                "calls": self.store.write("calls", calls), "state": self.store.write("state", incremental.new_state(seen)),
-            }
-            tables |= self._postings(tables["chunks"]) | self._codes(tables["chunks"])
-            self.store.commit(tables)
-            self.store.remove(new)
-            out.total = self.chunks().count()
-            return out
+            made = encode(chunk_blocks(self.extract_blocks(fresh)), self.encoder).repartitionByRange("name", "id").sortWithinPartitions("name", "id")
+            changed = incremental.new_state(seen).join(incremental.to_index(seen), list(FILE_KEYS), "left_semi")
+            add = {"chunks": made, "calls": self.extract_calls(fresh), "state": changed}
+            new = self._change(base, incremental.stale(seen), out.modified + out.deleted, add)
+            out.chunks, out.total = new.numbers["made"], new.numbers["chunks"]
         finally:
             seen.unpersist()
+        if len(new.tables["chunks"]) > SEGMENTS:
+            self.compact()
+        self.store.vacuum()
+        return out
 
-    def _postings(self, chunks_at: str) -> dict[str, str]:
-        """The keyword index goes with its version of the chunks, so it can never be out of date."""
-        chunks = self.spark.read.parquet(f"{self.store.path}/{chunks_at}")
-        made = bm25.build(chunks)
-        names = {"postings": self.store.write("postings", made.postings.repartitionByRange("term", "id").sortWithinPartitions("term", "id")), "lengths": self.store.write("lengths", made.lengths)}
-        read = lambda n: self.spark.read.parquet(f"{self.store.path}/{names[n]}")
-        names["frequencies"] = self.store.write("frequencies", bm25.frequencies(read("postings")))
-        names["totals"] = self.store.write("totals", bm25.totals(read("lengths")))
-        return names
-
-    def _codes(self, chunks_at: str) -> dict[str, str | None]:
-        """The codes of a version of the chunks at the index's precision; those of other precisions would be out of date and go."""
-        names: dict[str, str | None] = dict.fromkeys(["ranges", *(f"codes_{p}" for p in PRECISIONS)])
+    def _change(self, base: Version, stale: DataFrame, n_stale: int, add: dict[str, DataFrame]) -> Version:
+        """Commits rows of new files, and the end of stale ones (repo, file)."""
+        written: list[str] = []
+
+        def write(name: str, df: DataFrame) -> list[str]:
+            written.append(self.store.write(name, df, base))
+            return written[-1:]
+
+        try:
+            segments = {name: write(name, df) for name, df in add.items()}
+            made = self.store.read(segments.get("chunks", []), CHUNK_TABLE)
+            old = incremental.rows_of_files(self.chunks(base), stale).select("id", "document", file_key().alias("file_key")) if n_stale else None
+            if n_stale:
+                segments[GONE] = write(GONE, self.store.mark(stale, base))
+            index = bm25.build(made.withColumn("file_key", file_key()), carry=("file_key",))
+            if "chunks" in segments:
+                segments["postings"] = write("postings", index.postings.repartitionByRange("term", "id").sortWithinPartitions("term", "id"))
+                segments["lengths"] = write("lengths", index.lengths)
+            counts = {"made": 0, "chunks": base.numbers.get("chunks", 0), "tokens": base.numbers.get("tokens", 0), GONE: base.numbers.get(GONE, 0) + n_stale}
+            deltas = []
+            if "chunks" in segments:
+                lengths = self.store.read(segments["lengths"], LENGTH_TABLE).agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("t")).first()
+                counts |= {"made": lengths["n"], "chunks": counts["chunks"] + lengths["n"], "tokens": counts["tokens"] + lengths["t"]}
+                deltas.append(bm25.frequencies(self.store.read(segments["postings"], POSTING_TABLE)))
+            if old is not None:
+                before = bm25.build(old)
+                lengths = before.lengths.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("t")).first()
+                counts |= {"chunks": counts["chunks"] - lengths["n"], "tokens": counts["tokens"] - lengths["t"]}
+                deltas.append(bm25.frequencies(before.postings).select("term", (-F.col("df")).alias("df")))
+            delta = deltas[0] if len(deltas) == 1 else deltas[0].unionByName(deltas[1])
+            delta = delta.groupBy("term").agg(F.sum("df").alias("df")).where("df <> 0")
+            segments["frequencies"] = write("frequencies", delta.repartitionByRange("term").sortWithinPartitions("term"))
+            replace = self._codes(base, stale if n_stale else None, made if "chunks" in segments else None, segments, write)
+            return self.store.commit(base, segments, replace, counts)
+        except BaseException:
+            self.store.remove(*written)
+            raise
+
+    def _codes(self, base: Version, stale: DataFrame | None, made: DataFrame | None, segments: dict[str, list[str]], write) -> dict[str, list[str]]:
+        """Codes at the index's precision: those of new rows are added; they are written anew where the ranges change or the precision is new.
+
+        Codes of other precisions would be out of date and go.
+        """
+        name = f"codes_{self.precision}"
+        replace: dict[str, list[str]] = {n: [] for n in ("ranges", *(f"codes_{p}" for p in PRECISIONS)) if n in base.tables and n != name and not (n == "ranges" and self.precision == "int8")}
         if self.precision == "float32":
-            return names
-        rows, known = self.spark.read.parquet(f"{self.store.path}/{chunks_at}").select("id", "repo", "embedding"), None
+            return replace
+        slim = lambda df: df.select("id", "repo", "embedding", file_key().alias("file_key"))
+        live = self.chunks(base)
+        live = incremental.delete_files(live, stale) if stale is not None else live
+        live = slim(live.unionByName(made) if made is not None else live)
+        known, same = None, name in base.tables
         if self.precision == "int8":
-            names["ranges"] = self.store.write("ranges", range_arrays(rows, "embedding"))
-            known = self.spark.read.parquet(f"{self.store.path}/{names['ranges']}")
-        names[f"codes_{self.precision}"] = self.store.write("codes", quantize(rows, self.precision, known=known)[0])
-        return names
-
-    def keyword_index(self) -> bm25.Index:
-        kinds = {"postings": "id string, term string, tf long", "lengths": "id string, dl long", "frequencies": "term string, df long", "totals": "n long, avg_len double"}
-        return bm25.Index(**{n: self.store.table(n, k) for n, k in kinds.items()})
+            replace["ranges"] = write("ranges", range_arrays(live, "embedding"))
+            known = self.store.read(replace["ranges"], RANGE_TABLE)
+            same = same and known.first() == self.store.read(base.tables["ranges"], RANGE_TABLE).first()
+        code = lambda df: quantize(df, self.precision, known=known)[0].select("id", "repo", "embedding", "file_key")
+        if not same:
+            replace[name] = write(name, code(live))
+        elif made is not None:
+            segments[name] = write(name, code(slim(made)))
+        return replace
+
+    def keyword_index(self, at: Version | None = None) -> bm25.Index:
+        """The keyword index goes with its version of the chunks, so it can never be out of date."""
+        at = at or self.store.version()
+        n, tokens = at.numbers.get("chunks", 0), at.numbers.get("tokens", 0)
+        frequencies = self.store.table(at, "frequencies", FREQUENCY_TABLE).groupBy("term").agg(F.sum("df").alias("df"))
+        totals = self.spark.range(1).select(F.lit(n).cast("long").alias("n"), F.lit(tokens / n if n else 0.0).alias("avg_len"))
+        keyed = lambda name, kind: self.store.table(at, name, kind, F.col("file_key")).drop("file_key")
+        return bm25.Index(keyed("postings", POSTING_TABLE), keyed("lengths", LENGTH_TABLE), frequencies, totals)
 
     def quantized(self) -> tuple[DataFrame, list | None]:
         """Ids, repos and vectors at the index's precision, and the ranges that int8 queries need.
 
-        Codes are those stored by the last run; an index opened at a precision it wasn't written at makes them anew.
+        Codes are those stored; an index opened at a precision it wasn't written at makes them anew.
         """
-        if f"codes_{self.precision}" not in self.store.current():
-            return quantize(self.chunks().select("id", "repo", "embedding"), self.precision)
-        codes = self.store.table(f"codes_{self.precision}", CODE_TABLE)
-        return codes, self.store.table("ranges", RANGE_TABLE).first()["ranges"] if self.precision == "int8" else None
+        at = self.store.version()
+        if f"codes_{self.precision}" not in at.tables:
+            return quantize(self.chunks(at).select("id", "repo", "embedding"), self.precision)
+        codes = self.store.table(at, f"codes_{self.precision}", CODE_TABLE, F.col("file_key")).drop("file_key")
+        return codes, self.store.read(at.tables["ranges"], RANGE_TABLE).first()["ranges"] if self.precision == "int8" else None
 
     def delete_repo(self, repo: str) -> None:
-        tables = {n: self.store.write(n, incremental.delete_repo(df, repo)) for n, df in (("chunks", self.chunks()), ("calls", self.calls()), ("state", self.state()))}
-        self.store.commit(tables | self._postings(tables["chunks"]) | self._codes(tables["chunks"]))
+        """Ends all files of a repo."""
+        for n in range(TRIES):
+            base = self.store.version()
+            files = self.state(base).where(F.col("repo").eqNullSafe(F.lit(repo))).select(*FILE_KEYS)
+            if not (many := files.count()):
+                return
+            try:
+                self._change(base, files, many, {})
+                return
+            except Conflict:
+                if n == TRIES - 1:
+                    raise
+
+    def compact(self) -> Version | None:
+        """Writes each table as one segment without what is gone; None if another writer came first, whose run will compact."""
+        base = self.store.version()
+        kinds = {"chunks": CHUNK_TABLE, "calls": CALLS, "state": STATE, "postings": POSTING_TABLE, "lengths": LENGTH_TABLE} | {f"codes_{p}": CODE_TABLE for p in PRECISIONS}
+        order = {"chunks": ("name", "id"), "postings": ("term", "id")}
+        replace: dict[str, list[str]] = {GONE: []}
+        for name, kind in kinds.items():
+            if name in base.tables:
+                rows = self.store.table(base, name, kind, F.col("file_key") if "file_key" in kind else file_key())
+                rows = rows.repartitionByRange(*order[name]).sortWithinPartitions(*order[name]) if name in order else rows
+                replace[name] = [self.store.write(name, rows, base)]
+        if "frequencies" in base.tables:
+            rows = self.store.table(base, "frequencies", FREQUENCY_TABLE).groupBy("term").agg(F.sum("df").alias("df")).where("df <> 0")
+            replace["frequencies"] = [self.store.write("frequencies", rows.repartitionByRange("term").sortWithinPartitions("term"), base)]
+        try:
+            return self.store.commit(base, replace=replace, numbers={GONE: 0})
+        except Conflict:
+            self.store.remove(*[s for found in replace.values() for s in found])
+            return None
 
 
 def status_counts(diff: DataFrame) -> DataFrame:

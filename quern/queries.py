@@ -19,8 +19,10 @@ from quern.operators import bm25, fusion, incremental
 from quern.operators.chunking import chunk_blocks
 from quern.operators.models import rerank
 from quern.operators.navigation import count_usages_of, find_usages
+from quern.operators.vector_index import VectorIndex
 from quern.operators.vector_search import hamming_top_k, vector_top_k
 from quern.plans.parallel import spread
+from quern.plans.scratch import fresh
 from quern.sources.workspace import ignore_rules, ignored, in_ignored_dir
 from quern.streaming.watch import debounced
 
@@ -164,6 +166,24 @@ def vector_topk_filtered(spark, sf_dir):
     return vector_top_k(rows, _first_vector(rows), id_col="vec_id", limit=10, where=F.col("label") == 3, digits=6).drop("label")
 
 
+def _indexed(spark, sf_dir, **how):
+    rows = _vectors(spark, sf_dir)
+    index = VectorIndex.build(rows, fresh(spark, "vector-index"), "vec_id", "embedding", "label")
+    found = index.search(_first_vector(rows), 10, exact=True, digits=6, **how)
+    return found.select(F.col("id").alias("vec_id"), "score", "rank")
+
+
+@query(_vector_sql())
+def vector_index_topk(spark, sf_dir):
+    """By a stored index of all vectors; exact, so that its result is the scan's."""
+    return _indexed(spark, sf_dir)
+
+
+@query(_vector_sql("label = 3"))
+def vector_index_topk_filtered(spark, sf_dir):
+    return _indexed(spark, sf_dir, group="3")
+
+
 @query(f"SELECT vec_id, unnest(range(len(e)))::INTEGER AS pos, round(unnest(e) / sqrt({_DOT.format('e', 'e')}), 6) AS x FROM (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE * 3) AS e FROM embeddings)")
 def l2_normalize(spark, sf_dir):
     tripled = F.transform(V.doubles(F.col("embedding")), lambda x: x * 3)

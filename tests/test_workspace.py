@@ -12,7 +12,7 @@ from quern import lsp
 from quern.api import Workspace
 from quern.operators.models import quantize
 from quern.plans.indexing import Indexer
-from quern.sources.snapshots import Snapshots, export_state, import_state
+from quern.sources.state_documents import export_state, import_state
 from quern.sources.workspace import ignore_rules, ignored, is_ignored, read_workspace, resolve_roots
 from quern.streaming.watch import debounced, relevant, watch
 
@@ -88,7 +88,7 @@ def test_stored_codes(spark, tmp_path):
         got, ranges = i.quantized()
         want, wanted = quantize(i.chunks(), i.precision)
         assert {r["id"]: r["embedding"] for r in got.collect()} == {r["id"]: r["embedding"] for r in want.collect()} and ranges == wanted
-        return sorted(n for n in i.store.current() if n.startswith(("codes", "ranges")))
+        return sorted(n for n in i.store.version().tables if n.startswith(("codes", "ranges")))
 
     at = str(tmp_path / "index")
     first = Indexer(spark, at, tmp_path / "w", precision="int8")
@@ -137,15 +137,7 @@ def test_stream_pieces(spark):
     assert sorted(r["n"] for r in debounced(events).collect()) == [1, 3]
 
 
-def test_snapshots_and_state(spark, tmp_path):
-    s = Snapshots(spark, f"file://{tmp_path}/s")
-    assert s.current() == {} and s.table("t", "x int").count() == 0
-    for n in (1, 2):
-        s.commit({"t": s.write("t", spark.range(n))})
-        assert s.table("t", "id long").count() == n
-    assert len(list((tmp_path / "s").glob("t-*"))) == 1
-    (tmp_path / "s/_CURRENT").write_text("broken")
-    assert s.current() == {}
+def test_state_documents(spark):
     text = '{"version": 1, "files": {"a.py": {"sha256": "h", "size": 3, "mtime": 1.5}, "bad": {"size": "x"}, "worse": 7}}'
     state = import_state(spark, text)
     assert [tuple(r) for r in state.collect()] == [("", "a.py", "h", 3, 1.5)] and json.loads(export_state(state))["files"]["a.py"]["size"] == 3
