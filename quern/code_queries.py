@@ -28,12 +28,25 @@ from quern.plans.indexing import Indexer
 from quern.plans.scratch import fresh, remove
 from quern.plans.search import Searcher, snippets
 from quern.queries import _DOC_TOKENS, _SPLIT, _TOKENS, QUERIES, SQL, _chunks, _chunks_sql, _table, query
-from quern.schema import FILES, STATE
+from quern.schema import CALLS, FILES, STATE
 from quern.sources.state_documents import export_state, import_state
 from quern.sources.workspace import ignore_rules, read_workspace, resolve_roots
 from quern.streaming.watch import relevant, watch
 
-__all__ = ["QUERIES", "SQL"]
+__all__ = ["OWN", "OWN_SQL", "QUERIES", "SQL"]
+
+#: Over source files, indexes and messages that are written out here: these read no given table, so that they are tests only.
+OWN: dict = {}
+OWN_SQL: dict[str, str] = {}
+
+
+def example(sql: str):
+    def add(f):
+        OWN[f.__name__], OWN_SQL[f.__name__] = f, sql
+        return f
+
+    return add
+
 
 EXAMPLES = Path(__file__).resolve().parent / "examples"
 
@@ -81,7 +94,7 @@ def _extraction(name: str, file: str, blocks: list[tuple], calls: list[tuple]) -
         return extract_blocks(_files(spark, file)).select("block_pos", "name", "class_chain", "block_type", "start_line", "end_line", "docstring", "code")
 
     found.__name__ = f"blocks_{name}"
-    query(sql)(found)
+    example(sql)(found)
     expected = _values("pos INTEGER, callee VARCHAR, line INTEGER", *((i, *c) for i, c in enumerate(calls)))
     norm = "replace(replace(trim(callee), '::', '.'), '->', '.')"
     sql = f"SELECT c.*, {norm} AS callee_norm, trim(ls[line], ' ' || chr(9)) AS preview FROM ({expected}) AS c, {lines}"
@@ -90,7 +103,7 @@ def _extraction(name: str, file: str, blocks: list[tuple], calls: list[tuple]) -
         return extract_calls(_files(spark, file)).select("pos", "callee", "line", "callee_norm", "preview")
 
     called.__name__ = f"calls_{name}"
-    query(sql)(called)
+    example(sql)(called)
 
 
 _extraction(
@@ -158,7 +171,7 @@ _extraction(
 )
 
 
-@query(_values("file VARCHAR, name VARCHAR, start_line INTEGER, end_line INTEGER, code VARCHAR", ("broken.py", "good", 1, 2, "def good():\n    return 1"), ("latin.py", "f", 1, 2, 'def f():\n    return "caf\ufffd"')))
+@example(_values("file VARCHAR, name VARCHAR, start_line INTEGER, end_line INTEGER, code VARCHAR", ("broken.py", "good", 1, 2, "def good():\n    return 1"), ("latin.py", "f", 1, 2, 'def f():\n    return "caf\ufffd"')))
 def blocks_of_damaged_files(spark, sf_dir):
     """What stands before an error stays; bytes that are no UTF-8 are replaced; files with a NUL are left out."""
     found = extract_blocks(_files(spark, "broken.py", "latin.py", "binary.py"))
@@ -170,26 +183,26 @@ def blocks_of_damaged_files(spark, sf_dir):
 _CODE = ("Account.java", "Auth.cs", "Auth.swift", "User.kt", "calc.c", "card.tsx", "client.ts", "component.jsx", "db.cpp", "lib.rs", "main.go", "sample.py")
 
 
-@query(_values("file VARCHAR, line INTEGER, preview VARCHAR", ("User.kt", 7, "fun short() = names.map { check_it(it) }"), ("client.ts", 5, "this.helper(`a ${check_it(x)} {`);"), ("client.ts", 11, "export function go(a: number): string { return check_it(a); }")))
+@example(_values("file VARCHAR, line INTEGER, preview VARCHAR", ("User.kt", 7, "fun short() = names.map { check_it(it) }"), ("client.ts", 5, "this.helper(`a ${check_it(x)} {`);"), ("client.ts", 11, "export function go(a: number): string { return check_it(a); }")))
 def usages_limited(spark, sf_dir):
     """Comments and strings are no usages; the first three by file and place."""
     return navigation.find_usages(extract_calls(_files(spark, *_CODE)), " check_it ", 3).select("file", "line", "preview")
 
 
-@query(_values("symbol VARCHAR, n BIGINT", ("check_it", 5), ("Mod.login", 1), ("Mod::login", 1), ("login", 1), ("ops->plus", 1), ("handle", 1), ("Inner.Thing", 1), ("none", 0), ("Ledger.post", 1), ("post", 1), ("App::open", 1), ("open", 2)))
+@example(_values("symbol VARCHAR, n BIGINT", ("check_it", 5), ("Mod.login", 1), ("Mod::login", 1), ("login", 1), ("ops->plus", 1), ("handle", 1), ("Inner.Thing", 1), ("none", 0), ("Ledger.post", 1), ("post", 1), ("App::open", 1), ("open", 2)))
 def usages_counted(spark, sf_dir):
     wanted = ["check_it", "Mod.login", "Mod::login", "login", "ops->plus", "handle", "Inner.Thing", "none", "Ledger.post", "post", "App::open", "open", "", "  "]
     return navigation.count_usages(extract_calls(_files(spark, *_CODE)), wanted)
 
 
-@query(_values("symbol VARCHAR, n INTEGER", ("check_it", 2), ("   ", 0)))
+@example(_values("symbol VARCHAR, n INTEGER", ("check_it", 2), ("   ", 0)))
 def usages_capped(spark, sf_dir):
     calls = extract_calls(_files(spark, *_CODE))
     counted = navigation.count_usages(calls, ["check_it"], 2).select("symbol", F.col("n").cast("int").alias("n"))
     return counted.unionByName(navigation.find_usages(calls, "   ").agg(F.lit("   ").alias("symbol"), F.count("*").cast("int").alias("n")))
 
 
-@query(_values(
+@example(_values(
     "symbol VARCHAR, file VARCHAR, name VARCHAR, class_chain VARCHAR, start_line INTEGER", ("check", "Auth.swift", "check", "Auth", 3), ("Users.find", "User.kt", "find", "Users", 3),
     ("Outer::Inner::deep", "sample.py", "deep", "Outer::Inner", 26), ("Inner.deep", "sample.py", "deep", "Outer::Inner", 26), ("Database::connect", "db.cpp", "connect", "App::Database", 5),
 ))
@@ -216,7 +229,7 @@ def definitions_indexed(spark, sf_dir):
 _SCANNED = [(f, len((EXAMPLES / f).read_bytes())) for f in (*_CODE, "broken.py", "index.mts", "latin.py", "pkg/__init__.py")]
 
 
-@query(_values("repo VARCHAR, file VARCHAR, size BIGINT, language VARCHAR, sha256 VARCHAR", *[
+@example(_values("repo VARCHAR, file VARCHAR, size BIGINT, language VARCHAR, sha256 VARCHAR", *[
     ("", f, n, lang, hashlib.sha256((EXAMPLES / f).read_bytes()).hexdigest()) for (f, n), lang in zip(_SCANNED, (
         "java", "c_sharp", "swift", "kotlin", "c", "tsx", "typescript", "javascript", "cpp", "rust", "go", "python", "python", "typescript", "python", "python"), strict=True)
 ]))
@@ -225,14 +238,14 @@ def workspace_scan(spark, sf_dir):
     return read_workspace(spark, EXAMPLES).select("repo", "file", "size", "language", F.sha2("content", 256).alias("sha256"))
 
 
-@query(_values("repo VARCHAR, files BIGINT", ("examples", 16), ("generated", 1), ("pkg", 1)))
+@example(_values("repo VARCHAR, files BIGINT", ("examples", 16), ("generated", 1), ("pkg", 1)))
 def workspace_roots(spark, sf_dir):
     """Several roots in one text; a rule of one root does not hold for another."""
     roots = f"{EXAMPLES}, {EXAMPLES / 'generated'},{EXAMPLES / 'none'} ,{EXAMPLES / 'pkg'}"
     return read_workspace(spark, resolve_roots(roots)).groupBy("repo").agg(F.count("*").alias("files"))
 
 
-@query(_values("given VARCHAR, n INTEGER, first VARCHAR", ("one", 1, "examples"), ("commas", 2, "pkg"), ("semicolons", 2, "pkg"), ("list", 2, "generated"), ("some missing", 1, "pkg"), ("none there", 1, "no,where")))
+@example(_values("given VARCHAR, n INTEGER, first VARCHAR", ("one", 1, "examples"), ("commas", 2, "pkg"), ("semicolons", 2, "pkg"), ("list", 2, "generated"), ("some missing", 1, "pkg"), ("none there", 1, "no,where")))
 def roots_resolved(spark, sf_dir):
     pkg, gen = str(EXAMPLES / "pkg"), str(EXAMPLES / "generated")
     cases = {"one": str(EXAMPLES), "commas": f"{pkg} , {gen}", "semicolons": f"{pkg};{gen}", "list": [gen, pkg], "some missing": f"{pkg},{EXAMPLES / 'none'}", "none there": "no,where"}
@@ -240,7 +253,7 @@ def roots_resolved(spark, sf_dir):
     return spark.createDataFrame([(k, len(v), v[0].name) for k, v in found.items()], "given string, n int, first string")
 
 
-@query(_values("file VARCHAR", ("ok.py",), ("limit.py",), ("late_nul.go",)))
+@example(_values("file VARCHAR", ("ok.py",), ("limit.py",), ("late_nul.go",)))
 def readable_files(spark, sf_dir):
     """Up to 1,000,000 bytes, of a known language, without a NUL in the first 8,192 bytes."""
     rows = [("ok.py", 3, b"x=1"), ("limit.py", 1_000_000, b""), ("large.py", 1_000_001, b""), ("nul.py", 9, b"a" * 8191 + b"\0"), ("late_nul.go", 9, b"a" * 8192 + b"\0"), ("notes.toml", 1, b""), ("Makefile", 1, b"")]
@@ -248,13 +261,13 @@ def readable_files(spark, sf_dir):
     return readable(df).select("file")
 
 
-@query(_values("path VARCHAR, posix VARCHAR, language VARCHAR", ("src\\a\\B.PY", "src/a/B.PY", "python"), (".hidden", ".hidden", None), ("a.b/c", "a.b/c", None), ("x/y.test.mjs", "x/y.test.mjs", "javascript")))
+@example(_values("path VARCHAR, posix VARCHAR, language VARCHAR", ("src\\a\\B.PY", "src/a/B.PY", "python"), (".hidden", ".hidden", None), ("a.b/c", "a.b/c", None), ("x/y.test.mjs", "x/y.test.mjs", "javascript")))
 def relative_paths(spark, sf_dir):
     rows = spark.createDataFrame([("src\\a\\B.PY",), (".hidden",), ("a.b/c",), ("x/y.test.mjs",)], "path string")
     return rows.select("path", T.posix_path(F.col("path")).alias("posix"), T.language_of(T.posix_path(F.col("path"))).alias("language"))
 
 
-@query(_values("root VARCHAR, file VARCHAR", ("/r", "a.py"), ("/q/", "b.ts"), ("/r", "in/deep.go")))
+@example(_values("root VARCHAR, file VARCHAR", ("/r", "a.py"), ("/q/", "b.ts"), ("/r", "in/deep.go")))
 def watch_relevant(spark, sf_dir):
     """Change events inside a root, of a known language, in no ignored directory and under no ignore rule."""
     paths = ["/r/a.py", "/r/.git/x.py", "/r/n.txt", "/q/b.ts", "/r/skip.py", "/rr/c.py", "/r/in/deep.go", "/r/in/node_modules/y.js", "/q/skip/z.py"]
@@ -267,7 +280,7 @@ def watch_relevant(spark, sf_dir):
 _STATE = '{"version": 1, "files": {"b.py": {"sha256": "h2", "size": 5, "mtime": 2.25}, "a.py": {"sha256": "h", "size": 3, "mtime": 1.5}, "bad": {"size": "x"}, "worse": 7, "half": {"sha256": "h", "size": 1}}}'
 
 
-@query(_values("document VARCHAR, repo VARCHAR, file VARCHAR, sha256 VARCHAR, size BIGINT, mtime DOUBLE", ("whole", "r", "a.py", "h", 3, 1.5), ("whole", "r", "b.py", "h2", 5, 2.25)))
+@example(_values("document VARCHAR, repo VARCHAR, file VARCHAR, sha256 VARCHAR, size BIGINT, mtime DOUBLE", ("whole", "r", "a.py", "h", 3, 1.5), ("whole", "r", "b.py", "h2", 5, 2.25)))
 def state_import(spark, sf_dir):
     """Malformed entries are dropped; a document that is no JSON, or no object, has none."""
     out = import_state(spark, _STATE, "r").withColumn("document", F.lit("whole"))
@@ -276,7 +289,7 @@ def state_import(spark, sf_dir):
     return out.select("document", "repo", "file", "sha256", "size", "mtime")
 
 
-@query(_values("document VARCHAR", (json.dumps({"files": {"a.py": {"mtime": 1.5, "sha256": "h", "size": 3}, "b.py": {"mtime": 2.25, "sha256": "h2", "size": 5}}, "version": 1}, indent=2, sort_keys=True),)))
+@example(_values("document VARCHAR", (json.dumps({"files": {"a.py": {"mtime": 1.5, "sha256": "h", "size": 3}, "b.py": {"mtime": 2.25, "sha256": "h2", "size": 5}}, "version": 1}, indent=2, sort_keys=True),)))
 def state_export(spark, sf_dir):
     return spark.createDataFrame([(export_state(import_state(spark, _STATE)),)], "document string")
 
@@ -293,7 +306,7 @@ _HISTORY = (
 )
 
 
-@query(_values(
+@example(_values(
     "step VARCHAR, scanned BIGINT, added BIGINT, modified BIGINT, deleted BIGINT, unchanged BIGINT, chunks BIGINT, total BIGINT, names VARCHAR, calls VARCHAR, state VARCHAR, found VARCHAR",
     ("first", 1, 1, 0, 0, 0, 1, 1, "a", "b", "a.py", "a.py::a"), ("unchanged", 1, 0, 0, 0, 1, 0, 1, "a", "b", "a.py", "a.py::a"), ("touched", 1, 0, 0, 0, 1, 0, 1, "a", "b", "a.py", "a.py::a"),
     ("added", 2, 1, 0, 0, 1, 2, 3, "a,b,c", "b", "a.py,b.py", "a.py::a"), ("modified", 2, 0, 1, 0, 1, 2, 4, "a,b,c,d", "b", "a.py,b.py", "a.py::a"), ("deleted", 1, 0, 0, 1, 1, 0, 2, "b,c", "", "b.py", ""),
@@ -310,7 +323,41 @@ def index_history(spark, sf_dir):
     return spark.createDataFrame(rows, "step string, scanned long, added long, modified long, deleted long, unchanged long, chunks long, total long, names string, calls string, state string, found string")
 
 
-@query(_values("kept VARCHAR, n BIGINT", ("after deleting repo one", 1), ("after replay", 2)))
+def document_blocks(files: DataFrame) -> DataFrame:
+    """A document is one block."""
+    code = F.col("content").cast("string")
+    return files.select(
+        "repo", "file", "language", F.lit("function").alias("block_type"), F.lit("text").alias("name"), F.lit("").alias("class_chain"), F.lit(1).alias("start_line"), F.size(T.splitlines(code)).alias("end_line"),
+        code.alias("code"), F.lit("").alias("docstring"), F.lit(0).alias("block_pos"),
+    )
+
+
+def no_calls(files: DataFrame) -> DataFrame:
+    return files.sparkSession.createDataFrame([], CALLS)
+
+
+@query("""WITH d AS (SELECT source, lang, coalesce(text, '') AS t FROM documents),
+s AS (SELECT count(*) AS n, count(*) FILTER (WHERE source = 'src3') AS gone, count(*) FILTER (WHERE lang = 'fr') AS fr, count(*) FILTER (WHERE lang = 'fr' AND source <> 'src3') AS changed FROM d)
+SELECT unnest(['1 first', '2 again', '3 without src3', '4 French changed', '5 src3 back, French as at first']) AS step, unnest([n, n, n - gone, n - gone, n]) AS scanned, unnest([n, 0, 0, 0, gone]) AS added,
+       unnest([0, 0, 0, changed, changed]) AS modified, unnest([0, 0, gone, 0, 0]) AS deleted, unnest([0, n, n - gone, n - gone - changed, n - gone - changed]) AS unchanged, unnest([n, n, n - gone, n - gone, n]) AS files,
+       unnest([0, 0, 0, changed, 0]) AS marked FROM s""")
+def index_history_of_documents(spark, sf_dir):
+    """Five runs of one index over the documents as files: what each found, the files that it then holds, and those in which its keyword index knows a word that only changed files have."""
+    path, rows = fresh(spark, "documents"), []
+    indexer = Indexer(spark, path, EXAMPLES, encoder=HashedTokens(16), blocks=document_blocks, calls=no_calls)
+    docs = _table(spark, sf_dir, "documents").select("source", "lang", F.concat(F.lit("docs/"), "doc_id").alias("file"), F.coalesce("text", F.lit("")).alias("text"))
+    marked = docs.withColumn("text", F.when(F.col("lang") == "fr", F.concat("text", F.lit(" quernstone"))).otherwise(F.col("text")))
+    left = lambda df: df.where("source <> 'src3'")
+    for step, found in (("1 first", docs), ("2 again", docs), ("3 without src3", left(docs)), ("4 French changed", left(marked)), ("5 src3 back, French as at first", docs)):
+        files = found.select(F.col("source").alias("repo"), "file", F.octet_length("text").cast("long").alias("size"), F.lit(1.0).alias("mtime"), F.col("lang").alias("language"), F.encode("text", "utf-8").alias("content"))
+        s = indexer.index(files)
+        known = indexer.keyword_index().postings.where("term = 'quernstone'").count()
+        rows.append((step, s.scanned, s.added, s.modified, s.deleted, s.unchanged, indexer.chunks().select("repo", "file").distinct().count(), known))
+    remove(spark, path)
+    return spark.createDataFrame(rows, "step string, scanned long, added long, modified long, deleted long, unchanged long, files long, marked long")
+
+
+@example(_values("kept VARCHAR, n BIGINT", ("after deleting repo one", 1), ("after replay", 2)))
 def index_repos(spark, sf_dir):
     """A run that is repeated changes nothing; a repo can be deleted from all tables."""
     path = fresh(spark, "repos")
@@ -325,7 +372,7 @@ def index_repos(spark, sf_dir):
     return spark.createDataFrame([("after replay", replayed), ("after deleting repo one", left)], "kept string, n long")
 
 
-@query(_values("precision VARCHAR, width INTEGER, low INTEGER, high INTEGER, first VARCHAR", ("float32", 384, 0, 0, "b.py::b"), ("int8", 384, -128, 127, "b.py::b"), ("ubinary", 48, 0, 255, "b.py::b"), ("binary", 48, -128, 127, "b.py::b")))
+@example(_values("precision VARCHAR, width INTEGER, low INTEGER, high INTEGER, first VARCHAR", ("float32", 384, 0, 0, "b.py::b"), ("int8", 384, -128, 127, "b.py::b"), ("ubinary", 48, 0, 255, "b.py::b"), ("binary", 48, -128, 127, "b.py::b")))
 def index_precisions(spark, sf_dir):
     """The codes of an index's vectors at each precision, as stored with the index: width, bounds (of the kind), and the best hit for a definition's words."""
     rows = []
@@ -342,7 +389,7 @@ def index_precisions(spark, sf_dir):
     return spark.createDataFrame(rows, "precision string, width int, low int, high int, first string")
 
 
-@query(_values("n INTEGER, line VARCHAR", (0, "indexed 1 chunks, 0 files deleted, 1 chunks in all")))
+@example(_values("n INTEGER, line VARCHAR", (0, "indexed 1 chunks, 0 files deleted, 1 chunks in all")))
 def watch_once(spark, sf_dir):
     """The first pass of a watch over a tree, and the line that it logs."""
     path, said = fresh(spark, "watch"), []
@@ -458,7 +505,7 @@ def search_reranked(spark, sf_dir):
     return _searched(spark, sf_dir, _ASKED, mode="keyword", rerank_hits=True)
 
 
-@query(_values("mode VARCHAR, n BIGINT", ("semantic", 0), ("keyword", 0), ("hybrid", 0), ("no words", 0)))
+@example(_values("mode VARCHAR, n BIGINT", ("semantic", 0), ("keyword", 0), ("hybrid", 0), ("no words", 0)))
 def search_of_nothing(spark, sf_dir):
     """An index with nothing in it, and a keyword search for no words, give no rows."""
     empty = Indexer(spark, fresh(spark, "empty"), EXAMPLES)
@@ -467,7 +514,7 @@ def search_of_nothing(spark, sf_dir):
     return spark.createDataFrame(rows, "mode string, n long")
 
 
-@query(_values("id VARCHAR, code VARCHAR", ("own", "two\nthree"), ("other", "dos"), ("first root", "uno\ndos"), ("beyond", "stored"), ("gone", "stored"), ("no label", "plain document"), ("cut", "three")))
+@example(_values("id VARCHAR, code VARCHAR", ("own", "two\nthree"), ("other", "dos"), ("first root", "uno\ndos"), ("beyond", "stored"), ("gone", "stored"), ("no label", "plain document"), ("cut", "three")))
 def snippets_live(spark, sf_dir):
     """Lines of the file as it is, of the hit's repo before others, of the first root before later ones; else the stored text."""
     files = spark.createDataFrame([("r", "f", b"one\ntwo\r\nthree\n", 1), ("s", "f", b"uno\ndos\ntres\n", 0), ("t", "g", b"g", 2)], "repo string, file string, content binary, root_order int")
@@ -476,7 +523,7 @@ def snippets_live(spark, sf_dir):
     return snippets(spark.createDataFrame(hits, "id string, repo string, file string, start_line int, end_line int, document string"), files).select("id", "code")
 
 
-@query(_values(
+@example(_values(
     "tool VARCHAR, answer VARCHAR",
     ("index_workspace", json.dumps({"status": "success", "files_scanned": 16, "files_added": 16, "files_modified": 0, "files_deleted": 0, "chunks_indexed": 45, "total_chunks": 45}, indent=2)),
     ("again", json.dumps({"status": "success", "files_scanned": 16, "files_added": 0, "files_modified": 0, "files_deleted": 0, "chunks_indexed": 0, "total_chunks": 45}, indent=2)),
@@ -510,13 +557,13 @@ def encoded_texts(spark, sf_dir):
     return rows.select("doc_id", F.posexplode("embedding").alias("bucket", "x")).where("x <> 0").select("doc_id", "bucket", F.round(F.col("x").cast("double"), 6).alias("x"))
 
 
-@query(_values("bucket INTEGER, x DOUBLE", *[(int(hashlib.md5(t.encode()).hexdigest()[:8], 16) % 384, x) for t, x in (("parse", 0.8), ("token", 0.6))]))
+@example(_values("bucket INTEGER, x DOUBLE", *[(int(hashlib.md5(t.encode()).hexdigest()[:8], 16) % 384, x) for t, x in (("parse", 0.8), ("token", 0.6))]))
 def encoded_query(spark, sf_dir):
     rows = [(i, round(x, 6)) for i, x in enumerate(encode_query("parse token Parse PARSE TOKEN parse token", HashedTokens())) if x]
     return spark.createDataFrame(rows, "bucket int, x double")
 
 
-@query(_values("given VARCHAR, variable VARCHAR, name VARCHAR", ("mine", "set", "mine"), (None, "set", "from the environment"), (None, "unset", "default"), ("", "unset", "default")))
+@example(_values("given VARCHAR, variable VARCHAR, name VARCHAR", ("mine", "set", "mine"), (None, "set", "from the environment"), (None, "unset", "default"), ("", "unset", "default")))
 def model_names(spark, sf_dir):
     """A model's name: the one given, or an environment variable's, or the default."""
     variable = "QUERN_EXAMPLE_MODEL"
@@ -533,13 +580,13 @@ def model_names(spark, sf_dir):
 # --- text of symbols and messages -------------------------------------------------------------
 
 
-@query(_values("raw VARCHAR, inner_text VARCHAR", ('"""Doc.\n  More. """', "Doc.\n  More."), ("r'x'", "x"), ('Rb"y" ', "y"), ("' z '", "z"), ("plain ", "plain"), ("'open", "'open"), ('""', "")))
+@example(_values("raw VARCHAR, inner_text VARCHAR", ('"""Doc.\n  More. """', "Doc.\n  More."), ("r'x'", "x"), ('Rb"y" ', "y"), ("' z '", "z"), ("plain ", "plain"), ("'open", "'open"), ('""', "")))
 def string_literals(spark, sf_dir):
     rows = spark.createDataFrame([('"""Doc.\n  More. """',), ("r'x'",), ('Rb"y" ',), ("' z '",), ("plain ",), ("'open",), ('""',)], "raw string")
     return rows.select("raw", T.strip_string_literal(F.col("raw")).alias("inner_text"))
 
 
-@query(_values("raw VARCHAR, receiver VARCHAR", ("(s *Server)", "Server"), ("(s Server)", "Server"), ("(*T)", "T"), ("( x  **P )", "P")))
+@example(_values("raw VARCHAR, receiver VARCHAR", ("(s *Server)", "Server"), ("(s Server)", "Server"), ("(*T)", "T"), ("( x  **P )", "P")))
 def go_receivers(spark, sf_dir):
     rows = spark.createDataFrame([("(s *Server)",), ("(s Server)",), ("(*T)",), ("( x  **P )",)], "raw string")
     return rows.select("raw", T.go_receiver(F.col("raw")).alias("receiver"))
@@ -566,7 +613,7 @@ def messages_framed(spark, sf_dir):
     return body.select("conv_id", "turn", framed.alias("framed"), read(framed).alias("read"))
 
 
-@query(_values("uri VARCHAR, path VARCHAR", ("file:///a%20b/c.py", "/a b/c.py"), ("file:///C:/x/y.ts", "C:/x/y.ts"), ("/plain/z.go", "/plain/z.go"), ("file:///p/a+b.c", "/p/a+b.c")))
+@example(_values("uri VARCHAR, path VARCHAR", ("file:///a%20b/c.py", "/a b/c.py"), ("file:///C:/x/y.ts", "C:/x/y.ts"), ("/plain/z.go", "/plain/z.go"), ("file:///p/a+b.c", "/p/a+b.c")))
 def uris(spark, sf_dir):
     rows = spark.createDataFrame([("file:///a%20b/c.py",), ("file:///C:/x/y.ts",), ("/plain/z.go",), ("file:///p/a+b.c",)], "uri string")
     return rows.select("uri", T.uri_to_path(F.col("uri")).alias("path"))
@@ -581,21 +628,21 @@ _ANSWERS = {
 _FOUND = [(k, f, 10, 4, 15, 2) for k, f in (("location", "/x.py"), ("list", "/x.py"), ("list", "/y.py"), ("link", "/z.py"))] + [("no end", "/x.py", 10, 4, 10, 4)]
 
 
-@query(_values("answer VARCHAR, file VARCHAR, start_line INTEGER, start_character INTEGER, end_line INTEGER, end_character INTEGER", *_FOUND))
+@example(_values("answer VARCHAR, file VARCHAR, start_line INTEGER, start_character INTEGER, end_line INTEGER, end_character INTEGER", *_FOUND))
 def message_locations(spark, sf_dir):
     """Locations and links of language servers, in columns; a range without its end ends where it starts."""
     rows = spark.createDataFrame(list(_ANSWERS.items()), "answer string, body string")
     return rows.select("answer", F.inline(T.parse_locations(F.col("body"))))
 
 
-@query(_values("answer VARCHAR, file VARCHAR, start_line INTEGER, start_character INTEGER, end_line INTEGER, end_character INTEGER", *_FOUND))
+@example(_values("answer VARCHAR, file VARCHAR, start_line INTEGER, start_character INTEGER, end_line INTEGER, end_character INTEGER", *_FOUND))
 def message_locations_of_client(spark, sf_dir):
     """The same by the client on the driver."""
     rows = [(k, x["file"], x["start_line"], x["start_character"], x["end_line"], x["end_character"]) for k, body in _ANSWERS.items() for x in lsp.locations(json.loads(body))]
     return spark.createDataFrame(rows, "answer string, file string, start_line int, start_character int, end_line int, end_character int")
 
 
-@query(_values("body VARCHAR, hover VARCHAR", ('"plain"', "plain"), ('{"kind": "markdown", "value": "**x**"}', "**x**"), ('[{"value": "a"}, "b"]', "a\nb"), ("null", ""), ("{}", "")))
+@example(_values("body VARCHAR, hover VARCHAR", ('"plain"', "plain"), ('{"kind": "markdown", "value": "**x**"}', "**x**"), ('[{"value": "a"}, "b"]', "a\nb"), ("null", ""), ("{}", "")))
 def message_hovers(spark, sf_dir):
     rows = spark.createDataFrame([('"plain"',), ('{"kind": "markdown", "value": "**x**"}',), ('[{"value": "a"}, "b"]',), ("null",), ("{}",)], "body string")
     return rows.select("body", T.hover_text(F.col("body")).alias("hover"))
@@ -616,7 +663,7 @@ while (m := read_message(sys.stdin.buffer)) is not None:
 """
 
 
-@query(_values(
+@example(_values(
     "step VARCHAR, answer VARCHAR", ("definition", "/x.py:5"), ("references", "/x.py:5 /x.py:5"), ("hover", "h i"), ("unknown file", ""), ("no answer in time", "None"), ("same client", "True"), ("missing binary", "None"),
     ("unknown language", "None"), ("disabled", "None"), ("restarted", "True"), ("stopped", "True"),
     ("messages", "initialize initialized textDocument/didOpen textDocument/definition textDocument/didClose textDocument/didOpen textDocument/references textDocument/didClose textDocument/didOpen textDocument/hover textDocument/didClose slow seen"),
@@ -642,7 +689,7 @@ def server_session(spark, sf_dir):
     return spark.createDataFrame(rows, "step string, answer string")
 
 
-@query(_values("file VARCHAR, status VARCHAR, sha256 VARCHAR", ("f1", "unchanged", "h1"), ("f2", "modified", "h2b"), ("f3", "added", "h3"), ("gone", "deleted", None), ("touched", "unchanged", "h4")))
+@example(_values("file VARCHAR, status VARCHAR, sha256 VARCHAR", ("f1", "unchanged", "h1"), ("f2", "modified", "h2b"), ("f3", "added", "h3"), ("gone", "deleted", None), ("touched", "unchanged", "h4")))
 def state_diff(spark, sf_dir):
     """Equal size and time (within 0.0001 s) need no hash; the hash decides about the others."""
     old = spark.createDataFrame([("", "f1", "h1", 10, 1.0), ("", "f2", "h2", 10, 1.0), ("", "gone", "h", 1, 1.0), ("", "touched", "h4", 5, 1.0)], STATE)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import uuid
 
 from pyspark.sql import SparkSession
@@ -19,6 +21,18 @@ def fresh(spark: SparkSession, name: str) -> str:
     return f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def temporary(spark: SparkSession, name: str) -> str:
+    """A new place in it for what a lazily returned result reads; deleted as Python exits."""
+    path = fresh(spark, name)
+
+    def clear() -> None:
+        with contextlib.suppress(Exception):  # the session has ended; the owner of the shared folder clears it
+            remove(spark, path)
+
+    atexit.register(clear)
+    return path
+
+
 def remove(spark: SparkSession, path: str) -> None:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)

@@ -22,7 +22,7 @@ from quern.operators.navigation import count_usages_of, find_usages
 from quern.operators.vector_index import VectorIndex
 from quern.operators.vector_search import hamming_top_k, vector_top_k
 from quern.plans.parallel import spread
-from quern.plans.scratch import fresh
+from quern.plans.scratch import temporary
 from quern.sources.workspace import ignore_rules, ignored, in_ignored_dir
 from quern.streaming.watch import debounced
 
@@ -168,7 +168,7 @@ def vector_topk_filtered(spark, sf_dir):
 
 def _indexed(spark, sf_dir, **how):
     rows = _vectors(spark, sf_dir)
-    index = VectorIndex.build(rows, fresh(spark, "vector-index"), "vec_id", "embedding", "label")
+    index = VectorIndex.build(rows, temporary(spark, "vector-index"), "vec_id", "embedding", "label")
     found = index.search(_first_vector(rows), 10, exact=True, digits=6, **how)
     return found.select(F.col("id").alias("vec_id"), "score", "rank")
 

@@ -3,7 +3,7 @@
 import pytest
 from helpers import DATA, same_rows
 
-from quern.code_queries import QUERIES, SQL
+from quern.code_queries import OWN, OWN_SQL, QUERIES, SQL
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
@@ -11,6 +11,11 @@ def test_query_matches_sql(spark, name):
     same_rows(QUERIES[name](spark, str(DATA)), SQL[name])
 
 
+@pytest.mark.parametrize("name", sorted(OWN))
+def test_example_matches_its_rows(spark, name):
+    same_rows(OWN[name](spark, str(DATA)), OWN_SQL[name])
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
