@@ -22,6 +22,12 @@ def diff(candidates: DataFrame, old: DataFrame, by: tuple[str, ...] = ("repo", "
     return both.withColumn("__now", sha).withColumn("status", status).select(*by, "status", F.col("__now").alias("sha256"), F.col("__size").alias("size"), F.col("__mtime").alias("mtime"))
 
 
+def untouched(candidates: DataFrame, old: DataFrame, by: tuple[str, ...] = ("repo", "file")) -> DataFrame:
+    """The keys of candidates that are unchanged by size and time alone."""
+    both = candidates.select(*by, F.col("size").alias("__size"), F.col("mtime").alias("__mtime")).join(old.select(*by, "size", "mtime"), list(by))
+    return both.where((F.col("__size") == F.col("size")) & (F.abs(F.col("__mtime") - F.col("mtime")) < 1e-4)).select(*by)
+
+
 def has_changes(diff_: DataFrame) -> bool:
     return not diff_.where("status <> 'unchanged'").isEmpty()
 

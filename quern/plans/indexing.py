@@ -15,7 +15,7 @@ from quern.operators.extract import extract_blocks, extract_calls
 from quern.operators.models import PRECISIONS, Encoder, encode, quantize
 from quern.schema import CALLS, CHUNKS, STATE
 from quern.sources.versions import GONE, Conflict, Version, Versions, file_key
-from quern.sources.workspace import read_workspace, resolve_roots
+from quern.sources.workspace import read_workspace, resolve_roots, with_contents
 
 CHUNK_TABLE = CHUNKS + ", embedding array<float>"
 CODE_TABLE = "id string, repo string, embedding array<int>, file_key long"
@@ -65,24 +65,33 @@ class Indexer:
         return self.store.table(at or self.store.version(), "state", STATE, file_key())
 
     def index(self, files: DataFrame | None = None) -> IndexStats:
-        """files: FILES rows to index in place of the roots' trees."""
-        files = read_workspace(self.spark, self.roots) if files is None else files
+        """files: FILES rows to index in place of the roots' trees, of which only files whose size or time is new are opened."""
         for n in range(TRIES):
+            base = self.store.version()
             try:
-                return self._index(files, self.store.version())
+                return self._index(*(self._scan(base) if files is None else (files, files)), base)
             except Conflict:
                 if n == TRIES - 1:
                     raise
         raise AssertionError
 
-    def _index(self, files: DataFrame, base: Version) -> IndexStats:
+    def _scan(self, base: Version) -> tuple[DataFrame, DataFrame]:
+        """The roots' files with hashes (none where size and time are as they were), and those that may be new with their contents."""
+        state = self.state(base)
+        listed = read_workspace(self.spark, self.roots, contents=False)
+        old = listed.join(incremental.untouched(listed, state), list(FILE_KEYS), "left_semi").withColumn("sha256", F.lit(None).cast("string"))
+        opened = with_contents(listed.join(incremental.untouched(listed, state), list(FILE_KEYS), "left_anti").select(*listed.columns), self.roots)
+        hashed = opened.withColumn("sha256", F.sha2("content", 256))
+        return old.drop("content").unionByName(hashed.drop("content")), opened
+
+    def _index(self, files: DataFrame, contents: DataFrame, base: Version) -> IndexStats:
         seen = incremental.diff(files, self.state(base)).persist()
         try:
             found = incremental.stats(seen).first().asDict()
             out = IndexStats(**found, workspaces=[str(r) for r in self.roots], total=base.numbers.get("chunks", 0))
             if not (out.added or out.modified or out.deleted):
                 return out
-            fresh = files.join(incremental.to_index(seen), list(FILE_KEYS), "left_semi")
+            fresh = contents.join(incremental.to_index(seen), list(FILE_KEYS), "left_semi")
             # sorted by name: a definition lookup reads the row groups of its name
             made = encode(chunk_blocks(self.extract_blocks(fresh)), self.encoder).repartitionByRange("name", "id").sortWithinPartitions("name", "id")
             changed = incremental.new_state(seen).join(incremental.to_index(seen), list(FILE_KEYS), "left_semi")

@@ -17,15 +17,25 @@ from quern.schema import SEARCH_LIMIT, USAGE_CAP, W_GRAPH
 MODES = ("hybrid", "semantic", "keyword")
 
 
+#: Hits up to which their files are named to the source.
+NAMED = 1000
+
+
 def snippets(hits: DataFrame, files: DataFrame | None) -> DataFrame:
     """Adds code: the lines of the file as it is now, else what the stored document has after its label, else all of it.
 
     files: repo, file, content and optionally root_order, of which the least wins; a file of the hit's repo goes
-    first, and one of any repo will do.
+    first, and one of any repo will do. Where hits are few, as those of a search are, the search is run here and
+    the files are asked for by name, so that a source with filters opens no others.
     """
     stored = code_of_document(F.col("document"))
     if files is None:
         return hits.withColumn("code", stored)
+    held = hits.limit(NAMED + 1).collect()
+    if len(held) <= NAMED:
+        hits = hits.sparkSession.createDataFrame(held, hits.schema)
+        names = sorted({r["file"] for r in held if r["file"] is not None})
+        files = files.where(F.col("file").isin(names)) if names else files.where("false")
     order = "root_order" if "root_order" in files.columns else None
     lines = files.select(F.col("file"), F.col("repo").alias("__repo"), F.col("content").cast("string").alias("__text"), (F.col(order) if order else F.lit(0)).alias("__order"))
     few = hits.select("id", "file", "repo").distinct()

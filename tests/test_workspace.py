@@ -1,6 +1,7 @@
 import fnmatch
 import io
 import json
+import os
 import sys
 import threading
 import time
@@ -169,3 +170,46 @@ def test_language_server_client(tmp_path):
     assert not c.alive and lsp.Manager(enabled=False).client("python", tmp_path) is None
     assert lsp.read_message(io.BytesIO(lsp.encode({"a": "é"}))) == {"a": "é"} and lsp.read_message(io.BytesIO(b"")) is None
     assert lsp.path_of(lsp.uri_of("/a b/c.py")) == "/a b/c.py" and threading.active_count() >= 1
+
+
+def test_listing_and_filters(spark, tmp_path):
+    """A listing opens nothing; filters on repo and file reach the source, under the rules of a scan; a tree of one folder at the top is many tasks."""
+    from quern.sources.workspace import _Reader, content_of, with_contents
+
+    texts = {f"top/d{i}/f{j}.py": f"def f{i}_{j}(): pass\n" for i in range(12) for j in range(3)} | {"top/skip/x.py": "x", "node_modules/y.py": "y", "top/nul.py": "a\x00b", ".gitignore": "skip/\n"}
+    put(tmp_path, texts)
+    assert len(_Reader([tmp_path], True, 8).partitions()) == 8
+    listed = read_workspace(spark, tmp_path, contents=False)
+    names = {r["file"] for r in listed.collect()}
+    assert names == {n for n in texts if n.startswith("top/d")} | {"top/nul.py"} and listed.where("content is not null").count() == 0
+    read = {r["file"]: bytes(r["content"]).decode() for r in with_contents(listed, tmp_path).collect()}
+    assert read == {n: t for n, t in texts.items() if n.startswith("top/d")} and read == {r["file"]: bytes(r["content"]).decode() for r in read_workspace(spark, tmp_path).collect()}
+    some = read_workspace(spark, tmp_path).where(F.col("file").isin("top/d1/f1.py", "top/skip/x.py", "node_modules/y.py", "top/nul.py", "none.py"))
+    assert [r["file"] for r in some.collect()] == ["top/d1/f1.py"]
+    reader = _Reader([tmp_path], True, 8)
+    from pyspark.sql.datasource import EqualTo
+
+    assert len(list(reader.pushFilters([EqualTo(("file",), "top/d1/f1.py")]))) == 1 and [r[1] for p in reader.partitions() for r in reader.read(p)] == ["top/d1/f1.py"]
+    assert content_of(str(tmp_path), "top/nul.py") is None and content_of(str(tmp_path), "none.py") is None
+
+
+def test_unchanged_files_are_not_opened(spark, tmp_path):
+    """Neither a run nor a search opens a file that it doesn't need: its time of access stays."""
+    put(tmp_path / "w", FILES | {f"other{i}.py": f"def other{i}(): pass\n" for i in range(6)})
+    old = time.time() - 10 * 86_400
+
+    def opened(run):
+        for p in (tmp_path / "w").rglob("*.py"):
+            os.utime(p, (old, p.stat().st_mtime))
+        run()
+        return {p.name for p in (tmp_path / "w").rglob("*.py") if p.stat().st_atime > old + 60}
+
+    if not opened(lambda: (tmp_path / "w/other0.py").read_text()):
+        pytest.skip("times of access are not kept here")
+    w = Workspace(spark, tmp_path / "w", str(tmp_path / "index"))
+    assert len(opened(w.index_workspace)) == 8
+    assert opened(w.index_workspace) == set()
+    put(tmp_path / "w", {"other3.py": "def changed(): pass\n"})
+    assert opened(w.index_workspace) == {"other3.py"}
+    assert opened(lambda: w.semantic_search("authenticate_user", 1, "keyword")) <= {"auth.py", "app.py"}
+    assert opened(lambda: w.go_to_definition("changed")) == {"other3.py"}
