@@ -76,6 +76,11 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return spread(rows.select(*columns) if columns else rows)
 
 
+def tucked(docs: DataFrame, **columns) -> DataFrame:
+    """The rows of a table as one column `row`, and the given columns: names of the caller's can't clash with these."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[c.alias(n) for n, c in columns.items()])
+
+
 #: Stands for a null id on its way through pandas, which would turn the ids of the batch into floats.
 MISSING = -(2**63)
 

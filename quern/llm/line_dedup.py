@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import drop, store, table
+from quern.llm.common import drop, store, table, tucked
 
 LINES = 3
 #: Words from which one or two repeated lines are a passage as three are.
@@ -27,8 +27,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     equal in id and text count as one and fare alike; an empty table gives an empty table. Columns named n_lines or n_removed are replaced, all others carried along.
     """
     second = F.lit(0x5DEECE66D)  # before a value, it gives another hash of it
-    keyed = docs.drop("n_lines", "n_removed").withColumns({"__k": F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)), "__x": F.xxhash64(F.col(id_col), F.col(text_col))})
-    lines = keyed.select("__k", "__x", F.split(F.col(text_col), "\n", -1).alias("l")).where(F.size("l") >= (1 if passage else LINES))
+    docs = docs.drop("n_lines", "n_removed")
+    keyed = tucked(docs, text=F.col(text_col), __k=F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)), __x=F.xxhash64(F.col(id_col), F.col(text_col)))
+    lines = keyed.select("__k", "__x", F.split("text", "\n", -1).alias("l")).where(F.size("l") >= (1 if passage else LINES))
     flat = lambda x: F.trim(F.regexp_replace(x, r"[\t\r\x0B\f]", " "))
     words = (lambda x: F.size(F.split(flat(x), " +"))) if passage else (lambda x: F.lit(0))
     full = F.filter(F.transform("l", lambda x, i: F.struct(i.alias("at"), F.xxhash64(x).alias("h"), F.xxhash64(second, x).alias("g"), (F.length(flat(x)) > 0).alias("full"), words(x).alias("words"))), lambda x: x["full"])
@@ -66,7 +67,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     drop(windows, repeated)
 
     # merged at every size: what is removed grows with the corpus, and the plan with it
-    out = keyed.join(gone.hint("merge"), ["__k", "__x"], "left").withColumn("__lines", F.split(F.col(text_col), "\n", -1))
+    out = keyed.join(gone.hint("merge"), ["__k", "__x"], "left").withColumn("__lines", F.split("text", "\n", -1))
     n = F.size("__lines")
     kept = F.transform(
         F.sequence(F.lit(0), F.size("__gone")),
@@ -77,11 +78,11 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         ),
     )
     removed = F.aggregate("__gone", F.lit(0), lambda s, x: s + (x["b"] - x["a"] + 1).cast("int"))
-    out = out.withColumns({
-        text_col: F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.flatten(kept), "\n")),
-        "n_lines": F.when(F.col(text_col).isNull(), 0).otherwise(n), "n_removed": F.coalesce(removed, F.lit(0)),
-    })
-    return out.drop("__k", "__x", "__gone", "__lines")
+    made = {
+        text_col: F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(F.flatten(kept), "\n")),
+        "n_lines": F.when(F.col("text").isNull(), 0).otherwise(n), "n_removed": F.coalesce(removed, F.lit(0)),
+    }
+    return out.select(*[made.get(c, F.col(f"row.`{c}`")).alias(c) for c in [*docs.columns, "n_lines", "n_removed"]])
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import WORD, store, table
+from quern.llm.common import WORD, store, table, tucked
 
 #: The weights of the sources in code-point order, repeating, and how each weight changes over the
 #: training time t from 0 to 1: weight(t) = weight * (1 + slope * (2 t - 1)).
@@ -62,41 +62,43 @@ def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", size: Colu
     Columns of these names in the input are replaced; others are carried along.
     """
     assert most == 2, "positions are kept for two readings"
-    rows = docs.withColumn("__size", size if size is not None else words(F.col("text")))
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in COLUMNS], (size if size is not None else words(F.col("text"))).alias("size"))
+    carried = docs.columns[:-1]
+    rows = tucked(docs, __key=F.col(key), __source=F.col(source), __size=F.col("size"))
     n = rows.count()
     ranges = max(1, math.isqrt(n))
-    hashed = F.conv(F.substring(F.md5(F.concat_ws("/", F.coalesce(F.col(key).cast("string"), F.lit("")), F.col("__size").cast("string"))), 1, 8), 16, 10).cast("long")
-    rows = rows.drop(*COLUMNS).withColumn("__h", hashed).withColumn("__part", F.shiftright(F.col("__h") * ranges, 32))
-    by_part = rows.groupBy(source, "__part").agg(F.sum("__size").alias("__size"))
+    hashed = F.conv(F.substring(F.md5(F.concat_ws("/", F.coalesce(F.col("__key").cast("string"), F.lit("")), F.col("__size").cast("string"))), 1, 8), 16, 10).cast("long")
+    rows = rows.withColumn("__h", hashed).withColumn("__part", F.shiftright(F.col("__h") * ranges, 32))
+    by_part = rows.groupBy("__source", "__part").agg(F.sum("__size").alias("__size"))
     by_part = store(by_part, "mix")
-    line = Window.partitionBy(source).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    by_source = targets(by_part, source, "__size", weights, slopes, share, most)
-    same = F.col(f"p.{source}").eqNullSafe(F.col(f"s.{source}"))
+    line = Window.partitionBy("__source").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    by_source = targets(by_part, "__source", "__size", weights, slopes, share, most)
+    same = F.col("p.__source").eqNullSafe(F.col("s.__source"))
     parts = by_part.withColumn("__before", F.coalesce(F.sum("__size").over(line), F.lit(0))).drop("__size").alias("p")
-    parts = parts.join(F.broadcast(by_source.alias("s")) if by_source.count() <= 10_000 else by_source.alias("s"), same).drop(F.col(f"s.{source}"))
-    within = Window.partitionBy(source, "__part").orderBy("__h", F.col(key).asc_nulls_first(), "__size").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.join(F.broadcast(by_source.alias("s")) if by_source.count() <= 10_000 else by_source.alias("s"), same).drop(F.col("s.__source"))
+    within = Window.partitionBy("__source", "__part").orderBy("__h", F.col("__key").asc_nulls_first(), "__size").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("__within", F.coalesce(F.sum("__size").over(within), F.lit(0))).alias("r")
-    at = F.col(f"r.{source}").eqNullSafe(F.col(f"o.{source}")) & (F.col("r.__part") == F.col("o.__part"))
-    out = rows.join(parts.alias("o"), at, "left").drop(F.col(f"o.{source}"), F.col("o.__part"))
+    at = F.col("r.__source").eqNullSafe(F.col("o.__source")) & (F.col("r.__part") == F.col("o.__part"))
+    out = rows.join(parts.alias("o"), at, "left").drop(F.col("o.__source"), F.col("o.__part"))
     goal, begin = F.round("__target").cast("long"), F.col("__before") + F.col("__within")
     take = lambda start: F.least(F.greatest(goal - start, F.lit(0)), F.col("__size"))
     first, second = take(begin), take(begin + F.col("__source_size"))
     when = lambda start, taken: F.when(taken > 0, _inverse(F.least(start / goal, F.lit(1.0)), F.col("__slope")))
-    out = out.withColumns({
+    made = {
         "size": F.col("__size"), "source_size": F.col("__source_size"), "target": F.col("__target"), "taken": first + second, "first_take": first, "second_take": second,
         "position": when(begin, first), "second_position": when(begin + F.col("__source_size"), second),
-    })
-    made = [c for c in docs.columns if c not in COLUMNS] + list(COLUMNS)
-    return out.select(*made).orderBy(F.col("position").asc_nulls_last(), key)
+    }
+    out = out.select(*[F.col(f"row.`{c}`").alias(c) for c in carried], *[made[c].alias(c) for c in COLUMNS])
+    return out.orderBy(F.col("position").asc_nulls_last(), key)
 
 
 def taken_texts(mixed: DataFrame, text: str = "text") -> DataFrame:
     """One row for each reading, in training order; a part taken is cut to its first words, spaces as they were."""
     each = F.array(F.struct(F.col("first_take").alias("n"), F.col("position").alias("t")), F.struct(F.col("second_take").alias("n"), F.col("second_position").alias("t")))
-    rows = mixed.withColumn("__take", F.explode(F.filter(each, lambda x: x["n"] > 0)))
-    head = F.array_join(F.slice(F.regexp_extract_all(F.col(text), F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0)), 1, F.col("__take.n").cast("int")), "")
-    rows = rows.withColumn(text, F.when(F.col("__take.n") < F.col("size"), head).otherwise(F.col(text)))
-    return rows.withColumn("position", F.col("__take.t")).drop("__take", "second_position")
+    rows = tucked(mixed, text=F.col(text), size=F.col("size"), take=F.explode(F.filter(each, lambda x: x["n"] > 0)))
+    head = F.array_join(F.slice(F.regexp_extract_all(F.col("text"), F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0)), 1, F.col("take.n").cast("int")), "")
+    made = {text: F.when(F.col("take.n") < F.col("size"), head).otherwise(F.col("text")), "position": F.col("take.t")}
+    return rows.select(*[made.get(c, F.col(f"row.`{c}`")).alias(c) for c in mixed.columns if c != "second_position"])
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

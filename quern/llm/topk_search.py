@@ -67,7 +67,7 @@ def _norms(data: np.ndarray) -> np.ndarray:
 
 
 def _products(a: np.ndarray, b: np.ndarray, la: float, lb: float) -> np.ndarray:
-    """Exact integer products a @ b.T: no partial sum exceeds the product of the lengths. One that is no long is an error."""
+    """Exact integer products a @ b.T: no partial sum exceeds the product of the lengths. Those beyond a long become its ends."""
     if la * lb < 2.0**24:
         return (a.astype(np.float32) @ b.astype(np.float32).T).astype(np.int64)
     if la * lb < 2.0**52:
@@ -75,9 +75,7 @@ def _products(a: np.ndarray, b: np.ndarray, la: float, lb: float) -> np.ndarray:
     if la * lb < 2.0**62:
         return a @ b.T
     exact = a.astype(object) @ b.astype(object).T
-    if exact.size and (exact.max() >= 2**63 or exact.min() < -(2**63)):
-        raise OverflowError("an inner product of these vectors is beyond a long")
-    return exact.astype(np.int64)
+    return np.clip(exact, -(2**63), 2**63 - 1).astype(np.int64)
 
 
 def _best(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
@@ -189,7 +187,7 @@ def top_k(vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col: str
     part, nor do null ids; products are between vectors of one dimension; ids given more than once are vectors of
     their own, of which none is a candidate of its own id. Ties go to the smaller vec_id, then to any. Fewer than
     k candidates are all returned; an empty table gives an empty table; other columns are not read. A component of
-    2**62 or more after scaling, or a product beyond a long, is an error.
+    2**62 or more after scaling, or a product among those returned that is no less than a long's ends, is an error.
     """
     spark = vectors.sparkSession
     small_batches(spark)
@@ -223,7 +221,9 @@ def top_k(vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col: str
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     out = rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     drop(v)
-    return out.select("query_id", "rank", "vec_id", "score")
+    beyond = F.col("score").isin(2**63 - 1, -(2**63))
+    score = F.when(beyond, F.raise_error(F.lit("an inner product of these vectors is beyond a long")).cast("long")).otherwise(F.col("score"))
+    return out.select("query_id", "rank", "vec_id", score.alias("score"))
 
 
 def _members(batches):

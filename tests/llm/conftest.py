@@ -14,7 +14,8 @@ def odd(spark):
         (11, "a\nb\nc\nd", "en", "a", 5), (12, "a\nb\nc\nd", "en", "a", 5), (13, "x\nx\nx\nx\nx", "en", "a", 5),
     ]
     df = spark.createDataFrame(rows, SCHEMA)
-    for c in ("score", "rank", "size", "node", "id", "row", "held_out", "component_id", "sequence_id", "length", "h", "position", "n_removed", "lang_pred", "__size"):
+    for c in ("score", "rank", "size", "node", "id", "row", "held_out", "component_id", "sequence_id", "length", "h", "position", "n_removed", "lang_pred", "row", "words", "take", "key", "found",
+              "__size", "__gone", "__k", "__x", "__lines", "__row", "__key", "__source", "__target", "__before", "__within", "__part", "__h", "__slope", "__w", "__rank", "__level", "__source_size", "__take"):
         df = df.withColumn(c, F.lit("clash"))
     return df
 

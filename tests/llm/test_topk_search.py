@@ -87,3 +87,9 @@ def test_long_products(spark):
 
 def run_only(spark, rows):
     return S.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), lambda c: F.pmod(c, F.lit(5)) == 0).collect()
+
+
+def test_products_that_take_no_part_may_be_beyond_a_long(spark):
+    rows = [(0, [2.0**40]), (50, [1.5]), (100, [2.0])]
+    got = S.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), lambda i: F.pmod(i, F.lit(100)) == 0).collect()
+    assert {(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got} == {(0, 1, 100, 2**61), (0, 2, 50, 1536 << 50), (100, 1, 0, 2**61), (100, 2, 50, 2048 * 1536)}
