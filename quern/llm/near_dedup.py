@@ -41,7 +41,7 @@ def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
         w = Words(texts[a:b])
         h, n = w.hash, len(w.hash)
         rolled = np.zeros(max(n - WIDTH + 1, 0), np.uint64)
-        for j in range(WIDTH):
+        for j in range(WIDTH if n >= WIDTH else 0):
             rolled += h[j : n - WIDTH + 1 + j] * _PLACE[j]
         rolled = mix64(rolled)
         for k in range(b - a):
@@ -379,7 +379,9 @@ def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, tokens: int = TOKENS, leaf: int = LEAF, depth: int | None = None, recall: float = RECALL, key_col: str | None = None) -> DataFrame:
-    """One row per document: id, n_shingles, component_id (the least id reachable by links), kept.
+    """One row per document: id, n_shingles, component_id (the least id reachable by links), kept (whether that is its own), head.
+
+    head: whether the row is the one that stands for its group, which tells rows of one id with different texts apart.
 
     Null and wordless texts have the empty set and link with nothing. Documents with equal sets link (their
     similarity is 1) and travel as one; rows equal in id and text count as one document, rows of one id (or of
@@ -439,13 +441,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     out = all_docs.join(labels, ["n_shingles", "f1", "f2"], "left")
     real = lambda c: F.nullif(c, F.lit(_ID))
-    kept = F.coalesce(F.col("id") == F.col("component.id"), F.lit(True))
+    head = F.coalesce(F.col("id") == F.col("component.id"), F.lit(True))
+    component = F.coalesce("component.real", "real")
     key = [F.col("id").alias(key_col)] if key_col else []
-    return out.select(real(F.col("real")).alias(id_col), "n_shingles", real(F.coalesce("component.real", "real")).alias("component_id"), kept.alias("kept"), *key)
+    return out.select(real(F.col("real")).alias(id_col), "n_shingles", real(component).alias("component_id"), (F.col("real") == component).alias("kept"), head.alias("head"), *key)
 
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text")).drop("head")
 
 
 OP10_SQL = r"""

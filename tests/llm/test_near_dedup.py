@@ -160,3 +160,21 @@ def test_rows_without_an_id_stay_apart(spark):
 
     left = sorted(r["text"] for r in P.near_copies(spark, docs, "").collect())
     assert left == sorted([a + " x", b + " y", "one text of seven", "quite another text of it", "alone"])
+
+
+def test_few_words_in_a_batch(spark):
+    """Tasks whose texts come to 0 to 6 words in all."""
+    for n in range(7):
+        text = " ".join("abcdef"[:n])
+        assert [len(x) for x in D.shingle_sets([text])] == [0 if n == 0 else max(1, n - 4)]
+        assert [len(x) for x in D.shingle_sets([" ".join("abcdef"[: n // 2]), None, " ".join("abcdef"[: n - n // 2])])] == [int(n > 1), 0, int(n > 0)]
+    three = spark.createDataFrame([(1, "one two three")], "doc_id long, text string")
+    assert [(r["n_shingles"], r["component_id"], r["kept"]) for r in D.near_duplicates(three).collect()] == [(1, 1, True)]
+
+
+def test_linked_rows_of_one_id(spark):
+    """Both are kept, as their id is their component's; one of them is its head."""
+    words = [f"w{i}" for i in range(60)]
+    docs = spark.createDataFrame([(7, " ".join(words)), (7, " ".join(words[:-1])), (9, " ".join(words[1:]))], "doc_id long, text string")
+    got = sorted(tuple(r) for r in D.near_duplicates(docs).select("doc_id", "component_id", "kept", "head").collect())
+    assert [r[:3] for r in got] == [(7, 7, True), (7, 7, True), (9, 7, False)] and sum(r[3] for r in got) == 1
