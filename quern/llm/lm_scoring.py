@@ -20,9 +20,9 @@ from quern.llm.common import Words, crc_mod, drop, held_id, pieces, real_id, sma
 
 #: Counts that every worker gets (16 bytes each, so 4 MB at most); rarer words are joined by their hash.
 KNOWN = 1 << 18
-#: Each round of training reads the training documents whose hash modulo 16 is below the second and not below
-#: the first figure; the rounds together read each training document once.
-ROUNDS = ((0, 2), (2, 6), (6, 16))
+#: Training documents fall into CLASSES by hash; each round of training reads some of these classes, and the rounds
+#: together read each training document once. There are as many rounds as shards allow, EACH of these to a round.
+CLASSES, EACH = 16, 2
 #: Tokens of a shard (one training run), tokens that training reads from one zero state on, tasks of a round at
 #: most, weights of one row, and the unit in which weights are added.
 SHARD, SECTION, TASKS, PART, GRAIN = 1 << 18, 2048, 10_000, 4096, 2.0**-48
@@ -178,7 +178,13 @@ def _add(batches):
         yield pd.DataFrame({"part": [part], "salt": [0], "weights": [weights], "read": [read]})
 
 
-def train(encoded: DataFrame, vocabulary: Vocabulary, rounds=ROUNDS, shard_tokens: int | None = None) -> np.ndarray:
+def rounds_for(shards: int) -> list[tuple[int, int]]:
+    """Ranges of classes, of about equal size: more rounds the more there is to learn from."""
+    n = max(1, min(CLASSES, shards // EACH))
+    return [(CLASSES * i // n, CLASSES * (i + 1) // n) for i in range(n)]
+
+
+def train(encoded: DataFrame, vocabulary: Vocabulary, rounds: list[tuple[int, int]] | None = None, shard_tokens: int | None = None) -> np.ndarray:
     """Trains on (doc_id, ids) rows: in each round, every shard passes over its documents from the same weights, and
     the mean, weighted by tokens, starts the next.
 
@@ -191,10 +197,10 @@ def train(encoded: DataFrame, vocabulary: Vocabulary, rounds=ROUNDS, shard_token
     copies = encoded.groupBy("doc_id", "ids").agg((F.count("*") - 1).alias("n")).withColumn("k", F.explode(F.expr("sequence(0L, n div 10000)")))
     copies = copies.withColumn("copy", F.explode(F.expr("sequence(k * 10000, least(n, k * 10000 + 9999))")))
     dealt = store(copies.select("ids", F.xxhash64("doc_id", "ids", "copy").alias("h")), "dealt")
-    share = F.pmod(F.col("h"), F.lit(16))
+    share = F.pmod(F.col("h"), F.lit(CLASSES))
     kind = "part int, salt int, weights array<long>, read long"
     tokens = dict(dealt.groupBy(share.alias("c")).agg(F.sum(F.length("ids") / 2).cast("long").alias("n")).collect())
-    for low, high in rounds:
+    for low, high in rounds or rounds_for(round(sum(tokens.values()) / (shard_tokens or SHARD))):
         total = sum(n for c, n in tokens.items() if low <= c < high)
         if not total:
             continue
