@@ -338,11 +338,12 @@ _RUNS = "length long, first_item long, items long, each long, first_sequence lon
 
 
 def _planned(length: int):
-    """The runs of places of one stretch, from its counts (at most `length` rows)."""
+    """The runs of places of one stretch by one setting, from its counts (at most `length` rows)."""
 
     def run(key, rows):
-        runs = places(best_plan(dict(zip(rows["length"].tolist(), rows["n"].tolist(), strict=True)), length, SETTINGS[:2])).astype("int64")
-        return runs.assign(stretch=key[0])[["stretch", *(c.split()[0] for c in _RUNS.split(", "))]]
+        setting = SETTINGS[key[1]]
+        runs = places(best_plan(dict(zip(rows["length"].tolist(), rows["n"].tolist(), strict=True)), length, (setting,))).astype("int64")
+        return runs.assign(stretch=key[0], setting=key[1])[["stretch", "setting", *(c.split()[0] for c in _RUNS.split(", "))]]
 
     return run
 
@@ -350,10 +351,15 @@ def _planned(length: int):
 def _stretches(counts: DataFrame, length: int) -> DataFrame:
     """Runs of places of all stretches, planned on the executors; sequences are numbered from stretch to stretch."""
     counts = store(counts, "planned")
-    n = counts.select("stretch").distinct().count()
+    n = counts.select("stretch").distinct().count() * len(SETTINGS)
     # an explicit number of partitions, as a plan takes seconds whatever its bytes
-    runs = store(counts.repartition(max(1, min(n, 10_000)), "stretch").groupBy("stretch").applyInPandas(_planned(length), f"stretch long, {_RUNS}"), "runs")
-    made = runs.groupBy("stretch").agg(F.max(F.col("first_sequence") + F.ceil(F.col("items") / F.col("each"))).alias("n"))
+    each = counts.withColumn("setting", F.explode(F.array(*map(F.lit, range(len(SETTINGS))))))
+    runs = each.repartition(max(1, min(n, 10_000)), "stretch", "setting").groupBy("stretch", "setting").applyInPandas(_planned(length), f"stretch long, setting int, {_RUNS}")
+    runs = store(runs, "runs")
+    # the setting with the fewest sequences is taken, of several the first
+    used = runs.groupBy("stretch", "setting").agg(F.max(F.col("first_sequence") + F.ceil(F.col("items") / F.col("each"))).alias("n"))
+    made = used.groupBy("stretch").agg(F.min(F.struct("n", "setting")).alias("best")).select("stretch", "best.n", "best.setting")
+    runs = runs.join(made.select("stretch", "setting"), ["stretch", "setting"], "left_semi").drop("setting")
     line = Window.orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)  # one row a stretch
     base = made.select("stretch", F.coalesce(F.sum("n").over(line), F.lit(0)).alias("base"))
     return runs.join(base, "stretch").withColumn("first_sequence", F.col("first_sequence") + F.col("base")).drop("base")
