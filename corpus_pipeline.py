@@ -39,7 +39,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays, the one with the least id; rows equal in id and text are one document."""
-    kept = near_duplicates(docs, key_col="__key").where("kept").select("__key").distinct()
+    kept = near_duplicates(docs, key_col="__key").where("head").select("__key").distinct()
     return docs.withColumn("__key", row_key()).join(kept.hint("merge"), "__key", "left_semi").dropDuplicates(["__key"]).select(*docs.columns)
 
 
