@@ -26,10 +26,13 @@ def _rows(df: DataFrame) -> list[dict]:
 
 
 class Workspace:
-    """Tools over one or several roots. The index is in `path`, by default a folder of the first root."""
+    """Tools over one or several roots. The index is in `path`, by default a folder of the first root.
 
-    def __init__(self, spark: SparkSession, roots=None, path: str | None = None, encoder: Encoder | None = None, scorer: Scorer | None = None, precision: str = "float32"):
-        self.spark, self.roots, self.scorer = spark, resolve_roots(roots), scorer
+    approximate: semantic searches go by a stored index of the vectors, made anew by runs that change something.
+    """
+
+    def __init__(self, spark: SparkSession, roots=None, path: str | None = None, encoder: Encoder | None = None, scorer: Scorer | None = None, precision: str = "float32", approximate: bool = False):
+        self.spark, self.roots, self.scorer, self.approximate = spark, resolve_roots(roots), scorer, approximate
         self.indexer = Indexer(spark, path or f"file://{self.roots[0] / FOLDER}", self.roots, encoder, precision)
         self.lock = threading.Lock()  # one tool at a time
 
@@ -45,12 +48,14 @@ class Workspace:
             return {"status": "error", "message": f"no such directory: {', '.join(map(str, missing))}"}
         with self.lock:
             s = self.indexer.index()
+            if self.approximate and (s.chunks or s.modified or s.deleted):
+                self.indexer.index_vectors()
         out = {"status": "success", "files_scanned": s.scanned, "files_added": s.added, "files_modified": s.modified, "files_deleted": s.deleted, "chunks_indexed": s.chunks, "total_chunks": s.total}
         return out | ({"workspaces": s.workspaces} if len(self.roots) > 1 else {})
 
     def semantic_search(self, query: str, limit: int = SEARCH_LIMIT, mode: str = "hybrid", rerank: bool = False, repo: str | None = None) -> list[dict]:
         with self.lock:
-            found = Searcher(self.indexer, self.files(), self.scorer).search(query, limit, mode, rerank, repo)
+            found = Searcher(self.indexer, self.files(), self.scorer, self.approximate).search(query, limit, mode, rerank, repo)
             return _rows(found.drop("rank", "id"))
 
     def find_usages(self, symbol: str, limit: int = USAGE_LIMIT, repo: str | None = None) -> list[dict]:

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from dataclasses import dataclass, field
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass, field, replace
+from typing import TYPE_CHECKING
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,11 +13,16 @@ from quern.functions.vectors import range_arrays
 from quern.operators import bm25, incremental
 from quern.operators.chunking import chunk_blocks
 from quern.operators.extract import extract_blocks, extract_calls
+from quern.operators.bm25 import ranked
 from quern.operators.models import PRECISIONS, Encoder, encode, quantize
+from quern.operators.vector_search import vector_top_k
 from quern.schema import CALLS, CHUNKS, STATE
-from quern.sources.versions import GONE, Conflict, Version, Versions, file_key
+from quern.sources.versions import GONE, Conflict, Version, Versions, file_key, number_of
 from quern.sources.workspace import read_workspace, resolve_roots, with_contents
 
+if TYPE_CHECKING:
+    from quern.operators.vector_index import VectorIndex
+
 CHUNK_TABLE = CHUNKS + ", embedding array<float>"
 CODE_TABLE = "id string, repo string, embedding array<int>, file_key long"
 RANGE_TABLE = "ranges array<struct<lo: double, hi: double>>"
@@ -24,6 +30,7 @@ POSTING_TABLE = "id string, term string, tf long, file_key long"
 LENGTH_TABLE = "id string, dl long, file_key long"
 FREQUENCY_TABLE = "term string, df long"
 FILE_KEYS = ("repo", "file")
+VECTORS = "vectors"
 #: How often a run starts over after another writer's commit, and the segments of a table from which a run compacts it.
 TRIES, SEGMENTS = 5, 16
 
@@ -137,8 +144,8 @@ class Indexer:
             delta = deltas[0] if len(deltas) == 1 else deltas[0].unionByName(deltas[1])
             delta = delta.groupBy("term").agg(F.sum("df").alias("df")).where("df <> 0")
             segments["frequencies"] = write("frequencies", delta.repartitionByRange("term").sortWithinPartitions("term"))
-            replace = self._codes(base, stale if n_stale else None, made if "chunks" in segments else None, segments, write)
-            return self.store.commit(base, segments, replace, counts)
+            codes = self._codes(base, stale if n_stale else None, made if "chunks" in segments else None, segments, write)
+            return self.store.commit(base, segments, codes, counts)
         except BaseException:
             self.store.remove(*written)
             raise
@@ -149,24 +156,24 @@ class Indexer:
         Codes of other precisions would be out of date and go.
         """
         name = f"codes_{self.precision}"
-        replace: dict[str, list[str]] = {n: [] for n in ("ranges", *(f"codes_{p}" for p in PRECISIONS)) if n in base.tables and n != name and not (n == "ranges" and self.precision == "int8")}
+        new: dict[str, list[str]] = {n: [] for n in ("ranges", *(f"codes_{p}" for p in PRECISIONS)) if n in base.tables and n != name and not (n == "ranges" and self.precision == "int8")}
         if self.precision == "float32":
-            return replace
+            return new
         slim = lambda df: df.select("id", "repo", "embedding", file_key().alias("file_key"))
         live = self.chunks(base)
         live = incremental.delete_files(live, stale) if stale is not None else live
         live = slim(live.unionByName(made) if made is not None else live)
         known, same = None, name in base.tables
         if self.precision == "int8":
-            replace["ranges"] = write("ranges", range_arrays(live, "embedding"))
-            known = self.store.read(replace["ranges"], RANGE_TABLE)
+            new["ranges"] = write("ranges", range_arrays(live, "embedding"))
+            known = self.store.read(new["ranges"], RANGE_TABLE)
             same = same and known.first() == self.store.read(base.tables["ranges"], RANGE_TABLE).first()
         code = lambda df: quantize(df, self.precision, known=known)[0].select("id", "repo", "embedding", "file_key")
         if not same:
-            replace[name] = write(name, code(live))
+            new[name] = write(name, code(live))
         elif made is not None:
             segments[name] = write(name, code(slim(made)))
-        return replace
+        return new
 
     def keyword_index(self, at: Version | None = None) -> bm25.Index:
         """The keyword index goes with its version of the chunks, so it can never be out of date."""
@@ -202,24 +209,67 @@ class Indexer:
                 if n == TRIES - 1:
                     raise
 
+    def index_vectors(self) -> VectorIndex:
+        """Stores an index of the vectors that there are now; what is indexed later is searched beside it, until the next call."""
+        from quern.operators.vector_index import VectorIndex
+
+        for n in range(TRIES):
+            base = self.store.version()
+            at = self.store.fresh(VECTORS, base)
+            made = VectorIndex.build(self.chunks(base).select("id", "repo", "embedding"), f"{self.store.path}/{at}", group_col="repo")
+            try:
+                self.store.commit(base, replace={VECTORS: [at]})
+                return made
+            except Conflict:
+                self.store.remove(at)
+                if n == TRIES - 1:
+                    raise
+        raise AssertionError
+
+    def near(self, vector: Sequence[float], limit: int, repo: str | None = None, exact: bool = False, digits: int | None = None) -> DataFrame:
+        """id, score and rank of the chunks most like a vector, by the stored index and, for rows since then, by a scan.
+
+        exact: what a scan of all vectors gives. Without an index all rows are scanned.
+        """
+        from quern.operators.vector_index import VectorIndex
+
+        at = self.store.version()
+        index = next(iter(at.tables.get(VECTORS, [])), None)
+        before = number_of(index) if index else 0
+        parts = [[s for s in at.tables.get("chunks", []) if (number_of(s) < before) == old] for old in (True, False)]
+        covered, since = (self.chunks(replace(at, tables=at.tables | {"chunks": p})).select("id", "repo", "embedding") for p in parts)
+        where = F.col("repo") == repo if repo else None
+        found = vector_top_k(since, vector, limit=limit, where=where, digits=digits).drop("repo", "rank")
+        if parts[0]:
+            stored, wide = VectorIndex(self.spark, f"{self.store.path}/{index}"), limit
+            while True:  # some of the best may be gone by now
+                hits = stored.search(vector, wide, repo or None, exact, digits=digits).drop("rank").collect()
+                ids = [r["id"] for r in hits]
+                left = {r["id"] for r in covered.where(F.col("id").isin(ids)).select("id").collect()} if ids else set()
+                if len(left) >= limit or len(hits) < wide:
+                    break
+                wide *= 2
+            found = found.unionByName(self.spark.createDataFrame([r for r in hits if r["id"] in left], "id string, score double"))
+        return ranked(found, "id", limit)
+
     def compact(self) -> Version | None:
         """Writes each table as one segment without what is gone; None if another writer came first, whose run will compact."""
         base = self.store.version()
         kinds = {"chunks": CHUNK_TABLE, "calls": CALLS, "state": STATE, "postings": POSTING_TABLE, "lengths": LENGTH_TABLE} | {f"codes_{p}": CODE_TABLE for p in PRECISIONS}
         order = {"chunks": ("name", "id"), "postings": ("term", "id")}
-        replace: dict[str, list[str]] = {GONE: []}
+        new: dict[str, list[str]] = {GONE: [], VECTORS: []}  # an index of vectors would cover none of the new segments
         for name, kind in kinds.items():
             if name in base.tables:
                 rows = self.store.table(base, name, kind, F.col("file_key") if "file_key" in kind else file_key())
                 rows = rows.repartitionByRange(*order[name]).sortWithinPartitions(*order[name]) if name in order else rows
-                replace[name] = [self.store.write(name, rows, base)]
+                new[name] = [self.store.write(name, rows, base)]
         if "frequencies" in base.tables:
             rows = self.store.table(base, "frequencies", FREQUENCY_TABLE).groupBy("term").agg(F.sum("df").alias("df")).where("df <> 0")
-            replace["frequencies"] = [self.store.write("frequencies", rows.repartitionByRange("term").sortWithinPartitions("term"), base)]
+            new["frequencies"] = [self.store.write("frequencies", rows.repartitionByRange("term").sortWithinPartitions("term"), base)]
         try:
-            return self.store.commit(base, replace=replace, numbers={GONE: 0})
+            return self.store.commit(base, replace=new, numbers={GONE: 0})
         except Conflict:
-            self.store.remove(*[s for found in replace.values() for s in found])
+            self.store.remove(*[s for found in new.values() for s in found])
             return None
 
 

@@ -58,12 +58,14 @@ def result(hits: DataFrame) -> DataFrame:
 class Searcher:
     """Queries over an Indexer's current version. Nothing but the results reaches the driver."""
 
-    def __init__(self, indexer: Indexer, files: DataFrame | None = None, scorer: Scorer | None = None):
-        self.indexer, self.files, self.scorer = indexer, files, scorer
+    def __init__(self, indexer: Indexer, files: DataFrame | None = None, scorer: Scorer | None = None, approximate: bool = False):
+        self.indexer, self.files, self.scorer, self.approximate = indexer, files, scorer, approximate
 
     def vector(self, query: str, limit: int, repo: str | None = None) -> DataFrame:
-        """Cosine top-k at the index's precision; the repo filter comes before the search."""
+        """Cosine top-k at the index's precision; the repo filter comes before the search. approximate: by the stored index of vectors."""
         vector = encode_query(query, self.indexer.encoder)
+        if self.approximate:
+            return self.indexer.near(vector, limit, repo, digits=6)
         rows, ranges = self.indexer.quantized()
         if self.indexer.precision != "float32":
             one = self.indexer.spark.range(1).select(literal(vector).alias("v"))
