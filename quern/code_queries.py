@@ -418,6 +418,9 @@ class _Corpus:
         name = F.concat(F.lit("service.doc"), (F.col("l_partkey") % 90).cast("string"))
         return _table(self.spark, self.sf_dir, "lineitem").select(F.lit("").alias("repo"), name.alias("callee_norm"))
 
+    def symbols(self) -> DataFrame:
+        return navigation.symbol_numbers(self.calls())
+
     def keyword_index(self):
         return bm25.build(_chunks(self.spark, self.sf_dir, "doc", "doc_id"))
 

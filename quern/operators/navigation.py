@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.text import matches_definition, matches_symbol, normalized, symbol_suffixes
@@ -37,6 +37,48 @@ def count_usages_of(calls: DataFrame, names: DataFrame, cap: int = USAGE_CAP) ->
     return names.join(counted, "norm", "left").select("symbol", F.least(F.coalesce("n", F.lit(0)), F.lit(cap)).alias("n"))
 
 
+# --- stored calls, sorted by their symbols read from the end ---------------------------------
+
+
+def from_end(symbol: Column) -> Column:
+    """A normalised symbol with its parts from the last to the first: what ends alike begins alike."""
+    return F.array_join(F.reverse(F.split(symbol, r"\.")), ".")
+
+
+def ends_with(rev: Column, symbols: Iterable[str]) -> Column:
+    """Whether what `from_end` gave ends with one of some normalised symbols, as ranges that reach the scan."""
+    out = F.lit(False)
+    for s in sorted(set(symbols)):
+        r = ".".join(reversed(s.split(".")))
+        out |= (rev == r) | ((rev >= f"{r}.") & (rev < f"{r}/"))  # a slash comes next after a dot
+    return out
+
+
+def in_order(calls: DataFrame) -> DataFrame:
+    """Calls as they are stored: with rev, sorted by it, so that a symbol is in few row groups."""
+    return calls.withColumn("rev", from_end(F.col("callee_norm"))).repartitionByRange("rev", "repo", "file", "pos").sortWithinPartitions("rev", "repo", "file", "pos")
+
+
+def symbol_numbers(calls: DataFrame) -> DataFrame:
+    """rev, n: the call sites of each whole symbol."""
+    return calls.groupBy(from_end(F.col("callee_norm")).alias("rev")).agg(F.count("*").alias("n"))
+
+
+def find_stored_usages(calls: DataFrame, symbol: str, limit: int = USAGE_LIMIT, repo: str | None = None) -> DataFrame:
+    """find_usages over calls that have rev: the scan reads the range of the symbol."""
+    return find_usages(calls.where(ends_with(F.col("rev"), [normalized(symbol)])), symbol, limit, repo)
+
+
+def count_stored_usages(numbers: DataFrame, symbols: Iterable[str], cap: int = USAGE_CAP) -> DataFrame:
+    """count_usages from the numbers of whole symbols (rows of one rev add up), whose ranges alone are read: no call is."""
+    wanted = sorted({s for s in symbols if s.strip()})
+    names = numbers.sparkSession.createDataFrame([(s, normalized(s)) for s in wanted], "symbol string, norm string")
+    few = numbers.where(ends_with(F.col("rev"), map(normalized, wanted))).groupBy("rev").agg(F.sum("n").alias("n"))
+    each = few.select(F.explode(symbol_suffixes(from_end(F.col("rev")))).alias("norm"), "n")
+    counted = each.join(F.broadcast(names.select("norm").distinct()), "norm", "left_semi").groupBy("norm").agg(F.sum("n").alias("n"))
+    return names.join(counted, "norm", "left").select("symbol", F.least(F.coalesce("n", F.lit(0)), F.lit(cap)).alias("n"))
+
+
 def find_definitions(chunks: DataFrame, symbol: str, limit: int = DEFINITION_LIMIT, repo: str | None = None) -> DataFrame:
     """Chunks (or blocks) that define a symbol, one for each repo, file, first line and name, by repo, file and line.
 

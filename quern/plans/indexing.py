@@ -10,13 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions.vectors import range_arrays
-from quern.operators import bm25, incremental
+from quern.operators import bm25, incremental, navigation
 from quern.operators.chunking import chunk_blocks
 from quern.operators.extract import extract_blocks, extract_calls
 from quern.operators.bm25 import ranked
 from quern.operators.models import PRECISIONS, Encoder, encode, quantize
 from quern.operators.vector_search import vector_top_k
-from quern.schema import CALLS, CHUNKS, STATE
+from quern.schema import CALLS, CHUNKS, STATE, USAGE_LIMIT
 from quern.sources.versions import GONE, Conflict, Version, Versions, file_key, number_of
 from quern.sources.workspace import read_workspace, resolve_roots, with_contents
 
@@ -29,6 +29,8 @@ RANGE_TABLE = "ranges array<struct<lo: double, hi: double>>"
 POSTING_TABLE = "id string, term string, tf long, file_key long"
 LENGTH_TABLE = "id string, dl long, file_key long"
 FREQUENCY_TABLE = "term string, df long"
+CALL_TABLE = CALLS + ", rev string"
+NUMBER_TABLE = "rev string, n long"
 FILE_KEYS = ("repo", "file")
 VECTORS = "vectors"
 #: How often a run starts over after another writer's commit, and the segments of a table from which a run compacts it.
@@ -66,7 +68,7 @@ class Indexer:
         return self.store.table(at or self.store.version(), "chunks", CHUNK_TABLE, file_key())
 
     def calls(self, at: Version | None = None) -> DataFrame:
-        return self.store.table(at or self.store.version(), "calls", CALLS, file_key())
+        return self.store.table(at or self.store.version(), "calls", CALL_TABLE, file_key())
 
     def state(self, at: Version | None = None) -> DataFrame:
         return self.store.table(at or self.store.version(), "state", STATE, file_key())
@@ -102,7 +104,7 @@ class Indexer:
             # sorted by name: a definition lookup reads the row groups of its name
             made = encode(chunk_blocks(self.extract_blocks(fresh)), self.encoder).repartitionByRange("name", "id").sortWithinPartitions("name", "id")
             changed = incremental.new_state(seen).join(incremental.to_index(seen), list(FILE_KEYS), "left_semi")
-            add = {"chunks": made, "calls": self.extract_calls(fresh), "state": changed}
+            add = {"chunks": made, "calls": navigation.in_order(self.extract_calls(fresh)), "state": changed}
             new = self._change(base, incremental.stale(seen), out.modified + out.deleted, add)
             out.chunks, out.total = new.numbers["made"], new.numbers["chunks"]
         finally:
@@ -144,6 +146,12 @@ class Indexer:
             delta = deltas[0] if len(deltas) == 1 else deltas[0].unionByName(deltas[1])
             delta = delta.groupBy("term").agg(F.sum("df").alias("df")).where("df <> 0")
             segments["frequencies"] = write("frequencies", delta.repartitionByRange("term").sortWithinPartitions("term"))
+            numbers = [navigation.symbol_numbers(self.store.read(segments["calls"], CALL_TABLE))] if "calls" in segments else []
+            if n_stale:
+                gone = navigation.symbol_numbers(incremental.rows_of_files(self.calls(base), stale))
+                numbers.append(gone.select("rev", (-F.col("n")).alias("n")))
+            delta = numbers[0] if len(numbers) == 1 else numbers[0].unionByName(numbers[1])
+            segments["symbols"] = write("symbols", delta.groupBy("rev").agg(F.sum("n").alias("n")).where("n <> 0").repartitionByRange("rev").sortWithinPartitions("rev"))
             codes = self._codes(base, stale if n_stale else None, made if "chunks" in segments else None, segments, write)
             return self.store.commit(base, segments, codes, counts)
         except BaseException:
@@ -175,6 +183,14 @@ class Indexer:
             segments[name] = write(name, code(slim(made)))
         return new
 
+    def symbols(self, at: Version | None = None) -> DataFrame:
+        """rev, n: the call sites of whole symbols, as numbers that add up."""
+        return self.store.table(at or self.store.version(), "symbols", NUMBER_TABLE)
+
+    def usages(self, symbol: str, limit: int = USAGE_LIMIT, repo: str | None = None) -> DataFrame:
+        """Call sites as they were indexed, from the range of the symbol."""
+        return navigation.find_stored_usages(self.calls(), symbol, limit, repo)
+
     def keyword_index(self, at: Version | None = None) -> bm25.Index:
         """The keyword index goes with its version of the chunks, so it can never be out of date."""
         at = at or self.store.version()
@@ -255,8 +271,8 @@ class Indexer:
     def compact(self) -> Version | None:
         """Writes each table as one segment without what is gone; None if another writer came first, whose run will compact."""
         base = self.store.version()
-        kinds = {"chunks": CHUNK_TABLE, "calls": CALLS, "state": STATE, "postings": POSTING_TABLE, "lengths": LENGTH_TABLE} | {f"codes_{p}": CODE_TABLE for p in PRECISIONS}
-        order = {"chunks": ("name", "id"), "postings": ("term", "id")}
+        kinds = {"chunks": CHUNK_TABLE, "calls": CALL_TABLE, "state": STATE, "postings": POSTING_TABLE, "lengths": LENGTH_TABLE} | {f"codes_{p}": CODE_TABLE for p in PRECISIONS}
+        order = {"chunks": ("name", "id"), "postings": ("term", "id"), "calls": ("rev", "repo", "file", "pos")}
         new: dict[str, list[str]] = {GONE: [], VECTORS: []}  # an index of vectors would cover none of the new segments
         for name, kind in kinds.items():
             if name in base.tables:
@@ -266,6 +282,9 @@ class Indexer:
         if "frequencies" in base.tables:
             rows = self.store.table(base, "frequencies", FREQUENCY_TABLE).groupBy("term").agg(F.sum("df").alias("df")).where("df <> 0")
             new["frequencies"] = [self.store.write("frequencies", rows.repartitionByRange("term").sortWithinPartitions("term"), base)]
+        if "symbols" in base.tables:
+            rows = self.symbols(base).groupBy("rev").agg(F.sum("n").alias("n")).where("n <> 0")
+            new["symbols"] = [self.store.write("symbols", rows.repartitionByRange("rev").sortWithinPartitions("rev"), base)]
         try:
             return self.store.commit(base, replace=new, numbers={GONE: 0})
         except Conflict:

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.functions.text import code_of_document, line_slice, normalize_symbol, splitlines
+from quern.functions.text import code_of_document, line_slice, splitlines
 from quern.functions.vectors import quantize_binary, quantize_int8, quantize_ubinary
 from quern.operators import bm25, fusion
 from quern.operators.models import Scorer, encode_query, rerank
-from quern.operators.navigation import count_usages_of
+from quern.operators.navigation import count_stored_usages
 from quern.operators.vector_search import literal, vector_top_k
 from quern.plans.indexing import Indexer
 from quern.schema import SEARCH_LIMIT, USAGE_CAP, W_GRAPH
@@ -87,8 +87,8 @@ class Searcher:
         _, wide = fusion.widened(limit, False)
         v, k = self.vector(query, wide, repo), self.keyword(query, wide, repo)
         pool = fusion.pool(v, k).join(self.indexer.chunks().select("id", "name"), "id")
-        names = pool.select(F.trim("name").alias("symbol")).where("symbol <> ''").distinct().withColumn("norm", normalize_symbol(F.col("symbol")))
-        counts = count_usages_of(self.indexer.calls(), names, USAGE_CAP).select(F.col("symbol").alias("name"), "n")
+        names = [r[0] for r in pool.select(F.trim("name")).where("trim(name) <> ''").distinct().collect()]  # of at most twice `wide` chunks
+        counts = count_stored_usages(self.indexer.symbols(), names, USAGE_CAP).select(F.col("symbol").alias("name"), "n")
         return fusion.fuse(v, k, fusion.graph_ranks(pool, counts), w_graph=w_graph, limit=limit)
 
     def search(self, query: str, limit: int = SEARCH_LIMIT, mode: str = "hybrid", rerank_hits: bool = False, repo: str | None = None) -> DataFrame:

@@ -18,7 +18,7 @@ from quern.functions.text import (
 from quern.operators import bm25, fusion, incremental
 from quern.operators.chunking import chunk_blocks
 from quern.operators.models import rerank
-from quern.operators.navigation import count_usages_of, find_usages
+from quern.operators.navigation import count_stored_usages, count_usages_of, find_stored_usages, find_usages, in_order, symbol_numbers
 from quern.operators.vector_index import VectorIndex
 from quern.operators.vector_search import hamming_top_k, vector_top_k
 from quern.plans.parallel import spread
@@ -469,11 +469,28 @@ def symbol_batch_counts(spark, sf_dir):
     return count_usages_of(_host_calls(spark, sf_dir), names)
 
 
+@query(
+    f"WITH {_HOST_CALLS}, {_SUFFIXES}, q AS (SELECT unnest([" + ", ".join(f"'{x}'" for x in _SYMBOLS) + "]) AS symbol)"
+    " SELECT q.symbol, least(count(s.symbol), 50)::BIGINT AS n FROM q LEFT JOIN s ON s.symbol = replace(replace(trim(q.symbol), '::', '.'), '->', '.') GROUP BY q.symbol"
+)
+def symbol_batch_counts_stored(spark, sf_dir):
+    """From the numbers of whole symbols, of which only the ranges of the wanted ones are read."""
+    return count_stored_usages(symbol_numbers(_host_calls(spark, sf_dir)), _SYMBOLS)
+
+
 @query(f"SELECT NULL::VARCHAR AS repo, url AS file, page_id::INTEGER AS line, url AS preview FROM pages WHERE {_HOST} = 'example.org' OR {_HOST} LIKE '%.example.org' ORDER BY url, page_id LIMIT 50")
 def symbol_usages(spark, sf_dir):
     return find_usages(_host_calls(spark, sf_dir), "example::org").withColumn("repo", F.nullif("repo", F.lit("")))
 
 
+@query(f"SELECT NULL::VARCHAR AS repo, url AS file, page_id::INTEGER AS line, url AS preview FROM pages WHERE {_HOST} = 'example.org' OR {_HOST} LIKE '%.example.org' ORDER BY url, page_id LIMIT 50")
+def symbol_usages_stored(spark, sf_dir):
+    """From calls that are stored in the order of their symbols read from the end."""
+    path = temporary(spark, "calls")
+    in_order(_host_calls(spark, sf_dir)).write.parquet(path)
+    return find_stored_usages(spark.read.parquet(path), "example::org").withColumn("repo", F.nullif("repo", F.lit("")))
+
+
 @query(f"SELECT page_id FROM pages WHERE {_HOST} = 'example.com' OR {_HOST} LIKE '%.example.com'")
 def symbol_match(spark, sf_dir):
     p = _table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", r"^[a-z]+://([^/:?#]+)", 1).alias("host"))
