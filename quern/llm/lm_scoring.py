@@ -21,8 +21,9 @@ from quern.llm.common import Words, crc_mod, drop, held_id, pieces, real_id, sma
 #: Counts that every worker gets (16 bytes each, so 4 MB at most); rarer words are joined by their hash.
 KNOWN = 1 << 18
 #: Training documents fall into CLASSES by hash; each round of training reads some of these classes, and the rounds
-#: together read each training document once. There are as many rounds as shards allow, EACH of these to a round.
-CLASSES, EACH = 16, 2
+#: together read each training document once. There are as many rounds as shards allow, EACH of these to a round; few
+#: shards, up to APART, are read one after the other.
+CLASSES, EACH, APART = 16, 2, 8
 #: Tokens of a shard (one training run), tokens that training reads from one zero state on, tasks of a round at
 #: most, weights of one row, and the unit in which weights are added.
 SHARD, SECTION, TASKS, PART, GRAIN = 1 << 18, 2048, 10_000, 4096, 2.0**-48
@@ -180,7 +181,7 @@ def _add(batches):
 
 def rounds_for(shards: int) -> list[tuple[int, int]]:
     """Ranges of classes, of about equal size: more rounds the more there is to learn from."""
-    n = max(1, min(CLASSES, shards // EACH))
+    n = max(1, min(CLASSES, max(shards // EACH, min(shards, APART))))
     return [(CLASSES * i // n, CLASSES * (i + 1) // n) for i in range(n)]
 
 

@@ -146,7 +146,7 @@ def test_every_training_document_is_read(spark):
     """A document of any hash class changes the weights, none is read twice, and equal rows count as often as they come."""
     for shards in (0, 1, 6, 15, 31, 32, 5000):
         assert [c for low, high in L.rounds_for(shards) for c in range(low, high)] == list(range(16))
-    assert [len(L.rounds_for(n)) for n in (0, 6, 16, 5000)] == [1, 3, 8, 16]
+    assert [len(L.rounds_for(n)) for n in (0, 2, 6, 16, 20, 5000)] == [1, 2, 6, 8, 10, 16]
     docs = encoded(spark.range(64).withColumnRenamed("id", "doc_id"))
     late = docs.where(F.pmod(F.xxhash64("doc_id", "ids", F.lit(0).cast("long")), F.lit(16)) >= 6).limit(1)
     v = L.Vocabulary(np.arange(3, dtype=np.uint64) * 32, np.ones(3), {0: (3, 3, 1)}, 1)
@@ -154,7 +154,7 @@ def test_every_training_document_is_read(spark):
     assert np.abs(L.train(late, v) - start).max() > 1e-4
     tokens = []
     many = encoded(spark.createDataFrame([(None,)] * 700 + [(1,)] * 30, "doc_id long"))
-    for low, high in L.rounds_for(6):
+    for low, high in L.rounds_for(3):
         tokens.append(L.train(many, v, ((low, high),)))
     assert all(np.abs(t - start).max() > 1e-4 for t in tokens)  # copies of one row are spread over the rounds
 
