@@ -25,6 +25,7 @@ from quern.operators import bm25, incremental, navigation
 from quern.operators.extract import extract_blocks, extract_calls, readable
 from quern.operators.models import HashedTokens, encode, encode_query, model_name
 from quern.plans.indexing import Indexer
+from quern.plans.parallel import spread
 from quern.plans.scratch import fresh, remove
 from quern.plans.search import Searcher, snippets
 from quern.queries import _DOC_TOKENS, _SPLIT, _TOKENS, QUERIES, SQL, _chunks, _chunks_sql, _table, query
@@ -556,8 +557,9 @@ b AS (SELECT doc_id, (('0x' || substr(md5(term), 1, 8))::BIGINT % 384)::INTEGER
 SELECT doc_id, bucket, round((n::FLOAT / sqrt(sum(n * n) OVER (PARTITION BY doc_id))::FLOAT)::FLOAT::DOUBLE, 6) AS x FROM b""")
 def encoded_texts(spark, sf_dir):
     """The default encoder, in batches: unit vectors of 384 dimensions."""
-    rows = encode(_table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("document")))
-    return rows.select("doc_id", F.posexplode("embedding").alias("bucket", "x")).where("x <> 0").select("doc_id", "bucket", F.round(F.col("x").cast("double"), 6).alias("x"))
+    rows = encode(spread(_table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("document"))))
+    # outer: from an inner one Spark infers a filter on the vectors, for which it encodes all texts a second time, below the exchange
+    return rows.select("doc_id", F.posexplode_outer("embedding").alias("bucket", "x")).where("x <> 0").select("doc_id", "bucket", F.round(F.col("x").cast("double"), 6).alias("x"))
 
 
 @example(_values("bucket INTEGER, x DOUBLE", *[(int(hashlib.md5(t.encode()).hexdigest()[:8], 16) % 384, x) for t, x in (("parse", 0.8), ("token", 0.6))]))

@@ -51,13 +51,25 @@ def _tokens_with_parts(text: Column) -> Column:
     return F.flatten(F.transform(raw, parts))
 
 
+_IDENTIFIER, _CAMEL = re.compile("[a-zA-Z0-9_]+"), re.compile("(?<=[a-z0-9])(?=[A-Z])")
+
+
 def tokenize(text: str) -> list[str]:
-    """The same tokens of one string, for queries on the driver."""
-    out: list[str] = []
-    for raw in re.findall("[a-zA-Z0-9_]+", text or ""):
-        camel = re.sub("([a-z0-9])([A-Z])", r"\1 \2", raw)
-        out += [raw, *(filter(None, raw.split("_")) if "_" in raw else ()), *(camel.split(" ") if camel != raw else ())]
-    return [x.lower() for x in out]
+    """The same tokens of one string, for queries on the driver and for encoders."""
+    text = text or ""
+    found = _IDENTIFIER.findall(text)
+    if not found:
+        return []
+    if "_" in text or _CAMEL.search(text):
+        out: list[str] = []
+        for raw in found:
+            out.append(raw)
+            if "_" in raw:
+                out += filter(None, raw.split("_"))
+            if _CAMEL.search(raw):
+                out += _CAMEL.sub(" ", raw).split(" ")
+        found = out
+    return " ".join(found).lower().split(" ")
 
 
 def normalize_symbol(symbol: Column, arrows: bool = True) -> Column:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import lru_cache
 from typing import Protocol
 
 import numpy as np
@@ -18,6 +20,8 @@ from quern.operators.bm25 import ranked
 from quern.schema import DIMENSIONS, SEARCH_LIMIT
 
 BATCH = 64
+#: Tokens whose buckets a worker keeps at most.
+KEPT = 1 << 18
 PRECISIONS = ("float32", "int8", "binary", "ubinary")
 
 
@@ -33,6 +37,25 @@ class Scorer(Protocol):
     def __call__(self, queries: Sequence[str], documents: Sequence[str]) -> Sequence[float]: ...
 
 
+class _Buckets(dict):
+    """token -> its hash bucket; a token is hashed when it is first met."""
+
+    def __init__(self, dimensions: int):
+        super().__init__()
+        self.dimensions = dimensions
+
+    def __missing__(self, token: str) -> int:
+        if len(self) >= KEPT:
+            self.clear()
+        at = self[token] = int(hashlib.md5(token.encode()).hexdigest()[:8], 16) % self.dimensions
+        return at
+
+
+@lru_cache
+def _buckets(dimensions: int) -> _Buckets:
+    return _Buckets(dimensions)
+
+
 @dataclass(frozen=True)
 class HashedTokens:
     """Feature hashing: token counts by hash bucket, as unit vectors. Lexical, not semantic."""
@@ -40,12 +63,10 @@ class HashedTokens:
     dimensions: int = DIMENSIONS
 
     def __call__(self, texts: Sequence[str]) -> np.ndarray:
-        import hashlib
-
-        out = np.zeros((len(texts), self.dimensions), np.float32)
+        out, bucket = np.zeros((len(texts), self.dimensions), np.float32), _buckets(self.dimensions).__getitem__
         for i, text in enumerate(texts):
-            for t in tokenize(text or ""):
-                out[i, int(hashlib.md5(t.encode()).hexdigest()[:8], 16) % self.dimensions] += 1
+            tokens = tokenize(text or "")
+            out[i] = np.bincount(np.fromiter(map(bucket, tokens), np.intp, len(tokens)), minlength=self.dimensions)
         n = np.linalg.norm(out, axis=1, keepdims=True)
         return out / np.where(n > 0, n, 1)
 
