@@ -12,6 +12,7 @@ import json
 import os
 import sys
 from dataclasses import dataclass, field
+from functools import cached_property
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -405,25 +406,36 @@ def watch_once(spark, sf_dir):
 
 @dataclass
 class _Corpus:
-    """The documents as the chunks of an index, with calls from the line items, for Searcher."""
+    """The documents as the chunks of an index, stored once as an index has them, with calls from the line items, for Searcher."""
 
     spark: SparkSession
     sf_dir: str
     encoder: HashedTokens = field(default_factory=HashedTokens)
     precision: str = "float32"
+    paths: list[str] = field(default_factory=list)
+
+    def _store(self, made: DataFrame) -> DataFrame:
+        self.paths.append(fresh(self.spark, "corpus"))
+        made.write.parquet(self.paths[-1])
+        return self.spark.read.schema(made.schema).parquet(self.paths[-1])
+
+    @cached_property
+    def stored(self) -> DataFrame:
+        return self._store(_chunks(self.spark, self.sf_dir, "doc", "doc_id"))
 
     def chunks(self) -> DataFrame:
-        return encode(_chunks(self.spark, self.sf_dir, "doc", "doc_id"), self.encoder)
+        return encode(self.stored, self.encoder)
 
     def calls(self) -> DataFrame:
         name = F.concat(F.lit("service.doc"), (F.col("l_partkey") % 90).cast("string"))
         return _table(self.spark, self.sf_dir, "lineitem").select(F.lit("").alias("repo"), name.alias("callee_norm"))
 
     def symbols(self) -> DataFrame:
-        return navigation.symbol_numbers(self.calls())
+        # stored: a search's ranges would be pushed below the counting and split every call's symbol once for each of them
+        return self._store(navigation.symbol_numbers(self.calls()))
 
     def keyword_index(self):
-        return bm25.build(_chunks(self.spark, self.sf_dir, "doc", "doc_id"))
+        return bm25.Scan(self.stored)
 
     def quantized(self):
         return self.chunks(), None
@@ -469,6 +481,8 @@ FROM h JOIN d ON d.id = h.id LEFT JOIN ll ON ll.repo = d.repo AND ll.file = d.fi
 def _searched(spark, sf_dir, words, **how) -> DataFrame:
     corpus = _Corpus(spark, sf_dir)
     found = Searcher(corpus, corpus.files()).search(words, **how)
+    for path in corpus.paths:  # the few hits are rows of the plan by now
+        remove(spark, path)
     return found.select("rank", "id", "file", "type", "class", "name", "start_line", "end_line", "score", "repo", F.sha2(F.col("code").cast("binary"), 256).alias("code_hash"))
 
 

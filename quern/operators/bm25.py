@@ -37,10 +37,15 @@ def keyword_scan(docs: DataFrame, query: str, id_col: str = "id", text_col: str
     aggregated and sorted, whatever the vocabulary. Terms given twice count twice. `where` limits what may be
     returned; term statistics are always those of all documents. Ties go to the smaller id.
     """
+    return ranked(keyword_scores(docs, query, text_col, where), id_col, limit)
+
+
+def keyword_scores(docs: DataFrame, query: str, text_col: str = "document", where: Column | None = None) -> DataFrame:
+    """The documents with a term of a query: the columns of docs (without the text) and score."""
     terms = Counter(tokenize(query))
     base = spread(docs).withColumn("__c", _counts(F.col(text_col), list(terms))).drop(text_col)
     if not terms:
-        return base.drop("__c").where("false").withColumns({"score": F.lit(0.0), "rank": F.lit(0)})
+        return base.drop("__c").where("false").withColumn("score", F.lit(0.0))
     stats = base.agg(F.count("*").alias("__n"), F.coalesce(F.avg("__c.dl"), F.lit(0.0)).alias("__avg"), *[F.count_if(F.col(f"__c.tf{i}") > 0).alias(f"__df{i}") for i in range(len(terms))])
     found = base.where(where) if where is not None else base
     score = F.lit(0.0)
@@ -50,8 +55,7 @@ def keyword_scan(docs: DataFrame, query: str, id_col: str = "id", text_col: str
     # One row of statistics. Rows without a term go by their score, not by a filter on the counts, which would be
     # pushed below the projection and tokenise once for each term.
     found = found.crossJoin(F.broadcast(stats)).withColumn("score", score)
-    found = found.where("score > 0").select(*[c for c in docs.columns if c != text_col], "score")
-    return ranked(found, id_col, limit)
+    return found.where("score > 0").select(*[c for c in docs.columns if c != text_col], "score")
 
 
 def ranked(scored: DataFrame, id_col: str, limit: int | None) -> DataFrame:
@@ -60,6 +64,13 @@ def ranked(scored: DataFrame, id_col: str, limit: int | None) -> DataFrame:
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), id_col)))
 
 
+@dataclass
+class Scan:
+    """Texts (id, document, any columns) without stored postings: a query counts its terms in passes over them."""
+
+    docs: DataFrame
+
+
 @dataclass
 class Index:
     """Stored postings (id, term, tf), lengths (id, dl), document frequencies (term, df) and one row of totals (n, avg_len)."""
@@ -100,8 +111,11 @@ def load(spark, path: str) -> Index:
     return Index(*[spark.read.parquet(f"{path}/{name}") for name in ("postings", "lengths", "frequencies", "totals")])
 
 
-def query(index: Index, text: str, limit: int | None = KEYWORD_LIMIT, allowed: DataFrame | None = None) -> DataFrame:
+def query(index: Index | Scan, text: str, limit: int | None = KEYWORD_LIMIT, allowed: DataFrame | None = None) -> DataFrame:
     """id, score, rank of the best documents; `allowed` (ids) limits what may be returned, not the statistics."""
+    if isinstance(index, Scan):
+        hit = keyword_scores(index.docs.select("id", "document"), text).withColumn("score", F.round("score", 9)).where("score > 0")
+        return ranked(hit if allowed is None else hit.join(allowed.select("id"), "id", "left_semi"), "id", limit)
     spark = index.postings.sparkSession
     terms = Counter(tokenize(text))
     if not terms:

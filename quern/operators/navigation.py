@@ -61,7 +61,7 @@ def in_order(calls: DataFrame) -> DataFrame:
 
 def symbol_numbers(calls: DataFrame) -> DataFrame:
     """rev, n: the call sites of each whole symbol."""
-    return calls.groupBy(from_end(F.col("callee_norm")).alias("rev")).agg(F.count("*").alias("n"))
+    return calls.groupBy("callee_norm").agg(F.count("*").alias("n")).select(from_end(F.col("callee_norm")).alias("rev"), "n")
 
 
 def find_stored_usages(calls: DataFrame, symbol: str, limit: int = USAGE_LIMIT, repo: str | None = None) -> DataFrame:

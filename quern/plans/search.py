@@ -45,6 +45,11 @@ def snippets(hits: DataFrame, files: DataFrame | None) -> DataFrame:
     return hits.join(found, "id", "left").withColumn("code", F.coalesce(F.nullif(live, F.lit("")), stored)).drop("__text")
 
 
+def at_hand(rows: DataFrame, most: int) -> DataFrame:
+    """At most `most` rows; if these are few, the search for them is run here, once, and not again for each use of them."""
+    return rows.sparkSession.createDataFrame(rows.collect(), rows.schema) if most <= NAMED else rows
+
+
 def result(hits: DataFrame) -> DataFrame:
     """The columns of a search result, defaults filled in, scores to 4 digits, best first."""
     text = lambda c: F.coalesce(c, F.lit(""))
@@ -85,7 +90,7 @@ class Searcher:
     def hybrid(self, query: str, limit: int, repo: str | None = None, w_graph: float = W_GRAPH) -> DataFrame:
         """Fuses both lists and a rank by how often each candidate's name is called."""
         _, wide = fusion.widened(limit, False)
-        v, k = self.vector(query, wide, repo), self.keyword(query, wide, repo)
+        v, k = (at_hand(x, wide) for x in (self.vector(query, wide, repo), self.keyword(query, wide, repo)))
         pool = fusion.pool(v, k).join(self.indexer.chunks().select("id", "name"), "id")
         names = [r[0] for r in pool.select(F.trim("name")).where("trim(name) <> ''").distinct().collect()]  # of at most twice `wide` chunks
         counts = count_stored_usages(self.indexer.symbols(), names, USAGE_CAP).select(F.col("symbol").alias("name"), "n")

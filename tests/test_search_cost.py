@@ -3,17 +3,43 @@
 import re
 
 import numpy as np
+import pytest
 from helpers import DATA
 
 from quern import code_queries as C
 from quern.functions.text import tokenize
 from quern.operators.models import HashedTokens
+from quern.plans.search import Searcher
 
 
 def _plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+@pytest.mark.parametrize(("mode", "times"), [("hybrid", 1), ("semantic", 1), ("keyword", 0)])
+def test_each_chunk_is_encoded_once(spark, mode, times):
+    class Counted:
+        """The default encoder, which counts the texts that it gets."""
+
+        def __call__(self, given):
+            texts.add(len(given))
+            return HashedTokens()(given)
+
+    texts = spark.sparkContext.accumulator(0)
+    corpus = C._Corpus(spark, str(DATA), encoder=Counted())
+    many = corpus.chunks().count()
+    texts.value = 0
+    assert Searcher(corpus).search("reading thing clown", mode=mode, rerank_hits=mode == "keyword").count() == 5
+    assert texts.value == (many + 1) * times  # and the query
+
+
+def test_searched_rows_are_stored(spark):
+    """Neither chunks nor numbers of symbols are made anew for each of their uses, nor a search's ranges pushed into the making."""
+    corpus = C._Corpus(spark, str(DATA))
+    assert "Aggregate" not in _plan(corpus.symbols()) and "Window" not in _plan(corpus.stored)
+    assert "Window" not in _plan(corpus.keyword_index().docs)
+
+
 def test_texts_are_encoded_once(spark):
     assert len(re.findall("ArrowEvalPython", _plan(C.encoded_texts(spark, str(DATA))))) == 1
 
