@@ -38,3 +38,26 @@ def test_odd_documents(spark, odd, nothing):
     assert {r["score"] for r in Q.score_quality(odd, labels.where("quality = 1"), F.lit(False)).collect()} == {1.0}
     assert {r["score"] for r in Q.score_quality(odd, labels, F.lit(True)).collect()} == {0.5}
     assert Q.score_quality(nothing, labels, F.lit(False)).count() == 0
+
+
+def test_every_label_counts(spark, monkeypatch):
+    """Labels beyond any number take part, in shards of which each has both labels; the cut is that of all of them."""
+    monkeypatch.setattr(Q, "SHARD", 100)
+    monkeypatch.setattr(Q, "HELD", 50)
+    n = 10_000
+    # the first of them by hash would be fitted to word length alone; that odd marks tell more is in all of them
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 500 == 0, "| # | #").otherwise("plain words here").alias("text"), (F.col("id") % 500 != 0).cast("int").alias("quality"))
+    got = {r["doc_id"]: r["score"] for r in Q.score_quality(docs, docs.select("doc_id", "quality"), F.lit(False)).collect()}
+    assert len(got) == n and min(s for i, s in got.items() if i % 500) > 0.5 > max(s for i, s in got.items() if not i % 500)
+    seen = []
+    monkeypatch.setattr(Q, "_total", lambda shards, measure, total=Q._total: seen.append(total(shards, measure)) or seen[-1])
+    Q.score_quality(docs, docs.select("doc_id", "quality"), F.lit(False))
+    assert seen[0][0] >= n and all(s[0] >= 2 * Q.RIVALS * n * 0.99 / 2 for s in seen[1:])
+
+
+def test_nth(spark, monkeypatch):
+    monkeypatch.setattr(Q, "HELD", 5)
+    monkeypatch.setattr(Q, "BINS", 8)
+    x = np.round(np.random.default_rng(1).normal(size=300) ** 3, 1)
+    rows = spark.createDataFrame([(float(v),) for v in x], "s double")
+    assert [Q.nth(rows, "s", k) for k in (0, 7, 150, 299)] == [sorted(x.tolist())[k] for k in (0, 7, 150, 299)]
