@@ -13,6 +13,8 @@ HEAD_CLASSES = HEAD // CLASS
 CLASSES, INPUTS = HEAD_CLASSES + TAIL + 1, HEAD + TAIL + 1
 END = INPUTS - 1
 EMBED, HIDDEN, SPAN = 16, 16, 24
+#: Tokens that scoring reads at a time: a span is the longer the fewer documents are left in a batch.
+PACE = 6144
 SHAPES = {
     "emb": (INPUTS, EMBED), "wi": (EMBED, 3 * HIDDEN), "bi": (3 * HIDDEN,), "u": (HIDDEN, 3 * HIDDEN), "wc": (HIDDEN, CLASSES), "bc": (CLASSES,),
     "ww": (HEAD_CLASSES, CLASS, HIDDEN), "bw": (HEAD_CLASSES, CLASS),
@@ -80,142 +82,161 @@ def grid(ids: np.ndarray, first: np.ndarray, most: int) -> tuple[np.ndarray, np.
 _HALF = np.concatenate([np.full(2 * HIDDEN, 0.5), np.ones(HIDDEN)]).astype(np.float32)
 
 
+def _flip(a: np.ndarray) -> np.ndarray:
+    """steps x lanes x parts laid out as steps x parts x lanes: each gate of a step is one block. Free for what is so laid out."""
+    return np.ascontiguousarray(a.transpose(0, 2, 1))
+
+
 def forward(p, table, ids, fresh, h, keep: bool):
     """Reads a span: ids and fresh (a document begins) are steps x lanes, h the state before it.
 
-    Returns the state before each step, what backpropagation needs if kept (gates, new states, recurrent inputs),
-    and the state after the span.
+    Returns the state before each step, what backpropagation needs if kept (gates, new states, recurrent inputs; lanes
+    last), and the state after the span.
     """
     steps, n = ids.shape
-    before = np.empty((steps, n, HIDDEN), np.float32)
-    x, u, k, begins = np.take(table * _HALF, ids, 0), p["u"] * _HALF, HIDDEN, fresh.any(1)
-    gates, states, rec = (np.empty((steps if keep else 1, n, w), np.float32) for w in (2 * k, k, k))
+    before = np.empty((steps, HIDDEN, n), np.float32)
+    x, ut, k, begins, stays = _flip(np.take(table * _HALF, ids, 0)), np.ascontiguousarray((p["u"] * _HALF).T), HIDDEN, fresh.any(1), (~fresh).astype(np.float32)
+    gates, states, rec = (np.empty((steps if keep else 1, w, n), np.float32) for w in (2 * k, k, k))
+    h = np.ascontiguousarray(h.T)
     for t in range(steps):
         if begins[t]:
-            h = h * ~fresh[t][:, None]
+            h = h * stays[t]
         before[t] = h
         i = t if keep else 0
-        g, r, zr, new = x[t], h @ u, gates[i], states[i]
-        np.add(g[:, : 2 * k], r[:, : 2 * k], out=zr)
+        g, r, zr, new = x[t], ut @ h, gates[i], states[i]
+        np.add(g[: 2 * k], r[: 2 * k], out=zr)
         np.tanh(zr, out=zr)
         zr += 1
         zr *= 0.5
-        rec[i] = r[:, 2 * k :]
-        np.multiply(zr[:, k:], rec[i], out=new)
-        new += g[:, 2 * k :]
+        rec[i] = r[2 * k :]
+        np.multiply(zr[k:], rec[i], out=new)
+        new += g[2 * k :]
         np.tanh(new, out=new)
         h = before[t] - new
-        h *= zr[:, :k]
+        h *= zr[:k]
         h += new
-    return before, (gates, states, rec), h
+    return before.transpose(0, 2, 1), (gates, states, rec), h.T
 
 
-_ONES = np.ones(max(CLASSES, CLASS, HIDDEN), np.float32)
+def _bound(w: np.ndarray) -> float:
+    """The most that a product of weights (... x HIDDEN + 1) with a state, whose parts are within -1 and 1, and 1 can be."""
+    return float((np.abs(w).reshape(-1, HIDDEN + 1) @ np.ones(HIDDEN + 1, np.float32)).max())
 
 
-def _bound(w: np.ndarray, b: np.ndarray) -> float:
-    """The most that a product of weights (... x HIDDEN) with a state, whose parts are within -1 and 1, and b can be."""
-    return float((np.abs(w).reshape(-1, HIDDEN) @ _ONES[:HIDDEN] + np.abs(b).ravel()).max())
+def _softmax(w, x, y, tame: bool, real=None):
+    """The tokens' log-probability, from the logits w @ x (a column for each token) and y, the place of each token's own output.
 
-
-def _exponentials(logit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """exp of logits, in their place, and its row sums."""
-    e = np.exp(logit, out=logit)
-    return e, e @ _ONES[: e.shape[1]]
+    With real (0 or 1 for each token): the gradient of the real tokens' loss by the logits instead.
+    """
+    e = w @ x
+    if not tame:
+        e -= e.max(0)
+    own = y * e.shape[1] + np.arange(e.shape[1])
+    right = e.ravel()[own] if real is None else None
+    np.exp(e, out=e)
+    total = e.sum(0)  # row by row, so that equal columns have equal sums wherever they stand
+    if real is None:
+        return right - np.log(total)
+    e *= real / total
+    e.ravel()[own] -= real
+    return e
 
 
 def outputs(p, before, ids, real, learn: bool):
-    """Log-probabilities (natural) of the real tokens, given the states before them; with learn, the gradients too."""
-    x, y = before.reshape(-1, HIDDEN), ids.ravel()
+    """Log-probabilities (natural) of the real tokens, given the states before them; with learn, the gradients instead."""
+    y = ids.ravel()
+    # a row of ones stands for the biases
+    x = np.empty((HIDDEN + 1, len(y)), before.dtype)
+    x[:HIDDEN].reshape(HIDDEN, *ids.shape)[...] = before.transpose(2, 0, 1)
+    x[HIDDEN] = 1
     c = classes(y)
-    logit = x @ p["wc"]
-    logit += p["bc"]
-    tame = _bound(p["wc"].T, p["bc"]) < 60 and _bound(p["ww"], p["bw"]) < 60
-    rows = np.arange(len(y))
-    if not tame:
-        logit -= logit.max(1, keepdims=True)
-    own = logit[rows, c]
-    e, total = _exponentials(logit)
-    logp = (own - np.log(total)) * real.ravel()
-    grad = dx = None
+    wc, ww = np.concatenate([p["wc"].T, p["bc"][:, None]], 1), np.concatenate([p["ww"], p["bw"][:, :, None]], 2)
+    tame = _bound(wc) < 60 and _bound(ww) < 60
+    mask = real.ravel().astype(np.float32)
+    e = _softmax(wc, x, c, tame, mask if learn else None)
     if learn:
-        e /= total[:, None]
-        e[rows, c] -= 1
-        if not real.all():
-            e *= real.reshape(-1, 1)
-        grad = {"wc": x.T @ e, "bc": np.ones(len(e), e.dtype) @ e, "ww": np.zeros(SHAPES["ww"], np.float32), "bw": np.zeros(SHAPES["bw"], np.float32)}
-        dx = e @ p["wc"].T
+        g = x @ e.T
+        gw = np.zeros(ww.shape, ww.dtype)
+        dx = wc[:, :HIDDEN].T @ e
+    else:
+        logp = e * mask
     # the tokens of head classes, class by class
     order = np.argsort(c.astype(np.int16), kind="stable")
     cut = np.searchsorted(c[order], np.arange(HEAD_CLASSES + 1))
     order = order[: cut[-1]]
-    xs, ys = x[order], y[order] % CLASS
-    inner, back = np.empty(len(order), logp.dtype), np.empty_like(xs)
-    for k in range(HEAD_CLASSES):
+    xs, ys = np.take(x, order, 1), y[order] % CLASS
+    back = np.empty((HIDDEN, len(order)), x.dtype) if learn else np.empty(len(order), e.dtype)
+    one = np.float32(1)
+    for k in np.flatnonzero(np.diff(cut)):
         i = slice(cut[k], cut[k + 1])
-        xi, at = xs[i], ys[i]
-        if len(at):
-            logit = xi @ p["ww"][k].T
-            logit += p["bw"][k]
-            if not tame:
-                logit -= logit.max(1, keepdims=True)
-            own = rows[: len(at)]
-            right = logit[own, at]
-            e, total = _exponentials(logit)
-            inner[i] = right - np.log(total)
-            if learn:
-                e /= total[:, None]
-                e[own, at] -= 1
-                grad["ww"][k], grad["bw"][k] = e.T @ xi, np.ones(len(at), e.dtype) @ e
-                back[i] = e @ p["ww"][k]
-    logp[order] += inner
-    if learn:
-        dx[order] += back
-    return logp, grad, dx
+        xi = xs[:, i]
+        e = _softmax(ww[k], xi, ys[i], tame, one if learn else None)
+        if learn:
+            np.matmul(e, xi.T, out=gw[k])
+            back[:, i] = p["ww"][k].T @ e
+        else:
+            back[i] = e
+    if not learn:
+        logp[order] += back
+        return logp, None, None
+    dx[:, order] += back
+    grad = {"wc": g[:HIDDEN], "bc": g[HIDDEN], "ww": gw[:, :, :HIDDEN], "bw": gw[:, :, HIDDEN]}
+    return None, grad, dx.reshape(HIDDEN, *ids.shape).transpose(1, 2, 0)
 
 
 def backward(p, ids, fresh, before, gates, dbefore):
     """Truncated backpropagation through a span, from the gradients of the states before each step."""
     steps, n = ids.shape
     k = HIDDEN
+    before, dbefore = _flip(before), _flip(dbefore)
     zr, new, rec = gates
-    z, r = zr[:, :, :k], zr[:, :, k:]
+    z, r = zr[:, :k], zr[:, k:]
     # what the gradient of the state is multiplied by for each part of the recurrent input, for all steps at once
-    by = np.empty((steps, n, 3, k), before.dtype)
-    by_new = (1 - z) * (1 - new * new)
-    by[:, :, 0], by[:, :, 1], by[:, :, 2] = (before - new) * z * (1 - z), by_new * rec * r * (1 - r), by_new * r
-    drec, after = np.empty((steps, n, 3, k), before.dtype), np.empty((steps, n, 1, k), before.dtype)
-    begins, dh, ut = fresh.any(1), np.zeros((n, k), before.dtype), np.ascontiguousarray(p["u"].T)
+    by = np.empty((steps, 3, k, n), before.dtype)
+    not_z = 1 - z
+    by_new = new * new
+    np.subtract(1, by_new, out=by_new)
+    by_new *= not_z
+    not_z *= z
+    np.multiply(before - new, not_z, out=by[:, 0])
+    np.multiply(by_new, r, out=by[:, 2])
+    np.multiply(by[:, 2], rec, out=by[:, 1])
+    by[:, 1] *= 1 - r
+    drec, after = np.empty((steps, 3, k, n), before.dtype), np.empty((steps, k, n), before.dtype)
+    begins, stays, dh, u = fresh.any(1), (~fresh).astype(before.dtype), np.zeros((k, n), before.dtype), np.ascontiguousarray(p["u"])
     for t in range(steps - 1, -1, -1):
-        after[t, :, 0] = dh
-        np.multiply(after[t], by[t], out=drec[t])
+        after[t] = dh
+        np.multiply(dh, by[t], out=drec[t])
         dh = dh * z[t]
-        dh += drec[t].reshape(n, -1) @ ut
+        dh += u @ drec[t].reshape(3 * k, n)
         dh += dbefore[t]
         if begins[t]:
-            dh *= ~fresh[t][:, None]
-    du = before.reshape(-1, k).T @ drec.reshape(-1, 3 * k)
-    dg = drec
-    dg[:, :, 2] = after[:, :, 0] * by_new
-    flat, x = dg.reshape(-1, 3 * k), ids.ravel()
-    e = p["emb"][x]
-    de = flat @ p["wi"].T
-    demb = np.stack([np.bincount(x, de[:, j], INPUTS) for j in range(EMBED)], 1).astype(np.float32)
-    return {"emb": demb, "wi": e.T @ flat, "bi": flat.sum(0), "u": du}
+            dh *= stays[t]
+    flat = drec.reshape(steps, 3 * k, n)
+    du = (flat @ before.transpose(0, 2, 1)).sum(0).T
+    np.multiply(after, by_new, out=drec[:, 2])
+    x = ids.ravel()
+    dwi = (flat @ p["emb"][ids]).sum(0).T
+    de = (p["wi"] @ flat).transpose(1, 0, 2).reshape(EMBED, -1)
+    demb = np.stack([np.bincount(x, d, INPUTS) for d in de]).T
+    return {"emb": demb, "wi": dwi, "bi": (flat @ np.ones(n, flat.dtype)).sum(0), "u": du}
 
 
-def spans(tokens, doc, alive):
-    """Spans of SPAN steps over the lanes alive at their first: ids, documents, fresh (a document begins) and what is real.
+def spans(tokens, doc, alive, size: int = 0):
+    """Spans of SPAN steps, or of about `size` tokens, over the lanes alive at their first: ids, documents, fresh (a document
+    begins) and what is real.
 
     Lanes that are over within a span read ends, which count for nothing.
     """
-    last = None
-    for at in range(0, len(tokens), SPAN):
+    last, at = None, 0
+    while at < len(tokens):
         n = int(alive[at])
-        x, d = tokens[at : at + SPAN, :n], doc[at : at + SPAN, :n]
+        steps = max(1, size // n) if size else SPAN
+        x, d = tokens[at : at + steps, :n], doc[at : at + steps, :n]
         before = np.concatenate([np.full((1, n), -1, d.dtype) if last is None else last[None, :n], d[:-1]])
         last = d[-1]
         yield np.where(x < 0, END, x), d, d != before, x >= 0
+        at += steps
 
 
 def train(flat: np.ndarray, ids: np.ndarray, first: np.ndarray, memory: dict, rate: float = 0.01, most: int = 128) -> int:
@@ -231,7 +252,7 @@ def train(flat: np.ndarray, ids: np.ndarray, first: np.ndarray, memory: dict, ra
         table = p["emb"] @ p["wi"] + p["bi"]
         before, gates, h = forward(p, table, x, fresh, h[: x.shape[1]], True)
         _, go, dx = outputs(p, before, x, real, True)
-        gi = backward(p, x, fresh, before, gates, dx.reshape(before.shape))
+        gi = backward(p, x, fresh, before, gates, dx)
         for k, v in (go | gi).items():
             g[k][...] = v
         grad /= max(1, int(real.sum()))
@@ -254,13 +275,13 @@ def train(flat: np.ndarray, ids: np.ndarray, first: np.ndarray, memory: dict, ra
     return int(ids.size)
 
 
-def score(flat: np.ndarray, ids: np.ndarray, first: np.ndarray, most: int = 512) -> np.ndarray:
+def score(flat: np.ndarray, ids: np.ndarray, first: np.ndarray, most: int = 256) -> np.ndarray:
     """The log10 probability of each document's classes and head words, its state carried to its end."""
     p = views(flat)
     table = p["emb"] @ p["wi"] + p["bi"]
     tokens, doc, alive = grid(ids, first, most)
     h, out = np.zeros((tokens.shape[1], HIDDEN), np.float32), np.zeros(len(first) - 1)
-    for x, d, fresh, real in spans(tokens, doc, alive):
+    for x, d, fresh, real in spans(tokens, doc, alive, PACE):
         before, _, h = forward(p, table, x, fresh, h[: x.shape[1]], False)
         logp, _, _ = outputs(p, before, x, real, False)
         out += np.bincount(d.ravel(), logp, len(out))

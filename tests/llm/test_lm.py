@@ -178,3 +178,27 @@ def test_scores_do_not_depend_on_the_partitioning(spark, monkeypatch):
 def test_sections():
     ids, first = L.sections([np.arange(5), np.arange(2), np.arange(4)], 2)
     assert first.tolist() == [0, 2, 4, 5, 7, 9, 11] and ids.tolist() == [0, 1, 2, 3, 4, 0, 1, 0, 1, 2, 3]
+
+
+def test_scoring_takes_few_steps_through_a_long_document(monkeypatch):
+    """A span of scoring is the longer the fewer documents are left, so that one long text doesn't cost a span for every SPAN words."""
+    flat, ids, first = small(8, 40)
+    long = np.random.default_rng(9).integers(0, G.INPUTS, 20_000).astype(np.int32)
+    both, cut = np.concatenate([ids, long]), np.append(first, first[-1] + len(long))
+    spans, outputs = [], G.outputs
+    monkeypatch.setattr(G, "outputs", lambda p, before, x, *more: spans.append(x.size) or outputs(p, before, x, *more))
+    got = G.score(flat, both, cut)
+    assert len(spans) < 10 and max(spans) <= 1.5 * G.PACE
+    assert np.allclose(got[:-1], G.score(flat, ids, first), rtol=1e-5) and np.isclose(got[-1], G.score(flat, long, np.array([0, 20_000]))[0], rtol=1e-5)
+
+
+def test_gates_are_laid_out_in_blocks():
+    """What a step computes over all lanes stands in one block for each gate, and gradients come back in the layout of the states."""
+    flat, ids, first = small(4, 9)
+    p = G.views(flat)
+    x, _, fresh, real = next(G.spans(*G.grid(ids, first, 5)))
+    before, gates, h = G.forward(p, p["emb"] @ p["wi"] + p["bi"], x, fresh, np.zeros((5, G.HIDDEN), np.float32), True)
+    assert before.shape == (*x.shape, G.HIDDEN) and h.shape == (5, G.HIDDEN)
+    assert [g.shape for g in gates] == [(len(x), w * G.HIDDEN, 5) for w in (2, 1, 1)] and all(g[0, : G.HIDDEN].flags.c_contiguous for g in gates)
+    _, _, dx = G.outputs(p, before, x, real, True)
+    assert dx.shape == before.shape and dx.strides[1] == dx.itemsize
