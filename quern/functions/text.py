@@ -51,25 +51,26 @@ def _tokens_with_parts(text: Column) -> Column:
     return F.flatten(F.transform(raw, parts))
 
 
-_IDENTIFIER, _CAMEL = re.compile("[a-zA-Z0-9_]+"), re.compile("(?<=[a-z0-9])(?=[A-Z])")
+_CAMEL = re.compile("(?<=[a-z0-9])(?=[A-Z])")
+#: For bytes of UTF-8, of which those beyond ASCII stand between identifiers: identifiers as they are, in lower case, and by the kinds of their characters.
+_KEPT = bytes(c if c < 128 and (chr(c).isalnum() or chr(c) == "_") else 32 for c in range(256))
+_LOWER, _KINDS = _KEPT.lower(), bytes(ord("A" if chr(c).isupper() else "a" if chr(c).isalnum() else chr(c)) for c in _KEPT)
 
 
 def tokenize(text: str) -> list[str]:
-    """The same tokens of one string, for queries on the driver and for encoders."""
-    text = text or ""
-    found = _IDENTIFIER.findall(text)
-    if not found:
-        return []
-    if "_" in text or _CAMEL.search(text):
-        out: list[str] = []
-        for raw in found:
-            out.append(raw)
-            if "_" in raw:
-                out += filter(None, raw.split("_"))
-            if _CAMEL.search(raw):
-                out += _CAMEL.sub(" ", raw).split(" ")
-        found = out
-    return " ".join(found).lower().split(" ")
+    """The same tokens of one string, for queries on the driver, encoders and postings."""
+    raw = (text or "").encode("utf-8", "surrogatepass")
+    kinds = raw.translate(_KINDS)
+    if b"_" not in kinds and b"aA" not in kinds:
+        return raw.translate(_LOWER).decode().split()
+    out: list[str] = []
+    for word, kind in zip(raw.translate(_KEPT).decode().split(), kinds.decode().split(), strict=True):
+        out.append(word)
+        if "_" in kind:
+            out += filter(None, word.split("_"))
+        if "aA" in kind:
+            out += _CAMEL.sub(" ", word).split(" ")
+    return " ".join(out).lower().split(" ")
 
 
 def normalize_symbol(symbol: Column, arrows: bool = True) -> Column:

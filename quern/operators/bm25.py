@@ -3,15 +3,23 @@
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructType
 
 from quern.functions.text import once, tokenize, tokenize_code
 from quern.plans.parallel import spread
 from quern.schema import K1, KEYWORD_LIMIT, B
 
+#: Postings of an Arrow batch, about.
+ROWS = 1 << 16
+
 
 def idf(n: Column, df: Column) -> Column:
     return F.log(1 + (n - df + 0.5) / (df + 0.5))
@@ -73,7 +81,7 @@ class Scan:
 
 @dataclass
 class Index:
-    """Stored postings (id, term, tf), lengths (id, dl), document frequencies (term, df) and one row of totals (n, avg_len)."""
+    """Stored postings (id, term, tf; with dl, if lengths were met already), lengths (id, dl), document frequencies (term, df) and one row of totals (n, avg_len)."""
 
     postings: DataFrame
     lengths: DataFrame
@@ -81,10 +89,36 @@ class Index:
     totals: DataFrame
 
 
-def build(docs: DataFrame, id_col: str = "id", text_col: str = "document", carry: tuple[str, ...] = ()) -> Index:
-    """carry: columns of docs that postings and lengths have too."""
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, text) to (id, term, tf)."""
+    for batch in batches:
+        ids, terms, tfs, sizes, begin = batch.column(0), [], [], [], 0
+        texts = batch.column(1).to_pylist()
+        for i, text in enumerate(texts):
+            found = Counter(tokenize(text))
+            terms += found
+            tfs += found.values()
+            sizes.append(len(found))
+            if len(terms) >= ROWS or i == len(texts) - 1:
+                at = np.repeat(np.arange(begin, i + 1), sizes)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(at)), pa.array(terms, pa.string()), pa.array(tfs, pa.int64())], names=["id", "term", "tf"])
+                terms, tfs, sizes, begin = [], [], [], i + 1
+
+
+@F.pandas_udf(LongType())
+def n_tokens(texts: pd.Series) -> pd.Series:
+    return pd.Series([len(tokenize(t)) for t in texts], dtype="int64")
+
+
+def build(docs: DataFrame, id_col: str = "id", text_col: str = "document", carry: tuple[str, ...] = (), distinct: bool = False) -> Index:
+    """carry: columns of docs that lengths have too. distinct: ids have one row each, whose terms are counted where it is read, so that no count moves."""
+    if distinct:
+        texts = docs.select(F.col(id_col).alias("id"), *carry, F.col(text_col).alias("__t"))
+        kind = StructType().add("id", texts.schema["id"].dataType).add("term", StringType()).add("tf", LongType())
+        postings, lengths = texts.select("id", "__t").mapInArrow(_counted, kind), texts.select("id", *carry, n_tokens("__t").alias("dl"))
+        return Index(postings, lengths, frequencies(postings), totals(lengths))
     tokens = spread(docs.select(F.col(id_col).alias("id"), *carry, F.col(text_col).alias("__t"))).select("id", *carry, tokenize_code(F.col("__t")).alias("t"))
-    postings = tokens.select("id", *carry, F.explode("t").alias("term")).groupBy("id", "term", *carry).agg(F.count("*").alias("tf"))
+    postings = tokens.select("id", F.explode("t").alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
     lengths = tokens.select("id", *carry, F.size("t").cast("long").alias("dl"))
     return Index(postings, lengths, frequencies(postings), totals(lengths))
 
@@ -125,6 +159,6 @@ def query(index: Index | Scan, text: str, limit: int | None = KEYWORD_LIMIT, all
     hit = index.postings.where(among).join(wanted, "term").join(F.broadcast(index.frequencies.where(among)), "term")
     if allowed is not None:
         hit = hit.join(allowed.select("id"), "id", "left_semi")
-    hit = hit.join(index.lengths, "id").crossJoin(F.broadcast(index.totals))
+    hit = (hit if "dl" in hit.columns else hit.join(index.lengths, "id")).crossJoin(F.broadcast(index.totals))
     part = F.col("times") * idf(F.col("n"), F.col("df")) * weight(F.col("tf"), F.col("dl"), F.col("avg_len"))
     return ranked(hit.groupBy("id").agg(F.round(F.sum(part), 9).alias("score")).where("score > 0"), "id", limit)

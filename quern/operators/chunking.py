@@ -35,17 +35,26 @@ def split_blocks(blocks: DataFrame, most: int = BLOCK_CHARS, overlap: float = OV
     }).drop("__l", "__n", "__w", "__s", "__p")
 
 
-def chunk_blocks(blocks: DataFrame, most: int = BLOCK_CHARS, overlap: float = OVERLAP) -> DataFrame:
-    """Chunks with unique ids: repo::file::Class::name, @partN for parts, #K for the K-th of one id in a file."""
+def chunk_blocks(blocks: DataFrame, most: int = BLOCK_CHARS, overlap: float = OVERLAP, in_order: bool = False) -> DataFrame:
+    """Chunks with unique ids: repo::file::Class::name, @partN for parts, #K for the K-th of one id in a file.
+
+    in_order: partitions are ranges of names and ids, sorted by both. Rows of one id stand in one range, where they are numbered,
+    so a text moves once.
+    """
     parts = split_blocks(blocks, most, overlap)
     base = chunk_id(F.col("repo"), F.col("file"), F.col("class_chain"), F.col("name"))
     base = F.when(F.col("part") > 0, F.concat(base, F.lit("@part"), F.col("part"))).otherwise(base)
-    nth = F.row_number().over(Window.partitionBy("repo", "file", "__id").orderBy("block_pos", "part"))
-    named = parts.withColumn("__id", base).withColumn("__k", nth)
-    return named.select(
+    parts, same = parts.withColumn("__id", base), ["repo", "file", "__id"]
+    if in_order:
+        # the name, but read from the id: rows of one id have one
+        parts = parts.withColumn("__name", F.regexp_replace(F.substring_index("__id", "::", -1), "@part[0-9]+$", "")).repartitionByRange("__name", "__id")
+        same = ["__name", *same]
+    named = parts.withColumn("__k", F.row_number().over(Window.partitionBy(*same).orderBy("block_pos", "part")))
+    chunks = named.select(
         F.when(F.col("__k") > 1, F.concat("__id", F.lit("#"), "__k")).otherwise(F.col("__id")).alias("id"),
         render_document(*map(F.col, ("file", "class_chain", "name", "docstring", "code"))).alias("document"),
         "repo", "file", F.col("block_type").alias("type"), "class_chain", "name", "language", "start_line", "end_line", content_hash(F.col("code")).alias("content_hash"), "docstring",
     )
+    return chunks.sortWithinPartitions("name", "id") if in_order else chunks
 
 
