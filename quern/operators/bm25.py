@@ -11,14 +11,14 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType, StructType
+from pyspark.sql.types import LongType
 
 from quern.functions.text import once, tokenize, tokenize_code
 from quern.plans.parallel import spread
 from quern.schema import K1, KEYWORD_LIMIT, B
 
-#: Postings of an Arrow batch, about.
-ROWS = 1 << 16
+#: Postings of a term and a stretch of documents as one row: the low bits of their numbers, which begin at 0 in a block of 32,768, and their counts. A term can have several rows for a block.
+STACKED, BITS = "term string, block long, docs array<short>, tfs array<int>", 15
 
 
 def idf(n: Column, df: Column) -> Column:
@@ -89,20 +89,33 @@ class Index:
     totals: DataFrame
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, text) to (id, term, tf)."""
+def _stacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, text) to STACKED."""
     for batch in batches:
-        ids, terms, tfs, sizes, begin = batch.column(0), [], [], [], 0
-        texts = batch.column(1).to_pylist()
-        for i, text in enumerate(texts):
+        terms, tfs, sizes = [], [], []
+        for text in batch.column(1).to_pylist():
             found = Counter(tokenize(text))
             terms += found
             tfs += found.values()
             sizes.append(len(found))
-            if len(terms) >= ROWS or i == len(texts) - 1:
-                at = np.repeat(np.arange(begin, i + 1), sizes)
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(at)), pa.array(terms, pa.string()), pa.array(tfs, pa.int64())], names=["id", "term", "tf"])
-                terms, tfs, sizes, begin = [], [], [], i + 1
+        if not terms:
+            continue
+        words, ids = pa.array(terms, pa.string()).dictionary_encode(), np.repeat(batch.column(0).to_numpy(), sizes)
+        codes = words.indices.to_numpy()
+        order = np.lexsort((ids, codes))
+        codes, ids = codes[order], ids[order]
+        blocks = ids >> BITS
+        first = np.flatnonzero(np.r_[True, (codes[1:] != codes[:-1]) | (blocks[1:] != blocks[:-1])])
+        ends = pa.array(np.r_[first, len(codes)], pa.int32())
+        lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in ((ids & (1 << BITS) - 1).astype(np.int16), np.array(tfs, np.int32)[order])]
+        yield pa.RecordBatch.from_arrays([words.dictionary.take(pa.array(codes[first])), pa.array(blocks[first]), *lists], names=["term", "block", "docs", "tfs"])
+
+
+def unstacked(rows: DataFrame) -> DataFrame:
+    """STACKED rows and any columns beside as one row (term, those columns, doc, tf) for each posting."""
+    beside = [c for c in rows.columns if c not in ("term", "block", "docs", "tfs")]
+    each = rows.select("term", *beside, "block", F.explode(F.arrays_zip("docs", "tfs")).alias("__p"))
+    return each.select("term", *beside, (F.shiftleft("block", BITS) + F.col("__p.docs")).alias("doc"), F.col("__p.tfs").cast("long").alias("tf"))
 
 
 @F.pandas_udf(LongType())
@@ -110,12 +123,11 @@ def n_tokens(texts: pd.Series) -> pd.Series:
     return pd.Series([len(tokenize(t)) for t in texts], dtype="int64")
 
 
-def build(docs: DataFrame, id_col: str = "id", text_col: str = "document", carry: tuple[str, ...] = (), distinct: bool = False) -> Index:
-    """carry: columns of docs that lengths have too. distinct: ids have one row each, whose terms are counted where it is read, so that no count moves."""
-    if distinct:
+def build(docs: DataFrame, id_col: str = "id", text_col: str = "document", carry: tuple[str, ...] = (), stacked: bool = False) -> Index:
+    """carry: columns of docs that lengths have too. stacked: ids are whole numbers of one row each; their postings are counted where they are read, and are STACKED."""
+    if stacked:
         texts = docs.select(F.col(id_col).alias("id"), *carry, F.col(text_col).alias("__t"))
-        kind = StructType().add("id", texts.schema["id"].dataType).add("term", StringType()).add("tf", LongType())
-        postings, lengths = texts.select("id", "__t").mapInArrow(_counted, kind), texts.select("id", *carry, n_tokens("__t").alias("dl"))
+        postings, lengths = texts.select("id", "__t").mapInArrow(_stacked, STACKED), texts.select("id", *carry, n_tokens("__t").alias("dl"))
         return Index(postings, lengths, frequencies(postings), totals(lengths))
     tokens = spread(docs.select(F.col(id_col).alias("id"), *carry, F.col(text_col).alias("__t"))).select("id", *carry, tokenize_code(F.col("__t")).alias("t"))
     postings = tokens.select("id", F.explode("t").alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
@@ -124,7 +136,8 @@ def build(docs: DataFrame, id_col: str = "id", text_col: str = "document", carry
 
 
 def frequencies(postings: DataFrame) -> DataFrame:
-    return postings.groupBy("term").agg(F.count("*").alias("df"))
+    many = F.sum(F.size("docs")) if "docs" in postings.columns else F.count("*")
+    return postings.groupBy("term").agg(many.alias("df"))
 
 
 def totals(lengths: DataFrame) -> DataFrame:

@@ -28,7 +28,7 @@ CODE_TABLE = "id string, repo string, embedding array<int>, file_key long"
 RANGE_TABLE = "ranges array<struct<lo: double, hi: double>>"
 #: A chunk's number: the version that it was written for and its place among that version's chunks. Compaction keeps it.
 NUMBER = ("since", "doc")
-POSTING_TABLE = "term string, since long, doc long, tf long"
+POSTING_TABLE = "since long, " + bm25.STACKED
 LENGTH_TABLE = "id string, dl long, file_key long, since long, doc long"
 FREQUENCY_TABLE = "term string, df long"
 CALL_TABLE = CALLS + ", rev string"
@@ -37,7 +37,7 @@ FILE_KEYS = ("repo", "file")
 VECTORS = "vectors"
 #: How often a run starts over after another writer's commit, and the segments of a table from which a run compacts it.
 TRIES, SEGMENTS = 5, 16
-#: Keys of files, and words of 64 chunks each, that are broadcast at most; the layout of the tables, which a version names.
+#: Keys of files that are broadcast at most; the layout of the tables, which a version names.
 MANY, LAYOUT = 1 << 20, 2
 
 
@@ -134,12 +134,14 @@ class Indexer:
         return self.store.table(at, "lengths", LENGTH_TABLE, F.col("file_key"))
 
     def _postings_of(self, at: Version, lengths: DataFrame) -> DataFrame:
-        """The stored postings of some rows of lengths: by words of bits for 64 chunks each, so that no posting moves."""
-        place = F.col("doc").bitwiseAND(63).cast("int")
-        words = lengths.groupBy("since", F.shiftright("doc", 6).alias("__word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), place)).alias("__bits"))
-        words = F.broadcast(words) if at.numbers.get("ever", 0) <= 64 * MANY else words
-        rows = self.store.read(at.tables.get("postings", []), POSTING_TABLE).withColumn("__word", F.shiftright("doc", 6))
-        return rows.join(words, ["since", "__word"]).where(F.call_function("shiftright", F.col("__bits"), place).bitwiseAND(1) == 1).select("term", *NUMBER, "tf")
+        """The stored postings of some rows of lengths. One bit a chunk is broadcast, in words of 64 of each block, so that no posting moves."""
+        words = lengths.select("since", F.shiftright("doc", bm25.BITS).alias("block"), F.shiftright("doc", 6).bitwiseAND((1 << bm25.BITS - 6) - 1).cast("int").alias("n"), F.call_function("shiftleft", F.lit(1).cast("long"), F.col("doc").bitwiseAND(63).cast("int")).alias("bit"))
+        words = words.groupBy("since", "block", "n").agg(F.bit_or("bit").alias("bits")).groupBy("since", "block").agg(F.map_from_entries(F.collect_list(F.struct("n", "bits"))).alias("m"))
+        words = words.select("since", "block", F.transform(F.sequence(F.lit(0), F.lit((1 << bm25.BITS - 6) - 1)), lambda n: F.coalesce(F.try_element_at("m", n), F.lit(0).cast("long"))).alias("__words"))
+        among = lambda p: F.call_function("shiftright", F.get("__words", F.shiftright(p["docs"].cast("int"), 6)), p["docs"].bitwiseAND(63).cast("int")).bitwiseAND(1) == 1
+        rows = self.store.read(at.tables.get("postings", []), POSTING_TABLE).join(F.broadcast(words), ["since", "block"])
+        rows = rows.withColumn("__p", F.filter(F.arrays_zip("docs", "tfs"), among)).where(F.size("__p") > 0)
+        return rows.select("since", "term", "block", F.col("__p.docs").alias("docs"), F.col("__p.tfs").alias("tfs"))
 
     def _change(self, base: Version, stale: DataFrame, n_stale: int, add: dict[str, DataFrame]) -> Version:
         """Commits rows of new files, and the end of stale ones (repo, file)."""
@@ -155,15 +157,14 @@ class Indexer:
             if n_stale:
                 segments[GONE] = write(GONE, self.store.mark(stale, base))
             if "chunks" in segments:
-                index, since = bm25.build(made.withColumns({"chunk": F.col("id"), "file_key": file_key()}), "doc", carry=("chunk", "file_key"), distinct=True), F.lit(base.number + 1).cast("long")
-                rows = index.postings.withColumnRenamed("id", "doc").repartitionByRange("term", "doc").sortWithinPartitions("term", "doc")
-                segments["postings"] = write("postings", rows.select("term", since.alias("since"), "doc", "tf"))
+                index, since = bm25.build(made.withColumns({"chunk": F.col("id"), "file_key": file_key()}), "doc", carry=("chunk", "file_key"), stacked=True), F.lit(base.number + 1).cast("long")
+                segments["postings"] = write("postings", index.postings.repartitionByRange("term", "block").sortWithinPartitions("term", "block").withColumn("since", since))
                 segments["lengths"] = write("lengths", index.lengths.select(F.col("chunk").alias("id"), "dl", "file_key", since.alias("since"), F.col("id").alias("doc")))
             counts = {"layout": LAYOUT, "made": 0, "chunks": base.numbers.get("chunks", 0), "tokens": base.numbers.get("tokens", 0), GONE: base.numbers.get(GONE, 0) + n_stale}
             deltas = []
             if "chunks" in segments:
                 lengths = self.store.read(segments["lengths"], LENGTH_TABLE).agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("t")).first()
-                counts |= {"made": lengths["n"], "ever": base.numbers.get("ever", 0) + lengths["n"], "chunks": counts["chunks"] + lengths["n"], "tokens": counts["tokens"] + lengths["t"]}
+                counts |= {"made": lengths["n"], "chunks": counts["chunks"] + lengths["n"], "tokens": counts["tokens"] + lengths["t"]}
                 deltas.append(bm25.frequencies(self.store.read(segments["postings"], POSTING_TABLE)))
             if n_stale:
                 # what goes is counted from its stored postings and lengths; no text is read or split again
@@ -227,7 +228,7 @@ class Indexer:
         frequencies = self.store.table(at, "frequencies", FREQUENCY_TABLE).groupBy("term").agg(F.sum("df").alias("df"))
         totals = self.spark.range(1).select(F.lit(n).cast("long").alias("n"), F.lit(tokens / n if n else 0.0).alias("avg_len"))
         lengths = self._lengths(at)
-        postings = self.store.read(at.tables.get("postings", []), POSTING_TABLE).join(lengths.drop("file_key"), list(NUMBER)).select("id", "term", "tf", "dl")
+        postings = bm25.unstacked(self.store.read(at.tables.get("postings", []), POSTING_TABLE)).join(lengths.drop("file_key"), list(NUMBER)).select("id", "term", "tf", "dl")
         return bm25.Index(postings, lengths.select("id", "dl"), frequencies, totals)
 
     def quantized(self) -> tuple[DataFrame, list | None]:
@@ -310,7 +311,7 @@ class Indexer:
                 rows = rows.repartitionByRange(*order[name]).sortWithinPartitions(*order[name]) if name in order else rows
                 new[name] = [self.store.write(name, rows, base)]
         if "postings" in base.tables:
-            by = ("term", *NUMBER)
+            by = ("term", "since", "block")
             new["postings"] = [self.store.write("postings", self._postings_of(base, self._lengths(base)).repartitionByRange(*by).sortWithinPartitions(*by), base)]
         if "frequencies" in base.tables:
             rows = self.store.table(base, "frequencies", FREQUENCY_TABLE).groupBy("term").agg(F.sum("df").alias("df")).where("df <> 0")
